@@ -1,5 +1,6 @@
 """Append, patch, delete, upsert and bulk rules."""
 
+from collections.abc import Callable, Mapping
 from datetime import datetime
 from typing import NamedTuple
 
@@ -14,10 +15,29 @@ from ..security import with_actor
 from ..visits import visits_per_page
 
 
+class State(Mapping):
+    """New state frames by table name, each planned when first asked for."""
+
+    def __init__(self, **frames: Callable[[], DataFrame]):
+        self._plans = frames
+        self._frames: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._plans[name]()
+        return self._frames[name]
+
+    def __iter__(self):
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+
 class Change(NamedTuple):
     """New state frames by table name, and one result row per request."""
 
-    state: dict[str, DataFrame]
+    state: Mapping[str, DataFrame]
     results: DataFrame
 
 

@@ -13,7 +13,7 @@ the shared folder instead of deriving them again for every output.
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions import fixed_values as V
@@ -24,7 +24,7 @@ from ..entitlement import live_subscriptions, places_per_user
 from ..reports import SETTINGS, latest_settings
 from ..security import with_actor
 from ..skew import first_per_key, join_unique
-from .base import Change, append_profiles, new_ids, rows_like
+from .base import Change, State, append_profiles, new_ids, rows_like
 
 DEFERRED = "deferred"
 
@@ -35,31 +35,33 @@ def _as_is(df: DataFrame) -> DataFrame:
     return df
 
 
-def first_requests(requests: DataFrame, key: str) -> DataFrame:
-    """The first request for each key. The key's own join never happens: the
-    winners are found by their request id, which is unique."""
-    first = requests.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.min("request_id").alias("request_id"))
-    return requests.join(first.select("request_id"), "request_id", "left_semi")
+def first_requests(requests: DataFrame, *key: Column | str) -> DataFrame:
+    """The first request for each key. Spark cuts each partition to one row per key
+    before the shuffle, so a key behind most requests costs one row per partition."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("request_id"))
+    return requests.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def _among(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     """Rows of `table` that a request names: a small batch is broadcast by Spark, so
     a big table is not shuffled for it."""
-    return table.join(requests.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_semi")
+    return table.join(requests.select(key).filter(F.col(key).isNotNull()), key, "left_semi")
 
 
-def _verdicts(requests: DataFrame, allowed: Column, denied: str, judged: DataFrame,
+def _verdicts(requests: DataFrame, denials: list[tuple[Column, str]], judged: DataFrame,
               columns: list[str]) -> DataFrame:
     """One result row per request: denied, judged or deferred."""
     verdict = judged.select("request_id", F.lit(True).alias("_judged"),
-                            F.col("error").alias("_error"), *columns)
-    error = F.when(~allowed, F.lit(denied)).when(
-        F.col("_judged").isNull(), F.lit(DEFERRED)).otherwise(F.col("_error"))
+                            F.col("error").alias("_error"),
+                            *[F.col(c).alias(f"_{c}_") for c in columns])
+    error = F.when(F.lit(False), F.lit(""))
+    for denied, text in denials:
+        error = error.when(denied, F.lit(text))
+    error = error.when(F.col("_judged").isNull(), F.lit(DEFERRED)).otherwise(F.col("_error"))
     ok = error.isNull()
     return requests.join(verdict, "request_id", "left").select(
         "request_id", ok.alias("ok"), error.alias("error"),
-        *[F.when(ok, F.col(c)).alias(c) for c in columns])
+        *[F.when(ok, F.col(f"_{c}_")).alias(c) for c in columns])
 
 
 def _changed(df: DataFrame, changes: dict[str, Column], changed: Column, columns: list[str],
@@ -89,17 +91,17 @@ def activate(subscriptions: DataFrame, payments: DataFrame, packages: DataFrame,
     judged = cut(_judge_activation(acted, subscriptions, payments, packages, providers, requests,
                                    as_of))
     applied = judged.filter(F.col("error").isNull())
-    state = {
-        "subscriptions": _activated_subscriptions(subscriptions, applied, as_of),
-        "payments": _activated_payments(payments, applied, as_of),
-        "providers": _activated_providers(providers, applied, as_of),
-    }
+    state = State(
+        subscriptions=lambda: _activated_subscriptions(subscriptions, applied, as_of),
+        payments=lambda: _activated_payments(payments, applied, as_of),
+        providers=lambda: _activated_providers(providers, applied, as_of),
+    )
     columns = ["message", "subscription_id", "payment_id", "user_id", "package_id", "started_at",
                "expires_at", "places_deactivated", "warning"]
     verdict = judged.withColumnRenamed("_payment_id", "payment_id")
-    results = _verdicts(acted.select("request_id", "_allowed"), F.col("_allowed"), V.FORBIDDEN,
-                        verdict, columns)
-    return Change(state, results)
+    denials = [(~F.col("_allowed"), V.FORBIDDEN),
+               (F.col("subscription_id").isNull(), V.SUBSCRIPTION_MISSING)]
+    return Change(state, _verdicts(acted, denials, verdict, columns))
 
 
 def _judge_activation(acted: DataFrame, subscriptions: DataFrame, payments: DataFrame,
@@ -110,16 +112,18 @@ def _judge_activation(acted: DataFrame, subscriptions: DataFrame, payments: Data
         F.col("id").alias("package_id"), F.col("name").alias("package_name"),
         F.coalesce("duration_days", F.lit(V.DURATION_DEFAULT_ACTIVATION)).alias("_days"),
         F.coalesce("max_places", F.lit(V.FREE_PLACES)).alias("_max"))
-    asked = acted.filter("_allowed").select("request_id", "subscription_id", "payment_id")
-    unknown = asked.filter(F.col("subscription_id").isNull())
+    asked = acted.filter(F.col("_allowed") & F.col("subscription_id").isNotNull()).select(
+        "request_id", "subscription_id", "payment_id")
     first = first_requests(asked, "subscription_id")
     targets = _among(subscriptions.select(
         F.col("id").alias("subscription_id"), "user_id", "package_id", "status", "amount"),
         first, "subscription_id").join(terms, "package_id")
-    found = first.unionByName(unknown).join(targets, "subscription_id", "left")
-    turns = first_requests(found, "user_id").unionByName(found.filter(F.col("user_id").isNull()))
+    found = first.join(targets, "subscription_id", "left")
+    # a request for an unknown subscription has no user and stands alone
+    alone = F.when(F.col("user_id").isNull(), F.col("request_id"))
+    turns = first_requests(found, "user_id", alone)
 
-    paid = _among(payments.select(F.col("id").alias("payment_id")), turns, "payment_id")
+    paid = _among(payments.select(F.col("id").alias("payment_id")), asked, "payment_id")
     counts = places_per_user(providers)
     rows = turns.join(paid.withColumn("_paid", F.lit(True)), "payment_id", "left").join(
         counts, "user_id", "left")
@@ -236,9 +240,9 @@ def cancel_payments(payments: DataFrame, profiles: DataFrame, requests: DataFram
 def _settle_payments(payments: DataFrame, profiles: DataFrame, requests: DataFrame,
                      as_of: datetime, status: str, refusal: str, message: str) -> Change:
     acted = with_actor(requests, profiles, P.is_admin())
-    asked = acted.filter("_allowed").select("request_id", "payment_id")
-    first = first_requests(asked, "payment_id").unionByName(
-        asked.filter(F.col("payment_id").isNull()))
+    asked = acted.filter(F.col("_allowed") & F.col("payment_id").isNotNull()).select(
+        "request_id", "payment_id")
+    first = first_requests(asked, "payment_id")
     targets = _among(payments.select(
         F.col("id").alias("payment_id"), "user_id", "package_id", "status"), first, "payment_id")
     # a missing status is neither pending nor refused: the guard only stops known others
@@ -253,11 +257,12 @@ def _settle_payments(payments: DataFrame, profiles: DataFrame, requests: DataFra
     if status == "completed":
         now = moment(as_of, payments, "completed_at")
         changes["completed_at"] = F.when(F.col("_hit"), now).otherwise(F.col("completed_at"))
-    new = payments.join(hit, "id", "left").select(
-        *[changes.get(c, F.col(c)).alias(c) for c in payments.columns])
-    results = _verdicts(acted.select("request_id", "_allowed"), F.col("_allowed"), V.FORBIDDEN,
-                        judged, ["message", "payment_id", "user_id", "package_id"])
-    return Change({"payments": new}, results)
+    state = State(payments=lambda: payments.join(hit, "id", "left").select(
+        *[changes.get(c, F.col(c)).alias(c) for c in payments.columns]))
+    denials = [(~F.col("_allowed"), V.FORBIDDEN),
+               (F.col("payment_id").isNull(), V.SUBSCRIPTION_MISSING)]
+    return Change(state, _verdicts(acted, denials, judged,
+                                   ["message", "payment_id", "user_id", "package_id"]))
 
 
 # --- create -------------------------------------------------------------------------
@@ -274,6 +279,23 @@ def create(subscriptions: DataFrame, packages: DataFrame, providers: DataFrame,
     judged = cut(_judge_creation(subscriptions, packages, providers, requests, as_of))
     applied = judged.filter(F.col("error").isNull())
 
+    state = State(
+        subscriptions=lambda: _created_subscriptions(subscriptions, applied, as_of),
+        user_profiles=lambda: append_profiles(
+            profiles, applied.select(F.col("user_id").alias("id")), as_of),
+    )
+    columns = ["message", "subscription_id", "user_id", "package_id", "package_name", "amount",
+               "has_active_subscription", "current_package_name", "places_warning"]
+    if settings is not None:
+        info = latest_settings(settings).select(F.struct(*SETTINGS)).scalar()
+        judged = judged.withColumn("payment_info", info)
+        columns.append("payment_info")
+    denials = [(F.col("actor_id").isNull(), V.SIGN_IN_FIRST)]
+    return Change(state, _verdicts(requests, denials, judged, columns))
+
+
+def _created_subscriptions(subscriptions: DataFrame, applied: DataFrame,
+                           as_of: datetime) -> DataFrame:
     wanted = applied.select("user_id", F.col("package_id").alias("_package"))
     df = join_unique(subscriptions, wanted, "user_id", "id")
     dropped = P.equals("status", "pending") & (F.col("package_id") != F.col("_package"))
@@ -287,19 +309,7 @@ def create(subscriptions: DataFrame, packages: DataFrame, providers: DataFrame,
         "id": F.col("subscription_id"), "user_id": F.col("user_id"),
         "package_id": F.col("package_id"), "status": F.lit("pending"), "amount": F.col("amount"),
         "auto_renew": F.lit(False), "created_at": now, "updated_at": now})
-    state = {
-        "subscriptions": kept.unionByName(made),
-        "user_profiles": append_profiles(profiles, applied.select(F.col("user_id").alias("id")),
-                                         as_of),
-    }
-    columns = ["message", "subscription_id", "user_id", "package_id", "package_name", "amount",
-               "has_active_subscription", "current_package_name", "places_warning"]
-    if settings is not None:
-        info = latest_settings(settings).select(F.struct(*SETTINGS)).scalar()
-        judged = judged.withColumn("payment_info", info)
-        columns.append("payment_info")
-    signed = requests.select("request_id", F.col("actor_id").isNotNull().alias("_signed"))
-    return Change(state, _verdicts(signed, F.col("_signed"), V.SIGN_IN_FIRST, judged, columns))
+    return kept.unionByName(made)
 
 
 def _judge_creation(subscriptions: DataFrame, packages: DataFrame, providers: DataFrame,
@@ -308,7 +318,8 @@ def _judge_creation(subscriptions: DataFrame, packages: DataFrame, providers: Da
         F.col("id").alias("package_id"), F.col("name").alias("package_name"),
         F.col("price").alias("amount"), P.package_open().alias("_open"),
         F.coalesce("max_places", F.lit(V.FREE_PLACES)).alias("_max"))
-    first = first_requests(requests, "actor_id").select(
+    signed = requests.filter(F.col("actor_id").isNotNull())
+    first = first_requests(signed, "actor_id").select(
         "request_id", F.col("actor_id").alias("user_id"), "package_id")
     pending = subscriptions.filter(P.equals("status", "pending")).select(
         "user_id", "package_id").distinct().withColumn("_pending", F.lit(True))
@@ -372,15 +383,13 @@ def create_payments(payments: DataFrame, packages: DataFrame, profiles: DataFram
               "status": F.lit("completed" if paid else "pending")}
     column = "completed_at" if paid else "created_at"
     values[column] = moment(as_of, payments, column)
-    state = {
-        "payments": payments.unionByName(rows_like(payments, applied, values)),
-        "user_profiles": append_profiles(profiles, applied.select(F.col("user_id").alias("id")),
-                                         as_of),
-    }
-    results = _verdicts(requests.select("request_id", signed.alias("_signed")), F.col("_signed"),
-                        V.SIGN_IN_FIRST, judged,
-                        ["payment_id", "user_id", "package_id", "package_name", "amount"])
-    return Change(state, results)
+    state = State(
+        payments=lambda: payments.unionByName(rows_like(payments, applied, values)),
+        user_profiles=lambda: append_profiles(
+            profiles, applied.select(F.col("user_id").alias("id")), as_of),
+    )
+    columns = ["payment_id", "user_id", "package_id", "package_name", "amount"]
+    return Change(state, _verdicts(requests, [(~signed, V.SIGN_IN_FIRST)], judged, columns))
 
 
 # --- cancel, expire, link -------------------------------------------------------------
@@ -392,9 +401,9 @@ def cancel(subscriptions: DataFrame, payments: DataFrame, profiles: DataFrame,
     `requests`: request_id, actor_id, subscription_id, reason. The expiry stays.
     """
     acted = with_actor(requests, profiles, P.is_admin())
-    asked = acted.filter("_allowed").select("request_id", "subscription_id", "reason")
-    first = first_requests(asked, "subscription_id").unionByName(
-        asked.filter(F.col("subscription_id").isNull()))
+    asked = acted.filter(F.col("_allowed") & F.col("subscription_id").isNotNull()).select(
+        "request_id", "subscription_id", "reason")
+    first = first_requests(asked, "subscription_id")
     targets = _among(subscriptions.select(
         F.col("id").alias("subscription_id"), "status", "payment_id"), first, "subscription_id")
     error = F.when(F.col("status").isNull(), F.lit(V.SUBSCRIPTION_MISSING)).when(
@@ -404,22 +413,32 @@ def cancel(subscriptions: DataFrame, payments: DataFrame, profiles: DataFrame,
         "request_id", "subscription_id", "payment_id", "reason", error.alias("error"),
         F.lit(V.CANCELLED).alias("message")))
     applied = judged.filter(F.col("error").isNull())
+    state = State(
+        subscriptions=lambda: _cancelled_subscriptions(subscriptions, applied, as_of),
+        payments=lambda: _cancelled_payments(payments, applied),
+    )
+    denials = [(~F.col("_allowed"), V.FORBIDDEN),
+               (F.col("subscription_id").isNull(), V.SUBSCRIPTION_MISSING)]
+    return Change(state, _verdicts(acted, denials, judged, ["message", "subscription_id", "reason"]))
+
 
+def _cancelled_subscriptions(subscriptions: DataFrame, applied: DataFrame,
+                             as_of: datetime) -> DataFrame:
     why = F.coalesce(F.concat(F.lit(V.NOTE_CANCEL_REASON), F.col("reason")),
                      F.lit(V.NOTE_CANCELLED_BY_ADMIN))
     gone = applied.select(F.col("subscription_id").alias("id"), why.alias("_why"))
     hit = F.col("_why").isNotNull()
-    new = _changed(subscriptions.join(gone, "id", "left"), {
+    return _changed(subscriptions.join(gone, "id", "left"), {
         "status": F.when(hit, F.lit("cancelled")).otherwise(F.col("status")),
         "notes": F.when(hit, append_note(F.col("notes"), F.col("_why"))).otherwise(F.col("notes")),
     }, hit, subscriptions.columns, as_of)
+
+
+def _cancelled_payments(payments: DataFrame, applied: DataFrame) -> DataFrame:
     tied = applied.filter(F.col("payment_id").isNotNull()).select(
         F.col("payment_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
     status = F.when(F.col("_hit"), F.lit("cancelled")).otherwise(F.col("status"))
-    paid = payments.join(tied, "id", "left").withColumn("status", status).select(*payments.columns)
-    results = _verdicts(acted.select("request_id", "_allowed"), F.col("_allowed"), V.FORBIDDEN,
-                        judged, ["message", "subscription_id", "reason"])
-    return Change({"subscriptions": new, "payments": paid}, results)
+    return payments.join(tied, "id", "left").withColumn("status", status).select(*payments.columns)
 
 
 def expire(subscriptions: DataFrame, as_of: datetime) -> DataFrame:
@@ -436,15 +455,15 @@ def expired_count(subscriptions: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def link_payments(subscriptions: DataFrame, payments: DataFrame, requests: DataFrame,
-                  as_of: datetime) -> Change:
+                  as_of: datetime, cut: Cut = _as_is) -> Change:
     """Tie completed payments to subscriptions of the same user.
 
     `requests`: request_id, subscription_id, payment_id. The guards only stop known
     values: a payment without a user or without a status passes.
     """
-    asked = requests.select("request_id", "subscription_id", "payment_id")
-    first = first_requests(asked, "subscription_id").unionByName(
-        asked.filter(F.col("subscription_id").isNull()))
+    asked = requests.filter(F.col("subscription_id").isNotNull()).select(
+        "request_id", "subscription_id", "payment_id")
+    first = first_requests(asked, "subscription_id")
     targets = _among(subscriptions.select(
         F.col("id").alias("subscription_id"), "user_id", F.lit(True).alias("_known")),
         first, "subscription_id")
@@ -458,16 +477,16 @@ def link_payments(subscriptions: DataFrame, payments: DataFrame, requests: DataF
               F.concat(F.lit(V.PAYMENT_NOT_COMPLETED), F.col("_status")))
         .when(F.col("user_id") != F.col("_payer"), F.lit(V.USER_MISMATCH))
     )
-    judged = first.join(targets, "subscription_id", "left").join(paid, "payment_id", "left").select(
+    judged = cut(first.join(targets, "subscription_id", "left").join(
+        paid, "payment_id", "left").select(
         "request_id", "subscription_id", "payment_id", error.alias("error"),
-        F.lit(V.LINKED).alias("message"))
+        F.lit(V.LINKED).alias("message")))
     linked = judged.filter(F.col("error").isNull()).select(
         F.col("subscription_id").alias("id"), F.col("payment_id").alias("_payment"))
     hit = F.col("_payment").isNotNull()
-    new = _changed(subscriptions.join(linked, "id", "left"), {
+    state = State(subscriptions=lambda: _changed(subscriptions.join(linked, "id", "left"), {
         "payment_id": F.when(hit, F.col("_payment")).otherwise(F.col("payment_id"))},
-        hit, subscriptions.columns, as_of)
-    everyone = asked.select("request_id", F.lit(True).alias("_allowed"))
-    results = _verdicts(everyone, F.col("_allowed"), V.FORBIDDEN, judged,
-                        ["message", "subscription_id", "payment_id"])
-    return Change({"subscriptions": new}, results)
+        hit, subscriptions.columns, as_of))
+    denials = [(F.col("subscription_id").isNull(), V.SUBSCRIPTION_MISSING)]
+    return Change(state, _verdicts(requests, denials, judged,
+                                   ["message", "subscription_id", "payment_id"]))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import shared_folder
+from ..config import settle, shared_folder
 from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import entitlement as E
@@ -462,7 +462,7 @@ def activation_requests(m: Market) -> DataFrame:
 
 def activation(m: Market) -> B.Change:
     return C.activate(m.subscriptions, m.payments, m.packages, m.providers, m.user_profiles,
-                      activation_requests(m), AS_OF)
+                      activation_requests(m), AS_OF, cut=settle)
 
 
 @query
@@ -494,7 +494,7 @@ def creation_requests(m: Market) -> DataFrame:
 
 def creation(m: Market) -> B.Change:
     return C.create(m.subscriptions, m.packages, m.providers, m.user_profiles,
-                    creation_requests(m), AS_OF)
+                    creation_requests(m), AS_OF, cut=settle)
 
 
 @query
@@ -543,7 +543,7 @@ def cancellation(m: Market) -> B.Change:
         F.col("id").alias("request_id"), F.col("user_id").alias("actor_id"),
         F.expr("case when id % 11 = 0 then id + 1000000000 else id end").alias("subscription_id"),
         F.col("notes").alias("reason"))
-    return C.cancel(m.subscriptions, m.payments, m.user_profiles, requests, AS_OF)
+    return C.cancel(m.subscriptions, m.payments, m.user_profiles, requests, AS_OF, cut=settle)
 
 
 @query
@@ -565,7 +565,7 @@ def linking(m: Market) -> B.Change:
     requests = m.subscriptions.select(
         F.col("id").alias("request_id"), F.col("id").alias("subscription_id"),
         F.expr("case when id % 3 = 0 then id else id + 1 end").alias("payment_id"))
-    return C.link_payments(m.subscriptions, m.payments, requests, AS_OF)
+    return C.link_payments(m.subscriptions, m.payments, requests, AS_OF, cut=settle)
 
 
 @query

@@ -154,26 +154,24 @@ _ADAPTERS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
-def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, columns = _ADAPTERS[name]
-    df = spark.read.parquet(f"{sf_dir}/{source}.parquet")
-    return df.selectExpr(*[f"{expr} as {column}" for column, expr in columns.items()])
-
-
 class Market:
     """The adapted tables of one folder, as attributes: `Market(spark, dir).providers`."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._files: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in _ADAPTERS:
             raise AttributeError(name)
-        return adapt(self.spark, self.sf_dir, name)
+        source, columns = _ADAPTERS[name]
+        return self.raw(source).selectExpr(*[f"{expr} as {column}" for column, expr in columns.items()])
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._files:
+            self._files[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._files[name]
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in _ADAPTERS}
