@@ -1,0 +1,172 @@
+from datetime import timedelta
+from decimal import Decimal
+
+from conftest import NOW, by, dicts
+from pyspark.sql import functions as F
+
+from stallbook.operators import listing as L
+from stallbook.operators import quality as Q
+from stallbook.operators import reports as R
+from stallbook.operators import security as X
+from stallbook.operators import visits as W
+
+DAY = timedelta(days=1)
+
+
+def test_pages_keep_input_order_and_zeros(spark, tables):
+    visits = tables("visits", [{"id": 1, "page": "/a", "created_at": NOW},
+                               {"id": 2, "page": "/a", "created_at": NOW - DAY},
+                               {"id": 3, "page": None, "created_at": NOW},
+                               {"id": 4, "page": "/c", "created_at": NOW}])
+    pages = W.pages_frame(spark, ["/b", "/a", None, "/a"])
+    got = [(r["page"], r["total_visits"], r["today_visits"]) for r in dicts(W.pages_visits(pages, visits, NOW))]
+    assert got == [("/b", 0, 0), ("/a", 2, 1), (None, 0, 0)]
+    twice = [(r["page"], r["total_visits"]) for r in dicts(W.pages_visits(pages, visits, NOW, True))]
+    assert twice == [("/b", 0), ("/a", 4), (None, 0)]
+    assert dicts(W.page_visits(visits, "/x", NOW)) == [{"total_visits": 0, "today_visits": 0}]
+    assert dicts(W.site_visits(visits, NOW)) == [{"total_visits": 4, "today_visits": 3}]
+
+
+def test_badges(tables):
+    places = tables("providers", [{"id": 1, "name": "a"}, {"id": 2, "name": "b"}]).select("id", "name")
+    visits = tables("visits", [{"id": i, "page": p, "created_at": NOW} for i, p in
+                               enumerate(["/place/1", "/place/1", "/place/12", "/service/2"])])
+    got = by(L.with_badges(places, visits, NOW), "id")
+    assert {i: r["total_visits"] for i, r in got.items()} == {1: 2, 2: 0}
+    assert by(L.service_badges(places, visits, NOW), "id")[2]["today_visits"] == 1
+
+
+def test_images_nest_and_split(tables):
+    ads = tables("ads", [{"id": i, "title": "t", "status": "active", "created_at": NOW} for i in (1, 2)])
+    images = tables("ads_images", [{"id": i, "ad_id": 1, "image_url": f"u{i}"} for i in range(20)]
+                    + [{"id": 99, "ad_id": 7, "image_url": "other"}])
+    page = L.active_ads(ads)
+    got = by(L.images_of(page, images), "id")
+    assert [i["image_url"] for i in got[1]["ads_images"]] == sorted(f"u{i}" for i in range(20))
+    assert got[2]["ads_images"] == [] and got[2]["gallery_page"] == 0
+    split = dicts(L.images_of(page, images, per_row=5))
+    rows = [r for r in split if r["id"] == 1]
+    assert len(rows) > 1
+    assert sorted(i["image_url"] for r in rows for i in r["ads_images"]) == sorted(f"u{i}" for i in range(20))
+    assert {(r["id"], r["image_url"]) for r in dicts(L.ad_image_rows(ads, images))} == {
+        (1, f"u{i}") for i in range(20)} | {(2, None)}
+
+
+def test_service_sorts_and_filters(tables):
+    rows = [(1, None, True, NOW), (2, "5.00", None, NOW - DAY), (3, "2.00", True, NOW - 2 * DAY),
+            (4, "0.00", False, None)]
+    services = tables("services", [
+        {"id": i, "provider_id": 1, "name": "s", "price": p and Decimal(p), "delivery": d,
+         "created_at": c} for i, p, d, c in rows] + [{"id": 9, "provider_id": 2, "name": "x"}])
+
+    def ids(**kw):
+        return [r["id"] for r in dicts(L.services_of_provider(services, 1, **kw))]
+
+    assert ids() == [4, 1, 2, 3]
+    assert ids(sort="price_asc") == [4, 1, 3, 2]
+    assert ids(sort="price_desc") == [2, 3, 4, 1]
+    assert ids(only="delivery") == [1, 3]
+    assert ids(only="online") == []
+
+
+def test_favorites_are_distinct(tables):
+    places = tables("providers", [{"id": 1, "name": "a"}, {"id": 2, "name": "b"}])
+    marks = tables("favorites", [{"id": i, "user_id": u, "provider_id": p} for i, (u, p) in
+                                 enumerate([("u", 1), ("u", 1), ("v", 2), ("u", 9), ("u", None)])])
+    assert {(r["user_id"], r["id"]) for r in dicts(L.favorites_of(marks, places))} == {("u", 1), ("v", 2)}
+    assert [r["id"] for r in dicts(L.favorites_of(marks, places, "v"))] == [2]
+
+
+def test_subscription_pages(tables):
+    subs = tables("subscriptions", [
+        {"id": i, "user_id": "u" if i % 2 else "gone", "package_id": 1, "status": s,
+         "created_at": NOW - i * DAY} for i, s in enumerate(["pending", "active", "pending", "active"], 1)])
+    people = tables("user_profiles", [{"id": "u", "full_name": "U", "email": "u@x"}])
+    packages = tables("packages", [{"id": 1, "name": "k", "duration_days": 3}])
+
+    def ids(**kw):
+        return [r["subscription_id"] for r in dicts(R.all_subscriptions(
+            "subscriptions", subs, people, packages, **kw))]
+
+    assert ids() == [1, 2, 3, 4]
+    assert ids(status="active") == [2, 4]
+    assert ids(limit=2, offset=1) == [2, 3]
+    assert ids(limit=None, offset=None) == [1, 2, 3, 4]
+    assert ids(limit=0) == []
+    waiting = dicts(R.pending_subscriptions("subscriptions", subs, people, packages, tables("payments", [])))
+    assert [(r["subscription_id"], r["user_name"]) for r in waiting] == [(1, "U"), (3, "U")]
+    from stallbook.functions.fixed_values import UNKNOWN_USER
+    names = {r["subscription_id"]: r["user_name"] for r in dicts(
+        R.all_subscriptions("subscriptions", subs, people, packages))}
+    assert names == {1: "U", 2: UNKNOWN_USER, 3: "U", 4: UNKNOWN_USER}
+
+
+def test_derived_expiry_needs_both_parts(tables):
+    pays = tables("payments", [{"id": 1, "package_id": 1, "completed_at": NOW}, {"id": 2, "package_id": 1},
+                               {"id": 3, "package_id": 2, "completed_at": NOW}])
+    packages = tables("packages", [{"id": 1, "name": "k", "duration_days": 3}, {"id": 2, "name": "n"}])
+    got = by(R.all_subscriptions("payments", pays, tables("user_profiles", []), packages), "payment_id")
+    assert {i: r["expires_at"] for i, r in got.items()} == {1: NOW + 3 * DAY, 2: None, 3: None}
+
+
+def test_instructions_only_for_open_packages(tables):
+    packages = tables("packages", [{"id": 1, "name": "k", "price": Decimal("2.00"), "is_active": True},
+                                   {"id": 2, "name": "n", "price": Decimal("2.00")}])
+    got = dicts(R.payment_instructions(packages, tables("payment_settings", []), {"bank_name": "b"}))
+    assert [r["package_id"] for r in got] == [1]
+    assert got[0]["payment_info"]["bank_name"] == "b"
+    assert '"bank_account":null' in got[0]["item"]
+
+
+def test_row_policies(tables):
+    people = tables("user_profiles", [{"id": "adm", "role": "owner"}, {"id": "u", "role": "Admin"}])
+    subs = tables("subscriptions", [{"id": 1, "user_id": "u"}, {"id": 2, "user_id": "v"}])
+    packages = tables("packages", [{"id": 1, "is_active": True}, {"id": 2}, {"id": 3, "is_active": False}])
+    settings = tables("payment_settings", [{"id": 1}])
+
+    def ids(name, df, who):
+        return sorted(r["id"] for r in dicts(X.visible_rows(name, df, people, who)))
+
+    assert ids("subscriptions", subs, "u") == [1]
+    assert ids("subscriptions", subs, "adm") == [1, 2]
+    assert ids("subscriptions", subs, None) == []
+    assert ids("packages", packages, None) == [1]
+    assert ids("packages", packages, "adm") == [1, 2, 3]
+    assert ids("payment_settings", settings, "u") == []
+    assert ids("payment_settings", settings, "adm") == [1]
+    assert ids("user_profiles", people, "adm") == ["adm"]
+    counts = {r["user_id"]: r["visible_rows"] for r in dicts(X.visible_counts(subs, people))}
+    assert counts == {"adm": 2, "u": 1}
+
+
+def test_constraint_checks(tables):
+    subs = tables("subscriptions", [
+        {"id": 1, "user_id": "u", "package_id": 1, "status": "active", "payment_id": 5},
+        {"id": 2, "user_id": "u", "package_id": 1, "status": "active"},
+        {"id": 3, "user_id": None, "package_id": 2, "status": "odd"},
+        {"id": 4, "user_id": None, "package_id": 2, "status": "odd"},
+        {"id": 5, "user_id": "x", "package_id": 2}])
+    pays = tables("payments", [{"id": 1, "status": "processing"}, {"id": 2}, {"id": 3, "status": "odd"}])
+    assert {r["check_name"]: r["violations"] for r in dicts(Q.status_violations(subs, pays))} == {
+        "subscription_status": 3, "payment_status": 1, "payment_status_old": 2}
+    assert {(r["user_id"], r["n"]) for r in dicts(Q.duplicate_subscriptions(subs))} == {("u", 2), (None, 2)}
+    people = tables("user_profiles", [{"id": "u"}])
+    packages = tables("packages", [{"id": 1}])
+    got = {r["reference"]: (r["orphan_rows"], r["orphan_values"])
+           for r in dicts(Q.foreign_keys(subs, packages, pays, people))}
+    assert got == {"package_id": (3, 1), "payment_id": (1, 1), "user_id": (1, 1)}
+    nulls = {r["column_name"]: r["nulls"] for r in dicts(Q.null_counts(subs, ["user_id", "status"]))}
+    assert nulls == {"user_id": 2, "status": 1}
+    filled = Q.with_defaults(subs, {"status": F.lit("pending"), "auto_renew": F.lit(False)})
+    assert by(filled, "id")[5]["status"] == "pending"
+
+
+def test_delete_policies(tables):
+    subs = tables("subscriptions", [{"id": 1, "user_id": "u", "package_id": 1, "payment_id": 5},
+                                    {"id": 2, "user_id": "v", "package_id": 1, "payment_id": 6}])
+    packages = tables("packages", [{"id": 1}, {"id": 2}])
+    ids = tables.rows("id long", [(1,), (2,)])
+    assert set(by(Q.delete_packages_safely(packages, ids, subs), "id")) == {1}
+    assert {i: r["payment_id"] for i, r in by(
+        Q.payments_deleted(subs, tables.rows("id long", [(5,)])), "id").items()} == {1: None, 2: 6}
+    assert set(by(Q.users_deleted(subs, tables.rows("id string", [("u",)])), "id")) == {2}

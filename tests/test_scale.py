@@ -1,0 +1,104 @@
+"""Joins and picks with a hot key against brute force, and the shape of key plans."""
+
+import random
+
+import pytest
+from conftest import NOW, dicts
+from pyspark.sql import functions as F
+
+from stallbook.operators import entitlement as E
+from stallbook.operators import listing as L
+from stallbook.operators import skew
+from stallbook.plans.queries import QUERIES
+from stallbook.sources.adapters import Market
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice(["hot", "hot", "hot", None, *[f"k{j}" for j in range(30)]]), rnd.randint(0, 50))
+            for i in range(600)]
+    return rows, spark.createDataFrame(rows, "id long, k string, v int")
+
+
+def test_hot_keys_are_bounded_by_their_share(hot):
+    rows, df = hot
+    got = {r["k"] for r in dicts(skew.hot_keys(df, "k", share=0.05, min_rows=0))}
+    counted = [k for _, k, _ in rows if k is not None]
+    assert got == {k for k in set(counted) if counted.count(k) > 0.05 * len(counted)} == {"hot"}
+    assert dicts(skew.hot_keys(df, "k")) == []
+
+
+@pytest.mark.parametrize("min_rows", [0, 10**9])
+def test_join_unique_is_a_left_join(spark, hot, min_rows):
+    rows, df = hot
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", None), ("zz", 4)], "k string, w int")
+    lookup = {"hot": 1, "k1": 2}
+    got = {r["id"]: (r["k"], r["v"], r["w"]) for r in dicts(
+        skew.join_unique(df, right, "k", "id", salts=5, share=0.05, min_rows=min_rows))}
+    assert got == {i: (k, v, lookup.get(k)) for i, k, v in rows}
+
+
+def test_hot_rows_spread_over_salts(hot):
+    _, df = hot
+    right = df.groupBy("k").agg(F.max("v").alias("w"))
+    joined = skew.join_unique(df, right, "k", "id", salts=5, share=0.05, min_rows=0)
+    assert joined.count() == 600
+
+
+def test_first_per_key_against_sorting(hot):
+    rows, df = hot
+    wanted = df.withColumn("n", F.when(F.col("k") == "hot", 7).otherwise(F.length("k") - 1))
+    got = {r["id"] for r in dicts(skew.first_per_key(wanted, "k", "n", [F.desc("v"), F.asc("id")], "id", 4))}
+    want = set()
+    for key in {k for _, k, _ in rows if k is not None}:
+        mine = sorted((-v, i) for i, k, v in rows if k == key)
+        want |= {i for _, i in mine[:7 if key == "hot" else len(key) - 1]}
+    assert got == want
+
+
+def test_entitlement_cuts_before_the_shuffle(spark):
+    m = Market(spark, FOLDER)
+    text = plan(E.latest_entitlement("subscriptions", m.subscriptions, None, NOW))
+    assert text.index("WindowGroupLimit") < text.index("Exchange")
+    assert text.count("Exchange hashpartitioning") == 1
+    assert "PushedFilters: [" in text and "o_orderstatus" in text
+
+
+def test_scans_read_only_their_columns(spark):
+    m = Market(spark, FOLDER)
+    text = plan(QUERIES["page_visit_stats"](m))
+    schema = text.split("ReadSchema:")[1].splitlines()[0]
+    assert "props" not in schema and "value" not in schema and "event_type" in schema
+    text = plan(QUERIES["provider_status_counts"](m))
+    assert "struct<p_size:int>" in text
+
+
+def test_limits_are_distributed_top_k(spark):
+    m = Market(spark, FOLDER)
+    for key in ("latest_services", "active_ads", "provider_search", "ranked_providers_v2"):
+        assert "TakeOrderedAndProject" in plan(QUERIES[key](m)), key
+
+
+def test_no_query_has_a_cross_join_or_python(spark):
+    m = Market(spark, FOLDER)
+    for name, fn in QUERIES.items():
+        if name == "visits_stream":
+            continue
+        text = plan(fn(m))
+        for bad in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
+                    "FlatMapGroupsInPandas"):
+            assert bad not in text, (name, bad)
+
+
+def test_badges_do_not_shuffle_the_visits(spark):
+    m = Market(spark, FOLDER)
+    page = L.active_ads(m.ads).select("id")
+    text = plan(L.with_badges(page, m.visits, NOW))
+    assert "SortMergeJoin" not in text
