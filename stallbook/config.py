@@ -1,9 +1,12 @@
 """Session settings and the shared checkpoint folder."""
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Cut = Callable[[DataFrame], DataFrame]
+
 
 def local_session(cores: str = "*", partitions: int = 8, **extra: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -38,8 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="stallbook-")
 
 
+def as_is(df: DataFrame) -> DataFrame:
+    """The `cut` that cuts nothing: Spark plans everything as one lazy query."""
+    return df
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage: write `df` once to the shared folder and go on from there.
+    """The `cut` that writes `df` once to the shared folder and goes on from there.
 
     The files outlive any executor, so a lost one never recomputes what lies
     before the cut, and several frames built on `df` share one evaluation.

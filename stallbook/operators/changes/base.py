@@ -194,8 +194,7 @@ def record_visits(visits: DataFrame, requests: DataFrame, as_of: datetime) -> Ch
         "created_at": stamp(as_of, visits.schema["created_at"].dataType),
     })
     state = visits.unionByName(added)
-    touched = requests.select("page").distinct()
-    stats = visits_per_page(state.join(touched, "page", "left_semi"), as_of)
+    stats = visits_per_page(state.join(requests.select("page"), "page", "left_semi"), as_of)
     results = requests.select("request_id", "page").join(stats, "page", "left").select(
         "request_id", F.lit(True).alias("ok"), no_error().alias("error"), "page",
         F.coalesce("total_visits", F.lit(0)).alias("total_visits"),
@@ -234,8 +233,9 @@ SERVICE_PATCH = ["name", "description", "price", "image_url", "delivery", "onlin
 def _matched(state: DataFrame, requests: DataFrame, owner: str | None) -> DataFrame:
     """Requests with `_found`: whether their row exists and, if asked, has that owner."""
     if owner is None or owner not in requests.columns:
-        keys = state.select("id").distinct().withColumn("_found", F.lit(True))
-        return requests.join(keys, "id", "left").withColumn("_found", P.truthy("_found"))
+        hits = requests.join(state.select("id"), "id", "left_semi")
+        found = hits.select("request_id", F.lit(True).alias("_found"))
+        return requests.join(found, "request_id", "left").withColumn("_found", P.truthy("_found"))
     owners = state.select("id", F.col(owner).alias("_owner"), F.lit(True).alias("_known"))
     same = F.col(owner).isNull() | (F.col(owner) == F.col("_owner"))
     return requests.join(owners, "id", "left").withColumn(

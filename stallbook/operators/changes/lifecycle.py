@@ -10,12 +10,12 @@ Outputs share the judged requests. Pass `cut=config.settle` to write them once t
 the shared folder instead of deriving them again for every output.
 """
 
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...config import Cut, as_is
 from ...functions import fixed_values as V
 from ...functions import predicates as P
 from ...functions.clock import moment, plus_days, stamp
@@ -28,13 +28,6 @@ from .base import Change, State, append_profiles, new_ids, rows_like
 
 DEFERRED = "deferred"
 
-Cut = Callable[[DataFrame], DataFrame]
-
-
-def _as_is(df: DataFrame) -> DataFrame:
-    return df
-
-
 def first_requests(requests: DataFrame, *key: Column | str) -> DataFrame:
     """The first request for each key. Spark cuts each partition to one row per key
     before the shuffle, so a key behind most requests costs one row per partition."""
@@ -78,7 +71,7 @@ def _changed(df: DataFrame, changes: dict[str, Column], changed: Column, columns
 
 def activate(subscriptions: DataFrame, payments: DataFrame, packages: DataFrame,
              providers: DataFrame, profiles: DataFrame, requests: DataFrame, as_of: datetime,
-             cut: Cut = _as_is) -> Change:
+             cut: Cut = as_is) -> Change:
     """Admins turn pending subscriptions into active ones.
 
     `requests`: request_id, actor_id, subscription_id, payment_id (NULL: a completed
@@ -125,7 +118,7 @@ def _judge_activation(acted: DataFrame, subscriptions: DataFrame, payments: Data
 
     paid = _among(payments.select(F.col("id").alias("payment_id")), asked, "payment_id")
     counts = places_per_user(providers)
-    rows = turns.join(paid.withColumn("_paid", F.lit(True)), "payment_id", "left").join(
+    rows = join_unique(turns, paid.withColumn("_paid", F.lit(True)), "payment_id", "request_id").join(
         counts, "user_id", "left")
 
     error = (
@@ -269,7 +262,7 @@ def _settle_payments(payments: DataFrame, profiles: DataFrame, requests: DataFra
 
 def create(subscriptions: DataFrame, packages: DataFrame, providers: DataFrame,
            profiles: DataFrame, requests: DataFrame, as_of: datetime,
-           settings: DataFrame | None = None, cut: Cut = _as_is) -> Change:
+           settings: DataFrame | None = None, cut: Cut = as_is) -> Change:
     """Users ask for packages: a pending subscription at the package's price.
 
     `requests`: request_id, actor_id, package_id. The user's other pending requests
@@ -395,7 +388,7 @@ def create_payments(payments: DataFrame, packages: DataFrame, profiles: DataFram
 # --- cancel, expire, link -------------------------------------------------------------
 
 def cancel(subscriptions: DataFrame, payments: DataFrame, profiles: DataFrame,
-           requests: DataFrame, as_of: datetime, cut: Cut = _as_is) -> Change:
+           requests: DataFrame, as_of: datetime, cut: Cut = as_is) -> Change:
     """Admins cancel pending or active subscriptions and the payment tied to them.
 
     `requests`: request_id, actor_id, subscription_id, reason. The expiry stays.
@@ -455,7 +448,7 @@ def expired_count(subscriptions: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def link_payments(subscriptions: DataFrame, payments: DataFrame, requests: DataFrame,
-                  as_of: datetime, cut: Cut = _as_is) -> Change:
+                  as_of: datetime, cut: Cut = as_is) -> Change:
     """Tie completed payments to subscriptions of the same user.
 
     `requests`: request_id, subscription_id, payment_id. The guards only stop known
@@ -477,8 +470,8 @@ def link_payments(subscriptions: DataFrame, payments: DataFrame, requests: DataF
               F.concat(F.lit(V.PAYMENT_NOT_COMPLETED), F.col("_status")))
         .when(F.col("user_id") != F.col("_payer"), F.lit(V.USER_MISMATCH))
     )
-    judged = cut(first.join(targets, "subscription_id", "left").join(
-        paid, "payment_id", "left").select(
+    known = first.join(targets, "subscription_id", "left")
+    judged = cut(join_unique(known, paid, "payment_id", "request_id").select(
         "request_id", "subscription_id", "payment_id", error.alias("error"),
         F.lit(V.LINKED).alias("message")))
     linked = judged.filter(F.col("error").isNull()).select(

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Cut, as_is
 from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions.clock import moment
@@ -125,7 +126,8 @@ def categories(activities: DataFrame) -> DataFrame:
     return top(activities, ascending("name"), columns)
 
 
-def images_of(ads: DataFrame, images: DataFrame, per_row: int = 1000) -> DataFrame:
+def images_of(ads: DataFrame, images: DataFrame, per_row: int = 1000,
+              cut: Cut = as_is) -> DataFrame:
     """`ads` with their images nested: `ads_images` is an array of `{image_url}`.
 
     `ads` must be a page of ads (a limited listing): it is broadcast, so the image
@@ -133,6 +135,7 @@ def images_of(ads: DataFrame, images: DataFrame, per_row: int = 1000) -> DataFra
     it has no image. Only an ad with more than `per_row` images has several, told
     apart by `gallery_page`, so that no array grows with the data.
     """
+    ads = cut(ads)
     page = ads.select(F.col("id").alias("ad_id"))
     shown = images.select("id", "ad_id", "image_url").join(F.broadcast(page), "ad_id")
     sizes = shown.groupBy("ad_id").agg(F.ceil(F.count("*") / F.lit(per_row)).alias("pages"))
@@ -264,14 +267,15 @@ def package_cards_of(packages: DataFrame, states: DataFrame, user_id) -> DataFra
 
 # --- badges -------------------------------------------------------------------------
 
-def with_badges(page: DataFrame, visits: DataFrame, as_of: datetime,
-                page_of=place_page) -> DataFrame:
+def with_badges(page: DataFrame, visits: DataFrame, as_of: datetime, page_of=place_page,
+                cut: Cut = as_is) -> DataFrame:
     """Add total and today's visits of each row's page to a limited listing.
 
     The visits are cut to the listing's pages before they are counted, by a
-    broadcast of the page keys, so the visit table is not shuffled.
+    broadcast of the page keys, so the visit table is not shuffled. The listing is
+    needed twice; `cut=config.settle` ranks it once.
     """
-    keyed = page.withColumn("page", page_of(F.col("id")))
+    keyed = cut(page.withColumn("page", page_of(F.col("id"))))
     hits = visits.join(F.broadcast(keyed.select("page").distinct()), "page", "left_semi")
     stats = visits_per_page(hits, as_of)
     return keyed.join(F.broadcast(stats), "page", "left").select(
@@ -281,8 +285,9 @@ def with_badges(page: DataFrame, visits: DataFrame, as_of: datetime,
     )
 
 
-def service_badges(page: DataFrame, visits: DataFrame, as_of: datetime) -> DataFrame:
-    return with_badges(page, visits, as_of, service_page)
+def service_badges(page: DataFrame, visits: DataFrame, as_of: datetime,
+                   cut: Cut = as_is) -> DataFrame:
+    return with_badges(page, visits, as_of, service_page, cut)
 
 
 def all_badges(table: DataFrame, visits: DataFrame, as_of: datetime, page_of) -> DataFrame:

@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Cut, as_is
 from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions.clock import plus_days
@@ -132,11 +133,12 @@ def _known_as(name: str = "full_name") -> Column:
 
 def all_subscriptions(basis: Basis, source: DataFrame, profiles: DataFrame, packages: DataFrame,
                       status: str | None = None, limit: int | None = V.SUBSCRIPTIONS_LIMIT,
-                      offset: int | None = 0) -> DataFrame:
+                      offset: int | None = 0, cut: Cut = as_is) -> DataFrame:
     """Subscriptions (or payments) with user and package, newest first.
 
     On the payments basis the expiry is derived, and is NULL unless both the
-    completion and the package's duration are known.
+    completion and the package's duration are known. A page is needed once per
+    lookup; `cut=config.settle` sorts it out once.
     """
     own = {
         "subscriptions": ["id", "user_id", "package_id", "amount", "status", "started_at",
@@ -145,6 +147,7 @@ def all_subscriptions(basis: Basis, source: DataFrame, profiles: DataFrame, pack
                      "completed_at"],
     }[basis]
     page, small = _page(source, own, status, limit, offset)
+    page = cut(page) if small else page
     joined = _lookup(page, profiles, "user_id", [F.col("full_name"), F.col("email")], small)
     joined = _lookup(joined, packages, "package_id",
                      [F.col("name").alias("package_name"), F.col("duration_days")], small)

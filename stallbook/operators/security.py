@@ -34,7 +34,7 @@ def visible_rows(table: str, df: DataFrame, profiles: DataFrame, principal) -> D
 def own_rows(df: DataFrame, principals: DataFrame) -> DataFrame:
     """Rows each principal sees by owning them. Admins see every row, so they are
     not listed row by row here; `visible_counts` tells how many each principal sees."""
-    return df.join(principals.select(F.col("id").alias("user_id")).distinct(), "user_id", "left_semi")
+    return df.join(principals.select(F.col("id").alias("user_id")), "user_id", "left_semi")
 
 
 def visible_counts(subscriptions: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -1,57 +1,57 @@
 """Joins and per-key picks that stay balanced when one key holds much of the data.
 
 Counting aggregates need nothing special: Spark combines them before the
-shuffle. A join against a frame that was itself grouped by the join key does:
-Spark reuses that grouping, so its adaptive skew handling, which splits plain
-shuffle reads only, does not apply, and every row of the hot key lands in one
-task. Picking rows per key has the same problem. Both are solved by spreading
-rows over a salt that is a fixed hash of the row, so a retried task gives the
-same rows again.
+shuffle. Nor does a join of two plain tables, where Spark's adaptive skew
+handling splits the big partitions. It does not act where one side was itself
+grouped by the join key, because Spark then reuses that grouping, and every row
+of a hot key lands in one task. Picking rows per key has the same problem. Both
+are solved here by spreading rows over a salt that is a fixed hash of the row,
+so a retried task gives the same rows again.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
 HOT_SHARE = 0.001
 HOT_MIN_ROWS = 1_000_000
+PICK_SALTS = 1024
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE,
              min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys holding more than `share` of the rows.
+    """Keys holding more than `share` of the rows, with the number of `_salts` that
+    brings each salt of a key back to that share.
 
-    There are fewer than `1 / share` of them whatever the data size, which is
-    the bound that makes the result safe to broadcast.
+    Whatever the data size there are fewer than `1 / share` such keys and fewer than
+    `2 / share` salts in all; that bound makes the result safe to broadcast.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    limit = counts.agg(F.greatest(F.sum("n") * F.lit(share), F.lit(min_rows)).alias("limit"))
-    return counts.filter(F.col("n") > limit.scalar()).select(key)
+    limit = counts.agg(F.greatest(F.sum("n") * F.lit(share), F.lit(float(min_rows)))).scalar()
+    return counts.withColumn("_limit", limit).filter("n > _limit").select(
+        key, F.ceil(F.col("n") / F.col("_limit")).cast("int").alias("_salts"))
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, row_id: str,
-                salts: int = SALTS, share: float = HOT_SHARE,
-                min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+                share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """Left join to a frame with one row per key, spreading the hot keys of `left`.
 
     Rows of a hot key get a salt from `row_id`; only the hot rows of `right` are
-    copied, once per salt, so the extra rows stay below `salts / share`. Rows
-    with a NULL key never match and are spread the same way.
+    copied, once per salt. Rows with a NULL key never match and are spread too.
     """
-    hot = hot_keys(left, key, share, min_rows).withColumn("_hot", F.lit(True))
-    spread = F.pmod(F.xxhash64(F.col(row_id)), F.lit(salts)).cast("int")
-    salted = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(F.lit(0))
-    ).drop("_hot")
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    copied = right.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
+    hot = F.broadcast(hot_keys(left, key, share, min_rows))
+    spread = F.when(F.col(key).isNull(), F.lit(int(1 / share))).otherwise(F.col("_salts"))
+    salted = left.join(hot, key, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(F.col(row_id)), spread), F.lit(0).cast("bigint"))
+    ).drop("_salts")
+    last = F.coalesce(F.col("_salts"), F.lit(1)) - F.lit(1)
+    copied = right.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))
+    ).drop("_salts")
     return salted.join(copied, [key, "_salt"], "left").drop("_salt")
 
 
 def first_per_key(df: DataFrame, key: str, wanted: str, order: list[Column], row_id: str,
-                  salts: int = SALTS) -> DataFrame:
+                  salts: int = PICK_SALTS) -> DataFrame:
     """The first `wanted` rows of each key in `order`; `wanted` is a column of `df`.
 
     Two rounds give the exact result: each salt keeps its own first rows, and

@@ -117,7 +117,7 @@ def latest_providers(m):
 @query
 def listing_with_badges(m):
     ranked = L.ranked_providers(m.providers, "subscriptions", m.subscriptions, m.packages, AS_OF)
-    return L.with_badges(ranked, m.visits, AS_OF_VISITS)
+    return L.with_badges(ranked, m.visits, AS_OF_VISITS, cut=settle)
 
 
 @query
@@ -128,7 +128,7 @@ def provider_badges(m):
 @query
 def services_with_badges(m):
     page = L.latest_services(m.services).select("id", "provider_id", "name", "price", "created_at")
-    return L.service_badges(page, m.visits, AS_OF_VISITS)
+    return L.service_badges(page, m.visits, AS_OF_VISITS, cut=settle)
 
 
 @query
@@ -164,7 +164,7 @@ def active_ads(m):
 
 @query
 def active_ads_with_images(m):
-    nested = L.images_of(L.active_ads(m.ads), m.ads_images)
+    nested = L.images_of(L.active_ads(m.ads), m.ads_images, cut=settle)
     urls = F.transform("ads_images", lambda image: image["image_url"])
     return nested.select("id", "title", "created_at", "gallery_page",
                          F.size("ads_images").alias("images"), F.array_join(urls, ",").alias("urls"))
@@ -326,7 +326,7 @@ def admin_site_stats(m):
 
 @both
 def all_subscriptions(m, basis):
-    return R.all_subscriptions(basis, source(m, basis), m.user_profiles, m.packages)
+    return R.all_subscriptions(basis, source(m, basis), m.user_profiles, m.packages, cut=settle)
 
 
 @query

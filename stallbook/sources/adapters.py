@@ -154,6 +154,24 @@ _ADAPTERS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+_FILES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+            " p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+              " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+                " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+                " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
+              " props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 class Market:
     """The adapted tables of one folder, as attributes: `Market(spark, dir).providers`."""
 
@@ -170,7 +188,8 @@ class Market:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._files:
-            self._files[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._files[name] = self.spark.read.schema(_FILES[name]).parquet(
+                f"{self.sf_dir}/{name}.parquet")
         return self._files[name]
 
     def tables(self) -> dict[str, DataFrame]:

@@ -6,7 +6,7 @@ import pytest
 from conftest import NOW, by, dicts
 from model import Model, Refused
 
-from stallbook.config import settle
+from stallbook.config import as_is, settle
 from stallbook.functions import fixed_values as V
 from stallbook.operators.changes import lifecycle as C
 
@@ -88,7 +88,7 @@ def test_activate_against_calls_one_by_one(tables, seed):
             for i in range(30)]
     df = tables.rows("request_id long, actor_id string, subscription_id long, payment_id long", reqs)
     change = C.activate(s.subscriptions_df, s.payments_df, s.packages_df, s.providers_df,
-                        s.user_profiles_df, df, NOW, cut=settle if seed % 2 else C._as_is)
+                        s.user_profiles_df, df, NOW, cut=settle if seed % 2 else as_is)
     results = dicts(change.results)
     assert sorted(r["request_id"] for r in results) == [r[0] for r in reqs]
     calls = {r[0]: (lambda r=r: s.model.activate(r[1], r[2], r[3], 12 + r[0] - 100 + 1)) for r in reqs}

@@ -1,5 +1,6 @@
 """Joins and picks with a hot key against brute force, and the shape of key plans."""
 
+import math
 import random
 
 import pytest
@@ -29,26 +30,29 @@ def hot(spark):
 
 def test_hot_keys_are_bounded_by_their_share(hot):
     rows, df = hot
-    got = {r["k"] for r in dicts(skew.hot_keys(df, "k", share=0.05, min_rows=0))}
+    got = {r["k"]: r["_salts"] for r in dicts(skew.hot_keys(df, "k", share=0.05, min_rows=1))}
     counted = [k for _, k, _ in rows if k is not None]
-    assert got == {k for k in set(counted) if counted.count(k) > 0.05 * len(counted)} == {"hot"}
+    limit = 0.05 * len(counted)
+    assert got == {k: math.ceil(counted.count(k) / limit) for k in set(counted)
+                   if counted.count(k) > limit}
+    assert list(got) == ["hot"] and 1 < got["hot"] <= 20
     assert dicts(skew.hot_keys(df, "k")) == []
 
 
-@pytest.mark.parametrize("min_rows", [0, 10**9])
+@pytest.mark.parametrize("min_rows", [1, 10**9])
 def test_join_unique_is_a_left_join(spark, hot, min_rows):
     rows, df = hot
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", None), ("zz", 4)], "k string, w int")
     lookup = {"hot": 1, "k1": 2}
     got = {r["id"]: (r["k"], r["v"], r["w"]) for r in dicts(
-        skew.join_unique(df, right, "k", "id", salts=5, share=0.05, min_rows=min_rows))}
+        skew.join_unique(df, right, "k", "id", share=0.05, min_rows=min_rows))}
     assert got == {i: (k, v, lookup.get(k)) for i, k, v in rows}
 
 
 def test_hot_rows_spread_over_salts(hot):
     _, df = hot
     right = df.groupBy("k").agg(F.max("v").alias("w"))
-    joined = skew.join_unique(df, right, "k", "id", salts=5, share=0.05, min_rows=0)
+    joined = skew.join_unique(df, right, "k", "id", share=0.05, min_rows=1)
     assert joined.count() == 600
 
 
