@@ -40,6 +40,8 @@ PACKAGE_CARD = ["id", "name", "price", "duration_days", "ads_limit", "image_limi
                 "is_active", "created_at", "description"]
 REVIEW_CARD = ["id", "provider_id", "service_id", "user_id", "rating", "comment", "created_at"]
 
+SMALL_PAGE = 10_000  # rows of a cut page that may be broadcast
+
 
 # --- places ---------------------------------------------------------------------
 
@@ -79,14 +81,19 @@ def ranked_providers(providers: DataFrame, basis: Basis, source: DataFrame, pack
     """Places by priority, then newest. `status=None` lists all; a NULL status is pending.
 
     A missing or negative limit shows one row, a negative offset none skipped.
+    Ranking moves ids, owners and dates only; the full rows are fetched for the
+    finished page, without a shuffle when the page is small.
     """
+    rows = max(1, limit or 0)
     status_of = F.coalesce(F.col("status"), F.lit("pending"))
-    shown = providers.select(*CARD, "status", "user_id", "created_at").filter(
-        P.equals_if_given(status_of, status)
-    )
+    shown = providers.filter(P.equals_if_given(status_of, status)).select(
+        "id", "user_id", "created_at")
     ranked = with_priority(shown, basis, source, packages, as_of)
-    return top(ranked, newest("priority", "created_at"), RANKED_CARD,
-               max(1, limit or 0), max(0, offset or 0))
+    order = newest("priority", "created_at")
+    page = top(ranked, order, ["id", "priority", "created_at"], rows, max(0, offset or 0))
+    cards = providers.select(*CARD, "status").join(
+        F.broadcast(page) if rows <= SMALL_PAGE else page, "id")
+    return top(cards, order, RANKED_CARD, rows)
 
 
 def provider_search(providers: DataFrame, status: str | None = None, text: str | None = None,

@@ -6,28 +6,28 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 
 
-def bad_subscription_status(subscriptions: DataFrame) -> DataFrame:
-    return subscriptions.filter(F.col("status").isNull()
-                                | ~F.col("status").isin(*V.SUBSCRIPTION_STATUSES))
+def bad_subscription_status() -> Column:
+    return F.col("status").isNull() | ~F.col("status").isin(*V.SUBSCRIPTION_STATUSES)
 
 
-def bad_payment_status(payments: DataFrame, old: bool = False) -> DataFrame:
+def bad_payment_status(old: bool = False) -> Column:
     """A missing status is allowed; the older rule does not know 'processing'."""
-    allowed = V.PAYMENT_STATUSES_OLD if old else V.PAYMENT_STATUSES
-    return payments.filter(~F.col("status").isin(*allowed))
+    return ~F.col("status").isin(*(V.PAYMENT_STATUSES_OLD if old else V.PAYMENT_STATUSES))
 
 
-def status_violations(subscriptions: DataFrame, payments: DataFrame) -> DataFrame:
-    """Number of rows that break each status rule, zero included."""
-    def line(name: str, rows: DataFrame) -> DataFrame:
-        return rows.agg(F.count("*").alias("violations")).select(
-            F.lit(name).alias("check_name"), "violations")
+def _long(line: DataFrame, name: str, value: str) -> DataFrame:
+    """A one-row frame of counts as (name, value) rows."""
+    pairs = ", ".join(f"'{c}', {c}" for c in line.columns)
+    return line.selectExpr(f"stack({len(line.columns)}, {pairs}) as ({name}, {value})")
+
 
-    return (
-        line("subscription_status", bad_subscription_status(subscriptions))
-        .unionByName(line("payment_status", bad_payment_status(payments)))
-        .unionByName(line("payment_status_old", bad_payment_status(payments, old=True)))
-    )
+def status_violations(subscriptions: DataFrame, payments: DataFrame) -> DataFrame:
+    """Number of rows that break each status rule, zero included: one pass per table."""
+    own = subscriptions.agg(F.count_if(bad_subscription_status()).alias("subscription_status"))
+    paid = payments.agg(F.count_if(bad_payment_status()).alias("payment_status"),
+                        F.count_if(bad_payment_status(old=True)).alias("payment_status_old"))
+    return _long(own, "check_name", "violations").unionByName(
+        _long(paid, "check_name", "violations"))
 
 
 def status_distribution(subscriptions: DataFrame) -> DataFrame:
@@ -70,10 +70,8 @@ def foreign_keys(subscriptions: DataFrame, packages: DataFrame, payments: DataFr
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """NULLs per column that must not have any, in one pass."""
-    counts: list[Column] = [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
-    line = df.agg(*counts)
-    pairs = ", ".join(f"'{c}', {c}" for c in columns)
-    return line.selectExpr(f"stack({len(columns)}, {pairs}) as (column_name, nulls)")
+    line = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    return _long(line, "column_name", "nulls")
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:

@@ -10,21 +10,21 @@ from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions.clock import plus_days
 from ..functions.ordering import ascending, newest
-from .entitlement import Basis, active_package, user_active_package
+from .entitlement import Basis, active_package, latest_entitlement
 
 SMALL_PAGE = 10_000
 
 
 # --- users ------------------------------------------------------------------------
 
-def services_per_owner(services: DataFrame, providers: DataFrame) -> DataFrame:
-    """Services per owner. Counted per place first, so a place with most of the
-    services reaches the join as one row."""
-    per_place = services.groupBy("provider_id").agg(F.count("*").alias("n"))
-    places = providers.filter(F.col("user_id").isNotNull()).select(
-        F.col("id").alias("provider_id"), "user_id")
-    return per_place.join(places, "provider_id").groupBy("user_id").agg(
-        F.sum("n").alias("services_count"))
+def places_and_services(providers: DataFrame, services: DataFrame) -> DataFrame:
+    """Places and services per owner. Services are counted per place first, so a
+    place with most of the services reaches the join as one row."""
+    per_place = services.groupBy(F.col("provider_id").alias("id")).agg(F.count("*").alias("n"))
+    places = providers.filter(F.col("user_id").isNotNull()).select("id", "user_id")
+    return places.join(per_place, "id", "left").groupBy("user_id").agg(
+        F.count("*").alias("places_count"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("services_count"))
 
 
 def users_with_stats(profiles: DataFrame, providers: DataFrame, services: DataFrame, basis: Basis,
@@ -39,20 +39,13 @@ def users_with_stats(profiles: DataFrame, providers: DataFrame, services: DataFr
         providers = providers.filter(P.equals("user_id", user_id))
         source = source.filter(P.equals("user_id", user_id))
     people = profiles.select(F.col("id").alias("user_id"), "full_name", "role", "email")
-    package = user_active_package(providers, basis, source, packages, as_of).select(
-        "user_id", "package_id", "package_name", "started_at", "expires_at")
-    places = providers.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
-        F.count("*").alias("places_count"))
-    offered = services_per_owner(services, providers)
-    return (
-        people.join(package, "user_id", "left")
-        .join(places, "user_id", "left")
-        .join(offered, "user_id", "left")
-        .select("user_id", "full_name", "role", "email", "package_id", "package_name",
-                "started_at", "expires_at",
-                F.coalesce("places_count", F.lit(0)).alias("places_count"),
-                F.coalesce("services_count", F.lit(0)).alias("services_count"))
-    )
+    names = packages.select(F.col("id").alias("package_id"), F.col("name").alias("package_name"))
+    package = latest_entitlement(basis, source, packages, as_of).join(names, "package_id", "left")
+    owned = places_and_services(providers, services)
+    return people.join(package, "user_id", "left").join(owned, "user_id", "left").select(
+        "user_id", "full_name", "role", "email", "package_id", "package_name", "started_at",
+        "expires_at", F.coalesce("places_count", F.lit(0)).alias("places_count"),
+        F.coalesce("services_count", F.lit(0)).alias("services_count"))
 
 
 def people_search(users: DataFrame, text: str | None) -> DataFrame:
@@ -73,16 +66,13 @@ def providers_per_package(providers: DataFrame, basis: Basis, source: DataFrame,
                           packages: DataFrame, as_of: datetime) -> DataFrame:
     """Places per running package of their owner, the rest as free, biggest first.
 
-    Places are counted per owner before the join. Places without an owner count
-    as free without taking part in it, and so does a package named like the free tier.
+    Places are counted per owner before the join, so all places without an owner are
+    one row of it; they count as free, and so does a package named like the free tier.
     """
     names = active_package(basis, source, packages, as_of).filter("is_active").select(
         "user_id", "package_name")
-    owned = providers.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
-        F.count("*").alias("n"))
-    ownerless = providers.filter(F.col("user_id").isNull()).agg(F.count("*").alias("n")).select(
-        F.lit(None).cast("string").alias("package_name"), "n").filter("n > 0")
-    counted = owned.join(names, "user_id", "left").select("package_name", "n").union(ownerless)
+    owned = providers.groupBy("user_id").agg(F.count("*").alias("n"))
+    counted = owned.join(names, "user_id", "left")
     tier = F.coalesce(F.col("package_name"), F.lit(V.FREE_TIER)).alias("package_name")
     return counted.groupBy(tier).agg(F.sum("n").alias("providers_count")).orderBy(
         *newest("providers_count"), *ascending("package_name"))

@@ -595,16 +595,19 @@ def quota_requests(m: Market) -> DataFrame:
         F.expr("'new ' || cast(id as string)").alias("name"))
 
 
+def quota_inserted(m: Market) -> B.Change:
+    return K.insert_providers(m.providers, quota_requests(m), "subscriptions", m.subscriptions,
+                              m.packages, AS_OF, cut=settle)
+
+
 @query
 def quota_insert_results(m):
-    return K.insert_providers(m.providers, quota_requests(m), "subscriptions", m.subscriptions,
-                              m.packages, AS_OF).results
+    return quota_inserted(m).results
 
 
 @query
 def quota_insert(m):
-    return K.insert_providers(m.providers, quota_requests(m), "subscriptions", m.subscriptions,
-                              m.packages, AS_OF).state["providers"].select(
+    return quota_inserted(m).state["providers"].select(
         "id", "name", "user_id", "status", "created_at")
 
 
