@@ -16,7 +16,9 @@ from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions.clock import moment
 from ..functions.ordering import ascending, newest, top
-from ..functions.scalars import place_page, recency, service_page
+from ..functions.scalars import (
+    blank_to_null, normalize_url, place_fields, place_page, recency, service_page,
+)
 from .entitlement import Basis, active_package
 from .skew import join_unique
 from .visits import visits_per_page
@@ -319,3 +321,31 @@ def home_page(providers: DataFrame, services: DataFrame, ads: DataFrame) -> dict
 def newest_rows(table: DataFrame, columns: Iterable[str], limit: int = 10) -> DataFrame:
     """The newest rows of a table, for a look at recent data."""
     return top(table, newest("created_at"), list(columns), limit)
+
+
+def fallback_rows(table: DataFrame, columns: Iterable[str], status: str | None = None) -> DataFrame:
+    """Short plain listing for when the ranked one is not to be had."""
+    return newest_rows(table.filter(P.equals_if_given("status", status)) if status else table,
+                       columns, V.FALLBACK_LIMIT)
+
+
+def with_category(rows: DataFrame, activities: DataFrame) -> DataFrame:
+    """Set `category` to the name of the row's activity; NULL without a known one."""
+    names = activities.select(F.col("id").alias("activity_id"), F.col("name").alias("category"))
+    return rows.drop("category").join(names, "activity_id", "left")
+
+
+def place_requests(forms: DataFrame, activities: DataFrame) -> DataFrame:
+    """Turn filled-in forms into requests for new places.
+
+    Blank fields become NULL, the website gets its scheme, the activity gives the
+    category, and a place without premises (`physical` false) gets the online
+    address and type and no map.
+    """
+    place = place_fields(F.col("physical"), F.col("address"), F.col("map_url"))
+    blank = ["city", "phone", "whatsapp", "description", "image_url"]
+    return with_category(forms, activities).select(
+        "request_id", "user_id", "name", "activity_id", "category",
+        *[blank_to_null(F.col(c)).alias(c) for c in blank if c in forms.columns],
+        blank_to_null(normalize_url(F.col("website"))).alias("website"),
+        *[column.alias(name) for name, column in place.items()])

@@ -31,6 +31,16 @@ def visible_rows(table: str, df: DataFrame, profiles: DataFrame, principal) -> D
     return df.filter(rules[table])
 
 
+def writable_rows(action: str, subscriptions: DataFrame, profiles: DataFrame, principal) -> DataFrame:
+    """Subscriptions that `principal` may insert, update or delete: users insert their
+    own, admins update and delete."""
+    if action == "insert":
+        own = P.equals("user_id", principal) if principal is not None else F.lit(False)
+        return subscriptions.filter(own)
+    admin = is_admin(profiles, principal) if principal is not None else F.lit(False)
+    return subscriptions.filter(admin)
+
+
 def own_rows(df: DataFrame, principals: DataFrame) -> DataFrame:
     """Rows each principal sees by owning them. Admins see every row, so they are
     not listed row by row here; `visible_counts` tells how many each principal sees."""

@@ -247,6 +247,25 @@ def reviews(m):
     return L.projection(m.reviews, L.REVIEW_CARD)
 
 
+@query
+def place_requests(m):
+    """Requests for new places out of forms made from the parts."""
+    forms = m.providers.select(
+        F.col("id").alias("request_id"), "user_id", "name", F.expr("id % 12").alias("activity_id"),
+        F.expr("case when id % 3 = 0 then '' else city end").alias("city"),
+        F.expr("case when id % 5 = 0 then '' else phone end").alias("phone"), "description",
+        F.expr("case id % 4 when 0 then '' when 1 then ' ' || website when 2 then 'http://' || website "
+               "else 'none' end").alias("website"),
+        F.expr("id % 2 = 0").alias("physical"), "address", F.col("image_url").alias("map_url"))
+    return L.place_requests(forms, m.activities)
+
+
+@query
+def fallback_ads(m):
+    return L.fallback_rows(m.ads, ["id", "title", "description", "provider_id", "status", "created_at"],
+                           status="active")
+
+
 @query
 def home_sections(m):
     ranked = L.ranked_providers(m.providers, "subscriptions", m.subscriptions, m.packages, AS_OF)
@@ -419,6 +438,17 @@ def visible_subscription_counts(m):
     return X.visible_counts(m.subscriptions, m.user_profiles)
 
 
+@query
+def visible_payment_settings(m):
+    """The settings as an admin sees them, with the admin taken from the table."""
+    return X.visible_rows("payment_settings", m.payment_settings, m.user_profiles,
+                          first_admin(m)).select("id", "bank_name")
+
+
+def first_admin(m: Market):
+    return m.user_profiles.filter(P.is_admin()).agg(F.min("id")).scalar()
+
+
 @query
 def visible_packages(m):
     return X.visible_rows("packages", m.packages, m.user_profiles, None).select("id", "name")

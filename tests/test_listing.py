@@ -139,6 +139,34 @@ def test_row_policies(tables):
     assert counts == {"adm": 2, "u": 1}
 
 
+def test_write_policies(tables):
+    people = tables("user_profiles", [{"id": "adm", "role": "owner"}, {"id": "u", "role": "user"}])
+    subs = tables("subscriptions", [{"id": 1, "user_id": "u"}, {"id": 2, "user_id": "adm"}])
+
+    def ids(action, who):
+        return sorted(r["id"] for r in dicts(X.writable_rows(action, subs, people, who)))
+
+    assert ids("insert", "u") == [1] and ids("insert", "adm") == [2] and ids("insert", None) == []
+    assert ids("update", "u") == [] and ids("update", "adm") == [1, 2]
+    assert ids("delete", "u") == [] and ids("delete", "adm") == [1, 2] and ids("delete", None) == []
+
+
+def test_forms_become_requests(tables):
+    from stallbook.functions.fixed_values import ONLINE_PLACE
+    from stallbook.operators.changes.base import append_providers
+
+    forms = tables.rows(
+        "request_id long, user_id string, name string, activity_id long, city string, phone string,"
+        " website string, physical boolean, address string, map_url string",
+        [(1, "u", "a", 7, "", "5", "a.b/c", True, "st", ""), (2, "u", "b", None, "c", "", "", False, "st", "m")])
+    reqs = L.place_requests(forms, tables("activities", [{"id": 7, "name": "food"}]))
+    got = by(append_providers(tables("providers", []), reqs, NOW).state["providers"], "id")
+    assert (got[1]["category"], got[1]["city"], got[1]["website"], got[1]["address"], got[1]["map_url"],
+            got[1]["type"]) == ("food", None, "https://a.b/c", "st", None, "place")
+    assert (got[2]["category"], got[2]["phone"], got[2]["website"], got[2]["address"], got[2]["map_url"],
+            got[2]["type"]) == (None, None, None, ONLINE_PLACE, None, ONLINE_PLACE)
+
+
 def test_constraint_checks(tables):
     subs = tables("subscriptions", [
         {"id": 1, "user_id": "u", "package_id": 1, "status": "active", "payment_id": 5},
