@@ -35,10 +35,20 @@ def first_requests(requests: DataFrame, *key: Column | str) -> DataFrame:
     return requests.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def _among(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
-    """Rows of `table` that a request names: a small batch is broadcast by Spark, so
-    a big table is not shuffled for it."""
-    return table.join(requests.select(key).filter(F.col(key).isNotNull()), key, "left_semi")
+def _look_up(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of requests to a table by `key`, in two steps.
+
+    The inner join lets Spark broadcast a small batch instead of shuffling the table,
+    or split a key that most requests share; its matches come back by request id.
+    """
+    hits = requests.select("request_id", key).join(table, key).drop(key)
+    return requests.join(hits, "request_id", "left")
+
+
+def _alone(unknown: Column) -> Column:
+    """Extra key part that sets requests for unknown rows apart from each other: they
+    change nothing, so none of them has to wait for another."""
+    return F.when(unknown, F.col("request_id"))
 
 
 def _verdicts(requests: DataFrame, denials: list[tuple[Column, str]], judged: DataFrame,
@@ -107,19 +117,12 @@ def _judge_activation(acted: DataFrame, subscriptions: DataFrame, payments: Data
         F.coalesce("max_places", F.lit(V.FREE_PLACES)).alias("_max"))
     asked = acted.filter(F.col("_allowed") & F.col("subscription_id").isNotNull()).select(
         "request_id", "subscription_id", "payment_id")
-    first = first_requests(asked, "subscription_id")
-    targets = _among(subscriptions.select(
-        F.col("id").alias("subscription_id"), "user_id", "package_id", "status", "amount"),
-        first, "subscription_id").join(terms, "package_id")
-    found = first.join(targets, "subscription_id", "left")
-    # a request for an unknown subscription has no user and stands alone
-    alone = F.when(F.col("user_id").isNull(), F.col("request_id"))
-    turns = first_requests(found, "user_id", alone)
-
-    paid = _among(payments.select(F.col("id").alias("payment_id")), asked, "payment_id")
-    counts = places_per_user(providers)
-    rows = join_unique(turns, paid.withColumn("_paid", F.lit(True)), "payment_id", "request_id").join(
-        counts, "user_id", "left")
+    targets = subscriptions.select(F.col("id").alias("subscription_id"), "user_id", "package_id",
+                                   "status", "amount").join(terms, "package_id")
+    paid = payments.select(F.col("id").alias("payment_id"), F.lit(True).alias("_paid"))
+    found = _look_up(_look_up(asked, targets, "subscription_id"), paid, "payment_id")
+    turns = first_requests(found, "user_id", _alone(F.col("user_id").isNull()))
+    rows = turns.join(places_per_user(providers), "user_id", "left")
 
     error = (
         F.when(F.col("status").isNull(), F.lit(V.SUBSCRIPTION_MISSING))
@@ -235,13 +238,14 @@ def _settle_payments(payments: DataFrame, profiles: DataFrame, requests: DataFra
     acted = with_actor(requests, profiles, P.is_admin())
     asked = acted.filter(F.col("_allowed") & F.col("payment_id").isNotNull()).select(
         "request_id", "payment_id")
-    first = first_requests(asked, "payment_id")
-    targets = _among(payments.select(
-        F.col("id").alias("payment_id"), "user_id", "package_id", "status"), first, "payment_id")
+    targets = payments.select(F.col("id").alias("payment_id"), "user_id", "package_id", "status",
+                              F.lit(True).alias("_known"))
+    found = _look_up(asked, targets, "payment_id")
     # a missing status is neither pending nor refused: the guard only stops known others
     error = F.when(F.col("_known").isNull(), F.lit(V.SUBSCRIPTION_MISSING)).when(
         F.col("status") != "pending", F.concat(F.lit(refusal), F.col("status")))
-    judged = first.join(targets.withColumn("_known", F.lit(True)), "payment_id", "left").select(
+    first = first_requests(found, "payment_id", _alone(F.col("_known").isNull()))
+    judged = first.select(
         "request_id", "payment_id", "user_id", "package_id", error.alias("error"),
         F.lit(message).alias("message"))
     hit = judged.filter(F.col("error").isNull()).select(
@@ -396,13 +400,13 @@ def cancel(subscriptions: DataFrame, payments: DataFrame, profiles: DataFrame,
     acted = with_actor(requests, profiles, P.is_admin())
     asked = acted.filter(F.col("_allowed") & F.col("subscription_id").isNotNull()).select(
         "request_id", "subscription_id", "reason")
-    first = first_requests(asked, "subscription_id")
-    targets = _among(subscriptions.select(
-        F.col("id").alias("subscription_id"), "status", "payment_id"), first, "subscription_id")
+    targets = subscriptions.select(F.col("id").alias("subscription_id"), "status", "payment_id")
+    found = _look_up(asked, targets, "subscription_id")
+    first = first_requests(found, "subscription_id", _alone(F.col("status").isNull()))
     error = F.when(F.col("status").isNull(), F.lit(V.SUBSCRIPTION_MISSING)).when(
         ~F.col("status").isin("pending", "active"),
         F.concat(F.lit(V.CANNOT_CANCEL), F.col("status")))
-    judged = cut(first.join(targets, "subscription_id", "left").select(
+    judged = cut(first.select(
         "request_id", "subscription_id", "payment_id", "reason", error.alias("error"),
         F.lit(V.CANCELLED).alias("message")))
     applied = judged.filter(F.col("error").isNull())
@@ -456,13 +460,12 @@ def link_payments(subscriptions: DataFrame, payments: DataFrame, requests: DataF
     """
     asked = requests.filter(F.col("subscription_id").isNotNull()).select(
         "request_id", "subscription_id", "payment_id")
-    first = first_requests(asked, "subscription_id")
-    targets = _among(subscriptions.select(
-        F.col("id").alias("subscription_id"), "user_id", F.lit(True).alias("_known")),
-        first, "subscription_id")
-    paid = _among(payments.select(
-        F.col("id").alias("payment_id"), F.col("user_id").alias("_payer"),
-        F.col("status").alias("_status"), F.lit(True).alias("_paid")), first, "payment_id")
+    targets = subscriptions.select(F.col("id").alias("subscription_id"), "user_id",
+                                   F.lit(True).alias("_known"))
+    paid = payments.select(F.col("id").alias("payment_id"), F.col("user_id").alias("_payer"),
+                           F.col("status").alias("_status"), F.lit(True).alias("_paid"))
+    found = _look_up(_look_up(asked, targets, "subscription_id"), paid, "payment_id")
+    first = first_requests(found, "subscription_id", _alone(F.col("_known").isNull()))
     error = (
         F.when(F.col("_known").isNull(), F.lit(V.SUBSCRIPTION_MISSING))
         .when(F.col("_paid").isNull(), F.lit(V.PAYMENT_MISSING))
@@ -470,8 +473,7 @@ def link_payments(subscriptions: DataFrame, payments: DataFrame, requests: DataF
               F.concat(F.lit(V.PAYMENT_NOT_COMPLETED), F.col("_status")))
         .when(F.col("user_id") != F.col("_payer"), F.lit(V.USER_MISMATCH))
     )
-    known = first.join(targets, "subscription_id", "left")
-    judged = cut(join_unique(known, paid, "payment_id", "request_id").select(
+    judged = cut(first.select(
         "request_id", "subscription_id", "payment_id", error.alias("error"),
         F.lit(V.LINKED).alias("message")))
     linked = judged.filter(F.col("error").isNull()).select(
