@@ -23,6 +23,7 @@ from .entitlement import Basis, active_package
 from .skew import join_unique
 from .visits import visits_per_page
 
+# --- fixed values: columns of each listing --------------------------------------
 CARD = ["id", "name", "category", "city", "address", "phone", "website", "image_url", "description"]
 RANKED_CARD = [*CARD, "status", "priority"]
 PROVIDER_DETAIL = [

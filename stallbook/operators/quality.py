@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from .skew import join_unique
 
 
 def bad_subscription_status() -> Column:
@@ -92,11 +93,11 @@ def payments_deleted(subscriptions: DataFrame, payment_ids: DataFrame) -> DataFr
     gone = payment_ids.select(F.col("id").alias("payment_id")).distinct().withColumn(
         "_gone", F.lit(True))
     kept = F.when(F.col("_gone").isNull(), F.col("payment_id"))
-    return subscriptions.join(gone, "payment_id", "left").withColumn(
+    return join_unique(subscriptions, gone, "payment_id", "id").withColumn(
         "payment_id", kept).select(*subscriptions.columns)
 
 
 def users_deleted(subscriptions: DataFrame, user_ids: DataFrame) -> DataFrame:
     """Subscriptions after users are deleted: theirs are gone too."""
-    gone = user_ids.select(F.col("id").alias("user_id")).distinct()
+    gone = user_ids.select(F.col("id").alias("user_id"))
     return subscriptions.join(gone, "user_id", "left_anti")
