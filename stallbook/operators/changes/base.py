@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ...functions import fixed_values as V
 from ...functions import predicates as P
 from ...functions.clock import stamp
-from ...functions.scalars import blank_to_null, normalize_role
+from ...functions.scalars import blank_to_null, normalize_role, number_or
 from ..security import with_actor
 from ..visits import visits_per_page
 
@@ -341,6 +341,29 @@ def upsert_packages(packages: DataFrame, profiles: DataFrame, requests: DataFram
     return Change({"packages": updated.unionByName(added)}, results)
 
 
+def package_requests(forms: DataFrame) -> DataFrame:
+    """Upsert requests for new packages out of form texts: blank, unreadable and zero
+    numbers take their defaults, a blank description none, a blank name drops the form."""
+    name = F.trim("name")
+    return forms.filter(name != "").select(
+        "request_id", "actor_id", F.lit(None).cast("bigint").alias("id"), name.alias("name"),
+        number_or(F.col("price"), "decimal(18,2)", V.FORM_PRICE).alias("price"),
+        number_or(F.col("duration_days"), "int", V.FORM_DURATION).alias("duration_days"),
+        F.lit(True).alias("is_active"),
+        blank_to_null(F.trim("description")).alias("description"),
+        number_or(F.col("max_places"), "int", V.FORM_MAX_PLACES).alias("max_places"),
+        number_or(F.col("priority_weight"), "int", V.FORM_WEIGHT).alias("priority_weight"))
+
+
+def service_requests(forms: DataFrame) -> DataFrame:
+    """Requests for new services out of form texts; a price of zero is no price."""
+    return forms.select(
+        "request_id", F.col("provider_id").try_cast("bigint").alias("provider_id"), "name",
+        blank_to_null(F.col("description")).alias("description"),
+        number_or(F.col("price"), "decimal(18,2)", None).alias("price"),
+        blank_to_null(F.col("image_url")).alias("image_url"))
+
+
 def toggle_requests(packages: DataFrame, ids: DataFrame) -> DataFrame:
     """Upsert requests that flip `is_active`; `ids` has request_id, actor_id and id."""
     rows = ids.join(packages, "id").withColumn("is_active", ~P.truthy("is_active"))

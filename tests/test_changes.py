@@ -104,6 +104,28 @@ def test_toggle_and_defaults(spark, tables):
     assert after[5]["price"] == Decimal("500.00")
 
 
+def test_package_and_service_forms(tables):
+    people = tables("user_profiles", [ROOT])
+    forms = tables.rows(
+        "request_id long, actor_id string, name string, price string, duration_days string,"
+        " description string, max_places string, priority_weight string",
+        [(1, "root", " Gold ", "12.5", "0", " ", "x", None), (2, "root", "  ", "1", "1", "", "1", "1")])
+    got = dicts(B.upsert_packages(tables("packages", []), people, B.package_requests(forms), NOW)
+                .state["packages"])
+    assert len(got) == 1
+    p = got[0]
+    assert (p["name"], p["price"], p["duration_days"], p["description"], p["max_places"],
+            p["priority_weight"], p["is_active"]) == ("Gold", Decimal("12.50"), 30, None, 1, 0, True)
+
+    asked = tables.rows("request_id long, provider_id string, name string, description string,"
+                        " price string, image_url string",
+                        [(1, "7", "cut", "", "0", ""), (2, "7", "dye", "d", "4.5", "i")])
+    made = by(B.append_services(tables("services", []), B.service_requests(asked), NOW)
+              .state["services"], "name")
+    assert (made["cut"]["price"], made["cut"]["description"], made["cut"]["provider_id"]) == (None, None, 7)
+    assert (made["dye"]["price"], made["dye"]["image_url"]) == (Decimal("4.50"), "i")
+
+
 def test_status_and_role_rights(tables):
     people = tables("user_profiles", [ROOT, {"id": "own", "role": "owner"}, {"id": "u", "role": None}])
     places = tables("providers", [{"id": 1, "status": "pending"}, {"id": 2, "status": "active"}])

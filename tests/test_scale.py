@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from conftest import NOW, dicts
@@ -49,11 +50,29 @@ def test_join_unique_is_a_left_join(spark, hot, min_rows):
     assert got == {i: (k, v, lookup.get(k)) for i, k, v in rows}
 
 
-def test_hot_rows_spread_over_salts(hot):
+def test_hot_rows_spread_over_tasks(spark, hot):
+    """A side grouped by the key keeps a plain join on one task per key; salts do not."""
     _, df = hot
     right = df.groupBy("k").agg(F.max("v").alias("w"))
-    joined = skew.join_unique(df, right, "k", "id", share=0.05, min_rows=1)
-    assert joined.count() == 600
+
+    def tasks(joined):
+        rows = joined.select("k", "w", F.spark_partition_id().alias("task")).distinct().collect()
+        return Counter(r.k for r in rows)
+
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        salted = skew.join_unique(df, right, "k", "id", share=0.05, min_rows=1)
+        plain, spread = tasks(df.join(right, "k", "left")), tasks(salted)
+        assert plain["hot"] == plain["k1"] == 1
+        assert spread["hot"] > 1 and spread[None] > 4 and spread["k1"] == 1
+        assert salted.count() == 600
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_first_per_key_against_sorting(hot):
