@@ -1,6 +1,8 @@
 """Session settings and the shared checkpoint folder."""
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +29,19 @@ def local_session(cores: str = "*", partitions: int = 8, **extra: str) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local folder would be lost with the machine.
+    Only a session in one process, as in tests, may fall back to a folder of its own:
+    on a cluster a machine-local folder would be lost with the machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    return tempfile.mkdtemp(prefix="stallbook-")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stallbook-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def as_is(df: DataFrame) -> DataFrame:
@@ -56,3 +59,16 @@ def settle(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Write `df` as Parquet to the shared folder and return the written table.
+
+    A `cut` like `settle`, for frames that are large or joined again: columns can be
+    pruned, Spark knows the size, and both sides of a later join are plain scans, so
+    adaptive execution can broadcast a small one and split a skewed one.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stallbook-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
