@@ -59,9 +59,71 @@ SELECT page_id, host, path, rule,
 FROM ruled JOIN judged USING (host)
 """
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+MIXING = rf"""
+WITH docs AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('1:' || doc_id) AS key, text
+              FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight,
+                   3 * source_size AS cap FROM sources),
+levels AS (
+  SELECT *, ((SELECT sum(source_size) FROM sources)
+             - coalesce(sum(cap) OVER before, 0))::DOUBLE
+            / ((SELECT sum(weight) FROM weighed) - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+aims AS (
+  SELECT source, source_size, CASE WHEN level * weight > cap THEN cap::DOUBLE ELSE weight * (
+           SELECT max(level) FROM levels WHERE level * weight <= cap) END AS target FROM levels),
+parts AS (SELECT *, round(target)::BIGINT AS words,
+                 CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS whole
+          FROM aims),
+running AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.words - p.whole * p.source_size AS rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, md5(d.text)
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM running
+"""
+
+QUALITY_RULES = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+windows AS (SELECT doc_id, i, word, lead(word) OVER o AS b, lead(word, 2) OVER o AS c
+            FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, b, c) > 1 AS r
+          FROM windows),
+covered AS (SELECT doc_id, r OR coalesce(lag(r) OVER o, false) OR coalesce(lag(r, 2) OVER o, false) AS r
+            FROM twice WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+repeats AS (SELECT doc_id, count(*) FILTER (r) AS n FROM covered GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+dups AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS d FROM lines
+         WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         coalesce(d.d, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(d.n, 0) AS n_lines,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered,
+         length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS capitals,
+         length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS letters
+  FROM docs LEFT JOIN dups d USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
+       n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND 100 * word_chars BETWEEN 200 * n_words AND 1200 * n_words
+         AND 100 * n_symbols <= 40 * n_words AND 100 * n_dup_lines <= 50 * n_lines
+         AND 100 * lettered >= 60 * n_words AND 100 * capitals <= 60 * letters AS kept
+FROM based
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Name of a query to its SQL."""
     return {
         "op1_url_filters": URL_FILTERS,
+        "op5_mixing": MIXING,
+        "op10_quality_rules": QUALITY_RULES,
     }

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import oracle, url_filters
+from stallbook.llm import mixing, oracle, quality_rules, url_filters
 
 #: Allow and block list of the url filter (fixed values).
 ALLOW = ("org/", "com/fr/")
@@ -32,10 +32,26 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "labelled")
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of as many words as all documents takes of each, at most 3 epochs."""
+    mix = mixing.mix_sources(_table(spark, folder, "documents"), seed=1, epochs=3, cycle=3)
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base measures of every document and the verdict of the rule cascade."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return quality_rules.cascade(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
         "op1_url_filters": op1_url_filters,
+        "op5_mixing": op5_mixing,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
