@@ -5,7 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import mixing, oracle, quality_rules, url_filters
+from stallbook.llm import (
+    language_id,
+    mixing,
+    oracle,
+    quality_rules,
+    toxicity,
+    url_filters,
+)
 
 #: Allow and block list of the url filter (fixed values).
 ALLOW = ("org/", "com/fr/")
@@ -32,12 +39,26 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "labelled")
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels of four of five id folds."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    scored = toxicity.held_out_scores(docs, _table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """What a mix of as many words as all documents takes of each, at most 3 epochs."""
     mix = mixing.mix_sources(_table(spark, folder, "documents"), seed=1, epochs=3, cycle=3)
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's language, learned from three of four id folds."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language_id.held_out_predictions(docs).select(
+        "doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base measures of every document and the verdict of the rule cascade."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -50,7 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
         "op1_url_filters": op1_url_filters,
+        "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
+        "op7_language_id": op7_language_id,
         "op10_quality_rules": op10_quality_rules,
     }
 

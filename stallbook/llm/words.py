@@ -96,10 +96,12 @@ class Slice:
 
 
 def slices(column: pa.Array, lower: bool = False, blank: np.ndarray = SPACE,
-           limit: int = SLICE) -> Iterator[Slice]:
+           limit: int = SLICE, rows: int = 1 << 14) -> Iterator[Slice]:
     """The texts of an Arrow column, null as empty, in slices of about `limit` bytes.
 
-    `lower` turns A-Z to a-z; `blank` says for each byte whether it parts words.
+    A slice has `rows` texts at most.
+
+    `lower` turns A-Z to a-z, `blank` says for each byte whether it parts words.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -110,6 +112,7 @@ def slices(column: pa.Array, lower: bool = False, blank: np.ndarray = SPACE,
     at, n = 0, len(column)
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = min(to, at + rows)
         bounds = offsets[at:to + 1] - offsets[at]
         data = whole[offsets[at]:offsets[to]]
         yield _slice(at, LOWER[data] if lower else data, bounds, blank)
