@@ -119,11 +119,36 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
 FROM based
 """
 
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest,
+                  trim(regexp_replace(coalesce(url, ''), '\\s+', ' ', 'g')) AS url FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000
+                     THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to, url FROM m
+"""
+
+VECTOR_SEARCH = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id,
+                  list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2]))::BIGINT AS score
+           FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(v.v) = len(q.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+           FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Name of a query to its SQL."""
     return {
         "op1_url_filters": URL_FILTERS,
         "op5_mixing": MIXING,
+        "op6_warc": WARC,
+        "op8_vector_search": VECTOR_SEARCH,
         "op10_quality_rules": QUALITY_RULES,
     }

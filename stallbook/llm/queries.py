@@ -1,10 +1,12 @@
 """The registered queries of this part, with their production parameters."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallbook.config import shared_folder
 from stallbook.llm import (
     language_id,
     mixing,
@@ -12,6 +14,8 @@ from stallbook.llm import (
     quality_rules,
     toxicity,
     url_filters,
+    vector_search,
+    warc,
 )
 
 #: Allow and block list of the url filter (fixed values).
@@ -52,6 +56,15 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written as a WARC record to the shared folder and read back from there."""
+    to = f"{shared_folder(spark).rstrip('/')}/stallbook-{uuid.uuid4().hex}/warc"
+    pages = _table(spark, folder, "pages").select("page_id", "url", "html")
+    warc.write_archives(warc.decide(pages), to)
+    return warc.read_archives(spark, to, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's language, learned from three of four id folds."""
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -59,6 +72,12 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op8_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 best of all vectors for every vector whose id is divisible by 50."""
+    vectors = _table(spark, folder, "embeddings")
+    return vector_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base measures of every document and the verdict of the rule cascade."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -73,7 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filters": op1_url_filters,
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
+        "op6_warc": op6_warc,
         "op7_language_id": op7_language_id,
+        "op8_vector_search": op8_vector_search,
         "op10_quality_rules": op10_quality_rules,
     }
 

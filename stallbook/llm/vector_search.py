@@ -1,0 +1,157 @@
+"""Exact top-k search by inner product with vector-approximation files.
+
+Every block of vectors is a small vector-approximation file: next to the exact integer
+vectors it holds, for each component, the number of one of `CELLS` cells. A query first
+scans the cells only: the edges of a cell bound the component, so two sums of products bound
+the score from below and above. Then the exact vectors are read in the order of the bounds,
+best first, until the k-th exact score is certain: no vector left has an upper bound above
+it (or as high, as ties go to the smaller id). Each query keeps k rows per block, and a last
+ranking merges the blocks.
+
+Queries meet all rows in blocks: a block of queries is copied once per group of vectors,
+never paired row by row.
+"""
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from stallbook.config import keep
+
+CELLS = 64
+#: Rows of a block, of vectors and of queries, and vectors of a group.
+BLOCK, QUERY_BLOCK, GROUP = 2000, 500, 20_000
+
+
+def integers(vector: Column, scale: int = 256) -> Column:
+    """floor(scale * x) of every component, as long; null if there is nothing to search.
+
+    Null vectors, empty ones, and those with a null, infinite or NaN component are null.
+    """
+    as_double = F.transform(vector, lambda x: x.cast("double"))
+    fine = F.forall(as_double, lambda x: x.isNotNull() & ~F.isnan(x)
+                    & (F.abs(x) < float("inf")))
+    return F.when(fine & (F.size(vector) > 0),
+                  F.transform(as_double, lambda x: F.floor(x * scale)))
+
+
+class _Block:
+    """Vectors of one length, by id: exact numbers, and the cells with their edges."""
+
+    def __init__(self, ids: np.ndarray, exact: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.exact = ids[order], exact[order]
+        low, high = self.exact.min(0), self.exact.max(0)
+        self.step = np.maximum(1, -(-(high - low + 1) // CELLS))
+        self.low = low
+        self.cells = ((self.exact - low) // self.step).astype(np.uint8)
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of each query's score with each vector, from the cells alone.
+
+        All numbers are whole and far below 2**53, so the sums are exact.
+        """
+        floor = self.low + self.cells * self.step.astype(np.float64)
+        width = (self.step - 1).astype(np.float64)
+        base = queries.astype(np.float64) @ floor.T
+        up = np.maximum(queries, 0) @ width
+        down = np.minimum(queries, 0) @ width
+        return base + down[:, None], base + up[:, None]
+
+    def best(self, own: np.ndarray, queries: np.ndarray, k: int):
+        """Rows of query number, id and score: the k best of every query, its own row left out."""
+        low, high = self.bounds(queries)
+        mine = self.ids[None, :] == own[:, None]
+        low[mine] = high[mine] = -np.inf
+        sure = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else low.min(1)
+        for q in range(len(queries)):
+            near = np.flatnonzero((high[q] >= sure[q]) & ~mine[q])
+            near = near[np.argsort(-high[q, near], kind="stable")]
+            score, done = np.zeros(0, dtype=np.int64), 0
+            while done < len(near):
+                if done >= k and high[q, near[done]] < np.partition(score, -k)[-k]:
+                    break
+                read = near[done:done + 4 * k]
+                score = np.concatenate([score, self.exact[read] @ queries[q]])
+                done += len(read)
+            read = near[:done]
+            order = np.lexsort((self.ids[read], -score))[:k]
+            yield q, self.ids[read[order]], score[order]
+
+
+def _packed(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """Rows of vec_id and v in blocks of about `block`, dealt by id so that every run has the
+    same: block number b, length of the vectors, ids and numbers as bytes. A written table."""
+    blocks = max(1, -(-rows.count() // block))
+
+    def pack(batches):
+        for batch in batches:
+            number, dims = batch.column("b").to_numpy(), batch.column("dims").to_numpy()
+            ids, lists = batch.column("vec_id").to_numpy(), batch.column("v")
+            starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            out = []
+            for b, d in sorted(set(zip(number.tolist(), dims.tolist(), strict=True))):
+                own = np.flatnonzero((number == b) & (dims == d))
+                for part in np.array_split(own, -(-len(own) // block)):
+                    numbers = flat[starts[part][:, None] + np.arange(d)]
+                    out.append((b, d, ids[part].astype(np.int64).tobytes(),
+                                numbers.astype(np.int64).tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (
+                    pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                ["b", "dims", "ids", "numbers"])
+
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    return keep(dealt.repartition("b").sortWithinPartitions("b", "vec_id").select(
+        "b", F.size("v").alias("dims"), "vec_id", "v").mapInArrow(
+        pack, "b long, dims int, ids binary, numbers binary"), name)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id",
+          embedding: str = "embedding") -> DataFrame:
+    """Each query's `k` vectors of the highest integer inner product, ties to the smaller id.
+
+    Both frames have `vec_id` and `embedding`; a query's own id is no candidate for it.
+    Several vectors of one query id are ranked together.
+    Returns query_id, rank from 1, vec_id and score; fewer rows if there are fewer vectors.
+    Null ids, and vectors that `integers` makes null, take no part; vectors of another length
+    than the query are no candidates. Equal vectors rank by id; rows that repeat an id are rows
+    of their own, and repeated queries have the same result once. Empty tables give no rows.
+
+    `GROUP` vectors share a copy of the queries, so the copies grow with vectors times
+    queries, as the scores do; no block and no group depends on how common a vector is.
+    """
+    whole = lambda df: df.select(
+        F.col(vec_id).cast("long").alias("vec_id"),
+        integers(F.col(embedding)).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    rows, asked = whole(vectors), whole(queries).dropDuplicates(["vec_id", "v"])
+    files, sets = _packed(rows, BLOCK, "vectors"), _packed(asked, QUERY_BLOCK, "queries")
+    groups = max(1, -(-vectors.count() // GROUP))
+    met = files.select(F.pmod("b", F.lit(groups)).alias("g"), "dims", F.col("ids").alias("v_ids"),
+                       F.col("numbers").alias("v")).join(
+        sets.select("dims", F.col("ids").alias("q_ids"), F.col("numbers").alias("q"),
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+                    .alias("g")), ["g", "dims"])
+
+    def search(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                d = row["dims"]
+                block = _Block(np.frombuffer(row["v_ids"], np.int64),
+                               np.frombuffer(row["v"], np.int64).reshape(-1, d))
+                own = np.frombuffer(row["q_ids"], np.int64)
+                asked = np.frombuffer(row["q"], np.int64).reshape(-1, d)
+                found = list(block.best(own, asked, k))
+                ids = np.concatenate([f[1] for f in found])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(own, [len(f[1]) for f in found])), pa.array(ids),
+                     pa.array(np.concatenate([f[2] for f in found]))],
+                    ["query_id", "vec_id", "score"])
+
+    best = met.select("dims", "v_ids", "v", "q_ids", "q").mapInArrow(
+        search, "query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score")
