@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from stallbook.llm.arrow import with_text_columns
 from stallbook.llm.words import Slice, mix, runs, slices
 
-_NEWLINE = 10
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _STARTS = np.ones(256, dtype=bool)  # bytes that begin a code point
@@ -53,25 +52,14 @@ def symbols(part: Slice) -> np.ndarray:
     return _in_texts(part, _SYMBOL[part.data])
 
 
-def _lines(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of every line that has a word."""
-    ends = np.flatnonzero(part.data == _NEWLINE)
-    text = np.searchsorted(part.bounds, ends, "right") - 1
-    starts = np.sort(np.concatenate([part.bounds[:-1], ends + 1]), kind="stable")
-    stops = np.sort(np.concatenate([part.bounds[1:], ends]), kind="stable")
-    text = np.sort(np.concatenate([np.arange(part.size), text]), kind="stable")
-    full = np.searchsorted(part.starts, stops) > np.searchsorted(part.starts, starts)
-    return starts[full], stops[full], text[full]
-
-
 def lines(part: Slice) -> np.ndarray:
     """Lines with a word."""
-    return np.bincount(_lines(part)[2], minlength=part.size)
+    return np.bincount(part.lines()[2], minlength=part.size)
 
 
 def duplicate_lines(part: Slice) -> np.ndarray:
     """Lines with a word that equal an earlier line of the text."""
-    starts, ends, text = _lines(part)
+    starts, ends, text, _ = part.lines()
     keys = mix(part.hash_spans(starts, ends) + text.astype(np.uint64))
     _, first = np.unique(keys, return_index=True)
     return (np.bincount(text, minlength=part.size)

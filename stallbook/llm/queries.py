@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from stallbook.config import shared_folder
 from stallbook.llm import (
     language_id,
+    line_dedup,
     mixing,
     oracle,
+    packing,
     quality_rules,
     toxicity,
     url_filters,
@@ -43,6 +45,12 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "labelled")
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's words in sequences of four permitted lengths."""
+    docs = _table(spark, folder, "documents")
+    return packing.pack(docs, mixing.word_count(F.col("text")))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's toxicity, learned from the labels of four of five id folds."""
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -78,6 +86,12 @@ def op8_vector_search(spark: SparkSession, folder: str) -> DataFrame:
     return vector_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the runs of 40 words or more that an earlier one has too."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base measures of every document and the verdict of the rule cascade."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -90,11 +104,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
         "op1_url_filters": op1_url_filters,
+        "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
         "op6_warc": op6_warc,
         "op7_language_id": op7_language_id,
         "op8_vector_search": op8_vector_search,
+        "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
 

@@ -90,6 +90,17 @@ class Slice:
         return mix((rolled[ends] - rolled[starts]) * _DOWN.upto(n)[starts]
                    + (ends - starts).astype(np.uint64))
 
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end, text and number (from 0, in its text) of every line with a word."""
+        ends = np.flatnonzero(self.data == 10)
+        text = np.searchsorted(self.bounds, ends, "right") - 1
+        starts = np.sort(np.concatenate([self.bounds[:-1], ends + 1]), kind="stable")
+        stops = np.sort(np.concatenate([self.bounds[1:], ends]), kind="stable")
+        text = np.sort(np.concatenate([np.arange(self.size), text]), kind="stable")
+        number = np.arange(len(text)) - np.searchsorted(text, text, "left")
+        full = np.searchsorted(self.starts, stops) > np.searchsorted(self.starts, starts)
+        return starts[full], stops[full], text[full], number[full]
+
     def words(self) -> np.ndarray:
         """Hash of each word."""
         return self.hash_spans(self.starts, self.ends)
@@ -131,6 +142,15 @@ def _slice(first: int, data: np.ndarray, bounds: np.ndarray, blank: np.ndarray)
     return Slice(first, data, bounds, starts, ends, np.searchsorted(bounds, starts, "right") - 1)
 
 
+def sequences(hashes: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each sequence hashes[first:end], the same wherever it stands."""
+    n = len(hashes)
+    rolled = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * _UP.upto(n)[:n], dtype=np.uint64, out=rolled[1:])
+    return mix((rolled[ends] - rolled[firsts]) * _DOWN.upto(n)[firsts]
+               + (ends - firsts).astype(np.uint64))
+
+
 def runs(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `n` words within a text, and the first word of each run."""
     if len(hashes) < n:
