@@ -61,6 +61,8 @@ FROM ruled JOIN judged USING (host)
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 MIXING = rf"""
 WITH docs AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('1:' || doc_id) AS key, text
               FROM documents),
@@ -119,6 +121,26 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
 FROM based
 """
 
+NEAR_DEDUP = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, {_WORDS.replace("text", _LOWER)} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3),
+                                         lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs),
+sizes AS (SELECT d.doc_id, count(s.s) AS n FROM docs d LEFT JOIN shingles s USING (doc_id) GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+           FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+           WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT doc_id, doc_id AS reached FROM docs
+          UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.reached)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN (SELECT doc_id, min(reached) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+"""
+
 WARC = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
                   sha1(coalesce(html, '')) AS payload_digest,
@@ -147,6 +169,7 @@ def oracle_sql() -> dict[str, str]:
     """Name of a query to its SQL."""
     return {
         "op1_url_filters": URL_FILTERS,
+        "op2_near_dedup": NEAR_DEDUP,
         "op5_mixing": MIXING,
         "op6_warc": WARC,
         "op8_vector_search": VECTOR_SEARCH,

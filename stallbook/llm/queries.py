@@ -6,11 +6,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stallbook.config import shared_folder
 from stallbook.llm import (
     language_id,
     line_dedup,
     mixing,
+    near_dedup,
     oracle,
     packing,
     quality_rules,
@@ -45,6 +47,11 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "labelled")
 
 
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's component of near-duplicates."""
+    return near_dedup.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's words in sequences of four permitted lengths."""
     docs = _table(spark, folder, "documents")
@@ -104,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_near_dedup": op2_near_dedup,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
@@ -112,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_search": op8_vector_search,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
