@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """`docs` (doc_id, text and any other columns) with cleaned texts.
 
     Adds removed_lines, removed_words and first_ids (the documents that have the deleted lines
-    first, null if nothing was deleted); columns of these names are replaced. Every row
+    first, null if nothing was deleted; a null id is not listed); columns of these names are replaced. Every row
     stays: a text of which all is repeated becomes empty. Null and empty texts stay as they are.
 
     Later means a larger doc_id (null is the smallest), then a later line; within a text,

@@ -1,0 +1,18 @@
+import pytest
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    """A documents table from (doc_id, text) or (doc_id, text, lang, source) rows."""
+    def make(rows):
+        full = [(i, t, *(rest or (None, None)), None if t is None else len(t))
+                for i, t, *rest in rows]
+        return spark.createDataFrame(full, DOCUMENT)
+
+    return make
+
+
+def split_words(text):
+    return (text or "").encode().split()

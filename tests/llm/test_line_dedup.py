@@ -1,0 +1,92 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from stallbook.llm import line_dedup as d
+from stallbook.llm.words import slices
+
+
+def runs(lines, least):
+    """All shortest runs of `least` words from some line on or up to some line."""
+    out = set()
+    for a in range(len(lines)):
+        n = 0
+        for b in range(a, len(lines)):
+            n += len(lines[b][1])
+            if n >= least:
+                out.add((a, b))
+                break
+        n = 0
+        for b in range(a, -1, -1):
+            n += len(lines[b][1])
+            if n >= least:
+                out.add((b, a))
+                break
+    return sorted(out)
+
+
+def plain(docs, least):
+    """Every run of `least` words or more that an earlier place has, deleted."""
+    first, out = {}, {}
+    for i in sorted(docs, key=lambda i: (i is not None, i)):
+        raw = (docs[i] or "").split("\n")
+        lines = [(n, tuple(x.encode().split())) for n, x in enumerate(raw) if x.encode().split()]
+        gone, ids = set(), set()
+        for a, b in runs(lines, least):
+            key = tuple(w for _, w in lines[a:b + 1])
+            place = first.setdefault(key, (i, a))
+            if place != (i, a):
+                gone.update(range(lines[a][0], lines[b][0] + 1))
+                ids.add(place[0])
+        text = None if docs[i] is None else "\n".join(
+            x for n, x in enumerate(raw) if n not in gone)
+        out[i] = text, len(gone), sorted(ids, key=str) or None
+    return out
+
+
+def some_docs(seed):
+    draw = random.Random(seed)
+    line = lambda: " ".join(draw.choice("abcdefgh") * 3 for _ in range(draw.randint(0, 7)))
+    pool = [line() for _ in range(30)]
+    docs = {i: "\n".join(draw.choice([*pool, "", "  \t"]) for _ in range(draw.randint(0, 14)))
+            for i in range(60)}
+    return docs | {70: None, 71: "", 72: "one line", 73: "\n".join(["same words here"] * 50),
+                   74: docs[3], 75: "\n".join(pool * 200), None: "\n".join(pool[:12])}
+
+
+@pytest.mark.parametrize("least", [1, 6, 13])
+def test_texts_lose_what_plain_python_finds(spark, documents, least):
+    docs = some_docs(least)
+    table = documents([(i, t) for i, t in docs.items()])
+    got = {r.doc_id: (r.text, r.removed_lines, r.first_ids and [x for x in r.first_ids])
+           for r in d.dedup_lines(table, least).collect()}
+    want = plain(docs, least)
+    for i, (text, lines, ids) in want.items():
+        assert got[i][:2] == (text, lines)
+        assert got[i][2] == (None if ids is None else sorted(x for x in ids if x is not None))
+
+
+def test_repeated_rows_clashing_names_and_empty_tables(spark, documents):
+    long = " ".join(f"w{i}" for i in range(60))
+    table = documents([(1, long), (1, long), (2, "head\n" + long + "\ntail"), (2, "other " * 3), (3, long)])
+    table = table.withColumnRenamed("n_chars", "removed_lines")
+    got = d.dedup_lines(table).collect()
+    assert sorted((r.doc_id, r.text[:10], r.removed_lines) for r in got) == [
+        (1, long[:10], 0), (1, long[:10], 0), (2, "head\ntail", 1), (2, "other othe", 0), (3, "", 1)]
+    assert [r.first_ids for r in got if r.removed_lines] == [[1], [1]]
+    assert d.dedup_lines(table.limit(0)).collect() == []
+
+
+def test_a_shared_run_shares_a_fingerprint():
+    draw = random.Random(2)
+    run = [" ".join(draw.choice("abcdef") * 4 for _ in range(draw.randint(1, 9))) for _ in range(12)]
+    texts = ["\n".join([draw.choice("xyz")] * draw.randint(0, 5) + run + ["end"] * draw.randint(0, 4))
+             for _ in range(20)]
+    part = next(slices(pa.array(texts)))
+    text, print_, content, _, _ = d.windows(part, 20)
+    shared = [set(zip(print_[text == i].tolist(), content[text == i].tolist(), strict=True))
+              for i in range(20)]
+    assert len(set.intersection(*shared)) > 3
+    assert np.all(np.bincount(text) > 0)

@@ -1,0 +1,89 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from stallbook.llm import mixing as m
+
+
+def water_filling(sizes, epochs=3, cycle=3):
+    """Targets by the plain iteration: share, clamp, share the excess again."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + i % cycle for i, s in enumerate(names)}
+    target, free = {}, set(names)
+    left = sum(sizes.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > epochs * sizes[s]}
+        if not over:
+            return target | {s: level * weight[s] for s in free}
+        for s in over:
+            target[s] = float(epochs * sizes[s])
+            left -= target[s]
+        free -= over
+    return target
+
+
+def plain(rows, seed=1):
+    size = {}
+    for _, text, _, source in rows:
+        size[source] = size.get(source, 0) + len((text or "").encode().split())
+    target = water_filling(size)
+    out = []
+    for s, t in target.items():
+        words = int(t + 0.5)
+        whole = words // size[s] if size[s] else 0
+        rest = words - whole * size[s]
+        own = sorted(((hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), i is None,
+                       i or 0, hashlib.md5((x or "").encode()).hexdigest(), len((x or "").encode().split()))
+                      for i, x, _, y in rows if y == s))
+        for _, no, i, _, n in own:
+            part = max(0, min(n, rest))
+            rest -= part
+            out.append((None if no else i, n, size[s], round(t, 6), whole * n + part))
+    return sorted(out, key=str)
+
+
+def rows_of(n):
+    rows = [(i, " ".join(["w"] * (i * 37 % 91)), "en", ["big", "big", "b", "c", "Ä", None][i % 6])
+            for i in range(n)]
+    return rows + [(1, "twice here", "en", "b"), (1, "twice here", "en", "b"), (1, "other", "en", "b"),
+                   (None, "no id at all", None, "c"), (900, None, None, "c"), (901, "", None, "empty"),
+                   (902, "x " * 40_000, None, "d"), (903, "tiny", None, "tiny")]
+
+
+def test_mix_is_that_of_plain_python(spark, documents):
+    rows = rows_of(200)
+    docs = documents(rows).withColumn("target", F.lit("mine")).withColumn("key", F.lit(1))
+    got = m.mix_sources(docs, seed=1)
+    assert "key" in got.columns
+    found = sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken)
+                    for r in got.collect()), key=str)
+    assert found == plain(rows)
+    by = {}
+    for i, n, total, target, taken in found:
+        assert taken <= 3 * n
+        by.setdefault((total, target), []).append(taken)
+    assert all(abs(sum(t) - k[1]) <= 1 for k, t in by.items())
+    assert found == sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken)
+                            for r in m.mix_sources(docs, seed=1).collect()), key=str)
+    assert m.mix_sources(docs.limit(0)).collect() == []
+
+
+def test_the_mix_has_each_document_as_often_as_it_is_taken(spark, documents):
+    docs = documents(rows_of(60))
+    want = {}
+    for r in m.mix_sources(docs).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    got = m.mixed(docs)
+    assert got.columns == docs.columns
+    counts = got.groupBy("doc_id").agg(F.sum(m.word_count(F.col("text"))).alias("n"))
+    assert {r.doc_id: r.n for r in counts.collect()} == {i: n for i, n in want.items() if n}
+
+
+def test_targets_stop_at_the_cap_and_the_excess_goes_on(spark):
+    sizes = {"a": 10, "b": 1000, "c": 5, "d": 0, None: 300, "e": 2}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in m.targets(df).collect()}
+    want = water_filling(sizes)
+    assert got.keys() == want.keys()
+    assert all(abs(got[s] - want[s]) < 1e-6 for s in want)

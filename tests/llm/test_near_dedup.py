@@ -1,0 +1,94 @@
+import random
+
+from stallbook.llm import graph, near_dedup as n
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    if len(words) < 5:
+        return frozenset([tuple(words)]) if words else frozenset()
+    return frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+
+
+def brute(docs):
+    """n_shingles and component of every id, all pairs compared."""
+    sets = {i: shingles(t) for i, t in docs.items()}
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            common = len(sets[a] & sets[b])
+            if a < b and common and 100 * common >= 75 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+def corpus(seed=1, crowd=150):
+    """Small groups of near copies, a crowd of them, copies, odd texts."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    text = lambda k: [word() for _ in range(k)]
+
+    def edited(words, edits):
+        out = list(words)
+        for _ in range(edits):
+            out[draw.randrange(len(out))] = word()
+        return out
+
+    docs = []
+    for _ in range(40):
+        base = text(draw.randint(5, 120))
+        docs += [edited(base, draw.randint(0, 4)) for _ in range(draw.randint(1, 4))]
+    base = text(110)
+    docs += [edited(base, draw.randint(0, 9)) for _ in range(crowd)]
+    passage = text(12)
+    docs += [text(30) + passage + text(30) for _ in range(40)]
+    docs = [" ".join(d) for d in docs]
+    docs += [docs[0].upper(), docs[0].replace(" ", "\n\t"), docs[0], "a b", "A  b", "a b c d", "",
+             None, " \n", "É é", "é é", "x " * 30_000, "x " * 9, " ".join(text(4000))]
+    docs.append(docs[-1] + " end")
+    draw.shuffle(docs)
+    return dict(enumerate(docs))
+
+
+def test_components_are_those_of_all_pairs(spark, documents, monkeypatch):
+    docs = corpus()
+    monkeypatch.setattr(n, "CHUNK_TEXTS", 40)  # the crowd takes several chunks
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept)
+           for r in n.near_duplicates(documents(list(docs.items()))).collect()}
+    want = brute(docs)
+    assert got == {i: (s, c, c == i) for i, (s, c) in want.items()}
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark, documents):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, long), (5, long), (5, "quite another text with more than five words"), (9, long + " z"),
+            (None, long), (None, "nobody else says these very words"), (None, None), (7, None), (8, "")]
+    docs = documents(rows).withColumnRenamed("lang", "kept").withColumnRenamed("source", "node")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept)
+                  for r in n.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([
+        (5, 36, 5, True), (5, 36, 5, True), (5, 4, 5, True), (9, 37, 5, False), (None, 36, 5, False),
+        (None, 2, None, True), (None, 0, None, True), (7, 0, 7, True), (8, 0, 8, True)], key=str)
+    kept = n.dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "5", "5", "7", "8", "None", "None"] + (
+        ["None"] if kept.count() > 7 else [])
+    empty = documents([])
+    assert n.near_duplicates(empty).collect() == n.dedup(empty).collect() == []
+
+
+def test_components_of_long_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [
+        (5000, 4000), (4000, 5000), (7, 7), (None, 3), (9000, 8000), (8500, 8000), (8500, 9100)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in graph.components(df).collect()}
+    want = dict.fromkeys(range(201), 0) | dict.fromkeys(range(1000, 1300), 1000)
+    want |= {4000: 4000, 5000: 4000, 8000: 8000, 8500: 8000, 9000: 8000, 9100: 8000}
+    assert got == want

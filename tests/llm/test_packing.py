@@ -1,0 +1,72 @@
+import random
+
+from pyspark.sql import functions as F
+
+from stallbook.llm import packing as p
+
+COSTS = {8: 10.0, 16: 18.0, 32: 40.0}
+
+
+def plain(sizes, costs):
+    """Best fit by looking at every bin for every piece."""
+    bins, left = [], sum(sizes)
+    for s in sizes:
+        fits = [b for b in bins if b["cap"] - b["used"] >= s]
+        if fits:
+            best = min(fits, key=lambda b: (b["cap"] - b["used"], b["no"]))
+        else:
+            cap = min((c for c in costs if c >= s),
+                      key=lambda c: (costs[c] / min(c, max(s, left)), c))
+            best = {"no": len(bins), "cap": cap, "used": 0, "in": []}
+            bins.append(best)
+        best["in"].append((best["used"], s))
+        best["used"] += s
+        left -= s
+    for b in bins:
+        b["cap"] = min((c for c in costs if c >= b["used"]), key=lambda c: (costs[c], c))
+    return sorted((b["cap"], sorted(b["in"])) for b in bins)
+
+
+def test_one_shard_is_packed_like_a_plain_best_fit(spark):
+    draw = random.Random(3)
+    for n in (1, 2, 40, 400):
+        sizes = sorted((draw.randint(1, 32) for _ in range(n)), reverse=True)
+        docs = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "doc_id long, n long")
+        got = {}
+        for r in p.pack(docs, F.col("n"), COSTS, shard=10_000).collect():
+            got.setdefault((r.bin_id, r.capacity), []).append((r.position, r.n_words))
+        assert sorted((c, sorted(x)) for (_, c), x in got.items()) == plain(sizes, COSTS)
+
+
+def test_every_word_is_in_one_sequence(spark):
+    rows = [(i, (i * 7) % 45) for i in range(500)] + [
+        (3, 5), (3, 5), (3, 70), (None, 9), (None, None), (600, 100_000), (601, 0), (602, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, n long").withColumn("bin_id", F.lit("mine"))
+    got = p.pack(docs, F.col("n"), COSTS, shard=50).collect()
+    assert sum(r.n_words for r in got) == sum(n or 0 for _, n in rows)
+    bins = {}
+    for r in got:
+        if not r.n_words:
+            assert r.bin_id is None and r.capacity is None and r.position is None
+            continue
+        assert r.n_words <= 32 and r.used <= r.capacity and r.capacity in COSTS
+        assert not [c for c in COSTS if r.used <= c < r.capacity]
+        bins.setdefault((r.bin_id, r.used), []).append((r.position, r.position + r.n_words))
+    for (_, used), spans in bins.items():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] == used
+        assert all(a[1] == b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
+    assert len({b for b, _ in bins}) == len(bins)
+    long = sorted((r.start, r.n_words) for r in got if r.doc_id == 600)
+    assert [s for s, _ in long] == list(range(0, 100_000, 32)) and sum(n for _, n in long) == 100_000
+    again = p.pack(docs, F.col("n"), COSTS, shard=50).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert p.pack(docs.limit(0), F.col("n")).collect() == []
+
+
+def test_shards_fill_their_sequences(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"),
+                                      (F.pmod(F.xxhash64("id"), F.lit(900)) + 1).alias("n"))
+    bins = p.pack(docs, F.col("n")).select("bin_id", "capacity", "used").distinct()
+    r = bins.agg(F.sum("used").alias("u"), F.sum("capacity").alias("c")).first()
+    assert r.u / r.c > 0.98

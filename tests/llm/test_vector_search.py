@@ -1,0 +1,57 @@
+import math
+
+import numpy as np
+import pytest
+
+from stallbook.llm import vector_search as v
+
+
+def brute(rows, queries, k):
+    whole = {}
+    for place, (i, x) in enumerate(rows):
+        if i is not None and x and all(c is not None and math.isfinite(c) for c in x):
+            whole[place] = (i, [math.floor(256 * c) for c in x])
+    out = set()
+    for i, x in queries:
+        if i is None or not x or any(c is None or not math.isfinite(c) for c in x):
+            continue
+        q = [math.floor(256 * c) for c in x]
+        found = sorted((-sum(a * b for a, b in zip(q, y, strict=True)), j)
+                       for j, y in whole.values() if j != i and len(y) == len(q))
+        out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(found[:k])}
+    return out
+
+
+@pytest.fixture
+def rows():
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(0, 0.3, 8).round(3).tolist()) for i in range(300)]
+    rows += [(i, rows[0][1]) for i in range(300, 420)]  # many equal vectors
+    rows += [(1000, None), (1001, []), (1002, [0.1] * 7 + [None]), (1003, [0.1] * 7 + [math.nan]),
+             (1004, [math.inf] + [0.0] * 7), (None, [0.5] * 8), (1005, [0.5, 0.25, 1.0]),
+             (1006, [1.0, -0.25, 1.0]), (1007, [0.0] * 8), (7, rows[7][1]), (1008, [3.0] * 8)]
+    return rows
+
+
+@pytest.mark.parametrize("block", [7, 2000])
+def test_results_are_those_of_brute_force(spark, monkeypatch, rows, block):
+    monkeypatch.setattr(v, "BLOCK", block)
+    monkeypatch.setattr(v, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(v, "GROUP", 100)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = [r for r in rows if r[0] is None or r[0] % 5 == 0 or r[0] > 999]
+    asked = spark.createDataFrame(ask, df.schema)
+    got = v.top_k(df, asked.union(asked), k=5)
+    found = [(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()]
+    assert set(found) == brute(rows, ask, 5) and len(found) == len(set(found))
+    assert v.top_k(df.limit(0), asked).collect() == v.top_k(df, asked.limit(0)).collect() == []
+
+
+def test_cells_bound_every_score():
+    draw = np.random.default_rng(1)
+    exact = draw.integers(-5000, 5000, (200, 6))
+    block = v._Block(np.arange(200), exact)
+    queries = draw.integers(-300, 300, (20, 6))
+    low, high = block.bounds(queries)
+    true = queries @ block.exact.T
+    assert (low <= true).all() and (true <= high).all() and (high - low).max() > 0

@@ -1,0 +1,80 @@
+import hashlib
+import os
+
+import pytest
+import zstandard
+
+from stallbook.llm import warc
+
+
+def test_pages_come_back_from_their_archives(spark, tmp_path):
+    big, other = "<p>été " * 300, "<p>other " * 300
+    rows = [(i, f"http://h/{i}", f"<html>{'page ' * (i % 50)}{i}</html>") for i in range(300)]
+    rows += [(1001, "u v\r\nw", big), (1002, "", big), (1003, None, big), (1004, "http://x", other),
+             (1005, "http://x", None), (1006, None, ""), (1007, "http://x", "small"),
+             (1008, "http://x", "small"), (None, "http://x", big), (None, "http://x", "lonely " * 300),
+             (-5, "http://neg", "n"), (1009, "http://x", "z" * 3_000_000), (1003, None, big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    decided = warc.decide(pages.withColumnRenamed("url", "record_type").withColumnRenamed(
+        "record_type", "url"))
+    done = warc.write_archives(decided, f"file://{tmp_path}/a", archive_bytes=60_000)
+    files = {r.file: (r.records, r.bytes) for r in done.collect()}
+    assert sum(n for n, _ in files.values()) == len(rows) and len(files) > 3
+    on_disk = {f: os.path.getsize(tmp_path / "a" / f) for f in os.listdir(tmp_path / "a")
+               if f.endswith(".zst")}
+    assert on_disk == {f: b for f, (_, b) in files.items()}
+    got = warc.read_archives(spark, f"file://{tmp_path}/a").collect()
+    last = {big: 1003}
+    want = []
+    for i, url, html in rows:
+        data = (html or "").encode()
+        to = last.get(html) if i != last.get(html) else None
+        want.append((i, " ".join((url or "").split()), None if to else html or "", len(data),
+                     hashlib.sha1(data).hexdigest(), "revisit" if to else "response", to))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    short = warc.read_archives(spark, f"file://{tmp_path}/a", payloads=False)
+    assert short.where("html IS NOT NULL").count() == 0 and short.count() == len(rows)
+
+
+def test_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.write_archives(warc.decide(pages), f"file://{tmp_path}/e").collect() == []
+
+
+def row(i, html, kind="response"):
+    return {"page_id": i, "url": "http://x", "html": html, "payload_bytes": len(html.encode()),
+            "payload_digest": hashlib.sha1(html.encode()).hexdigest(), "record_type": kind,
+            "refers_to": None}
+
+
+def test_records_are_frames_of_their_own_behind_the_dictionary():
+    records = [warc.record(row(i, f"<p>{'common words of every page ' * 20}{i}</p>")) for i in range(200)]
+    data = warc.archive(records)
+    assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC
+    size = int.from_bytes(data[4:8], "little")
+    shared = zstandard.ZstdCompressionDict(data[8:8 + size])
+    # a reader without the dictionary skips its frame, and cannot read the records
+    with pytest.raises(zstandard.ZstdError):
+        zstandard.ZstdDecompressor().decompressobj().decompress(data[8 + size:])
+    first = zstandard.ZstdDecompressor(dict_data=shared).decompressobj()
+    assert first.decompress(data[8 + size:]) == records[0]
+    assert list(warc.records(data)) == records
+    plain = sum(len(zstandard.ZstdCompressor(level=3).compress(r)) for r in records)
+    assert len(data) - size < plain
+    for few in ([], records[:1], records[:3]):
+        if few:
+            assert list(warc.records(warc.archive(few))) == few
+
+
+def test_damage_is_seen():
+    good = warc.record(row(3, "payload of the page"))
+    assert warc.parse(good)["html"] == "payload of the page"
+    with pytest.raises(ValueError, match="damaged"):
+        warc.parse(good.replace(b"payload of", b"Payload of"))
+    with pytest.raises(ValueError, match="no dictionary"):
+        list(warc.records(b"\0" * 20))
+
+
+@pytest.mark.parametrize("number", [None, 0, 1, -1, 2**63 - 1, -2**63])
+def test_record_ids_hold_the_page(number):
+    assert warc._page_id(f"<{warc._record_id(number)}>") == number

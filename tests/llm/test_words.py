@@ -1,0 +1,68 @@
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stallbook.llm import words as w
+
+TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab É\n\t\x0b .Z", max_size=60)), max_size=8)
+
+
+def shingles(text, n=5):
+    found = (text or "").encode().lower().split()
+    if len(found) < n:
+        return {tuple(found)} if found else set()
+    return {tuple(found[i:i + n]) for i in range(len(found) - n + 1)}
+
+
+@given(TEXTS, st.integers(1, 40))
+@settings(max_examples=150, deadline=None)
+def test_words_and_shingles_are_those_of_plain_python(texts, limit):
+    column, seen = pa.array(texts, pa.string()), {}
+    for part in w.slices(column, lower=True, limit=limit):
+        counts, (found, bounds) = part.counts(), w.shingle_sets(part, 5)
+        hashes, spans = part.words(), part.spans()
+        for i in range(part.size):
+            text = texts[part.first + i]
+            own = (text or "").encode().lower().split()
+            assert counts[i] == len(own)
+            assert bounds[i + 1] - bounds[i] == len(shingles(text))
+            for word, h in zip(own, hashes[spans[i]:spans[i + 1]], strict=True):
+                assert seen.setdefault(word, h) == h
+    assert len(set(map(int, seen.values()))) == len(seen)
+
+
+def test_equal_shingles_have_equal_hashes_in_other_texts_and_slices():
+    texts = ["x a b c d e f", "a b c d e f y", "A  b\nc d e F", None, "", "e f"]
+    sets = {}
+    for limit in (1, 1000):
+        for part in w.slices(pa.array(texts), lower=True, limit=limit):
+            found, bounds = w.shingle_sets(part, 5)
+            for i in range(part.size):
+                own = set(found[bounds[i]:bounds[i + 1]].tolist())
+                assert sets.setdefault(part.first + i, own) == own
+    assert len(sets[0] & sets[1]) == 2 and sets[2] == sets[0] & sets[1]
+    assert sets[3] == sets[4] == set() and len(sets[5]) == 1
+
+
+def test_a_long_text_is_never_cut_and_row_limits_hold():
+    long = "word " * 300_000
+    parts = list(w.slices(pa.array([long, "a", "b", "c"]), rows=2))
+    assert parts[0].counts()[0] == 300_000
+    assert max(p.size for p in parts) <= 2 and sum(p.size for p in parts) == 4
+
+
+def test_sequences_do_not_depend_on_their_place():
+    part = next(w.slices(pa.array(["p q r s", "q r s t"])))
+    h = part.words()
+    one, other = w.sequences(h, np.array([1, 0]), np.array([4, 2]))[0], w.sequences(
+        h, np.array([4]), np.array([7]))[0]
+    assert one == other
+
+
+def test_lines_with_words_are_numbered_among_all_lines():
+    part = next(w.slices(pa.array(["a\n\n b c \n", "\n \t\n", "d"])))
+    starts, ends, text, number = part.lines()
+    lines = [bytes(part.data[s:e]) for s, e in zip(starts, ends, strict=True)]
+    assert lines == [b"a", b" b c ", b"d"]
+    assert text.tolist() == [0, 0, 2] and number.tolist() == [0, 2, 0]
