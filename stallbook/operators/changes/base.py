@@ -53,7 +53,7 @@ def new_ids(table: DataFrame, requests: DataFrame, request_id: str = "request_id
     """
     highest = table.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
     first = requests.agg(F.min(request_id)).scalar()
-    return highest + F.col(request_id) - first + F.lit(1).cast("bigint")
+    return highest + (F.col(request_id) - first) + F.lit(1).cast("bigint")
 
 
 def rows_like(table: DataFrame, source: DataFrame, values: dict[str, Column]) -> DataFrame:

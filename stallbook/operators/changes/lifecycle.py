@@ -1,13 +1,16 @@
 """Subscription lifecycle: create, activate, cancel, expire, link.
 
-The calls are meant to run one after the other, and one call can change what the
-next one for the same user sees. A batch therefore judges, against the state
-before the batch, the first request for each user (or row, where only the row
-matters); later ones come back with the error "deferred" and belong in the next
-batch. Applying the judged requests one by one in any order gives the same state.
-
-Outputs share the judged requests. Pass `cut=config.settle` to write them once to
-the shared folder instead of deriving them again for every output.
+The calls of a batch count as made one after the other, in the order of request_id, and
+one call can change what the next one for the same user or row sees. Every request is
+judged, and verdicts and state are those of the calls made one by one. Each rule has a
+form that needs no loop: which requests succeed follows from the first valid one per row
+(or per user and package, or from the one before it), and what they add up to per user
+is bounded by the number of packages. What a payment_id names is looked up before the batch:
+the ids that a batch gives to new payments are known only when it is done.
+
+Outputs share the judged requests. Pass `cut=config.keep` to write them once to the shared
+folder instead of deriving them again for every output; joins to them are then joins of
+plain tables, which Spark splits for users behind most of the rows.
 """
 
 from datetime import datetime
@@ -26,7 +29,9 @@ from ..security import with_actor
 from ..skew import first_per_key, join_unique
 from .base import Change, State, append_profiles, new_ids, rows_like
 
-DEFERRED = "deferred"
+#: Requests of a user that stand in one window, by request_id.
+TURN_BLOCK = 100_000
+
 
 def first_requests(requests: DataFrame, *key: Column | str) -> DataFrame:
     """The first request for each key. Spark cuts each partition to one row per key
@@ -45,22 +50,29 @@ def _look_up(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return requests.join(hits, "request_id", "left")
 
 
-def _alone(unknown: Column) -> Column:
-    """Extra key part that sets requests for unknown rows apart from each other: they
-    change nothing, so none of them has to wait for another."""
-    return F.when(unknown, F.col("request_id"))
+def _who(user: Column, row: Column) -> Column:
+    """Whose rows a call can touch: the user's, or the one row if it has no user."""
+    return F.when(user.isNull(), F.concat(F.lit("row "), row)).otherwise(
+        F.concat(F.lit("user "), user.cast("string")))
+
+
+def _by_turn(found: DataFrame, key: str, open_: Column, then: str, cut: Cut) -> DataFrame:
+    """Add `_now`, the status a request finds: that of its row, or `then` once the first
+    request that found the row open has been served."""
+    firsts = cut(found.filter(open_).groupBy(key).agg(F.min("request_id").alias("_first")))
+    return found.join(firsts, key, "left").withColumn(
+        "_now", F.when(F.col("_first") < F.col("request_id"), F.lit(then)).otherwise(F.col("status")))
 
 
 def _verdicts(requests: DataFrame, denials: list[tuple[Column, str]], judged: DataFrame,
               columns: list[str]) -> DataFrame:
-    """One result row per request: denied, judged or deferred."""
-    verdict = judged.select("request_id", F.lit(True).alias("_judged"),
-                            F.col("error").alias("_error"),
+    """One result row per request: denied or judged."""
+    verdict = judged.select("request_id", F.col("error").alias("_error"),
                             *[F.col(c).alias(f"_{c}_") for c in columns])
     error = F.when(F.lit(False), F.lit(""))
     for denied, text in denials:
         error = error.when(denied, F.lit(text))
-    error = error.when(F.col("_judged").isNull(), F.lit(DEFERRED)).otherwise(F.col("_error"))
+    error = error.otherwise(F.col("_error"))
     ok = error.isNull()
     return requests.join(verdict, "request_id", "left").select(
         "request_id", ok.alias("ok"), error.alias("error"),
@@ -91,57 +103,77 @@ def activate(subscriptions: DataFrame, payments: DataFrame, packages: DataFrame,
     back to pending; the note about it is written even when none was active.
     """
     acted = with_actor(requests, profiles, P.is_admin())
-    judged = cut(_judge_activation(acted, subscriptions, payments, packages, providers, requests,
-                                   as_of))
-    applied = judged.filter(F.col("error").isNull())
+    found = cut(_asked_activation(acted, subscriptions, payments, packages))
+    wins = cut(_activations(found, subscriptions, payments, providers, requests, as_of))
+    by_user = cut(wins.groupBy("_who").agg(F.sort_array(F.collect_list(F.struct(
+        "request_id", "package_id", "subscription_id", "package_name", "_payment_id", "expires_at",
+        "_note", "_until", "_by"))).alias("_wins")))
+    judged = cut(_judge_activation(found, wins, by_user, subscriptions, as_of))
     state = State(
-        subscriptions=lambda: _activated_subscriptions(subscriptions, applied, as_of),
-        payments=lambda: _activated_payments(payments, applied, as_of),
-        providers=lambda: _activated_providers(providers, applied, as_of),
+        subscriptions=lambda: _activated_subscriptions(subscriptions, by_user, as_of),
+        payments=lambda: _activated_payments(payments, wins, as_of),
+        providers=lambda: _activated_providers(providers, wins, as_of, cut),
     )
     columns = ["message", "subscription_id", "payment_id", "user_id", "package_id", "started_at",
                "expires_at", "places_deactivated", "warning"]
-    verdict = judged.withColumnRenamed("_payment_id", "payment_id")
     denials = [(~F.col("_allowed"), V.FORBIDDEN),
                (F.col("subscription_id").isNull(), V.SUBSCRIPTION_MISSING)]
-    return Change(state, _verdicts(acted, denials, verdict, columns))
+    return Change(state, _verdicts(acted, denials, judged, columns))
 
 
-def _judge_activation(acted: DataFrame, subscriptions: DataFrame, payments: DataFrame,
-                      packages: DataFrame, providers: DataFrame, requests: DataFrame,
-                      as_of: datetime) -> DataFrame:
-    """The first request of each user with its error, or with everything it will set."""
+def _asked_activation(acted: DataFrame, subscriptions: DataFrame, payments: DataFrame,
+                      packages: DataFrame) -> DataFrame:
+    """Allowed requests with their subscription, its package's terms and whether the payment is
+    there; `_valid` if the row is pending before the batch and nothing else is missing."""
     terms = packages.select(
         F.col("id").alias("package_id"), F.col("name").alias("package_name"),
         F.coalesce("duration_days", F.lit(V.DURATION_DEFAULT_ACTIVATION)).alias("_days"),
         F.coalesce("max_places", F.lit(V.FREE_PLACES)).alias("_max"))
     asked = acted.filter(F.col("_allowed") & F.col("subscription_id").isNotNull()).select(
-        "request_id", "subscription_id", "payment_id")
-    targets = subscriptions.select(F.col("id").alias("subscription_id"), "user_id", "package_id",
-                                   "status", "amount").join(terms, "package_id")
-    paid = payments.select(F.col("id").alias("payment_id"), F.lit(True).alias("_paid"))
-    found = _look_up(_look_up(asked, targets, "subscription_id"), paid, "payment_id")
-    turns = first_requests(found, "user_id", _alone(F.col("user_id").isNull()))
-    rows = turns.join(places_per_user(providers), "user_id", "left")
-
-    error = (
-        F.when(F.col("status").isNull(), F.lit(V.SUBSCRIPTION_MISSING))
-        .when(F.col("status") != "pending", F.concat(F.lit(V.NOT_PENDING), F.col("status")))
-        .when(F.col("payment_id").isNotNull() & F.col("_paid").isNull(),
-              F.lit(V.ACTIVATION_PAYMENT_MISSING))
-    )
+        "request_id", "subscription_id", F.col("payment_id").alias("_given"))
+    targets = subscriptions.select(
+        F.col("id").alias("subscription_id"), "user_id", "package_id", "status", "amount",
+        F.col("expires_at").alias("_expires")).join(terms, "package_id")
+    paid = payments.select(F.col("id").alias("_given"), F.lit(True).alias("_paid"))
+    payable = F.col("_given").isNull() | F.col("_paid").isNotNull()
+    return _look_up(_look_up(asked, targets, "subscription_id"), paid, "_given").withColumns({
+        "_payable": payable, "_valid": P.equals("status", "pending") & payable,
+        "_who": _who(F.col("user_id"), F.col("subscription_id"))})
+
+
+def _activations(found: DataFrame, subscriptions: DataFrame, payments: DataFrame,
+                 providers: DataFrame, requests: DataFrame, as_of: datetime) -> DataFrame:
+    """The requests that succeed, with everything they set.
+
+    Of the valid requests for a user and package the first succeeds: it cancels the
+    other pending rows of that package and touches no pending row of another. So a
+    user has at most one success per package, and the window over a user's
+    successes is that short. `_until` and `_by` are the request and the package name of the
+    success that ends this one, unless it has run out by then.
+    """
+    firsts = first_requests(found.filter("_valid"), "_who", "package_id")
+    rows = firsts.join(places_per_user(providers), "user_id", "left")
     now = moment(as_of, subscriptions, "started_at")
+    expires = plus_days(now, F.col("_days"))
     total = F.coalesce("places", F.lit(0))
     active = F.coalesce("active_places", F.lit(0))
     over = total > F.col("_max")
-    off = F.when(over, F.least(total - F.col("_max"), active)).otherwise(F.lit(0))
-    rows = rows.select(
-        "request_id", "subscription_id", "user_id", "package_id", "package_name", "amount",
-        error.alias("error"), F.col("payment_id").alias("_given"),
-        F.coalesce("payment_id", new_ids(payments, requests)).alias("_payment_id"),
-        now.alias("started_at"), plus_days(now, F.col("_days")).alias("expires_at"),
+    turns = Window.partitionBy("_who").orderBy("request_id")
+    user = Window.partitionBy("_who")
+    earlier = F.coalesce(F.sum("_excess").over(turns.rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    off = F.least(F.col("_excess"), F.greatest(active - earlier, F.lit(0)))
+    lives = expires > now
+    rows = rows.withColumn("_excess", F.when(over, total - F.col("_max")).otherwise(F.lit(0))).select(
+        "request_id", "subscription_id", "user_id", "_who", "package_id", "package_name", "amount",
+        "_given", F.coalesce("_given", new_ids(payments, requests)).alias("_payment_id"),
+        now.alias("started_at"), expires.alias("expires_at"),
         off.cast("int").alias("places_deactivated"),
-        (active - off).alias("_keep"),
+        F.when(lives, F.lead("request_id").over(turns)).alias("_until"),
+        F.when(lives, F.lead("package_name").over(turns)).alias("_by"),
+        F.row_number().over(turns).alias("_turn"),
+        F.greatest(active - F.sum("_excess").over(user), F.lit(0)).alias("_keep"),
+        (F.sum("_excess").over(user) > 0).alias("_some_off"),
         F.when(over, fill(V.NOTE_PLACES_SWITCHED_OFF, off, F.col("_max"), total)).alias("_note"),
         F.when(over, fill(V.WARN_PLACES_SWITCHED_OFF, off, total, F.col("_max"))).alias("_warn"),
     )
@@ -151,31 +183,67 @@ def _judge_activation(acted: DataFrame, subscriptions: DataFrame, payments: Data
     })
 
 
-def _activated_subscriptions(subscriptions: DataFrame, applied: DataFrame,
+def _judge_activation(found: DataFrame, wins: DataFrame, by_user: DataFrame,
+                      subscriptions: DataFrame, as_of: datetime) -> DataFrame:
+    """Every request of `found` with its error, or with what it sets.
+
+    The status that a request finds is that of its row before the batch, unless an
+    earlier success of the user has changed it.
+    """
+    now = moment(as_of, subscriptions, "expires_at")
+    rows = found.select("request_id", "subscription_id", "package_id", "status", "_expires", "_payable",
+                        "_who").join(by_user, "_who", "left")
+    same = F.get(F.filter("_wins", lambda w: w["package_id"] == F.col("package_id")), F.lit(0))
+    since = F.get("_wins", F.lit(0))["request_id"]
+    turn = F.col("request_id")
+    ended = same["_until"] < turn
+    held = (same["subscription_id"] == F.col("subscription_id")) & ~F.coalesce(ended, F.lit(False))
+    was_live = P.live(now, expires="_expires")
+    status = (
+        F.when(P.equals("status", "pending") & (same["request_id"] < turn),
+               F.when(held, F.lit("active")).otherwise(F.lit("cancelled")))
+        .when(was_live & (since < turn), F.lit("cancelled"))
+        .otherwise(F.col("status"))
+    )
+    error = (
+        F.when(F.col("status").isNull(), F.lit(V.SUBSCRIPTION_MISSING))
+        .when(F.col("_now") != "pending", F.concat(F.lit(V.NOT_PENDING), F.col("_now")))
+        .when(~F.col("_payable"), F.lit(V.ACTIVATION_PAYMENT_MISSING))
+    )
+    done = wins.withColumnRenamed("_payment_id", "payment_id").select(
+        "request_id", "message", "subscription_id", "payment_id", "user_id", "package_id",
+        "started_at", "expires_at", "places_deactivated", "warning")
+    return rows.withColumn("_now", status).select("request_id", error.alias("error")).join(
+        done, "request_id", "left")
+
+
+def _activated_subscriptions(subscriptions: DataFrame, by_user: DataFrame,
                              as_of: datetime) -> DataFrame:
-    new = applied.select(
-        "user_id", F.col("subscription_id").alias("_id"), F.col("package_id").alias("_package"),
-        F.col("package_name").alias("_name"), "_payment_id",
-        F.col("expires_at").alias("_expires"), "_note")
-    df = join_unique(subscriptions, new, "user_id", "id")
+    df = subscriptions.withColumn("_who", _who(F.col("user_id"), F.col("id"))).join(
+        by_user, "_who", "left")
     now = moment(as_of, subscriptions, "expires_at")
-    target = F.col("id") == F.col("_id")
-    other = F.col("_id").isNotNull() & ~target
-    same_request = other & P.equals("status", "pending") & (F.col("package_id") == F.col("_package"))
-    replaced = other & P.live(now)
-    cancelled = same_request | replaced
+    same = F.get(F.filter("_wins", lambda w: w["package_id"] == F.col("package_id")), F.lit(0))
+    target = F.coalesce(same["subscription_id"] == F.col("id"), F.lit(False))
+    ended = target & same["_until"].isNotNull()
+    same_request = same.isNotNull() & ~target & P.equals("status", "pending")
+    replaced = F.col("_wins").isNotNull() & P.live(now)
+    cancelled = same_request | replaced | ended
+    noted = F.when(target & same["_note"].isNotNull(), append_note(F.col("notes"), same["_note"])) \
+        .otherwise(F.col("notes"))
     notes = (
-        F.when(target & F.col("_note").isNotNull(), append_note(F.col("notes"), F.col("_note")))
+        F.when(ended, append_note(noted, fill(V.NOTE_NEW_PACKAGE, same["_by"])))
+        .when(target, noted)
         .when(same_request, append_note(F.col("notes"), F.lit(V.NOTE_OTHER_ACTIVATED)))
-        .when(replaced, append_note(F.col("notes"), fill(V.NOTE_NEW_PACKAGE, F.col("_name"))))
+        .when(replaced, append_note(F.col("notes"), fill(
+            V.NOTE_NEW_PACKAGE, F.get("_wins", F.lit(0))["package_name"])))
         .otherwise(F.col("notes"))
     )
     return _changed(df, {
-        "status": F.when(target, F.lit("active")).when(cancelled, F.lit("cancelled"))
+        "status": F.when(cancelled, F.lit("cancelled")).when(target, F.lit("active"))
         .otherwise(F.col("status")),
-        "payment_id": F.when(target, F.col("_payment_id")).otherwise(F.col("payment_id")),
+        "payment_id": F.when(target, same["_payment_id"]).otherwise(F.col("payment_id")),
         "started_at": F.when(target, now).otherwise(F.col("started_at")),
-        "expires_at": F.when(target, F.col("_expires")).when(replaced, now)
+        "expires_at": F.when(ended | replaced, now).when(target, same["expires_at"])
         .otherwise(F.col("expires_at")),
         "notes": notes,
     }, target | cancelled, subscriptions.columns, as_of)
@@ -195,59 +263,61 @@ def _activated_payments(payments: DataFrame, applied: DataFrame, as_of: datetime
     return kept.unionByName(made)
 
 
-def _activated_providers(providers: DataFrame, applied: DataFrame, as_of: datetime) -> DataFrame:
+def _activated_providers(providers: DataFrame, wins: DataFrame, as_of: datetime,
+                         cut: Cut) -> DataFrame:
     """Switch off the oldest active places beyond the quota.
 
     The oldest n of an owner's active places are all but the newest `_keep`, and
     `_keep` never exceeds the package's limit. So the newest few are picked per
-    owner instead of ranking all places of an owner who may have millions.
+    owner instead of ranking all places of an owner who may have millions; the last
+    of them is the boundary that every place of the owner is compared with.
     """
-    over = applied.filter("places_deactivated > 0").select("user_id", "_keep")
-    active = providers.filter(P.equals("status", "active") & F.col("user_id").isNotNull()).select(
-        "id", "user_id", "created_at")
-    listed = join_unique(active, over, "user_id", "id").filter(F.col("_keep").isNotNull())
+    over = wins.filter("_turn = 1 AND _some_off AND user_id IS NOT NULL").select("user_id", "_keep")
+    active = providers.filter(P.equals("status", "active")).select("id", "user_id", "created_at")
     # oldest first is created_at ascending, NULL last, then id: kept places are the other end
     newest_first = [F.desc_nulls_first("created_at"), F.col("id").desc()]
-    kept = first_per_key(listed, "user_id", "_keep", newest_first, "id")
-    off = listed.select("id").join(kept.select("id"), "id", "left_anti").withColumn(
-        "_off", F.lit(True))
-    df = providers.join(off, "id", "left")
+    kept = first_per_key(active.join(over, "user_id"), "user_id", "_keep", newest_first, "id")
+    place = F.struct(F.col("created_at").isNull(), F.col("created_at"), F.col("id"))
+    last = cut(over.join(kept.groupBy("user_id").agg(F.min(place).alias("_last")), "user_id", "left"))
+    off = P.equals("status", "active") & F.col("_keep").isNotNull() & (
+        F.col("_last").isNull() | (place < F.col("_last")))
+    df = providers.join(last, "user_id", "left").withColumn("_off", off)
     return _changed(df, {"status": F.when(F.col("_off"), F.lit("pending")).otherwise(
         F.col("status"))}, F.col("_off"), providers.columns, as_of)
 
 
 def activate_payments(payments: DataFrame, profiles: DataFrame, requests: DataFrame,
-                      as_of: datetime) -> Change:
+                      as_of: datetime, cut: Cut = as_is) -> Change:
     """Payments-era activation: a pending payment becomes completed.
 
     `requests`: request_id, actor_id, payment_id.
     """
     return _settle_payments(payments, profiles, requests, as_of, "completed", V.NOT_PENDING,
-                            V.ACTIVATED_PAYMENT)
+                            V.ACTIVATED_PAYMENT, cut)
 
 
 def cancel_payments(payments: DataFrame, profiles: DataFrame, requests: DataFrame,
-                    as_of: datetime) -> Change:
+                    as_of: datetime, cut: Cut = as_is) -> Change:
     """Payments-era cancellation: only a pending payment can be cancelled."""
     return _settle_payments(payments, profiles, requests, as_of, "cancelled",
-                            V.CANNOT_CANCEL_PAYMENT, V.CANCELLED)
+                            V.CANNOT_CANCEL_PAYMENT, V.CANCELLED, cut)
 
 
 def _settle_payments(payments: DataFrame, profiles: DataFrame, requests: DataFrame,
-                     as_of: datetime, status: str, refusal: str, message: str) -> Change:
+                     as_of: datetime, status: str, refusal: str, message: str, cut: Cut) -> Change:
     acted = with_actor(requests, profiles, P.is_admin())
     asked = acted.filter(F.col("_allowed") & F.col("payment_id").isNotNull()).select(
         "request_id", "payment_id")
     targets = payments.select(F.col("id").alias("payment_id"), "user_id", "package_id", "status",
                               F.lit(True).alias("_known"))
-    found = _look_up(asked, targets, "payment_id")
     # a missing status is neither pending nor refused: the guard only stops known others
+    open_ = F.col("_known").isNotNull() & F.coalesce(F.col("status") == "pending", F.lit(True))
+    turns = _by_turn(_look_up(asked, targets, "payment_id"), "payment_id", open_, status, cut)
     error = F.when(F.col("_known").isNull(), F.lit(V.SUBSCRIPTION_MISSING)).when(
-        F.col("status") != "pending", F.concat(F.lit(refusal), F.col("status")))
-    first = first_requests(found, "payment_id", _alone(F.col("_known").isNull()))
-    judged = first.select(
+        F.col("_now") != "pending", F.concat(F.lit(refusal), F.col("_now")))
+    judged = cut(turns.select(
         "request_id", "payment_id", "user_id", "package_id", error.alias("error"),
-        F.lit(message).alias("message"))
+        F.lit(message).alias("message")))
     hit = judged.filter(F.col("error").isNull()).select(
         F.col("payment_id").alias("id"), F.lit(True).alias("_hit"))
     changes = {"status": F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("status"))}
@@ -270,14 +340,14 @@ def create(subscriptions: DataFrame, packages: DataFrame, providers: DataFrame,
     """Users ask for packages: a pending subscription at the package's price.
 
     `requests`: request_id, actor_id, package_id. The user's other pending requests
-    are cancelled, a missing profile is made. The result warns of a live
-    subscription and of active places beyond the new package's limit.
+    are cancelled, those of earlier calls of the batch too, and a missing profile is made. The
+    result warns of a live subscription and of active places beyond the new package's limit.
     """
-    judged = cut(_judge_creation(subscriptions, packages, providers, requests, as_of))
+    judged = cut(_judge_creation(subscriptions, packages, providers, requests, as_of, cut))
     applied = judged.filter(F.col("error").isNull())
 
     state = State(
-        subscriptions=lambda: _created_subscriptions(subscriptions, applied, as_of),
+        subscriptions=lambda: _created_subscriptions(subscriptions, applied, as_of, cut),
         user_profiles=lambda: append_profiles(
             profiles, applied.select(F.col("user_id").alias("id")), as_of),
     )
@@ -291,35 +361,64 @@ def create(subscriptions: DataFrame, packages: DataFrame, providers: DataFrame,
     return Change(state, _verdicts(requests, denials, judged, columns))
 
 
-def _created_subscriptions(subscriptions: DataFrame, applied: DataFrame,
-                           as_of: datetime) -> DataFrame:
-    wanted = applied.select("user_id", F.col("package_id").alias("_package"))
-    df = join_unique(subscriptions, wanted, "user_id", "id")
-    dropped = P.equals("status", "pending") & (F.col("package_id") != F.col("_package"))
+def _created_subscriptions(subscriptions: DataFrame, applied: DataFrame, as_of: datetime,
+                           cut: Cut) -> DataFrame:
+    """All pending rows of a user with a success go; of the new rows the last stays pending."""
+    last = cut(applied.groupBy("user_id").agg(F.max("request_id").alias("_last")))
+    df = subscriptions.join(last, "user_id", "left")
+    dropped = P.equals("status", "pending") & F.col("_last").isNotNull()
     kept = _changed(df, {
         "status": F.when(dropped, F.lit("cancelled")).otherwise(F.col("status")),
         "notes": F.when(dropped, append_note(F.col("notes"), F.lit(V.NOTE_REPLACED_REQUEST)))
         .otherwise(F.col("notes")),
     }, dropped, subscriptions.columns, as_of)
     now = moment(as_of, subscriptions, "created_at")
-    made = rows_like(subscriptions, applied, {
+    stays = F.col("request_id") == F.col("_last")
+    made = rows_like(subscriptions, applied.join(last, "user_id"), {
         "id": F.col("subscription_id"), "user_id": F.col("user_id"),
-        "package_id": F.col("package_id"), "status": F.lit("pending"), "amount": F.col("amount"),
+        "package_id": F.col("package_id"),
+        "status": F.when(stays, F.lit("pending")).otherwise(F.lit("cancelled")),
+        "notes": F.when(~stays, F.lit(V.NOTE_REPLACED_REQUEST)), "amount": F.col("amount"),
         "auto_renew": F.lit(False), "created_at": now, "updated_at": now})
     return kept.unionByName(made)
 
 
+def _creations(rows: DataFrame, cut: Cut) -> DataFrame:
+    """request_id of the requests that succeed, of those for open packages.
+
+    Before a user's first success the packages pending in the table are refused; it is the first
+    request for another one. After it only the package of the last success is pending, which
+    is that of the request before: one that was refused asked for the same package. So a
+    request is compared with the user's previous one, found in blocks of requests, the
+    first of a block with the last of the user's block before it.
+    """
+    valid = rows.select("request_id", "user_id", "package_id", "_pending").withColumn(
+        "_block", F.floor(F.col("request_id") / TURN_BLOCK))
+    turns = Window.partitionBy("user_id", "_block").orderBy("request_id")
+    ends = valid.groupBy("user_id", "_block").agg(
+        F.max_by("package_id", "request_id").alias("_end"))
+    carried = cut(ends.select("user_id", "_block", F.lag("_end").over(
+        Window.partitionBy("user_id").orderBy("_block")).alias("_carried")))
+    first = cut(valid.filter("_pending IS NULL").groupBy("user_id").agg(
+        F.min("request_id").alias("_first")))
+    before = valid.withColumn("_before", F.lag("package_id").over(turns)).join(
+        first, "user_id").join(carried, ["user_id", "_block"])
+    other = F.col("package_id") != F.coalesce("_before", "_carried")
+    return before.filter((F.col("request_id") == F.col("_first")) | (
+        (F.col("request_id") > F.col("_first")) & other)).select(
+        "request_id", F.lit(True).alias("_done"))
+
+
 def _judge_creation(subscriptions: DataFrame, packages: DataFrame, providers: DataFrame,
-                    requests: DataFrame, as_of: datetime) -> DataFrame:
+                    requests: DataFrame, as_of: datetime, cut: Cut) -> DataFrame:
     terms = packages.select(
         F.col("id").alias("package_id"), F.col("name").alias("package_name"),
         F.col("price").alias("amount"), P.package_open().alias("_open"),
         F.coalesce("max_places", F.lit(V.FREE_PLACES)).alias("_max"))
-    signed = requests.filter(F.col("actor_id").isNotNull())
-    first = first_requests(signed, "actor_id").select(
+    signed = requests.filter(F.col("actor_id").isNotNull()).select(
         "request_id", F.col("actor_id").alias("user_id"), "package_id")
-    pending = subscriptions.filter(P.equals("status", "pending")).select(
-        "user_id", "package_id").distinct().withColumn("_pending", F.lit(True))
+    pending = cut(subscriptions.filter(P.equals("status", "pending")).select(
+        "user_id", "package_id").distinct().withColumn("_pending", F.lit(True)))
     names = packages.select(F.col("id").alias("package_id"), F.col("name").alias("_name"))
     latest = F.struct(F.col("started_at").isNull(), F.col("started_at"), -F.col("id"))
     current = live_subscriptions(subscriptions, as_of).select(
@@ -328,14 +427,16 @@ def _judge_creation(subscriptions: DataFrame, packages: DataFrame, providers: Da
                        F.max_by("_name", F.when(F.col("_name").isNotNull(), latest))
                        .alias("current_package_name"))
     places = places_per_user(providers).select("user_id", "active_places")
-    rows = (first.join(terms, "package_id", "left")
-            .join(pending, ["user_id", "package_id"], "left")
-            .join(current, "user_id", "left").join(places, "user_id", "left"))
+    users = cut(current.join(places, "user_id", "full"))
+    asked = cut(signed.join(terms, "package_id", "left").join(
+        pending, ["user_id", "package_id"], "left"))
+    done = _creations(asked.filter("package_name IS NOT NULL AND _open"), cut)
+    rows = asked.join(users, "user_id", "left").join(done, "request_id", "left")
 
     error = (
         F.when(F.col("package_name").isNull(), F.lit(V.PACKAGE_MISSING))
         .when(~F.col("_open"), F.lit(V.PACKAGE_INACTIVE))
-        .when(F.col("_pending"), F.lit(V.ALREADY_PENDING))
+        .when(F.col("_done").isNull(), F.lit(V.ALREADY_PENDING))
     )
     used = F.coalesce("active_places", F.lit(0))
     excess = F.greatest(used - F.col("_max"), F.lit(0))
@@ -401,12 +502,11 @@ def cancel(subscriptions: DataFrame, payments: DataFrame, profiles: DataFrame,
     asked = acted.filter(F.col("_allowed") & F.col("subscription_id").isNotNull()).select(
         "request_id", "subscription_id", "reason")
     targets = subscriptions.select(F.col("id").alias("subscription_id"), "status", "payment_id")
-    found = _look_up(asked, targets, "subscription_id")
-    first = first_requests(found, "subscription_id", _alone(F.col("status").isNull()))
+    turns = _by_turn(_look_up(asked, targets, "subscription_id"), "subscription_id",
+                     F.col("status").isin("pending", "active"), "cancelled", cut)
     error = F.when(F.col("status").isNull(), F.lit(V.SUBSCRIPTION_MISSING)).when(
-        ~F.col("status").isin("pending", "active"),
-        F.concat(F.lit(V.CANNOT_CANCEL), F.col("status")))
-    judged = cut(first.select(
+        ~F.col("_now").isin("pending", "active"), F.concat(F.lit(V.CANNOT_CANCEL), F.col("_now")))
+    judged = cut(turns.select(
         "request_id", "subscription_id", "payment_id", "reason", error.alias("error"),
         F.lit(V.CANCELLED).alias("message")))
     applied = judged.filter(F.col("error").isNull())
@@ -456,7 +556,8 @@ def link_payments(subscriptions: DataFrame, payments: DataFrame, requests: DataF
     """Tie completed payments to subscriptions of the same user.
 
     `requests`: request_id, subscription_id, payment_id. The guards only stop known
-    values: a payment without a user or without a status passes.
+    values: a payment without a user or without a status passes. A link changes nothing
+    that another is judged by; the last one of a subscription stays.
     """
     asked = requests.filter(F.col("subscription_id").isNotNull()).select(
         "request_id", "subscription_id", "payment_id")
@@ -465,7 +566,6 @@ def link_payments(subscriptions: DataFrame, payments: DataFrame, requests: DataF
     paid = payments.select(F.col("id").alias("payment_id"), F.col("user_id").alias("_payer"),
                            F.col("status").alias("_status"), F.lit(True).alias("_paid"))
     found = _look_up(_look_up(asked, targets, "subscription_id"), paid, "payment_id")
-    first = first_requests(found, "subscription_id", _alone(F.col("_known").isNull()))
     error = (
         F.when(F.col("_known").isNull(), F.lit(V.SUBSCRIPTION_MISSING))
         .when(F.col("_paid").isNull(), F.lit(V.PAYMENT_MISSING))
@@ -473,11 +573,12 @@ def link_payments(subscriptions: DataFrame, payments: DataFrame, requests: DataF
               F.concat(F.lit(V.PAYMENT_NOT_COMPLETED), F.col("_status")))
         .when(F.col("user_id") != F.col("_payer"), F.lit(V.USER_MISMATCH))
     )
-    judged = cut(first.select(
+    judged = cut(found.select(
         "request_id", "subscription_id", "payment_id", error.alias("error"),
         F.lit(V.LINKED).alias("message")))
-    linked = judged.filter(F.col("error").isNull()).select(
-        F.col("subscription_id").alias("id"), F.col("payment_id").alias("_payment"))
+    linked = cut(judged.filter(F.col("error").isNull()).groupBy(
+        F.col("subscription_id").alias("id")).agg(
+        F.max_by("payment_id", "request_id").alias("_payment")))
     hit = F.col("_payment").isNotNull()
     state = State(subscriptions=lambda: _changed(subscriptions.join(linked, "id", "left"), {
         "payment_id": F.when(hit, F.col("_payment")).otherwise(F.col("payment_id"))},

@@ -26,7 +26,7 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE,
     `2 / share` salts in all; that bound makes the result safe to broadcast.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    limit = counts.agg(F.greatest(F.sum("n") * F.lit(share), F.lit(float(min_rows)))).scalar()
+    limit = df.agg(F.greatest(F.count(key) * F.lit(share), F.lit(float(min_rows)))).scalar()
     return counts.withColumn("_limit", limit).filter("n > _limit").select(
         key, F.ceil(F.col("n") / F.col("_limit")).cast("int").alias("_salts"))
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import settle, shared_folder
+from ..config import keep, shared_folder
 from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import entitlement as E
@@ -117,7 +117,7 @@ def latest_providers(m):
 @query
 def listing_with_badges(m):
     ranked = L.ranked_providers(m.providers, "subscriptions", m.subscriptions, m.packages, AS_OF)
-    return L.with_badges(ranked, m.visits, AS_OF_VISITS, cut=settle)
+    return L.with_badges(ranked, m.visits, AS_OF_VISITS, cut=keep)
 
 
 @query
@@ -128,7 +128,7 @@ def provider_badges(m):
 @query
 def services_with_badges(m):
     page = L.latest_services(m.services).select("id", "provider_id", "name", "price", "created_at")
-    return L.service_badges(page, m.visits, AS_OF_VISITS, cut=settle)
+    return L.service_badges(page, m.visits, AS_OF_VISITS, cut=keep)
 
 
 @query
@@ -164,7 +164,7 @@ def active_ads(m):
 
 @query
 def active_ads_with_images(m):
-    nested = L.images_of(L.active_ads(m.ads), m.ads_images, cut=settle)
+    nested = L.images_of(L.active_ads(m.ads), m.ads_images, cut=keep)
     urls = F.transform("ads_images", lambda image: image["image_url"])
     return nested.select("id", "title", "created_at", "gallery_page",
                          F.size("ads_images").alias("images"), F.array_join(urls, ",").alias("urls"))
@@ -345,7 +345,7 @@ def admin_site_stats(m):
 
 @both
 def all_subscriptions(m, basis):
-    return R.all_subscriptions(basis, source(m, basis), m.user_profiles, m.packages, cut=settle)
+    return R.all_subscriptions(basis, source(m, basis), m.user_profiles, m.packages, cut=keep)
 
 
 @query
@@ -492,7 +492,7 @@ def activation_requests(m: Market) -> DataFrame:
 
 def activation(m: Market) -> B.Change:
     return C.activate(m.subscriptions, m.payments, m.packages, m.providers, m.user_profiles,
-                      activation_requests(m), AS_OF, cut=settle)
+                      activation_requests(m), AS_OF, cut=keep)
 
 
 @query
@@ -524,7 +524,7 @@ def creation_requests(m: Market) -> DataFrame:
 
 def creation(m: Market) -> B.Change:
     return C.create(m.subscriptions, m.packages, m.providers, m.user_profiles,
-                    creation_requests(m), AS_OF, cut=settle)
+                    creation_requests(m), AS_OF, cut=keep)
 
 
 @query
@@ -548,12 +548,14 @@ def payment_requests(m: Market) -> DataFrame:
 
 @query
 def activate_v1(m):
-    return C.activate_payments(m.payments, m.user_profiles, payment_requests(m), AS_OF).state["payments"]
+    return C.activate_payments(m.payments, m.user_profiles, payment_requests(m), AS_OF,
+                               cut=keep).state["payments"]
 
 
 @query
 def cancel_v1_results(m):
-    return C.cancel_payments(m.payments, m.user_profiles, payment_requests(m), AS_OF).results
+    return C.cancel_payments(m.payments, m.user_profiles, payment_requests(m), AS_OF,
+                             cut=keep).results
 
 
 @query
@@ -573,7 +575,7 @@ def cancellation(m: Market) -> B.Change:
         F.col("id").alias("request_id"), F.col("user_id").alias("actor_id"),
         F.expr("case when id % 11 = 0 then id + 1000000000 else id end").alias("subscription_id"),
         F.col("notes").alias("reason"))
-    return C.cancel(m.subscriptions, m.payments, m.user_profiles, requests, AS_OF, cut=settle)
+    return C.cancel(m.subscriptions, m.payments, m.user_profiles, requests, AS_OF, cut=keep)
 
 
 @query
@@ -595,7 +597,7 @@ def linking(m: Market) -> B.Change:
     requests = m.subscriptions.select(
         F.col("id").alias("request_id"), F.col("id").alias("subscription_id"),
         F.expr("case when id % 3 = 0 then id else id + 1 end").alias("payment_id"))
-    return C.link_payments(m.subscriptions, m.payments, requests, AS_OF, cut=settle)
+    return C.link_payments(m.subscriptions, m.payments, requests, AS_OF, cut=keep)
 
 
 @query
@@ -627,7 +629,7 @@ def quota_requests(m: Market) -> DataFrame:
 
 def quota_inserted(m: Market) -> B.Change:
     return K.insert_providers(m.providers, quota_requests(m), "subscriptions", m.subscriptions,
-                              m.packages, AS_OF, cut=settle)
+                              m.packages, AS_OF, cut=keep)
 
 
 @query
