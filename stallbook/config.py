@@ -44,6 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def large_state(spark: SparkSession) -> None:
+    """Let streams of this session keep their state in RocksDB, unless it names a store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    given = spark.conf.get(key)
+    if given.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, given.replace("HDFSBacked", "RocksDB"))
+
+
 def as_is(df: DataFrame) -> DataFrame:
     """The `cut` that cuts nothing: Spark plans everything as one lazy query."""
     return df

@@ -4,9 +4,10 @@ from collections.abc import Callable, Mapping
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ...config import Cut, as_is
 from ...functions import fixed_values as V
 from ...functions import predicates as P
 from ...functions.clock import stamp
@@ -185,8 +186,19 @@ def append_settings(settings: DataFrame, profiles: DataFrame, requests: DataFram
     return Change({"payment_settings": settings.unionByName(added)}, results)
 
 
-def record_visits(visits: DataFrame, requests: DataFrame, as_of: datetime) -> Change:
-    """Append visits; each result carries its page's counts once the whole batch is in."""
+#: Requests of a page that stand in one window, by request_id.
+VISIT_BLOCK = 100_000
+
+
+def record_visits(visits: DataFrame, requests: DataFrame, as_of: datetime,
+                  cut: Cut = as_is) -> Change:
+    """Append visits; each result carries its page's counts as its call finds them, its own
+    visit and those of earlier calls of the batch included.
+
+    A page's calls are numbered in blocks of request ids, and a block starts from what the
+    blocks before it add up to, so the calls of one page spread over tasks. With
+    `cut=config.keep` the counts are written tables, which lets Spark split the joins too.
+    """
     fields = ["page", "ip_address", "device", "source", "country"]
     keyed = requests.withColumn("_id", new_ids(visits, requests))
     added = rows_like(visits, keyed, {
@@ -194,11 +206,23 @@ def record_visits(visits: DataFrame, requests: DataFrame, as_of: datetime) -> Ch
         "created_at": stamp(as_of, visits.schema["created_at"].dataType),
     })
     state = visits.unionByName(added)
-    stats = visits_per_page(state.join(requests.select("page"), "page", "left_semi"), as_of)
-    results = requests.select("request_id", "page").join(stats, "page", "left").select(
+    asked = requests.select("request_id", "page", F.floor(
+        F.col("request_id") / VISIT_BLOCK).alias("_block"))
+    sizes = asked.groupBy("page", "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("page").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(sizes.select("page", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+                              .alias("_start")).join(
+        visits_per_page(visits.join(requests.select("page"), "page", "left_semi"), as_of),
+        "page", "left").withColumnsRenamed({"page": "_page", "_block": "_in"}))
+    place = F.row_number().over(Window.partitionBy("page", "_block").orderBy("request_id"))
+    count = F.col("_start") + F.col("_place")
+    counted = asked.withColumn("_place", place).join(
+        starts, F.col("page").eqNullSafe(F.col("_page")) & (F.col("_block") == F.col("_in")))
+    known = F.col("page").isNotNull()
+    results = counted.select(
         "request_id", F.lit(True).alias("ok"), no_error().alias("error"), "page",
-        F.coalesce("total_visits", F.lit(0)).alias("total_visits"),
-        F.coalesce("today_visits", F.lit(0)).alias("today_visits"))
+        *[F.when(known, F.coalesce(c, F.lit(0)) + count).otherwise(F.lit(0)).alias(c)
+          for c in ("total_visits", "today_visits")])
     return Change({"visits": state}, results)
 
 
@@ -231,15 +255,22 @@ SERVICE_PATCH = ["name", "description", "price", "image_url", "delivery", "onlin
 
 
 def _matched(state: DataFrame, requests: DataFrame, owner: str | None) -> DataFrame:
-    """Requests with `_found`: whether their row exists and, if asked, has that owner."""
-    if owner is None or owner not in requests.columns:
-        hits = requests.join(state.select("id"), "id", "left_semi")
-        found = hits.select("request_id", F.lit(True).alias("_found"))
-        return requests.join(found, "request_id", "left").withColumn("_found", P.truthy("_found"))
-    owners = state.select("id", F.col(owner).alias("_owner"), F.lit(True).alias("_known"))
-    same = F.col(owner).isNull() | (F.col(owner) == F.col("_owner"))
-    return requests.join(owners, "id", "left").withColumn(
-        "_found", F.coalesce(F.col("_known") & same, F.lit(False))).drop("_owner", "_known")
+    """Requests with `_found`: whether their row exists and, if asked, has that owner.
+
+    The table meets one row per id and owner asked for, however many requests there
+    are for it; the answers go back to the requests as rows of a plain join.
+    """
+    keys = ["id"] if owner is None or owner not in requests.columns else ["id", owner]
+    asked = requests.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+    rows = asked.join(state.select(*[F.col(c).alias(f"_state_{c}") for c in keys]),
+                      F.col("_id") == F.col("_state_id"))
+    if owner in keys:
+        mine = F.col(f"_{owner}")
+        rows = rows.filter(mine.isNull() | (mine == F.col(f"_state_{owner}")))
+    found = rows.select(*[f"_{c}" for c in keys]).distinct().withColumn("_found", F.lit(True))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return requests.join(found, same, "left").drop(*[f"_{c}" for c in keys]).withColumn(
+        "_found", P.truthy("_found"))
 
 
 def patch(state: DataFrame, requests: DataFrame, fields: list[str], owner: str | None = None,
@@ -290,13 +321,43 @@ def delete_providers(providers: DataFrame, requests: DataFrame) -> Change:
     return delete(providers, requests, "user_id")
 
 
-def delete_packages(packages: DataFrame, profiles: DataFrame, requests: DataFrame) -> Change:
+PACKAGE_IN_USE = "the package is in use"
+
+
+def delete_packages(packages: DataFrame, profiles: DataFrame, requests: DataFrame,
+                    subscriptions: DataFrame) -> Change:
+    """Admins delete packages; one that a subscription refers to cannot go."""
     judged = with_actor(requests, profiles, P.is_admin())
-    gone = judged.filter("_allowed").select("id").distinct()
-    results = judged.select("request_id", "id", *result(F.col("_allowed"), no_error()))
+    used = subscriptions.groupBy(F.col("package_id").alias("id")).agg(F.lit(True).alias("_used"))
+    asked = judged.filter("_allowed").select("id").distinct().join(used, "id", "left")
+    held = asked.filter("_used").select(F.col("id").alias("_held"))
+    gone = asked.filter("_used IS NULL").select("id")
+    error = F.when(F.col("_held").isNotNull(), F.lit(PACKAGE_IN_USE))
+    results = judged.join(held, judged["id"] == held["_held"], "left").select(
+        "request_id", "id", *result(F.col("_allowed"), error))
     return Change({"packages": packages.join(gone, "id", "left_anti")}, results)
 
 
+def delete_payments(payments: DataFrame, subscriptions: DataFrame, requests: DataFrame) -> Change:
+    """Remove payments by id; subscriptions that name one lose the reference."""
+    change = delete(payments, requests)
+    gone = requests.select(F.col("id").alias("payment_id")).distinct().withColumn(
+        "_gone", F.lit(True))
+    kept = F.when(F.col("_gone").isNull(), F.col("payment_id"))
+    state = subscriptions.join(gone, "payment_id", "left").withColumn("payment_id", kept)
+    return Change({"payments": change.state["table"],
+                   "subscriptions": state.select(*subscriptions.columns)}, change.results)
+
+
+def delete_profiles(profiles: DataFrame, subscriptions: DataFrame, requests: DataFrame) -> Change:
+    """Remove profiles by id; their subscriptions go with them."""
+    change = delete(profiles, requests)
+    gone = requests.select(F.col("id").alias("user_id")).distinct()
+    return Change({"user_profiles": change.state["table"],
+                   "subscriptions": subscriptions.join(gone, "user_id", "left_anti")},
+                  change.results)
+
+
 # --- admin settings -----------------------------------------------------------------
 
 def upsert_packages(packages: DataFrame, profiles: DataFrame, requests: DataFrame,

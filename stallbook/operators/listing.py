@@ -136,31 +136,20 @@ def categories(activities: DataFrame) -> DataFrame:
     return top(activities, ascending("name"), columns)
 
 
-def images_of(ads: DataFrame, images: DataFrame, per_row: int = 1000,
-              cut: Cut = as_is) -> DataFrame:
-    """`ads` with their images nested: `ads_images` is an array of `{image_url}`.
-
-    `ads` must be a page of ads (a limited listing): it is broadcast, so the image
-    table is never shuffled as a whole. An ad has one row, with an empty array when
-    it has no image. Only an ad with more than `per_row` images has several, told
-    apart by `gallery_page`, so that no array grows with the data.
+def images_of(ads: DataFrame, images: DataFrame, cut: Cut = as_is) -> DataFrame:
+    """A listing of ads beside their images: a row per image, in the order of the listing
+    and then of the images, and one with a NULL image for an ad without any.
+
+    The images are cut to the listing before they are sorted. With `cut=config.keep` the
+    listing is a written table whose size Spark knows: a short one is broadcast, a long one
+    shuffled.
     """
-    ads = cut(ads)
-    page = ads.select(F.col("id").alias("ad_id"))
-    shown = images.select("id", "ad_id", "image_url").join(F.broadcast(page), "ad_id")
-    sizes = shown.groupBy("ad_id").agg(F.ceil(F.count("*") / F.lit(per_row)).alias("pages"))
-    paged = shown.join(F.broadcast(sizes), "ad_id").withColumn(
-        "gallery_page", F.pmod(F.xxhash64("id", "image_url"), F.col("pages")).cast("int")
-    )
-    nested = paged.groupBy("ad_id", "gallery_page").agg(
-        F.array_sort(F.collect_list(F.struct("image_url"))).alias("ads_images")
-    )
-    none = F.array().cast("array<struct<image_url:string>>")
-    return ads.join(nested.withColumnRenamed("ad_id", "id"), "id", "left").select(
-        *ads.columns,
-        F.coalesce("gallery_page", F.lit(0)).alias("gallery_page"),
-        F.coalesce("ads_images", none).alias("ads_images"),
-    )
+    page = cut(ads)
+    shown = images.select(F.col("ad_id").alias("id"), F.col("id").alias("image_id"), "image_url")
+    rows = page.join(shown, "id").unionByName(
+        page.join(shown.select("id"), "id", "left_anti"), allowMissingColumns=True)
+    order = [*newest("created_at"), *ascending(*ads.columns, "image_url", "image_id")]
+    return rows.orderBy(*order).select(*ads.columns, "image_id", "image_url")
 
 
 def ad_image_rows(ads: DataFrame, images: DataFrame) -> DataFrame:
@@ -281,14 +270,15 @@ def with_badges(page: DataFrame, visits: DataFrame, as_of: datetime, page_of=pla
                 cut: Cut = as_is) -> DataFrame:
     """Add total and today's visits of each row's page to a limited listing.
 
-    The visits are cut to the listing's pages before they are counted, by a
-    broadcast of the page keys, so the visit table is not shuffled. The listing is
-    needed twice; `cut=config.settle` ranks it once.
+    The visits are cut to the listing's pages before they are counted. The listing is
+    needed twice: `cut=config.keep` ranks it once, and as a written table it has a size
+    that Spark knows, so it broadcasts the page keys of a short listing and shuffles those
+    of a long one.
     """
     keyed = cut(page.withColumn("page", page_of(F.col("id"))))
-    hits = visits.join(F.broadcast(keyed.select("page").distinct()), "page", "left_semi")
+    hits = visits.join(keyed.select("page").distinct(), "page", "left_semi")
     stats = visits_per_page(hits, as_of)
-    return keyed.join(F.broadcast(stats), "page", "left").select(
+    return keyed.join(stats, "page", "left").select(
         *keyed.columns,
         F.coalesce("total_visits", F.lit(0)).alias("total_visits"),
         F.coalesce("today_visits", F.lit(0)).alias("today_visits"),

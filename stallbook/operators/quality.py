@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from .skew import join_unique
 
 
 def bad_subscription_status() -> Column:
@@ -78,26 +77,3 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Fill NULLs the way column defaults fill missing input."""
     return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in defaults.items()})
-
-
-def delete_packages_safely(packages: DataFrame, ids: DataFrame,
-                           subscriptions: DataFrame) -> DataFrame:
-    """Packages left after deleting `ids`; one that a subscription refers to stays."""
-    used = subscriptions.select(F.col("package_id").alias("id")).distinct()
-    gone = ids.select("id").distinct().join(used, "id", "left_anti")
-    return packages.join(gone, "id", "left_anti")
-
-
-def payments_deleted(subscriptions: DataFrame, payment_ids: DataFrame) -> DataFrame:
-    """Subscriptions after payments are deleted: their reference becomes NULL."""
-    gone = payment_ids.select(F.col("id").alias("payment_id")).distinct().withColumn(
-        "_gone", F.lit(True))
-    kept = F.when(F.col("_gone").isNull(), F.col("payment_id"))
-    return join_unique(subscriptions, gone, "payment_id", "id").withColumn(
-        "payment_id", kept).select(*subscriptions.columns)
-
-
-def users_deleted(subscriptions: DataFrame, user_ids: DataFrame) -> DataFrame:
-    """Subscriptions after users are deleted: theirs are gone too."""
-    gone = user_ids.select(F.col("id").alias("user_id"))
-    return subscriptions.join(gone, "user_id", "left_anti")

@@ -24,6 +24,7 @@ from ..operators.changes import lifecycle as C
 from ..operators.changes import quota as K
 from ..sources import tables as T
 from ..sources.adapters import AS_OF, AS_OF_VISITS, Market
+from ..streaming import expiry as SE
 from ..streaming import visits as SV
 
 Query = Callable[[Market], DataFrame]
@@ -164,10 +165,8 @@ def active_ads(m):
 
 @query
 def active_ads_with_images(m):
-    nested = L.images_of(L.active_ads(m.ads), m.ads_images, cut=keep)
-    urls = F.transform("ads_images", lambda image: image["image_url"])
-    return nested.select("id", "title", "created_at", "gallery_page",
-                         F.size("ads_images").alias("images"), F.array_join(urls, ",").alias("urls"))
+    return L.images_of(L.active_ads(m.ads), m.ads_images, cut=keep).select(
+        "id", "title", "created_at", "image_url")
 
 
 @query
@@ -299,20 +298,46 @@ def pages_visit_stats_repeated(m):
     return W.pages_visits(pages, m.visits, AS_OF_VISITS, count_repeats=True)
 
 
-@query
-def visits_stream(m):
-    """The streaming count over the visit table, read back after the last micro-batch."""
-    spark = m.spark
-    run = f"{shared_folder(spark)}/visits-{uuid.uuid4().hex}"
-    raw = (spark.readStream.schema(m.raw("events").schema)
-           .option("pathGlobFilter", "events*.parquet").parquet(m.sf_dir))
-    visits = raw.select(
+def event_stream(m: Market) -> DataFrame:
+    """The event table as a stream; the table is one file or a folder of files."""
+    return m.spark.readStream.schema(m.raw("events").schema).parquet(f"{m.sf_dir}/events.parque[t]")
+
+
+def streamed_visits(m: Market, counts_of, keys: list[str]) -> DataFrame:
+    """Run a streaming count over the visit table and read it back after the last batch."""
+    run = f"{shared_folder(m.spark)}/visits-{uuid.uuid4().hex}"
+    visits = event_stream(m).select(
         F.when(F.col("event_type").isin("view", "click"), S.place_page(F.col("user_id")))
         .otherwise(S.service_page(F.col("user_id"))).alias("page"),
         SV.utc_instant(F.col("ts")).alias("created_at"))
-    counts = SV.daily_visits(visits).select(SV.utc_day().alias("day"), "page", "visits")
+    counts = counts_of(visits)
     SV.write_changes(counts, f"{run}/counts", f"{run}/progress").awaitTermination()
-    return SV.current_counts(spark, f"{run}/counts", ["day", "page"])
+    return SV.current_counts(m.spark, f"{run}/counts", counts.schema, keys)
+
+
+@query
+def visits_stream(m):
+    return streamed_visits(m, lambda v: SV.daily_visits(v).select(
+        SV.utc_day().alias("day"), "page", "visits"), ["day", "page"])
+
+
+@query
+def visits_stream_totals(m):
+    return streamed_visits(m, SV.total_visits, ["page"])
+
+
+@query
+def expiry_stream(m):
+    """The sweep, driven by a stream of events, over the whole table at each trigger."""
+    run = f"{shared_folder(m.spark)}/expiry-{uuid.uuid4().hex}"
+
+    def save(rows, batch_id):
+        rows.write.mode("overwrite").parquet(f"{run}/expired/batch={batch_id}")
+
+    SE.sweep_stream(event_stream(m), lambda: m.subscriptions, lambda: AS_OF, save,
+                    f"{run}/progress").awaitTermination()
+    columns = m.subscriptions.schema
+    return SE.latest_versions(m.spark.read.schema(columns).parquet(f"{run}/expired"))
 
 
 # --- reports ----------------------------------------------------------------------------
@@ -792,7 +817,7 @@ def manual_payments(m):
 def record_visits(m):
     requests = m.favorites.select(F.col("id").alias("request_id"),
                                   S.place_page(F.col("provider_id")).alias("page"))
-    return B.record_visits(m.visits, requests, AS_OF_VISITS).results
+    return B.record_visits(m.visits, requests, AS_OF_VISITS, cut=keep).results
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -2,8 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..config import large_state
+
 LATENESS = "1 day"
 
 
@@ -28,7 +31,8 @@ def daily_visits(visits: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def total_visits(visits: DataFrame) -> DataFrame:
-    """Visits per page since the stream began."""
+    """Visits per page since the stream began. The state has a row per page and keeps it: it
+    grows with the number of pages, never with the visits."""
     return visits.groupBy("page").agg(F.count("*").alias("visits"))
 
 
@@ -41,8 +45,11 @@ def write_changes(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQ
     """Write the counts that each micro-batch changed to a folder of its own.
 
     A batch that is run again after a failure overwrites its folder, so every
-    change is there exactly once. Takes what there is and stops.
+    change is there exactly once. The counts are kept on the executors' disks (RocksDB), not
+    in their memory. Takes what there is and stops.
     """
+    large_state(counts.sparkSession)
+
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
@@ -50,6 +57,8 @@ def write_changes(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQ
             .trigger(availableNow=True).foreachBatch(save).start())
 
 
-def current_counts(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+def current_counts(spark: SparkSession, folder: str, schema: T.StructType,
+                   keys: list[str]) -> DataFrame:
     """The running counts after the last batch: counts only grow, so the highest holds."""
-    return spark.read.parquet(folder).groupBy(*keys).agg(F.max("visits").alias("visits"))
+    return spark.read.schema(schema).parquet(folder).groupBy(*keys).agg(
+        F.max("visits").alias("visits"))

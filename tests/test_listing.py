@@ -36,20 +36,15 @@ def test_badges(tables):
     assert by(L.service_badges(places, visits, NOW), "id")[2]["today_visits"] == 1
 
 
-def test_images_nest_and_split(tables):
-    ads = tables("ads", [{"id": i, "title": "t", "status": "active", "created_at": NOW} for i in (1, 2)])
-    images = tables("ads_images", [{"id": i, "ad_id": 1, "image_url": f"u{i}"} for i in range(20)]
-                    + [{"id": 99, "ad_id": 7, "image_url": "other"}])
-    page = L.active_ads(ads)
-    got = by(L.images_of(page, images), "id")
-    assert [i["image_url"] for i in got[1]["ads_images"]] == sorted(f"u{i}" for i in range(20))
-    assert got[2]["ads_images"] == [] and got[2]["gallery_page"] == 0
-    split = dicts(L.images_of(page, images, per_row=5))
-    rows = [r for r in split if r["id"] == 1]
-    assert len(rows) > 1
-    assert sorted(i["image_url"] for r in rows for i in r["ads_images"]) == sorted(f"u{i}" for i in range(20))
-    assert {(r["id"], r["image_url"]) for r in dicts(L.ad_image_rows(ads, images))} == {
-        (1, f"u{i}") for i in range(20)} | {(2, None)}
+def test_images_are_one_row_each_in_the_listings_order(tables):
+    ads = tables("ads", [{"id": i, "title": "t", "status": "active", "created_at": NOW - i * DAY}
+                         for i in (1, 2, 3)])
+    images = tables("ads_images", [{"id": i, "ad_id": 3, "image_url": f"u{i:04}"} for i in range(2500)]
+                    + [{"id": 9990, "ad_id": 7, "image_url": "other"}, {"id": 9991, "ad_id": 1, "image_url": "x"}])
+    got = [(r["id"], r["image_url"]) for r in dicts(L.images_of(L.active_ads(ads), images))]
+    assert got == [(1, "x"), (2, None)] + [(3, f"u{i:04}") for i in range(2500)]
+    got = {(r["id"], r["image_url"]) for r in dicts(L.ad_image_rows(ads, images))}
+    assert got == {(1, "x"), (2, None)} | {(3, f"u{i:04}") for i in range(2500)}
 
 
 def test_service_sorts_and_filters(tables):
@@ -187,14 +182,3 @@ def test_constraint_checks(tables):
     assert nulls == {"user_id": 2, "status": 1}
     filled = Q.with_defaults(subs, {"status": F.lit("pending"), "auto_renew": F.lit(False)})
     assert by(filled, "id")[5]["status"] == "pending"
-
-
-def test_delete_policies(tables):
-    subs = tables("subscriptions", [{"id": 1, "user_id": "u", "package_id": 1, "payment_id": 5},
-                                    {"id": 2, "user_id": "v", "package_id": 1, "payment_id": 6}])
-    packages = tables("packages", [{"id": 1}, {"id": 2}])
-    ids = tables.rows("id long", [(1,), (2,)])
-    assert set(by(Q.delete_packages_safely(packages, ids, subs), "id")) == {1}
-    assert {i: r["payment_id"] for i, r in by(
-        Q.payments_deleted(subs, tables.rows("id long", [(5,)])), "id").items()} == {1: None, 2: 6}
-    assert set(by(Q.users_deleted(subs, tables.rows("id string", [("u",)])), "id")) == {2}
