@@ -17,9 +17,14 @@ SMALL_PAGE = 10_000
 
 # --- users ------------------------------------------------------------------------
 
-def places_and_services(providers: DataFrame, services: DataFrame) -> DataFrame:
+def places_and_services(providers: DataFrame, services: DataFrame,
+                        narrowed: bool = False) -> DataFrame:
     """Places and services per owner. Services are counted per place first, so a
-    place with most of the services reaches the join as one row."""
+    place with most of the services reaches the join as one row. `narrowed`: `providers` are
+    some owners' places, and only their services are counted."""
+    if narrowed:
+        services = services.join(providers.select(F.col("id").alias("provider_id")), "provider_id",
+                                 "left_semi")
     per_place = services.groupBy(F.col("provider_id").alias("id")).agg(F.count("*").alias("n"))
     places = providers.filter(F.col("user_id").isNotNull()).select("id", "user_id")
     return places.join(per_place, "id", "left").groupBy("user_id").agg(
@@ -41,7 +46,7 @@ def users_with_stats(profiles: DataFrame, providers: DataFrame, services: DataFr
     people = profiles.select(F.col("id").alias("user_id"), "full_name", "role", "email")
     names = packages.select(F.col("id").alias("package_id"), F.col("name").alias("package_name"))
     package = latest_entitlement(basis, source, packages, as_of).join(names, "package_id", "left")
-    owned = places_and_services(providers, services)
+    owned = places_and_services(providers, services, user_id is not None)
     return people.join(package, "user_id", "left").join(owned, "user_id", "left").select(
         "user_id", "full_name", "role", "email", "package_id", "package_name", "started_at",
         "expires_at", F.coalesce("places_count", F.lit(0)).alias("places_count"),

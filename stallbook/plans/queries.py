@@ -337,7 +337,8 @@ def expiry_stream(m):
     SE.sweep_stream(event_stream(m), lambda: m.subscriptions, lambda: AS_OF, save,
                     f"{run}/progress").awaitTermination()
     columns = m.subscriptions.schema
-    return SE.latest_versions(m.spark.read.schema(columns).parquet(f"{run}/expired"))
+    expired = m.spark.read.schema(columns).parquet(f"{run}/expired").select(*columns.names)
+    return SE.latest_versions(expired)
 
 
 # --- reports ----------------------------------------------------------------------------
@@ -820,6 +821,216 @@ def record_visits(m):
     return B.record_visits(m.visits, requests, AS_OF_VISITS, cut=keep).results
 
 
+# --- one user, one page, one place; forms; policies; deletes -------------------------------
+
+ONE_USER, ONE_ADMIN, ONE_PLACE = 40, 20, 7
+
+
+@query
+def user_stats_of_one(m):
+    return R.users_with_stats(m.user_profiles, m.providers, m.services, "subscriptions", m.subscriptions,
+                              m.packages, AS_OF, user_id=ONE_USER)
+
+
+@query
+def visits_of_one_page(m):
+    return W.page_visits(m.visits, f"/place/{ONE_PLACE}", AS_OF_VISITS)
+
+
+@query
+def visits_of_listed_pages(m):
+    pages = W.pages_frame(m.spark, ["/place/7", "/service/3", "/none"])
+    return W.pages_visits(pages, m.visits, AS_OF_VISITS).withColumn("position", F.col("position").cast("int"))
+
+
+def _services_of_place(sort: str) -> Query:
+    return lambda m: L.services_of_provider(m.services, ONE_PLACE, only="online", sort=sort)
+
+
+QUERIES |= {f"services_of_place_{sort}": _services_of_place(sort)
+            for sort in ("latest", "price_asc", "price_desc")}
+
+
+@query
+def package_cards_of_one(m):
+    entitled = E.user_package(users(m), "subscriptions", m.subscriptions, m.packages, AS_OF)
+    states = L.package_cards(m.packages, entitled, L.pending_packages(m.subscriptions, ONE_USER))
+    return L.package_cards_of(m.packages, states, ONE_USER)
+
+
+@query
+def provider_by_id(m):
+    return L.by_id(m.providers, ONE_PLACE, L.CARD)
+
+
+@query
+def place_cards(m):
+    return L.projection(m.providers, [c for c in L.PLACE_CARD if c in m.providers.columns])
+
+
+@query
+def package_terms(m):
+    return L.projection(m.packages, [c for c in L.PACKAGE_CARD if c in m.packages.columns
+                                     and not c.endswith("_limit")])
+
+
+@query
+def fallback_places(m):
+    return L.fallback_rows(m.providers, ["id", "name", "city", "category", "status", "created_at"], "active")
+
+
+@query
+def fallback_services(m):
+    return L.fallback_rows(m.services, L.SERVICE_DETAIL)
+
+
+@query
+def known_tables(m):
+    return T.known_tables(m.spark, m.tables())
+
+
+def _of_two(m: Market, rows_of) -> DataFrame:
+    frames = [rows_of(p).withColumn("principal", F.lit(p).cast("bigint")) for p in (ONE_ADMIN, ONE_USER)]
+    return frames[0].unionByName(frames[1])
+
+
+@query
+def subscriptions_seen_by_two(m):
+    return _of_two(m, lambda p: X.visible_rows(
+        "subscriptions", m.subscriptions, m.user_profiles, p).select("id", "user_id"))
+
+
+@query
+def subscriptions_written_by_two(m):
+    def written(principal):
+        parts = [X.writable_rows(a, m.subscriptions, m.user_profiles, principal).select(
+            F.lit(a).alias("action"), "id") for a in ("insert", "update", "delete")]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    return _of_two(m, written)
+
+
+@query
+def profile_seen_by_owner(m):
+    return X.visible_rows("user_profiles", m.user_profiles, m.user_profiles, ONE_USER).select(
+        "id", "full_name")
+
+
+@query
+def payment_instructions_json(m):
+    return R.payment_instructions(m.packages, m.payment_settings).select("package_id", "item")
+
+
+@query
+def create_profiles(m):
+    return creation(m).state["user_profiles"].select("id", "full_name", "role")
+
+
+@query
+def create_payment_info(m):
+    change = C.create(m.subscriptions, m.packages, m.providers, m.user_profiles, creation_requests(m),
+                      AS_OF, settings=m.payment_settings, cut=keep)
+    return change.results.filter("ok").select("request_id", "payment_info.bank_name",
+                                              "payment_info.bank_account")
+
+
+def standalone(m: Market) -> B.Change:
+    requests = m.favorites.select(
+        F.col("id").alias("request_id"), "user_id",
+        F.concat(F.lit("service "), F.col("id").cast("string")).alias("name"))
+    return B.append_standalone_services(m.providers, m.services, requests, AS_OF)
+
+
+@query
+def standalone_providers(m):
+    return standalone(m).state["providers"].select("id", "name", "user_id", "status")
+
+
+@query
+def standalone_services(m):
+    return standalone(m).state["services"].select("id", "provider_id", "name")
+
+
+@query
+def default_packages(m):
+    admin = m.user_profiles.filter(P.is_admin()).agg(F.min("id")).scalar()
+    requests = B.default_packages(m.spark).withColumn("actor_id", admin)
+    return B.upsert_packages(m.packages, m.user_profiles, requests, AS_OF).state["packages"].select(
+        "id", "name", "price", "duration_days", "max_places", "priority_weight", "is_active", "description")
+
+
+@query
+def toggle_packages(m):
+    ids = m.user_profiles.select(F.col("id").alias("request_id"), F.col("id").alias("actor_id"),
+                                 F.expr("id % 25").alias("id"))
+    requests = B.toggle_requests(m.packages, ids)
+    return B.upsert_packages(m.packages, m.user_profiles, requests, AS_OF).state["packages"].select(
+        "id", "name", "price", "duration_days", "is_active", "description", "max_places", "priority_weight")
+
+
+@query
+def patch_services(m):
+    requests = m.subscriptions.select(
+        F.col("id").alias("request_id"), "id", F.col("notes").alias("name"),
+        F.expr("case when id % 3 = 0 then amount end").alias("price"),
+        F.expr("case when id % 2 = 0 then true end").alias("online"))
+    return B.patch_services(m.services, requests).state["table"].select(
+        "id", "provider_id", "name", "price", "online")
+
+
+@query
+def delete_services(m):
+    requests = m.subscriptions.select(F.col("id").alias("request_id"), "id")
+    return B.delete(m.services, requests).state["table"].select("id", "provider_id")
+
+
+def package_deletes(m: Market) -> B.Change:
+    requests = m.user_profiles.select(F.col("id").alias("request_id"), F.col("id").alias("actor_id"),
+                                      F.expr("id % 30").alias("id"))
+    return B.delete_packages(m.packages, m.user_profiles, requests, m.subscriptions)
+
+
+@query
+def delete_packages(m):
+    return package_deletes(m).state["packages"].select("id", "name")
+
+
+@query
+def delete_packages_results(m):
+    return package_deletes(m).results
+
+
+@query
+def delete_payments(m):
+    requests = m.user_profiles.select(F.col("id").alias("request_id"), "id")
+    return B.delete_payments(m.payments, m.subscriptions, requests).state["subscriptions"].select(
+        "id", "payment_id")
+
+
+@query
+def delete_profiles(m):
+    requests = m.user_profiles.filter(P.is_admin()).select(F.col("id").alias("request_id"), "id")
+    return B.delete_profiles(m.user_profiles, m.subscriptions, requests).state["subscriptions"].select(
+        "id", "user_id")
+
+
+@query
+def package_defaults(m):
+    defaults = {"is_active": F.lit(True), "max_places": F.lit(1), "priority_weight": F.lit(0)}
+    return Q.with_defaults(m.packages, defaults).select("id", *defaults)
+
+
+@query
+def package_forms(m):
+    forms = m.user_profiles.select(
+        F.col("id").alias("request_id"), F.col("id").alias("actor_id"), F.col("full_name").alias("name"),
+        F.col("email").alias("price"),
+        F.expr("case when id % 3 = 0 then 'x' else cast(id as string) end").alias("duration_days"),
+        F.lit("").alias("description"), F.lit("").alias("max_places"), F.lit("0").alias("priority_weight"))
+    return B.package_requests(forms).select("request_id", "name", "price",
+                                            F.col("duration_days").cast("bigint").alias("duration_days"))
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """Times of day are UTC whatever the machine's zone is."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -59,30 +59,34 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
         df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
         for name, df in sorted(tables.items())
     ]
+    if not lines:
+        raise ValueError("no tables to count")
     total = lines[0]
     for line in lines[1:]:
         total = total.unionByName(line)
     return total.orderBy("table_name")
 
 
+def known_tables(spark: SparkSession, tables: dict[str, DataFrame],
+                 names=V.OVERVIEW_TABLES) -> DataFrame:
+    """(table_name, exists, row_count) of the marketplace's known tables, sorted by name; one
+    that is not among `tables` is reported with no rows."""
+    found = row_counts({n: df for n, df in tables.items() if n in names})
+    listed = spark.createDataFrame([(n,) for n in names], "table_name string")
+    return listed.join(found, "table_name", "left").select(
+        "table_name", F.col("row_count").isNotNull().alias("exists"),
+        F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count")).orderBy("table_name")
+
+
 def overview(spark: SparkSession, root: str, names=V.OVERVIEW_TABLES) -> DataFrame:
-    """(table_name, exists, row_count) of the known tables under `root`; one that is
-    missing is reported and does not stop the rest."""
-    lines = []
-    for name in sorted(names):
-        label = F.lit(name).alias("table_name")
+    """`known_tables` of the tables under `root`; a missing one does not stop the rest."""
+    tables = {}
+    for name in names:
         try:
-            df = read_table(spark, root, name)
-            line = df.agg(F.count("*").alias("row_count")).select(
-                label, F.lit(True).alias("exists"), "row_count")
+            tables[name] = read_table(spark, root, name)
         except AnalysisException:
-            line = spark.range(1).select(label, F.lit(False).alias("exists"),
-                                         F.lit(0).cast("bigint").alias("row_count"))
-        lines.append(line)
-    total = lines[0]
-    for line in lines[1:]:
-        total = total.unionByName(line)
-    return total.orderBy("table_name")
+            continue
+    return known_tables(spark, tables, names)
 
 
 def as_json(table: DataFrame) -> DataFrame:
