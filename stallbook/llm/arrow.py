@@ -3,9 +3,12 @@
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch. Spark's own 10,000 are too many when a row is a whole text.
+BATCH_ROWS = 1000
+
 #: Makes the new columns, by name, from a column of texts.
 Make = Callable[[pa.Array], dict[str, object]]
 
@@ -14,6 +17,17 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string
           "array<string>": pa.list_(pa.string())}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let this session hand at most `BATCH_ROWS` rows at a time to Python, or what it has if less.
+
+    A batch is held by the JVM and, with what is made of it, by the Python worker beside it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(key))
+    if not 0 < given <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def with_text_columns(docs: DataFrame, text: str, made: dict[str, str],
                       make: Callable[[], Make]) -> DataFrame:
     """Add the columns `made` (name to type); a column of that name is replaced.
@@ -21,6 +35,7 @@ def with_text_columns(docs: DataFrame, text: str, made: dict[str, str],
     Only the texts go to Python and only the new columns come back. `make` is called once per
     task and gives the function that works on a batch, so that tables are built once.
     """
+    small_batches(docs.sparkSession)
     fields = [pa.field(name, _TYPES[kind]) for name, kind in made.items()]
 
     def run(batches):

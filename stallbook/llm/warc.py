@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallbook.config import keep
+from stallbook.llm.arrow import small_batches
 
 #: Magic number of the frame that holds the dictionary, and of any Zstandard frame.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -153,6 +154,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
     A task holds one archive's records at a time. The rows returned are a written table.
     """
+    small_batches(pages.sparkSession)
+
     def write(batches):
         place, root = pafs.FileSystem.from_uri(folder)
         place.create_dir(root, recursive=True)

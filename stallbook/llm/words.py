@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
@@ -116,9 +116,12 @@ def slices(column: pa.Array, lower: bool = False, blank: np.ndarray = SPACE,
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, places, bytes_ = column.buffers()
-    offsets = np.frombuffer(places, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    offsets = np.zeros(1, dtype=width) if places is None else np.frombuffer(places, dtype=width)
+    offsets = offsets[column.offset:column.offset + len(column) + 1].astype(np.int64)
     whole = np.frombuffer(bytes_, dtype=np.uint8) if bytes_ else np.zeros(0, dtype=np.uint8)
     at, n = 0, len(column)
     while at < n:
