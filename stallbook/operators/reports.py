@@ -114,8 +114,13 @@ def _page(rows: DataFrame, columns: list[str], status: str | None, limit: int |
           offset: int | None) -> tuple[DataFrame, bool]:
     """Newest rows first, cut before any lookup: lookups keep every row."""
     rows = rows.filter(P.equals_if_given("status", status)).select(*columns)
-    page = rows.orderBy(*newest("created_at"), *ascending(*columns))
-    if offset:
+    order = [*newest("created_at"), *ascending(*columns)]
+    page = rows.orderBy(*order)
+    if offset and limit is None:
+        # all but the first rows: those are few, the rest is never put through one task
+        skipped = page.limit(offset).select("id")
+        page = rows.join(skipped, "id", "left_anti").orderBy(*order)
+    elif offset:
         page = page.offset(offset)
     if limit is not None:
         page = page.limit(limit)

@@ -482,7 +482,9 @@ def visible_packages(m):
 
 @query
 def dq_status(m):
-    return Q.status_violations(m.subscriptions, m.payments)
+    wrong = F.expr("case id % 9 when 0 then 'odd' when 1 then null when 2 then 'processing' else status end")
+    return Q.status_violations(m.subscriptions.withColumn("status", wrong),
+                               m.payments.withColumn("status", wrong))
 
 
 @query
@@ -749,6 +751,17 @@ def set_user_role(m):
     return B.set_user_role(m.user_profiles, requests).state["table"]
 
 
+@query
+def touched_providers(m):
+    return B.touch(m.providers, B.approve_pending(m.providers), AS_OF).select("id", "status", "updated_at")
+
+
+@query
+def appended_activities(m):
+    rows = m.activities.withColumn("id", F.col("id") + 1000)
+    return B.append_rows(m.activities, rows).state["table"]
+
+
 @query
 def approve_pending(m):
     return B.approve_pending(m.providers).select("id", "status")

@@ -5,10 +5,13 @@ next to the old ones and entered in a log only once it is complete, so a reader
 takes the latest finished snapshot and a lost executor costs a retry, not a table.
 """
 
+from collections.abc import Mapping
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import keep
 from ..functions import fixed_values as V
 from ..functions.ordering import ascending
 from ..schemas import TABLES, schema
@@ -24,34 +27,43 @@ def read_table(spark: SparkSession, root: str, name: str, columns: list[str] | N
 
 
 def append_rows(rows: DataFrame, root: str, name: str) -> DataFrame:
-    """Append rows to a table's folder and return them."""
+    """Append rows to a table's folder and return them; they are worked out once."""
+    rows = keep(rows, name)
     rows.write.mode("append").parquet(f"{root}/{name}")
     return rows
 
 
-def write_snapshot(df: DataFrame, root: str, name: str, version: int) -> str:
-    """Write a whole table as snapshot `version`, then enter it in the table's log."""
-    path = f"{root}/{name}/v{version}"
-    df.write.mode("overwrite").parquet(path)
-    log = df.sparkSession.range(version, version + 1).select(F.col("id").alias("version"))
-    log.coalesce(1).write.mode("append").parquet(f"{root}/{name}/log")
-    return path
+_LOG = "_versions"
+
+
+def publish(state: Mapping[str, DataFrame], root: str, version: int) -> dict[str, str]:
+    """Write the new state of a change as snapshot `version` of its tables.
+
+    One log entry names them all once the last is complete, so a reader sees all of a change
+    or nothing of it.
+    """
+    paths = {name: f"{root}/{name}/v{version}" for name in state}
+    for name, path in paths.items():
+        state[name].write.mode("overwrite").parquet(path)
+    spark = next(iter(state.values())).sparkSession
+    entry = spark.createDataFrame([(version, sorted(paths))], "version bigint, tables array<string>")
+    entry.coalesce(1).write.mode("append").parquet(f"{root}/{_LOG}")
+    return paths
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
-    """A table's latest finished snapshot, or a given one."""
+    """A table's latest finished snapshot, up to a given version."""
+    log = spark.read.schema("version bigint, tables array<string>").parquet(f"{root}/{_LOG}")
+    done = log.filter(F.array_contains("tables", name))
+    if version is not None:
+        done = done.filter(F.col("version") <= version)
+    version = done.agg(F.max("version")).first()[0]
     if version is None:
-        log = spark.read.schema("version bigint").parquet(f"{root}/{name}/log")
-        version = log.agg(F.max("version")).first()[0]
+        raise ValueError(f"no finished snapshot of {name}")
     reader = spark.read.schema(schema(name)) if name in TABLES else spark.read
     return reader.parquet(f"{root}/{name}/v{version}")
 
 
-def publish(state: dict[str, DataFrame], root: str, version: int) -> dict[str, str]:
-    """Write the new state of a change, one snapshot per table."""
-    return {name: write_snapshot(df, root, name, version) for name, df in state.items()}
-
-
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, row_count) per table, sorted by name. Counts are exact; Parquet
     answers them from file footers without reading columns."""

@@ -87,6 +87,7 @@ def test_subscription_pages(tables):
     assert ids(status="active") == [2, 4]
     assert ids(limit=2, offset=1) == [2, 3]
     assert ids(limit=None, offset=None) == [1, 2, 3, 4]
+    assert ids(limit=None, offset=1) == [2, 3, 4]
     assert ids(limit=0) == []
     waiting = dicts(R.pending_subscriptions("subscriptions", subs, people, packages, tables("payments", [])))
     assert [(r["subscription_id"], r["user_name"]) for r in waiting] == [(1, "U"), (3, "U")]

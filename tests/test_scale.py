@@ -112,10 +112,10 @@ def test_limits_are_distributed_top_k(spark):
 def test_no_query_has_a_cross_join_or_python(spark):
     m = Market(spark, FOLDER)
     for name, fn in QUERIES.items():
-        if name == "visits_stream":
+        if "_stream" in name:
             continue
         text = plan(fn(m))
-        for bad in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
                     "FlatMapGroupsInPandas"):
             assert bad not in text, (name, bad)
 

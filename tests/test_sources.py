@@ -1,3 +1,4 @@
+import pytest
 from conftest import NOW, by, dicts
 
 from stallbook.functions import fixed_values as V
@@ -44,9 +45,12 @@ def test_snapshots(spark, tables, tmp_path):
     first = tables("packages", [{"id": 1, "name": "a", "duration_days": 1}])
     T.publish({"packages": first}, root, 1)
     second = tables("packages", [{"id": 1, "name": "b", "duration_days": 1}])
-    T.publish({"packages": second}, root, 2)
+    T.publish({"packages": second, "activities": tables("activities", [{"id": 1, "name": "x"}])}, root, 2)
     # a snapshot that was never finished is not in the log
     first.write.parquet(f"{root}/packages/v3")
+    assert T.read_snapshot(spark, root, "activities", 5).count() == 1
+    with pytest.raises(ValueError, match="no finished snapshot"):
+        T.read_snapshot(spark, root, "activities", 1)
     assert dicts(T.read_snapshot(spark, root, "packages"), "name") == [{"name": "b"}]
     assert dicts(T.read_snapshot(spark, root, "packages", 1), "name") == [{"name": "a"}]
 
