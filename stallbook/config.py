@@ -69,14 +69,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _kept_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/stallbook-{spark.sparkContext.applicationId}"
+
+
 def keep(df: DataFrame, name: str = "rows") -> DataFrame:
     """Write `df` as Parquet to the shared folder and return the written table.
 
     A `cut` like `settle`, for frames that are large or joined again: columns can be
     pruned, Spark knows the size, and both sides of a later join are plain scans, so
-    adaptive execution can broadcast a small one and split a skewed one.
+    adaptive execution can broadcast a small one and split a skewed one. The tables stay
+    until `forget`, as results that are not written yet may still read them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stallbook-{uuid.uuid4().hex}/{name}"
+    path = f"{_kept_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove what this application has kept, once the results built on it are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_kept_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -65,3 +65,18 @@ def test_settle_gives_the_same_rows(tables):
 
     df = tables("ads", [{"id": 1, "created_at": NOW}])
     assert dicts(settle(df)) == dicts(df)
+
+
+def test_kept_tables_stay_until_forgotten(spark, tables):
+    import os
+
+    from stallbook.config import forget, keep, shared_folder
+
+    kept = keep(tables("ads", [{"id": 1, "title": "t"}]), "ads")
+    assert dicts(kept, "id") == [{"id": 1}]
+    root = shared_folder(spark).removeprefix("file:")
+    folder = os.path.join(root, f"stallbook-{spark.sparkContext.applicationId}")
+    assert os.listdir(folder)
+    forget(spark)
+    assert not os.path.exists(folder)
+    forget(spark)
