@@ -1,11 +1,14 @@
 """Columns made from a text column by numpy code over Arrow batches."""
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: Rows of an Arrow batch. Spark's own 10,000 are too many when a row is a whole text.
 BATCH_ROWS = 1000
 
@@ -17,15 +20,22 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string
           "array<string>": pa.list_(pa.string())}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let this session hand at most `BATCH_ROWS` rows at a time to Python, or what it has if less.
+def ready(spark: SparkSession) -> None:
+    """Prepare the session for numpy code: call it before a plan that runs Python is made.
 
-    A batch is held by the JVM and, with what is made of it, by the Python worker beside it.
+    At most `BATCH_ROWS` rows go to Python at a time, or what the session has if less: a batch is
+    held by the JVM and, with what is made of it, by the Python worker beside it. And Python
+    workers on this machine find the library wherever the program was started; on a cluster it
+    is shipped as any Python code is.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     given = int(spark.conf.get(key))
     if not 0 < given <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
 def with_text_columns(docs: DataFrame, text: str, made: dict[str, str],
@@ -35,7 +45,7 @@ def with_text_columns(docs: DataFrame, text: str, made: dict[str, str],
     Only the texts go to Python and only the new columns come back. `make` is called once per
     task and gives the function that works on a batch, so that tables are built once.
     """
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     fields = [pa.field(name, _TYPES[kind]) for name, kind in made.items()]
 
     def run(batches):
@@ -47,8 +57,6 @@ def with_text_columns(docs: DataFrame, text: str, made: dict[str, str],
             yield pa.StructArray.from_arrays(
                 [c.cast(f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
 
-    from collections.abc import Iterator
-
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(run, ", ".join(f"`{n}` {k}" for n, k in made.items()))
     rest = [c for c in docs.columns if c not in made]

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallbook.llm.arrow import small_batches, with_text_columns
+from stallbook.llm.arrow import ready, with_text_columns
 from stallbook.llm.sampling import fold, per_class
 from stallbook.llm.words import slices
 
@@ -129,7 +129,7 @@ def train(docs: DataFrame, per_language: int = 300, most_rows: int = 4000) -> Mo
     `docs` has doc_id, text and lang. The tasks make the features; the driver gets them for the
     sampled rows alone, so its memory is bounded by `most_rows` however large the corpus.
     """
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages = max(1, known.select("lang").distinct().count())
     sample = per_class(known, "lang", max(1, min(per_language, most_rows // languages)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallbook.config import keep
-from stallbook.llm.arrow import small_batches
+from stallbook.llm.arrow import ready
 from stallbook.llm.words import Slice, sequences, slices
 
 LEAST = 40
@@ -61,7 +61,7 @@ def _fingerprints(docs: DataFrame, least: int) -> DataFrame:
                      pa.array(last.astype(np.int32))],
                     ["doc_id", "text_hash", "print", "content", "first", "last"])
 
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.where(F.col("text").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallbook.config import keep
-from stallbook.llm.arrow import small_batches
+from stallbook.llm.arrow import ready
 from stallbook.llm.graph import components
 from stallbook.llm.words import mix, seeds, sequences, shingle_sets, slices
 
@@ -75,7 +75,7 @@ def measure(docs: DataFrame) -> DataFrame:
                      pa.array([row.tobytes() for row in signed], pa.binary())],
                     ["doc_id", "key", "key2", "n_words", "n_shingles", "signature"])
 
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, key long, key2 long, n_words long, n_shingles long, "

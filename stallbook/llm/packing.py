@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallbook.config import keep
+from stallbook.llm.arrow import ready
 
 #: Permitted sequence lengths in words, and their costs: a part for every sequence, one that
 #: grows with its length, and one for attention that grows with the square.
@@ -90,6 +91,7 @@ def pack(docs: DataFrame, size: Column, costs: Mapping[int, float] = LENGTHS,
     Rows with the same doc_id are packed each by itself; equal ones are interchangeable. A null
     doc_id is dealt by its size. An empty table gives an empty one.
     """
+    ready(docs.sparkSession)
     parts = keep(pieces(docs, F.coalesce(size, F.lit(0)), max(costs)), "pieces")
     shards = max(1, -(-parts.where("n_words > 0").count() // shard))
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_words"),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallbook.llm.arrow import small_batches, with_text_columns
+from stallbook.llm.arrow import ready, with_text_columns
 from stallbook.llm.words import Slice, mix, runs, slices
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -146,7 +146,7 @@ def costs(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES,
     The sample is the rows whose text hash falls in the needed share of all hashes, so it is
     the same at every run; one row per task and rule comes back for it. Empty input: no rows.
     """
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     total = docs.count()
     if not total:
         return []

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallbook.config import keep
-from stallbook.llm.arrow import small_batches
+from stallbook.llm.arrow import ready
 
 CELLS = 64
 #: Rows of a block, of vectors and of queries, and vectors of a group.
@@ -86,7 +86,7 @@ def _packed(rows: DataFrame, block: int, name: str) -> DataFrame:
     """Rows of vec_id and v in blocks of about `block`, dealt by id so that every run has the
     same: block number b, length of the vectors, ids and numbers as bytes. A written table."""
     blocks = max(1, -(-rows.count() // block))
-    small_batches(rows.sparkSession)
+    ready(rows.sparkSession)
 
     def pack(batches):
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallbook.config import keep
-from stallbook.llm.arrow import small_batches
+from stallbook.llm.arrow import ready
 
 #: Magic number of the frame that holds the dictionary, and of any Zstandard frame.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -154,7 +154,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
     A task holds one archive's records at a time. The rows returned are a written table.
     """
-    small_batches(pages.sparkSession)
+    ready(pages.sparkSession)
 
     def write(batches):
         place, root = pafs.FileSystem.from_uri(folder)
@@ -193,6 +193,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 
     Archives are bounded in size, so a task holds one at a time.
     """
+    ready(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
 
     def read(batches):
