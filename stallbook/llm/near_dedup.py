@@ -12,9 +12,12 @@ both. Steps:
    prefix. How deep that prefix is depends on the region: where few classes share `DEPTH`
    values the neighbours are all of them, in a crowded region they share many more. A pair
    is a candidate if its signatures agree in `NEAR` of the values or more.
-4. Candidates tie classes into clusters. Within a cluster all pairs are compared on their
-   full sets, so what two crowded neighbours hide from each other is found here: a cluster
-   is cut into chunks and every two chunks meet in a task of bounded size.
+4. Candidates tie classes into clusters, and what two crowded neighbours hide from each other
+   is found within these, on full sets. A cluster is cut into chunks of bounded size. All
+   pairs of a chunk are compared; then the text with the most links in a chunk, its hub, is
+   compared with a few other chunks, which ties what is dense into one component. What is
+   left outside a cluster's largest component is compared with the whole cluster, block by
+   block. Two texts of the largest component need no comparison: they are connected.
 
 Links are exact. A link is missed only if its pair never comes into one cluster; two classes
 that share 75 % of their shingles, alone in their regions, miss each other in all trees
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallbook.config import keep
@@ -157,8 +160,8 @@ def candidates(classes: DataFrame) -> DataFrame:
             .where("a <> b").distinct())
 
 
-def _linked(ids: list, found: list[np.ndarray]) -> list[tuple]:
-    """A spanning forest of the links among some shingle sets.
+def _linked(ids: list, found: list[np.ndarray]) -> tuple[list[tuple], object]:
+    """A spanning forest of the links among some shingle sets, and the id with the most links.
 
     Shared shingles are counted for all pairs at once, by products of 0/1 matrices over a
     bounded number of columns at a time.
@@ -178,7 +181,9 @@ def _linked(ids: list, found: list[np.ndarray]) -> list[tuple]:
         part[row[a:b], new[a:b] - low] = 1
         common += part @ part.T
     both = sizes[:, None] + sizes[None, :] - common
-    link = np.triu(100 * common >= PERCENT * both, 1)
+    link = 100 * common >= PERCENT * both
+    hub = ids[int(link.sum(1).argmax())]
+    link = np.triu(link, 1)
     root = list(range(n))
 
     def top(i: int) -> int:
@@ -193,17 +198,19 @@ def _linked(ids: list, found: list[np.ndarray]) -> list[tuple]:
         if x != y:
             root[max(x, y)] = min(x, y)
             out.append((ids[i], ids[j]))
-    return out
+    return out, hub
 
 
 def _tiles(batches) -> Iterator[pa.RecordBatch]:
-    """Links within each tile of rows sorted by tile; holds one tile's sets at a time."""
+    """Links within each tile of rows sorted by tile, and the tile's hub, the text with the most
+    links, beside a null. Holds one tile's sets at a time."""
     tile, ids, sets, kind = None, [], [], None
 
     def done():
-        pairs = _linked(ids, sets)
+        pairs, hub = _linked(ids, sets)
         return pa.RecordBatch.from_arrays(
-            [pa.array([p[k] for p in pairs], kind) for k in (0, 1)], ["a", "b"])
+            [pa.array([p[0] for p in pairs] + [hub], kind),
+             pa.array([p[1] for p in pairs] + [None], kind)], ["a", "b"])
 
     for batch in batches:
         kind = batch.column("node").type
@@ -223,22 +230,58 @@ def _tiles(batches) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _compared(rows: DataFrame, i: str, j: str, name: str) -> DataFrame:
+    """Links and hubs of the tiles (cluster, i, j), as a written table of a and b."""
+    kind = rows.schema["node"].dataType.simpleString()
+    tiles = rows.select("cluster", F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j"),
+                        "node", "text")
+    return keep(tiles.repartition("cluster", "i", "j")
+                .sortWithinPartitions("cluster", "i", "j", "node")
+                .mapInArrow(_tiles, f"a {kind}, b {kind}"), name)
+
+
+def _every(count: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+
 def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A spanning forest of the true links within the clusters that candidate pairs make."""
-    kind = classes.schema["node"].dataType.simpleString()
+    """Links (a, b) that connect what is truly linked in the clusters that the pairs make."""
     clusters = keep(components(pairs).join(classes.select("node", "n_shingles"), "node")
-                    .select("node", F.col("component").alias("cluster"), "n_shingles"), "clusters")
+                    .groupBy("node", F.col("component").alias("cluster"))
+                    .agg(F.sum("n_shingles").alias("n_shingles")), "clusters")
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK_TEXTS, F.sum("n_shingles") / CHUNK_SHINGLES))
     sizes = keep(clusters.groupBy("cluster").agg(chunks.cast("long").alias("chunks")), "sizes")
     dealt = clusters.join(sizes, "cluster").withColumn(
-        "own", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(dealt, "node")
-    tiles = texts.withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
-        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "node", "text")
-    return (tiles.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-            .mapInArrow(_tiles, f"a {kind}, b {kind}"))
+        "own", F.pmod(F.xxhash64("node"), F.col("chunks"))).drop("n_shingles")
+    texts = keep(docs.select(F.col("doc_id").alias("node"), "text").join(dealt, "node"), "texts")
+    found = _compared(texts, "own", "own", "links_in_chunks")
+    large = texts.where("chunks > 1")
+    if not large.isEmpty():
+        found = found.unionByName(_across_chunks(large, found))
+    return found.where("b IS NOT NULL AND a <> b")
+
+
+def _across_chunks(large: DataFrame, found: DataFrame) -> DataFrame:
+    """Links across the chunks of clusters that have several. `found`: links and hubs in chunks."""
+    hubs = large.join(found.where("b IS NULL").select(F.col("a").alias("node")).distinct(), "node")
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.col("chunks").cast("double"))).cast("int"))
+    sent = hubs.withColumn("step", F.explode(steps)).withColumn(
+        "own", F.pmod(F.col("own") + F.pow(F.lit(2), "step").cast("long"), F.col("chunks")))
+    met = _compared(large.unionByName(sent.drop("step")), "own", "own", "links_of_hubs")
+    tied = components(found.unionByName(met).where("b IS NOT NULL"))
+    placed = keep(large.drop("text").join(tied, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")), "tied")
+    largest = placed.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy(
+        "cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    rest = keep(placed.join(largest, "cluster").where("component <> largest"), "rest")
+    blocks = keep(rest.groupBy("cluster").agg(
+        F.ceil(F.count("*") / CHUNK_TEXTS).cast("long").alias("blocks")), "blocks")
+    left = rest.select("node", "chunks").join(large.drop("chunks"), "node").join(
+        blocks, "cluster").select("cluster", "node", "text", F.pmod(
+            F.xxhash64(F.lit(1), "node"), F.col("blocks")).alias("i"), _every("chunks").alias("j"))
+    whole = large.join(blocks, "cluster").select(
+        "cluster", "node", "text", _every("blocks").alias("i"), F.col("own").alias("j"))
+    return met.unionByName(_compared(left.unionByName(whole), "i", "j", "links_of_rest"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -255,7 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = rows.where("n_words > 0")
     classes = keep(full.groupBy("key", "key2").agg(F.min("doc_id").alias("node")), "classes")
     signed = keep(full.where(f"n_words >= {SHINGLE}").join(
-        classes, ["key", "key2"]).where("doc_id = node").dropDuplicates(["node"]).select(
+        classes, ["key", "key2"]).where("doc_id = node").dropDuplicates(["key", "key2"]).select(
         "node", "n_shingles", "signature"), "signed")
     found = components(keep(links(docs, signed, candidates(signed)), "links"))
     reached = keep(classes.join(found, "node", "left").select(
