@@ -21,7 +21,8 @@ both. Steps:
 
 Links are exact. A link is missed only if its pair never comes into one cluster; two classes
 that share 75 % of their shingles, alone in their regions, miss each other in all trees
-with a probability of 5 in a million.
+with a probability of 5 in a million. Neighbours on the border of two sorted partitions are not
+compared in that tree, only in the others.
 """
 
 from collections.abc import Iterator
