@@ -10,12 +10,12 @@ import corpus_pipeline
 from stallbook.config import shared_folder
 from stallbook.llm import (
     language_id,
-    line_dedup,
     mixing,
     near_dedup,
     oracle,
     packing,
     quality_rules,
+    run_dedup,
     toxicity,
     url_filters,
     vector_search,
@@ -96,7 +96,7 @@ def op8_vector_search(spark: SparkSession, folder: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the runs of 40 words or more that an earlier one has too."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs)
+    return run_dedup.dedup_runs(docs)
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
