@@ -63,27 +63,28 @@ def signatures(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, class key (two hashes of the words), n_words, n_shingles and signature bytes."""
+    """doc_id, text_hash, class key (two hashes of the words), n_words, n_shingles and signature
+    bytes."""
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for part in slices(batch.column(1), lower=True):
+            ids, texts = batch.column(0), batch.column(1)
+            for part in slices(batch.column(2), lower=True):
                 words, spans, counts = part.words(), part.spans(), part.counts()
                 found, bounds = shingle_sets(part, SHINGLE)
                 signed = signatures(found, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(part.first, part.size),
+                    [ids.slice(part.first, part.size), texts.slice(part.first, part.size),
                      pa.array(sequences(words, spans[:-1], spans[1:]).view(np.int64)),
                      pa.array(sequences(mix(words ^ _OTHER), spans[:-1], spans[1:]).view(np.int64)),
                      pa.array(counts), pa.array(np.diff(bounds)),
                      pa.array([row.tobytes() for row in signed], pa.binary())],
-                    ["doc_id", "key", "key2", "n_words", "n_shingles", "signature"])
+                    ["doc_id", "text_hash", "key", "key2", "n_words", "n_shingles", "signature"])
 
     ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, key long, key2 long, n_words long, n_shingles long, "
-             "signature binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, f"doc_id {kind}, text_hash long, key long, key2 long, n_words long, "
+             "n_shingles long, signature binary")
 
 
 def _signed(batch: pa.RecordBatch) -> np.ndarray:
@@ -247,14 +248,16 @@ def _every(count: str) -> Column:
 
 def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links (a, b) that connect what is truly linked in the clusters that the pairs make."""
-    clusters = keep(components(pairs).join(classes.select("node", "n_shingles"), "node")
-                    .groupBy("node", F.col("component").alias("cluster"))
-                    .agg(F.sum("n_shingles").alias("n_shingles")), "clusters")
+    clusters = keep(components(pairs).withColumnRenamed("component", "cluster").join(
+        classes.select("node", "id", "n_shingles"), "node"), "clusters")
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK_TEXTS, F.sum("n_shingles") / CHUNK_SHINGLES))
     sizes = keep(clusters.groupBy("cluster").agg(chunks.cast("long").alias("chunks")), "sizes")
     dealt = clusters.join(sizes, "cluster").withColumn(
         "own", F.pmod(F.xxhash64("node"), F.col("chunks"))).drop("n_shingles")
-    texts = keep(docs.select(F.col("doc_id").alias("node"), "text").join(dealt, "node"), "texts")
+    fetched = docs.select("doc_id", F.xxhash64("text").alias("node"), "text").join(
+        dealt, "node").where(F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    texts = keep(fetched.where("doc_id IS NOT NULL").unionByName(
+        fetched.where("doc_id IS NULL").dropDuplicates(["node"])).drop("doc_id"), "texts")
     found = _compared(texts, "own", "own", "links_in_chunks")
     large = texts.where("chunks > 1")
     if not large.isEmpty():
@@ -285,35 +288,69 @@ def _across_chunks(large: DataFrame, found: DataFrame) -> DataFrame:
     return met.unionByName(_compared(left.unionByName(whole), "i", "j", "links_of_rest"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of `docs` (doc_id, text).
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept, and for kept rows of a component
+    without any id, `lone`, for every row of `docs`.
 
-    A-Z count as a-z. component_id is the smallest doc_id that links reach, kept says whether
-    it is the row's own. A text of one to four words has its whole sequence as one shingle.
-    Null texts and those without words have no shingle and link with nothing, not even with
-    each other. Rows with the same doc_id and the same words are one document and are kept or
-    dropped together. A row without doc_id reaches what its words reach; alone it has the null
-    component and is kept. An empty table gives an empty one.
+    A class is the node with the hash of one of its texts, that of the smallest id, or of none
+    where no row of the class has an id. So texts of one doc_id are nodes of their own, and
+    classes without id are compared as all others. Of a component the class with the smallest id
+    is kept, of several the one with the smallest hash.
     """
     rows = keep(measure(docs), "measured")
     full = rows.where("n_words > 0")
-    classes = keep(full.groupBy("key", "key2").agg(F.min("doc_id").alias("node")), "classes")
-    signed = keep(full.where(f"n_words >= {SHINGLE}").join(
-        classes, ["key", "key2"]).where("doc_id = node").dropDuplicates(["key", "key2"]).select(
-        "node", "n_shingles", "signature"), "signed")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                          F.col("text_hash").alias("node")))
+    classes = keep(full.groupBy("key", "key2").agg(best.alias("best")).select(
+        "key", "key2", "best.id", "best.node"), "classes")
+    signed = keep(full.where(f"n_words >= {SHINGLE}").join(classes, ["key", "key2"]).where(
+        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("node")))
+        .select("node", "id", "n_shingles", "signature").dropDuplicates(["node"]), "signed")
     found = components(keep(links(docs, signed, candidates(signed)), "links"))
-    reached = keep(classes.join(found, "node", "left").select(
-        F.col("key").alias("k"), F.col("key2").alias("k2"),
-        F.coalesce("component", "node").alias("reached")), "reached")
+    tied = keep(classes.join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")), "tied")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
+    firsts = keep(tied.groupBy("component").agg(first.alias("first")), "firsts")
+    reached = keep(tied.join(firsts, "component").select(
+        F.col("key").alias("k"), F.col("key2").alias("k2"), F.col("first.id").alias("reached"),
+        F.col("first.node").alias("kept_node"),
+        (F.col("first.node") == F.col("node")).alias("leads")), "reached")
     same = (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k2")) & (F.col("n_words") > 0)
-    component = F.when(F.col("n_words") > 0, F.col("reached")).otherwise(F.col("doc_id"))
-    return (rows.select("doc_id", "key", "key2", "n_words", "n_shingles")
-            .join(reached, same, "left")
-            .select("doc_id", "n_shingles", component.alias("component_id"),
-                    F.col("doc_id").eqNullSafe(component).alias("kept")))
+    worded = F.col("n_words") > 0
+    kept = F.when(worded, F.col("leads") & F.col("doc_id").eqNullSafe(F.col("reached"))).otherwise(True)
+    return (rows.drop("signature").join(reached, same, "left").select(
+        "doc_id", "text_hash", "n_shingles",
+        F.when(worded, F.col("reached")).otherwise(F.col("doc_id")).alias("component_id"),
+        kept.alias("kept"), F.when(worded & F.col("reached").isNull() & F.col("leads"),
+                                   F.col("kept_node")).alias("lone")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of `docs` (doc_id, text).
+
+    A-Z count as a-z. component_id is the smallest doc_id that links reach, kept says whether
+    the row's words are those that stay of it. A text of one to four words has its whole sequence
+    as one shingle. Null texts and those without words have no shingle and link with nothing, not
+    even with each other. Rows with the same doc_id and the same words are one document and are
+    kept or dropped together; other texts of that doc_id are documents of their own. A row
+    without doc_id reaches what its words reach; a component without any id is null, and its rows
+    with the words that stay are all `kept`, of which `dedup` takes one. An empty table gives an
+    empty one.
+    """
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose document is kept: one of every component."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of `docs` whose document is kept: one of every component.
+
+    Where no row of a component has an id, one row of the text that stays, the same at every run.
+    """
+    kept = keep(_judged(docs).where("kept").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "lone").distinct(), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    stay = docs.join(kept.where("lone IS NULL"), same, "left_semi")
+    lone = kept.where("lone = __hash")
+    row = F.struct(*docs.columns)
+    one = (docs.where("doc_id IS NULL").join(lone.select("__hash"), F.xxhash64("text") == F.col("__hash"))
+           .groupBy("__hash").agg(F.min_by(row, F.md5(F.to_json(row))).alias("row")).select("row.*"))
+    return stay.unionByName(one)

@@ -84,6 +84,20 @@ def test_repeated_rows_null_ids_and_clashing_names(spark, documents):
     assert n.near_duplicates(empty).collect() == n.dedup(empty).collect() == []
 
 
+def test_rows_are_told_apart_by_their_words(spark, documents):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(3, text("b")), (5, text("a")), (5, text("b")), (5, text("b") + " z"), (6, text("A")),
+            (None, text("c")), (None, text("c")), (None, text("c") + " z"), (None, text("d")),
+            (8, text("d") + " z"), (9, text("e")), (9, text("e") + " z"), (None, "few words"),
+            (None, "few words"), (None, None), (None, None), (None, " "), (10, "")]
+    got = sorted((str(r.doc_id), (r.text or "")[:1]) for r in n.dedup(documents(rows)).collect())
+    assert got == [("10", ""), ("3", "b"), ("5", "a"), ("8", "d"), ("9", "e"),
+                   ("None", ""), ("None", ""), ("None", " "), ("None", "c"), ("None", "f")]
+    long = " ".join(f"w{i}" for i in range(40))
+    same = documents([(5, long), (5, long), (9, long + " z"), (None, long)])
+    assert n.dedup(same).count() == 2
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [
         (5000, 4000), (4000, 5000), (7, 7), (None, 3), (9000, 8000), (8500, 8000), (8500, 9100)]
