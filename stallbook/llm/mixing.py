@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from stallbook.config import keep
 
 _WORD = r"[^\x20\x09-\x0D]+"
-#: Hex digits of the order key that each narrowing step of the seeded order reads.
-_DIGITS = 3
+#: Hex digits of the order key that the narrowing steps of the seeded order have read, each three
+#: more: two steps in the id's 32 digits, two in the text's.
+_DIGITS = (3, 6, 35, 38)
 
 
 def word_count(text: Column) -> Column:
@@ -25,9 +26,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    """Where a document stands in the seeded order of its source."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def order_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """Where a document stands in the seeded order of its source: by its id, then its text."""
+    by_id = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    return F.concat(by_id, F.md5(F.coalesce(text, F.lit(""))))
 
 
 def targets(sources: DataFrame, epochs: int = 3, cycle: int = 3) -> DataFrame:
@@ -65,11 +67,13 @@ class Plan:
 def plan(docs: DataFrame, seed: int = 1, epochs: int = 3, cycle: int = 3) -> Plan:
     """Sizes, targets and the place in the seeded order where each source's last words end.
 
-    The sizes are written once. The place is found by two sums over key prefixes, of at
-    most 4096 rows per source each, never by sorting a source.
+    The sizes are written once. The place is found by four sums over key prefixes, of about
+    4096 rows per source each at most, never by sorting a source. The last two tell the texts of
+    one doc_id apart.
     """
     sized = keep(docs.select("source", word_count(F.col("text")).alias("size"),
-                             order_key(F.col("doc_id"), seed).alias("key")), "sizes")
+                             F.substring(order_key(F.col("doc_id"), F.col("text"), seed), 1,
+                                         _DIGITS[-1]).alias("key")), "sizes")
     found = keep(
         targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), epochs, cycle)
         .withColumn("words", F.round("target").cast("long"))
@@ -77,12 +81,12 @@ def plan(docs: DataFrame, seed: int = 1, epochs: int = 3, cycle: int = 3) -> Pla
                     .otherwise(0).cast("long"))
         .withColumn("rest", F.col("words") - F.col("whole") * F.col("source_size"))
         .withColumn("at", F.lit("")).withColumn("before", F.lit(0).cast("long")), "targets")
-    for step in (1, 2):
+    for done, digits in zip((0, *_DIGITS), _DIGITS):
         known = found.select(F.col("source").alias("of"), "rest", "at", "before")
         near = sized.join(known, F.col("source").eqNullSafe(F.col("of"))
-                          & (F.substring("key", 1, _DIGITS * (step - 1)) == F.col("at")))
+                          & (F.substring("key", 1, done) == F.col("at")))
         sums = (near.groupBy("of", "rest", "before",
-                             F.substring("key", 1, _DIGITS * step).alias("next"))
+                             F.substring("key", 1, digits).alias("next"))
                 .agg(F.sum("size").alias("size")))
         running = W.partitionBy("of").orderBy("next").rowsBetween(W.unboundedPreceding, -1)
         start = F.col("before") + F.coalesce(F.sum("size").over(running), F.lit(0))
@@ -93,7 +97,7 @@ def plan(docs: DataFrame, seed: int = 1, epochs: int = 3, cycle: int = 3) -> Pla
         found = keep(found.join(place, F.col("source").eqNullSafe(F.col("of")), "left").select(
             *[c for c in found.columns if c not in ("at", "before")],
             F.coalesce("next", "at").alias("at"), F.coalesce("start", "before").alias("before")),
-            f"places_{step}")
+            f"places_{digits}")
     return Plan(found)
 
 
@@ -101,16 +105,16 @@ def taken(docs: DataFrame, mix: Plan, seed: int = 1) -> DataFrame:
     """Add size, source_size, target, whole and part (words of the last repetition) to `docs`.
 
     Columns of these names are replaced. Only the documents at the place where a source's
-    words end, about one in 16 million, are sorted.
+    words end are sorted: one, and those with the same doc_id and text.
     """
     added = ("size", "source_size", "target", "whole", "part")
     own = [c for c in docs.columns if c not in added]
     known = mix.table.select(F.col("source").alias("__of"), "source_size", "target", "whole",
                              "rest", "at", "before")
     placed = (docs.select(*own, word_count(F.col("text")).alias("size"),
-                          order_key(F.col("doc_id"), seed).alias("__key"))
+                          order_key(F.col("doc_id"), F.col("text"), seed).alias("__key"))
               .join(known, F.col("source").eqNullSafe(F.col("__of"))))
-    digits = F.substring("__key", 1, 2 * _DIGITS)
+    digits = F.substring("__key", 1, _DIGITS[-1])
     clear = placed.where(digits != F.col("at")).withColumn(
         "part", F.when(digits < F.col("at"), F.col("size")).otherwise(0).cast("long"))
     order = W.partitionBy("__of").orderBy(

@@ -66,16 +66,18 @@ class Packer:
 
 
 def pieces(docs: DataFrame, size: Column, most: int) -> DataFrame:
-    """doc_id, piece, start and n_words: every document in parts of at most `most` words.
+    """doc_id, piece, start, n_words and row: every document in parts of at most `most` words.
 
-    A document without words has one piece of 0 words.
+    A document without words has one piece of 0 words. `row` is a hash of the row's columns, but for
+    maps, that tells rows of one doc_id apart.
     """
-    sized = docs.select("doc_id", size.cast("long").alias("size"))
+    known = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    sized = docs.select("doc_id", size.cast("long").alias("size"), F.xxhash64(*known).alias("row"))
     numbers = F.sequence(F.lit(0).cast("long"), F.greatest(
         F.lit(0), F.expr(f"(size - 1) div {most}")).cast("long"))
     return sized.withColumn("piece", F.explode(numbers)).select(
         "doc_id", "piece", (F.col("piece") * most).alias("start"),
-        F.least(F.lit(most), F.col("size") - F.col("piece") * most).alias("n_words"))
+        F.least(F.lit(most), F.col("size") - F.col("piece") * most).alias("n_words"), "row")
 
 
 def pack(docs: DataFrame, size: Column, costs: Mapping[int, float] = LENGTHS,
@@ -89,13 +91,13 @@ def pack(docs: DataFrame, size: Column, costs: Mapping[int, float] = LENGTHS,
     n_words 0 and no bin: null bin_id, capacity, used and position.
 
     Rows with the same doc_id are packed each by itself; equal ones are interchangeable. A null
-    doc_id is dealt by its size. An empty table gives an empty one.
+    doc_id is dealt by the rest of its row. An empty table gives an empty one.
     """
     ready(docs.sparkSession)
     parts = keep(pieces(docs, F.coalesce(size, F.lit(0)), max(costs)), "pieces")
     shards = max(1, -(-parts.where("n_words > 0").count() // shard))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_words"),
-                                             F.lit(shards)))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_words", "row"),
+                                             F.lit(shards))).drop("row")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

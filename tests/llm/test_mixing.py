@@ -87,3 +87,13 @@ def test_targets_stop_at_the_cap_and_the_excess_goes_on(spark):
     want = water_filling(sizes)
     assert got.keys() == want.keys()
     assert all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_a_place_within_one_id_is_narrowed_by_text(spark, documents):
+    rows = [(None, f"text number {i}", None, s) for i in range(300) for s in ("a", "b")]
+    docs = documents(rows)
+    ends = m.plan(docs).table.where("rest > 0").select("source", "at")
+    key = m.order_key(F.col("doc_id"), F.col("text"), 1)
+    at_end = docs.withColumn("key", key).join(ends, "source").where(F.col("key").startswith(F.col("at")))
+    assert ends.count() > 0 and at_end.count() == ends.count()
+    assert sum(r.taken for r in m.mix_sources(docs).collect()) == 1800

@@ -70,3 +70,9 @@ def test_shards_fill_their_sequences(spark):
     bins = p.pack(docs, F.col("n")).select("bin_id", "capacity", "used").distinct()
     r = bins.agg(F.sum("used").alias("u"), F.sum("capacity").alias("c")).first()
     assert r.u / r.c > 0.98
+
+
+def test_rows_without_id_are_dealt_over_all_shards(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string")
+    got = p.pack(docs, F.lit(100), shard=100).collect()
+    assert len(got) == 400 and len({r.bin_id >> 32 for r in got}) == 4
