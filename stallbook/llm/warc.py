@@ -31,8 +31,10 @@ FRAME_MAGIC = 0xFD2FB528
 #: An archive is closed when its records are this large, before compression.
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
-#: At most so many records, evenly spread over the archive, and bytes of each, build it.
-SAMPLE_RECORDS, SAMPLE_BYTES = 400, 8 << 10
+#: At most so many records, evenly spread over the archive, and so many bytes of them build it.
+SAMPLE_RECORDS, SAMPLE_TOTAL = 400, 8 << 20
+#: Records that do not fit whole give pieces of this size, spread over each.
+PIECE_BYTES = 8 << 10
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -112,10 +114,25 @@ def parse(data: bytes) -> dict:
             "refers_to": _page_id(fields["WARC-Refers-To"]) if kind == "revisit" else None}
 
 
+def sample_of(records: list[bytes]) -> list[bytes]:
+    """Evenly spread records, whole if they fit into `SAMPLE_TOTAL`, else in spread pieces."""
+    n = min(len(records), SAMPLE_RECORDS)
+    chosen = [records[i * len(records) // n] for i in range(n)]
+    total = sum(map(len, chosen))
+    if total <= SAMPLE_TOTAL:
+        return chosen
+    share = (SAMPLE_TOTAL - n * PIECE_BYTES) / total
+    out = []
+    for i, r in enumerate(chosen):
+        pieces, room = max(1, int(len(r) * share / PIECE_BYTES)), max(0, len(r) - PIECE_BYTES)
+        starts = [room * j // (pieces - 1) for j in range(pieces)] if pieces > 1 else [room * (i % 4) // 3]
+        out += [r[a:a + PIECE_BYTES] for a in starts]
+    return out
+
+
 def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
     """A dictionary from a sample of the records; raw sample bytes where they are too few."""
-    step = max(1, len(records) // SAMPLE_RECORDS)
-    sample = [r[:SAMPLE_BYTES] for r in records[::step][:SAMPLE_RECORDS]]
+    sample = sample_of(records)
     size = min(DICTIONARY_BYTES, max(1 << 10, sum(map(len, sample)) // 8))
     try:
         return zstandard.train_dictionary(size, sample, k=256, d=8)

@@ -78,3 +78,13 @@ def test_damage_is_seen():
 @pytest.mark.parametrize("number", [None, 0, 1, -1, 2**63 - 1, -2**63])
 def test_record_ids_hold_the_page(number):
     assert warc._page_id(f"<{warc._record_id(number)}>") == number
+
+
+def test_the_dictionary_sees_whole_records_from_all_over_the_archive():
+    short = [b"%06d" % i * 3000 for i in range(799)]
+    sample = warc.sample_of(short)
+    assert len(sample) == 400 and set(sample) <= set(short) and sample[-1] in short[-3:]
+    long = [bytes([i % 200]) * 20_000 + b"\xff" * 20_000 for i in range(799)]
+    sample = warc.sample_of(long)
+    assert sum(map(len, sample)) <= warc.SAMPLE_TOTAL
+    assert any(b"\xff" in s for s in sample) and len({s[0] for s in sample}) > 50
