@@ -1,16 +1,14 @@
 import os
 import sys
-from datetime import datetime
 
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 
+from market_rows import NOW  # noqa: E402
 from stallbook.config import local_session  # noqa: E402
 
-NOW = datetime(2024, 6, 15, 12)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -48,12 +46,3 @@ class Tables:
 @pytest.fixture(scope="session")
 def tables(spark):
     return Tables(spark)
-
-
-def dicts(df, *columns):
-    chosen = df.select(*columns) if columns else df
-    return [r.asDict() for r in chosen.collect()]
-
-
-def by(df, key, *columns):
-    return {r[key]: r.asDict() for r in (df.select(key, *columns) if columns else df).collect()}

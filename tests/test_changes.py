@@ -3,7 +3,7 @@ from datetime import timedelta
 from decimal import Decimal
 
 import pytest
-from conftest import NOW, by, dicts
+from market_rows import NOW, by, dicts
 
 from stallbook.functions import fixed_values as V
 from stallbook.operators.changes import base as B

@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import NOW, by, dicts
+from market_rows import NOW, by, dicts
 
 from stallbook.operators import entitlement as E
 from stallbook.operators import listing as L

@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from conftest import NOW, dicts
+from market_rows import NOW, dicts
 from pyspark.sql import functions as F
 
 from stallbook.functions import fixed_values as V

@@ -3,7 +3,7 @@ from datetime import timedelta
 from decimal import Decimal
 
 import pytest
-from conftest import NOW, by, dicts
+from market_rows import NOW, by, dicts
 from model import Model, Refused
 
 from stallbook.config import as_is, settle

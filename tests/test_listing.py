@@ -1,7 +1,7 @@
 from datetime import timedelta
 from decimal import Decimal
 
-from conftest import NOW, by, dicts
+from market_rows import NOW, by, dicts
 from pyspark.sql import functions as F
 
 from stallbook.operators import listing as L

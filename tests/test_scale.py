@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import NOW, dicts
+from market_rows import NOW, dicts
 from pyspark.sql import functions as F
 
 from stallbook.operators import entitlement as E

@@ -1,5 +1,5 @@
 import pytest
-from conftest import NOW, by, dicts
+from market_rows import NOW, by, dicts
 
 from stallbook.functions import fixed_values as V
 from stallbook.schemas import TABLES, schema
