@@ -12,7 +12,3 @@ def documents(spark):
         return spark.createDataFrame(full, DOCUMENT)
 
     return make
-
-
-def split_words(text):
-    return (text or "").encode().split()
