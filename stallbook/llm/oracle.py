@@ -164,6 +164,59 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_LOWER = ("translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, w[i:i + k - 1] AS p FROM places, range(1, 6) AS t(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, p, len(p) AS k, array_to_string(p, ' ') AS phrase, count(*) AS a
+      FROM grams GROUP BY lang, p HAVING count(*) >= 100),
+cuts AS (SELECT lang, p, phrase, a, unnest(range(1, k)) AS c FROM f),
+scores AS (
+  SELECT x.lang, x.phrase, x.a, x.c, u.a AS l, v.a AS r, n,
+         CAST((1000::HUGEINT * x.a * n) // (u.a::HUGEINT * v.a) AS BIGINT) AS score
+  FROM cuts AS x JOIN f AS u ON u.lang = x.lang AND u.p = x.p[1:c]
+       JOIN f AS v ON v.lang = x.lang AND v.p = x.p[c + 1:] JOIN total AS t ON t.lang = x.lang),
+lowest AS (SELECT * FROM scores
+           QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+lone AS (SELECT * FROM lowest AS x WHERE NOT EXISTS (
+  FROM f AS y WHERE y.lang = x.lang AND 100 * y.a >= 100 * x.a AND length(y.phrase) > length(x.phrase)
+    AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score FROM lone QUALIFY rank <= 2000
+"""
+
+DECONTAMINATION = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS words, least(len(w), 10) AS size
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+found AS (SELECT row, i, size, item FROM (
+            SELECT row, i, size, array_to_string(w[i:i + size - 1], ' ') AS words
+            FROM places, sizes WHERE i + size - 1 <= len(w)) JOIN windows USING (words, size)),
+hits AS (SELECT row, count(*) AS n_hit FROM (
+           SELECT DISTINCT row, unnest(range(i, i + size)) AS at FROM found) GROUP BY row),
+named AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+          FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN named USING (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Name of a query to its SQL."""
@@ -174,4 +227,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": WARC,
         "op8_vector_search": VECTOR_SEARCH,
         "op10_quality_rules": QUALITY_RULES,
+        "op12_phrases": PHRASES,
+        "op13_decontamination": DECONTAMINATION,
     }

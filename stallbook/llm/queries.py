@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from stallbook.config import shared_folder
 from stallbook.llm import (
+    decontamination,
     language_id,
     mixing,
     near_dedup,
     oracle,
     packing,
+    phrases,
     quality_rules,
     run_dedup,
     toxicity,
     url_filters,
     vector_search,
     warc,
+    whitening,
 )
 
 #: Allow and block list of the url filter (fixed values).
@@ -107,6 +110,26 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """32 whitened values of every vector."""
+    rows = whitening.whiten(_table(spark, folder, "embeddings"), components=32)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language's 2000 best phrases of two to five words."""
+    return phrases.collocations(_table(spark, folder, "documents"), least=100, most=2000)
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's words in windows of the benchmark, and a digest of the items."""
+    found = decontamination.contamination(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"),
+                        "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
@@ -120,6 +143,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_search": op8_vector_search,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "op11_whitening": op11_whitening,
+        "op12_phrases": op12_phrases,
+        "op13_decontamination": op13_decontamination,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -17,6 +17,8 @@ SLICE = 1 << 18
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
+_STEP2 = 0xD1342543DE82EF95
+_BACK2 = pow(_STEP2, -1, 1 << 64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -35,6 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: One random 64-bit number per byte value, made by rule.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(_STEP))
+_BYTE2 = mix(np.arange(257, 513, dtype=np.uint64) * _U(_STEP2))
 
 
 def seeds(n: int, salt: int = 0) -> np.ndarray:
@@ -57,6 +60,7 @@ class _Powers:
 
 
 _UP, _DOWN = _Powers(_STEP), _Powers(_BACK)
+_UP2, _DOWN2 = _Powers(_STEP2), _Powers(_BACK2)
 
 
 @dataclass
@@ -84,10 +88,18 @@ class Slice:
 
     def hash_spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of the byte spans."""
+        return self._rolled(starts, ends, _BYTE, _UP, _DOWN)
+
+    def twin_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Second hashes of the byte spans, made from other numbers: 128 bits with the first."""
+        return self._rolled(starts, ends, _BYTE2, _UP2, _DOWN2)
+
+    def _rolled(self, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, up: _Powers,
+                down: _Powers) -> np.ndarray:
         n = len(self.data)
         rolled = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * _UP.upto(n)[:n], dtype=np.uint64, out=rolled[1:])
-        return mix((rolled[ends] - rolled[starts]) * _DOWN.upto(n)[starts]
+        np.cumsum(table[self.data] * up.upto(n)[:n], dtype=np.uint64, out=rolled[1:])
+        return mix((rolled[ends] - rolled[starts]) * down.upto(n)[starts]
                    + (ends - starts).astype(np.uint64))
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

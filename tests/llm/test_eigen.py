@@ -1,0 +1,51 @@
+import numpy as np
+import pytest
+
+from stallbook.llm.eigen import WIDE, eigenvectors, times
+
+DRAW = np.random.default_rng(3)
+TURN = np.linalg.qr(DRAW.normal(size=(48, 48)))[0]
+
+SPECTRA = {
+    "apart": np.arange(1.0, 49.0),
+    "equal": np.repeat([1.0, 0.5], 24),
+    "clustered": np.r_[1 + 1e-9 * np.arange(12), 2 + 1e-6 * np.arange(12), np.arange(3.0, 27.0)],
+    "clusters in clusters": np.r_[1, 1 + 1e-6, 1 + 2e-6, 1 + 2e-6 + 1e-11, 1 + 1e-12, 3 * np.ones(43)],
+    "no full rank": np.r_[np.arange(1.0, 11.0), np.zeros(38)],
+    "wide range": 2.0 ** -np.arange(48),
+}
+
+
+@pytest.mark.parametrize("name", SPECTRA)
+def test_vectors_are_eigenvectors_to_double_precision(name):
+    matrix = (TURN * SPECTRA[name]) @ TURN.T
+    matrix = (matrix + matrix.T) / 2
+    values, vectors = eigenvectors(matrix)
+    size = np.abs(matrix).max()
+    assert np.abs(matrix @ vectors - vectors * values).max() < 1e-14 * size * 10
+    assert np.abs(vectors.T @ vectors - np.eye(48)).max() < 1e-14
+    assert (np.diff(values) <= 0).all()
+    assert np.abs(values - np.sort(SPECTRA[name])[::-1]).max() < 1e-14 * size * 10
+
+
+def test_vectors_close_together_are_told_apart_beyond_float32():
+    # eigenvalues 1e-9 apart: float32 alone mixes their vectors at will
+    values = 1 + 1e-9 * np.arange(6)
+    turn = np.linalg.qr(DRAW.normal(size=(6, 6)))[0].astype(WIDE)
+    for _ in range(3):
+        turn = turn + times(turn, np.eye(6) - times(turn.T, turn)) / 2
+    found = eigenvectors(times(turn * values, turn.T))[1]
+    assert np.abs(np.abs(turn.T.astype(float) @ found)[::-1] - np.eye(6)).max() < 1e-8
+
+
+def test_products_are_exact_beyond_double():
+    a, b = DRAW.normal(size=(30, 40)), DRAW.normal(size=(40, 20)) * 1e6
+    plain = a.astype(WIDE) @ b.astype(WIDE)
+    assert np.abs(times(a.astype(WIDE), b.astype(WIDE)) - plain).max() <= 1e-17 * np.abs(plain).max() * 40
+
+
+@pytest.mark.parametrize("matrix", [np.zeros((0, 0)), np.zeros((3, 3)), np.eye(4), np.array([[7.0]])])
+def test_odd_matrices(matrix):
+    values, vectors = eigenvectors(matrix)
+    assert np.allclose(matrix @ vectors, vectors * values) and np.allclose(
+        vectors.T @ vectors, np.eye(len(matrix)))

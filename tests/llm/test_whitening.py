@@ -1,0 +1,99 @@
+import math
+
+import numpy as np
+import pytest
+
+from stallbook.llm import whitening as w
+
+KIND = "vec_id long, embedding array<float>, n long, whitened string"
+
+
+def rows_of(matrix, first=0):
+    return [(first + i, [float(c) for c in row], i, "own") for i, row in enumerate(matrix)]
+
+
+def brute(rows, components):
+    """vec_id -> deviation; whitened values and shares, by float64 numpy and exact integers."""
+    kept = [(r[0], [math.floor(64 * float(np.float32(c))) + 1_000_000 for c in r[1]]) for r in rows]
+    n, sums = len(kept), [sum(col) for col in zip(*(x for _, x in kept), strict=True)]
+    deviation = [sum((n * c - s) ** 2 for c, s in zip(x, sums, strict=True)) for _, x in kept]
+    centred = np.array([[(n * c - s) / n for c, s in zip(x, sums, strict=True)] for _, x in kept])
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
+    return kept, deviation, centred @ vectors / np.sqrt(values), values / (centred ** 2).sum() * n
+
+
+def collected(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.vec_id, {})[r.component] = r
+    return out
+
+
+def test_values_are_those_of_brute_force(spark):
+    draw = np.random.default_rng(2)
+    rows = rows_of((draw.normal(size=(300, 6)) * [9, 5, 3, 2, 1, .5] + 100).round(4))
+    rows += [(900, rows[0][1], None, None), (900, rows[1][1], None, None)]  # equal ids, equal vectors
+    odd = [(901, None, 1, ""), (902, [], 1, ""), (903, [1.0, None, 1, 1, 1, 1], 1, ""),
+           (904, [math.nan] * 6, 1, ""), (905, [math.inf] + [0.0] * 5, 1, "")]
+    got = w.whiten(spark.createDataFrame(rows + odd, KIND).repartition(5), components=4)
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained",
+                           "identity_error"]
+    found = got.where("vec_id < 900").collect()
+    assert len(found) == 300 * 4 and got.count() == 302 * 4
+    kept, deviation, white, share = brute(rows, 4)
+    sign = {}
+    for r in found:
+        true = white[r.vec_id, r.component - 1]
+        side = sign.setdefault(r.component, 1 if abs(r.whitened - true) < abs(r.whitened + true) else -1)
+        assert abs(r.whitened * side - true) < 1e-9
+        assert r.n == 302 and int(r.deviation) == deviation[r.vec_id]
+        assert abs(r.explained / share[r.component - 1] - 1) < 1e-10
+        assert r.identity_error < 1e-12
+    assert got.where("vec_id = 900").groupBy("component").count().where("count = 2").count() == 4
+
+
+def test_the_result_does_not_depend_on_the_partitions(spark):
+    df = spark.createDataFrame(rows_of(np.random.default_rng(4).normal(size=(500, 8))), KIND)
+    one, many = (collected(w.whiten(df.repartition(k))) for k in (1, 9))
+    assert len(one) == 500 and all(len(r) == 8 for r in one.values())
+    assert all(one[i][c].whitened == many[i][c].whitened for i in one for c in one[i])
+
+
+def test_vectors_without_extent(spark):
+    got = collected(w.whiten(spark.createDataFrame(rows_of([[1.0, 2.0]] * 3), KIND)))
+    assert all(r.whitened is None and r.explained is None and int(r.deviation) == 0
+               for x in got.values() for r in x.values()) and len(got) == 3
+    flat = collected(w.whiten(spark.createDataFrame(rows_of([[1.0, 5.0], [2.0, 5.0], [4.0, 5.0]]), KIND)))
+    assert all(x[1].whitened is not None and x[2].whitened is None and x[1].explained == 1
+               and x[2].explained == 0 for x in flat.values())
+
+
+def test_other_lengths_are_spaces_of_their_own(spark):
+    draw = np.random.default_rng(5)
+    short, long = rows_of(draw.normal(size=(40, 3))), rows_of(draw.normal(size=(60, 5)), 100)
+    both = collected(w.whiten(spark.createDataFrame(short + long, KIND)))
+    alone = collected(w.whiten(spark.createDataFrame(long, KIND)))
+    assert all(both[i][c] == alone[i][c] for i in alone for c in alone[i])
+    assert both[0][1].n == 40 and both[100][1].n == 60
+
+
+def test_large_numbers_stay_exact(spark):
+    rows = rows_of([[3e9, 1.0], [3e9 + 4096, 2.0], [-5e9, 3.0], [7.0, 4.0]])
+    _, deviation, white, _ = brute(rows, 2)
+    got = collected(w.whiten(spark.createDataFrame(rows, KIND)))
+    assert [int(got[i][1].deviation) for i in range(4)] == deviation
+    assert max(abs(abs(got[i][c + 1].whitened) - abs(white[i, c])) for i in range(4) for c in (0, 1)) < 1e-6
+    with pytest.raises(Exception, match="too large"):
+        w.whiten(spark.createDataFrame(rows_of([[1e30, 1.0]]), KIND)).collect()
+
+
+def test_an_empty_table(spark):
+    assert w.whiten(spark.createDataFrame([], KIND)).collect() == []
+    assert w.whiten(spark.createDataFrame([(1, None, 1, "")], KIND)).collect() == []
+
+
+def test_products_cut_into_pieces():
+    y = np.array([[2 ** 45 + 3, -7], [-(2 ** 41) - 1, 2 ** 30], [5, -(2 ** 50)]], dtype=np.int64)
+    true = [[sum(int(a) * int(b) for a, b in zip(y[:, i], y[:, j], strict=True)) for j in (0, 1)] for i in (0, 1)]
+    assert w._products(y).tolist() == true
