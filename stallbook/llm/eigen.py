@@ -11,7 +11,9 @@ import numpy as np
 
 #: Precision of the matrix products: 64 bits of mantissa where the machine has them, else 53.
 WIDE = np.longdouble
-ROUNDS, PATIENCE = 60, 3
+ROUNDS, PATIENCE = 60, 5
+#: Eigenvalues nearer than so many times the error are a cluster: corrections stay small beyond.
+NEAR = 64
 
 
 def _parts(a: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -86,6 +88,7 @@ def eigenvectors(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(ROUNDS):
         r = one - times(x.T, x)
         s = times(x.T, times(a, x))
+        r, s = (r + r.T) / 2, (s + s.T) / 2  # else rounding over small gaps undoes orthogonality
         values = np.diag(s) / (1 - np.diag(r))
         off = s - np.diag(values)
         error = np.sqrt((off * off).sum()) + norm * np.sqrt((r * r).sum())
@@ -95,10 +98,10 @@ def eigenvectors(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if error <= unit * norm or late >= PATIENCE:
             break  # rounding is all that is left
         gap = values[None, :] - values[:, None]
-        apart = np.abs(gap) > 2 * error
+        apart = np.abs(gap) > NEAR * error
         turn = np.where(apart, (s + values[None, :] * r) / np.where(apart, gap, 1), r / 2)
         x = x + times(x, turn)
-        for part in _clusters(values, 2 * error):
+        for part in _clusters(values, NEAR * error):
             x[:, part] = _sub_solve(a, x[:, part], values[part])
     _, values, x = best
     x = _orthonormal(x)

@@ -15,11 +15,12 @@ def brute(rows, least, longest=5, most=2000):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     n, f = Counter(), Counter()
     for _, text, lang in rows:
+        lang = "und" if lang is None else lang
         for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(lower)):
             w = re.findall("[^ \t]+", piece)
-            n[lang or "und"] += len(w)
+            n[lang] += len(w)
             for k in range(1, longest + 1):
-                f.update((lang or "und", tuple(w[i:i + k])) for i in range(len(w) - k + 1))
+                f.update((lang, tuple(w[i:i + k])) for i in range(len(w) - k + 1))
     f = {x: c for x, c in f.items() if c >= least}
     out = []
     for (lang, x), a in f.items():

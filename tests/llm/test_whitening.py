@@ -34,7 +34,7 @@ def test_values_are_those_of_brute_force(spark):
     draw = np.random.default_rng(2)
     rows = rows_of((draw.normal(size=(300, 6)) * [9, 5, 3, 2, 1, .5] + 100).round(4))
     rows += [(900, rows[0][1], None, None), (900, rows[1][1], None, None)]  # equal ids, equal vectors
-    odd = [(901, None, 1, ""), (902, [], 1, ""), (903, [1.0, None, 1, 1, 1, 1], 1, ""),
+    odd = [(901, None, 1, ""), (902, [], 1, ""), (903, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1, ""),
            (904, [math.nan] * 6, 1, ""), (905, [math.inf] + [0.0] * 5, 1, "")]
     got = w.whiten(spark.createDataFrame(rows + odd, KIND).repartition(5), components=4)
     assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained",
@@ -74,16 +74,17 @@ def test_other_lengths_are_spaces_of_their_own(spark):
     short, long = rows_of(draw.normal(size=(40, 3))), rows_of(draw.normal(size=(60, 5)), 100)
     both = collected(w.whiten(spark.createDataFrame(short + long, KIND)))
     alone = collected(w.whiten(spark.createDataFrame(long, KIND)))
-    assert all(both[i][c] == alone[i][c] for i in alone for c in alone[i])
+    assert all(both[i][c][:6] == alone[i][c][:6] for i in alone for c in alone[i])
     assert both[0][1].n == 40 and both[100][1].n == 60
 
 
 def test_large_numbers_stay_exact(spark):
     rows = rows_of([[3e9, 1.0], [3e9 + 4096, 2.0], [-5e9, 3.0], [7.0, 4.0]])
-    _, deviation, white, _ = brute(rows, 2)
+    _, deviation, white, _ = brute(rows, 1)
     got = collected(w.whiten(spark.createDataFrame(rows, KIND)))
     assert [int(got[i][1].deviation) for i in range(4)] == deviation
-    assert max(abs(abs(got[i][c + 1].whitened) - abs(white[i, c])) for i in range(4) for c in (0, 1)) < 1e-6
+    assert max(abs(abs(got[i][1].whitened) - abs(white[i, 0])) for i in range(4)) < 1e-9
+    assert got[0][2].whitened is None  # 1e-19 of the first component: lost in rounding
     with pytest.raises(Exception, match="too large"):
         w.whiten(spark.createDataFrame(rows_of([[1e30, 1.0]]), KIND)).collect()
 
