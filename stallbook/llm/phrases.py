@@ -38,7 +38,7 @@ LONGEST = 5
 #: Words of a broadcast table of codes, and phrases of a broadcast trie.
 WORDS, SHARD = 1 << 20, 1 << 18
 #: Pairs that a task holds before it sends their counts on, and bytes of text worked on at a time.
-HELD, TEXT = 1 << 21, 1 << 21
+HELD, TEXT = 1 << 19, 1 << 19
 
 #: Bytes that end a piece (fixed values): . , ; : ! ? and 0x0A to 0x0D.
 _ENDS = np.zeros(256, dtype=bool)
@@ -194,6 +194,7 @@ def encoded(texts: DataFrame, vocabulary: DataFrame, total: int) -> DataFrame:
 
         kind = "codes binary" if last else "own long, text string, codes binary"
         rows = keep(rows.mapInArrow(run, kind), "codes")
+        table.destroy()
     return rows
 
 
@@ -273,6 +274,7 @@ def _marked(coded: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
                         ["codes", "marks"])
 
         rows = keep(rows.mapInArrow(run, "codes binary, marks binary"), "marked")
+        trie.destroy()
     return rows
 
 
@@ -312,6 +314,7 @@ def _counted(coded: DataFrame, candidates: DataFrame, total: int) -> DataFrame:
 
         part = keep(coded.select("codes").mapInArrow(run, "id long, n long").groupBy("id").agg(
             F.sum("n").alias("n")), "counts")
+        trie.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
