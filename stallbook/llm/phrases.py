@@ -3,13 +3,12 @@
 1. Words are counted by language. Those below the threshold are in no phrase that reaches it;
    the others get a code, and texts become sequences of codes, in which a 0 stands for whatever
    no phrase goes over: rare words and the ends of pieces.
-2. Level by level, the candidates of k words are those windows whose first and last k - 1 words
-   both reach the threshold (Apriori: no other window can). Of two words, they are all pairs of
-   coded words: a trie of them would be the square of the vocabulary, so their accepting states
-   are numbered by rule and tasks count the states they see. From three words on the
-   candidates go into double-array tries (`tries`), which are broadcast. In every task, numpy
-   advances the states of all text positions together, level by level, and a bincount of
-   the accepting states counts the candidates; Spark adds up the tasks' counts.
+2. Level by level, the candidates of k words are those windows of the texts whose first and last
+   k - 1 words both reach the threshold (Apriori: no other window can), less those of which all
+   tasks together can't have enough (`_supported`). They go into double-array tries (`tries`),
+   which are broadcast. In every task, numpy advances the states of all text positions together,
+   level by level, and a bincount of the accepting states counts the candidates; Spark adds up
+   the counts of the tasks.
 3. After each level texts shrink to the runs of words in which the next candidates can stand.
 4. Every cut of a phrase gives a score from counts of the levels before; the lowest one counts.
 
@@ -37,8 +36,9 @@ from stallbook.operators.skew import first_per_key
 LONGEST = 5
 #: Words of a broadcast table of codes, and phrases of a broadcast trie.
 WORDS, SHARD = 1 << 20, 1 << 18
-#: Pairs that a task holds before it sends their counts on, and bytes of text worked on at a time.
-HELD, TEXT = 1 << 19, 1 << 19
+#: Pairs that a task adds up at a time, pairs that it holds before it sends them on, and bytes of
+#: text worked on at a time.
+MERGED, HELD, TEXT = 1 << 19, 1 << 21, 1 << 19
 
 #: Bytes that end a piece (fixed values): . , ; : ! ? and 0x0A to 0x0D.
 _ENDS = np.zeros(256, dtype=bool)
@@ -198,46 +198,72 @@ def encoded(texts: DataFrame, vocabulary: DataFrame, total: int) -> DataFrame:
     return rows
 
 
-def _added(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n): how often each key occurs in what `keys_of` finds in a batch's rows."""
+def _total(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, weight = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(every)
+    every, weight = every[order], weight[order]
+    firsts = np.flatnonzero(np.diff(every, prepend=every[:1] - 1))
+    return every[firsts], np.add.reduceat(weight, firsts) if len(firsts) else weight
+
+
+def _seen(batches: Iterator[pa.RecordBatch], keys_of: Callable, enough: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n, ended): how often each key occurs in what `keys_of` finds in a task's rows.
+
+    What a task holds at its end it names only if it has it `enough` times, with ended = 1. If it
+    has to send keys on before, it sends all it holds, with ended = 0. A row with key -1 says that
+    the task came to its end.
+    """
     keys, times, held = [], [], 0
 
-    def total():
-        every, weight = np.concatenate(keys), np.concatenate(times)
-        distinct, at = np.unique(every, return_inverse=True)
-        return distinct, np.bincount(at, weight, len(distinct)).astype(np.int64)
+    def rows(found, ended):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found[0]), pa.array(found[1]), pa.array(np.full(len(found[0]), ended))],
+            ["key", "n", "ended"])
 
     for batch in batches:
         for i in range(batch.num_rows):
-            own, n = np.unique(keys_of(batch, i), return_counts=True)
+            own = keys_of(batch, i)
             keys.append(own)
-            times.append(n)
+            times.append(np.ones(len(own), dtype=np.int64))
             held += len(own)
-            if held > HELD:
-                merged = total()
-                if len(merged[0]) > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged], ["key", "n"])
-                    keys, times, held = [], [], 0
-                else:
-                    keys, times, held = [merged[0]], [merged[1]], len(merged[0])
+            if held > MERGED:
+                found = _total(keys, times)
+                keys, times, held = [found[0]], [found[1]], 0
+                if len(found[0]) > HELD:
+                    yield rows(found, 0)
+                    keys, times = [], []
     if keys:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in total()], ["key", "n"])
+        found = _total(keys, times)
+        often = found[1] >= enough
+        yield rows((found[0][often], found[1][often]), 1)
+    yield rows((np.array([-1]), np.array([0])), 1)
 
 
 def _numbers(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
     return np.frombuffer(batch.column(column)[row].as_buffer(), dtype=np.int64)
 
 
-def _pairs(rows: DataFrame, column: str, factor: int) -> DataFrame:
-    """key and n of neighbours a, b in the numbers of `column`, both above 0; key = a * factor + b."""
+def _supported(rows: DataFrame, column: str, factor: int, least: int) -> DataFrame:
+    """Neighbours a, b > 0 in the numbers of `column` that may occur `least` times, as a * factor + b.
+
+    Of T tasks at least one has such a pair least / T times, so a task names only those it has that
+    often. How often a pair can occur in all is then bounded by what tasks named and by what
+    the others may have kept to themselves; a pair is left out when even that is too little.
+    """
     def keys(batch, row):
         codes = _numbers(batch, column, row)
         a, b = codes[:-1], codes[1:]
         both = (a > 0) & (b > 0)
         return a[both] * factor + b[both]
 
-    return rows.select(column).mapInArrow(lambda batches: _added(batches, keys), "key long, n long").groupBy(
-        "key").agg(F.sum("n").alias("n"))
+    rows = rows.select(column)
+    enough = -(-least // max(1, rows.rdd.getNumPartitions()))
+    named = keep(rows.mapInArrow(lambda batches: _seen(batches, keys, enough),
+                                 "key long, n long, ended long").groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum("ended").alias("ended")), "supported")
+    tasks = named.where("key = -1").agg(F.coalesce(F.sum("ended"), F.lit(0))).first()[0]
+    most = F.col("n") + (F.lit(tasks) - F.col("ended")) * (enough - 1)
+    return named.where((F.col("key") >= 0) & (most >= least)).select("key")
 
 
 def _tries(phrases: DataFrame, total: int) -> Iterator[tuple]:
@@ -319,9 +345,6 @@ def _counted(coded: DataFrame, candidates: DataFrame, total: int) -> DataFrame:
     return found
 
 
-_PHRASES = "id long, codes array<long>, lang string, phrase string, last string, n long"
-
-
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST, text: str = "text",
                      lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to `longest` words that occur at least `least` times in a language, with
@@ -341,21 +364,19 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST,
         factor = total + 1
         if words == 2:
             coded = encoded(texts, vocabulary, total)
-            seen = _pairs(coded, "codes", factor).where(F.col("n") >= least)
         else:
             coded = _marked(coded, frequent, total)
-            seen = _pairs(coded, "marks", factor)
+        seen = _supported(coded, "codes" if words == 2 else "marks", factor, least)
         ends = F.expr(f"key div {factor}").alias("a"), (F.col("key") % factor).alias("b")
         first = frequent.select(F.col("id").alias("a"), F.col("codes").alias("head"), "lang", "phrase")
         second = frequent.select(F.col("id").alias("b"), F.element_at("codes", -1).alias("tail"), "last")
-        windows = seen.select(*ends, "n").join(first, "a").join(second, "b").select(
+        windows = seen.select(*ends).join(first, "a").join(second, "b").select(
             F.concat("head", F.array("tail")).alias("codes"), "lang",
-            F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "n")
-        frequent, total = numbered(windows, f"windows{words}")
-        if words > 2 and total:
-            times = _counted(coded, frequent, total).where(F.col("n") >= least)
-            frequent, total = numbered(
-                frequent.drop("n").join(times, "id").drop("id"), f"phrases{words}")
+            F.concat_ws(" ", "phrase", "last").alias("phrase"), "last")
+        candidates, total = numbered(windows, f"windows{words}")
+        if total:
+            times = _counted(coded, candidates, total).where(F.col("n") >= least)
+            frequent, total = numbered(candidates.join(times, "id").drop("id"), f"phrases{words}")
         if total:
             levels.append(frequent.select(*found.columns))
     every = levels[0]
