@@ -2,6 +2,7 @@
 
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,19 @@ def ready(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """What is planned and run inside sends at most `rows` rows to Python at a time: for rows that
+    are long arrays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, given)
+
+
 def with_text_columns(docs: DataFrame, text: str, made: dict[str, str],
                       make: Callable[[], Make]) -> DataFrame:
     """Add the columns `made` (name to type); a column of that name is replaced.

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallbook.config import keep
-from stallbook.llm.arrow import ready
+from stallbook.llm.arrow import ready, rows_per_batch
 from stallbook.llm.numbering import numbered
 from stallbook.llm.tries import Trie
 from stallbook.llm.words import SPACE, Slice, mix, slices
@@ -38,7 +38,9 @@ LONGEST = 5
 WORDS, SHARD = 1 << 20, 1 << 18
 #: Pairs that a task adds up at a time, pairs that it holds before it sends them on, and bytes of
 #: text worked on at a time.
-MERGED, HELD, TEXT = 1 << 19, 1 << 21, 1 << 19
+MERGED, HELD, TEXT = 1 << 18, 1 << 20, 1 << 19
+#: Runs of codes (of a slice of text each) that go to Python at a time.
+BATCH = 8
 
 #: Bytes that end a piece (fixed values): . , ; : ! ? and 0x0A to 0x0D.
 _ENDS = np.zeros(256, dtype=bool)
@@ -258,9 +260,10 @@ def _supported(rows: DataFrame, column: str, factor: int, least: int) -> DataFra
 
     rows = rows.select(column)
     enough = -(-least // max(1, rows.rdd.getNumPartitions()))
-    named = keep(rows.mapInArrow(lambda batches: _seen(batches, keys, enough),
-                                 "key long, n long, ended long").groupBy("key").agg(
-        F.sum("n").alias("n"), F.sum("ended").alias("ended")), "supported")
+    with rows_per_batch(rows.sparkSession, BATCH):
+        named = keep(rows.mapInArrow(lambda batches: _seen(batches, keys, enough),
+                                     "key long, n long, ended long").groupBy("key").agg(
+            F.sum("n").alias("n"), F.sum("ended").alias("ended")), "supported")
     tasks = named.where("key = -1").agg(F.coalesce(F.sum("ended"), F.lit(0))).first()[0]
     most = F.col("n") + (F.lit(tasks) - F.col("ended")) * (enough - 1)
     return named.where((F.col("key") >= 0) & (most >= least)).select("key")
@@ -299,7 +302,8 @@ def _marked(coded: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
                         [pa.array([codes.tobytes()], pa.binary()), pa.array([marks.tobytes()], pa.binary())],
                         ["codes", "marks"])
 
-        rows = keep(rows.mapInArrow(run, "codes binary, marks binary"), "marked")
+        with rows_per_batch(rows.sparkSession, BATCH):
+            rows = keep(rows.mapInArrow(run, "codes binary, marks binary"), "marked")
         trie.destroy()
     return rows
 
@@ -338,8 +342,9 @@ def _counted(coded: DataFrame, candidates: DataFrame, total: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids + low + 1), pa.array(times[ids])], ["id", "n"])
 
-        part = keep(coded.select("codes").mapInArrow(run, "id long, n long").groupBy("id").agg(
-            F.sum("n").alias("n")), "counts")
+        with rows_per_batch(coded.sparkSession, BATCH):
+            part = keep(coded.select("codes").mapInArrow(run, "id long, n long").groupBy("id").agg(
+                F.sum("n").alias("n")), "counts")
         trie.destroy()
         found = part if found is None else found.unionByName(part)
     return found
