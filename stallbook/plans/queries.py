@@ -22,6 +22,7 @@ from ..operators import visits as W
 from ..operators.changes import base as B
 from ..operators.changes import lifecycle as C
 from ..operators.changes import quota as K
+from ..sources import buckets as BU
 from ..sources import tables as T
 from ..sources.adapters import AS_OF, AS_OF_VISITS, Market
 from ..streaming import expiry as SE
@@ -689,6 +690,78 @@ def patch_results(m):
     return B.patch_providers(m.providers, provider_patches(m), AS_OF).results
 
 
+def stored_after(m: Market, name: str, rows: DataFrame, requests: DataFrame, change,
+                 state: str = "table") -> tuple[DataFrame, DataFrame]:
+    """A bucketed table of `rows` after a change that rewrites only the buckets it touches, and
+    the change's results."""
+    root = f"{shared_folder(m.spark)}/stored-{uuid.uuid4().hex}"
+    BU.create(rows, root, name, buckets=32)
+    results = BU.change_rows(m.spark, root, name, requests, change, version=2, state=state)
+    return BU.stored(m.spark, root, name).rows(), results
+
+
+def stored_patch(m: Market) -> tuple[DataFrame, DataFrame]:
+    return stored_after(m, "providers", m.providers, provider_patches(m),
+                        lambda rows, requests: B.patch_providers(rows, requests, AS_OF))
+
+
+@query
+def stored_patch_providers(m):
+    return stored_patch(m)[0]
+
+
+@query
+def stored_patch_results(m):
+    return stored_patch(m)[1]
+
+
+@query
+def stored_delete_providers(m):
+    return stored_after(m, "providers", m.providers, provider_deletes(m), B.delete_providers)[0].select(
+        "id", "name", "user_id")
+
+
+def stored_upsert(m: Market) -> tuple[DataFrame, DataFrame]:
+    return stored_after(
+        m, "packages", m.packages, package_requests(m),
+        lambda rows, requests: B.upsert_packages(rows, m.user_profiles, requests, AS_OF), "packages")
+
+
+@query
+def stored_upsert_packages(m):
+    return stored_upsert(m)[0]
+
+
+@query
+def stored_set_status(m):
+    requests = m.subscriptions.select(
+        F.col("id").alias("request_id"), F.col("user_id").alias("actor_id"),
+        F.expr("id % 2500").alias("id"), "status")
+    return stored_after(m, "providers", m.providers, requests, lambda rows, asked: B.set_provider_status(
+        rows, m.user_profiles, asked, AS_OF))[0].select("id", "status", "updated_at")
+
+
+@query
+def stored_added_activities(m):
+    """Rows with new ids, added to a bucketed table twice and then compacted."""
+    root = f"{shared_folder(m.spark)}/stored-{uuid.uuid4().hex}"
+    new = m.activities.withColumn("id", F.col("id") + 1000)
+    BU.create(m.activities, root, "activities", buckets=32)
+    BU.add_rows(new.where("id % 2 = 0"), root, "activities", version=2)
+    BU.add_rows(new.where("id % 2 = 1"), root, "activities", version=3)
+    BU.compact(m.spark, root, "activities", version=4, most=1)
+    return BU.stored(m.spark, root, "activities").rows()
+
+
+@query
+def appended_rows(m):
+    """The new activities as the table's folder holds them after they were appended to it."""
+    root = f"{shared_folder(m.spark)}/appended-{uuid.uuid4().hex}"
+    m.activities.write.parquet(f"{root}/activities")
+    added = T.append_rows(m.activities.withColumn("id", F.col("id") + 1000), root, "activities")
+    return m.spark.read.schema(added.schema).parquet(f"{root}/activities")
+
+
 def provider_deletes(m: Market) -> DataFrame:
     return m.user_profiles.select(
         F.col("id").alias("request_id"), F.expr("id - id % 2").alias("id"),

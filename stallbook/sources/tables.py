@@ -33,7 +33,7 @@ def append_rows(rows: DataFrame, root: str, name: str) -> DataFrame:
     return rows
 
 
-_LOG = "_versions"
+LOG = "_versions"
 
 
 def publish(state: Mapping[str, DataFrame], root: str, version: int) -> dict[str, str]:
@@ -46,14 +46,26 @@ def publish(state: Mapping[str, DataFrame], root: str, version: int) -> dict[str
     for name, path in paths.items():
         state[name].write.mode("overwrite").parquet(path)
     spark = next(iter(state.values())).sparkSession
-    entry = spark.createDataFrame([(version, sorted(paths))], "version bigint, tables array<string>")
-    entry.coalesce(1).write.mode("append").parquet(f"{root}/{_LOG}")
+    log_entry(spark, version, sorted(paths)).write.mode("append").parquet(f"{root}/{LOG}")
     return paths
 
 
+def log_entry(spark: SparkSession, version: int, names: list[str]) -> DataFrame:
+    """The log's row of a finished version and its tables."""
+    return spark.createDataFrame([(version, names)], "version bigint, tables array<string>").coalesce(1)
+
+
+def finished_versions(spark: SparkSession, root: str) -> DataFrame | None:
+    """The log: version and tables; None where nothing was finished yet."""
+    try:
+        return spark.read.schema("version bigint, tables array<string>").parquet(f"{root}/{LOG}")
+    except AnalysisException:
+        return None
+
+
 def read_snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     """A table's latest finished snapshot, up to a given version."""
-    log = spark.read.schema("version bigint, tables array<string>").parquet(f"{root}/{_LOG}")
+    log = spark.read.schema("version bigint, tables array<string>").parquet(f"{root}/{LOG}")
     done = log.filter(F.array_contains("tables", name))
     if version is not None:
         done = done.filter(F.col("version") <= version)
