@@ -74,6 +74,7 @@ SIGN_IN_FIRST = "يجب تسجيل الدخول أولاً"
 PACKAGE_MISSING = "الباقة المحددة غير موجودة"
 PACKAGE_INACTIVE = "الباقة المحددة غير نشطة"
 ALREADY_PENDING = "لديك اشتراك معلق بالفعل في هذه الباقة"
+DUPLICATE_STATUS = 'duplicate key value violates unique constraint "subscriptions_user_package_unique"'
 SUBSCRIPTION_MISSING = "الاشتراك غير موجود"
 NOT_PENDING = "الاشتراك ليس في حالة انتظار. الحالة الحالية: "
 ACTIVATION_PAYMENT_MISSING = "دفعة غير موجودة"

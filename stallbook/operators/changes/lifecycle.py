@@ -93,22 +93,30 @@ def _changed(df: DataFrame, changes: dict[str, Column], changed: Column, columns
 
 def activate(subscriptions: DataFrame, payments: DataFrame, packages: DataFrame,
              providers: DataFrame, profiles: DataFrame, requests: DataFrame, as_of: datetime,
-             cut: Cut = as_is) -> Change:
+             cut: Cut = as_is, unique: bool = False) -> Change:
     """Admins turn pending subscriptions into active ones.
 
     `requests`: request_id, actor_id, subscription_id, payment_id (NULL: a completed
     payment is made). Other pending requests for the package and other live
     subscriptions of the user are cancelled. When the user has more places, of
     any status, than the package allows, that many of their oldest active places go
-    back to pending; the note about it is written even when none was active.
+    back to pending; the note about it is written even when none was active. `unique`: a user
+    has one row per package and status, and a call that would make a second one is refused.
     """
     acted = with_actor(requests, profiles, P.is_admin())
     found = cut(_asked_activation(acted, subscriptions, payments, packages))
-    wins = cut(_activations(found, subscriptions, payments, providers, requests, as_of))
+    valid = found.filter("_valid")
+    firsts = _unique_activations(valid, subscriptions, as_of, cut) if unique else first_requests(
+        valid, "_who", "package_id")
+    wins = cut(_activations(firsts, subscriptions, payments, providers, requests, as_of))
     by_user = cut(wins.groupBy("_who").agg(F.sort_array(F.collect_list(F.struct(
         "request_id", "package_id", "subscription_id", "package_name", "_payment_id", "expires_at",
         "_note", "_until", "_by"))).alias("_wins")))
-    judged = cut(_judge_activation(found, wins, by_user, subscriptions, as_of))
+    judged = _judge_activation(found, wins, by_user, subscriptions, as_of)
+    if unique:
+        refused = F.when(F.col("subscription_id").isNull(), F.lit(V.DUPLICATE_STATUS))
+        judged = judged.withColumn("error", F.coalesce("error", refused))
+    judged = cut(judged)
     state = State(
         subscriptions=lambda: _activated_subscriptions(subscriptions, by_user, as_of),
         payments=lambda: _activated_payments(payments, wins, as_of),
@@ -141,17 +149,62 @@ def _asked_activation(acted: DataFrame, subscriptions: DataFrame, payments: Data
         "_who": _who(F.col("user_id"), F.col("subscription_id"))})
 
 
-def _activations(found: DataFrame, subscriptions: DataFrame, payments: DataFrame,
+def _occupied(subscriptions: DataFrame, as_of: datetime) -> DataFrame:
+    """Per `_who` and package_id: how many rows are pending, `_live`, active but run out (`_dead`)
+    and cancelled before the batch."""
+    live = P.live(moment(as_of, subscriptions, "expires_at"))
+    return subscriptions.groupBy(
+        _who(F.col("user_id"), F.col("id")).alias("_who"), "package_id").agg(
+        F.count_if(P.equals("status", "pending")).alias("_pending"), F.count_if(live).alias("_live"),
+        F.count_if(P.equals("status", "active") & ~F.coalesce(live, F.lit(False))).alias("_dead"),
+        F.count_if(P.equals("status", "cancelled")).alias("_cancelled"))
+
+
+def _unique_activations(valid: DataFrame, subscriptions: DataFrame, as_of: datetime,
+                        cut: Cut) -> DataFrame:
+    """The valid requests that succeed where a user may have one row per package and status.
+
+    A success needs its package's place among the active rows, and cancels the user's live row,
+    which needs that package's place among the cancelled ones; so:
+
+    - while a live row has a cancelled one beside it, nothing succeeds for the user;
+    - else the first success is the first request for a package without active rows. It
+      cancels all live rows, which leaves their packages free for later requests;
+    - from then on the first request for each free package succeeds, until one becomes live
+      beside a cancelled row of its package: that row can't be cancelled, so all later calls fail.
+
+    Other pending rows of the package are cancelled too, which takes that place once. Every step is
+    a minimum or a count per user and package; only a user's packages stand in one window.
+    """
+    taken = cut(_occupied(subscriptions, as_of).join(
+        valid.select("_who").distinct(), "_who", "left_semi"))
+    stuck = taken.filter("_live > 1 OR (_live > 0 AND _cancelled > 0)").select("_who").distinct()
+    free = taken.join(stuck, "_who", "left_anti").filter("_dead = 0").select(
+        "_who", "package_id", "_live", "_cancelled", (F.col("_pending") - 1).alias("_others"))
+    # pending rows beside the one asked for need the one place among the cancelled rows
+    rows = cut(valid.join(free, ["_who", "package_id"]).filter(
+        "_others = 0 OR (_others = 1 AND _cancelled = 0 AND _live = 0)"))
+    first = cut(rows.filter("_live = 0").groupBy("_who").agg(F.min("request_id").alias("_first")))
+    open_ = rows.join(first, "_who").filter("_live = 0 OR request_id > _first")
+    turns = first_requests(open_, "_who", "package_id")
+    now = moment(as_of, subscriptions, "started_at")
+    blocks = (plus_days(now, F.col("_days")) > now) & (
+        (F.col("_cancelled") > 0) | (F.col("_live") > 0) | (F.col("_others") > 0))
+    order = Window.partitionBy("_who").orderBy("request_id")
+    before = F.max(F.when(blocks, 1)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return turns.withColumn("_blocked", before).filter("_blocked IS NULL").select(*valid.columns)
+
+
+def _activations(firsts: DataFrame, subscriptions: DataFrame, payments: DataFrame,
                  providers: DataFrame, requests: DataFrame, as_of: datetime) -> DataFrame:
     """The requests that succeed, with everything they set.
 
-    Of the valid requests for a user and package the first succeeds: it cancels the
+    `firsts`: of the valid requests for a user and package the first succeeds: it cancels the
     other pending rows of that package and touches no pending row of another. So a
     user has at most one success per package, and the window over a user's
     successes is that short. `_until` and `_by` are the request and the package name of the
     success that ends this one, unless it has run out by then.
     """
-    firsts = first_requests(found.filter("_valid"), "_who", "package_id")
     rows = firsts.join(places_per_user(providers), "user_id", "left")
     now = moment(as_of, subscriptions, "started_at")
     expires = plus_days(now, F.col("_days"))
@@ -336,14 +389,16 @@ def _settle_payments(payments: DataFrame, profiles: DataFrame, requests: DataFra
 
 def create(subscriptions: DataFrame, packages: DataFrame, providers: DataFrame,
            profiles: DataFrame, requests: DataFrame, as_of: datetime,
-           settings: DataFrame | None = None, cut: Cut = as_is) -> Change:
+           settings: DataFrame | None = None, cut: Cut = as_is, unique: bool = False) -> Change:
     """Users ask for packages: a pending subscription at the package's price.
 
     `requests`: request_id, actor_id, package_id. The user's other pending requests
     are cancelled, those of earlier calls of the batch too, and a missing profile is made. The
     result warns of a live subscription and of active places beyond the new package's limit.
+    `unique`: a user has one row per package and status, and a call that would make a second one
+    is refused.
     """
-    judged = cut(_judge_creation(subscriptions, packages, providers, requests, as_of, cut))
+    judged = cut(_judge_creation(subscriptions, packages, providers, requests, as_of, cut, unique))
     applied = judged.filter(F.col("error").isNull())
 
     state = State(
@@ -409,8 +464,49 @@ def _creations(rows: DataFrame, cut: Cut) -> DataFrame:
         "request_id", F.lit(True).alias("_done"))
 
 
+def _unique_creations(rows: DataFrame, done: DataFrame, subscriptions: DataFrame,
+                      as_of: datetime, cut: Cut) -> DataFrame:
+    """request_id of the requests of `done` that succeed where a user may have one row per package
+    and status, and `_since`, the request from which nothing of the user's succeeds any more.
+
+    A success cancels the user's pending rows, so these must have no cancelled row beside them;
+    if one has before the batch, nothing succeeds. A new row is in that place if its package had a
+    pending or cancelled row before or an earlier success in the batch: it stays, and no later
+    call succeeds. So a user's successes end with the first for a package that is taken.
+    """
+    held = _occupied(subscriptions.filter(F.col("user_id").isNotNull()), as_of).select(
+        F.col("_who"), "package_id", "_pending", "_cancelled")
+    asked = rows.select("request_id", "user_id", "package_id").withColumn(
+        "_who", _who(F.col("user_id"), F.lit(""))).join(done, "request_id")
+    held = cut(held.join(asked.select("_who").distinct(), "_who", "left_semi"))
+    stuck = held.filter("_pending > 1 OR (_pending > 0 AND _cancelled > 0)").select("_who").distinct()
+    firsts = asked.groupBy("_who", "package_id").agg(F.min("request_id").alias("_own"))
+    used = held.filter("_pending > 0 OR _cancelled > 0").select(
+        "_who", "package_id", F.lit(True).alias("_used"))
+    known = cut(firsts.join(used, ["_who", "package_id"], "left"))
+    again = F.when(F.col("_used") | (F.col("request_id") > F.col("_own")), F.col("request_id"))
+    ends = cut(asked.join(known, ["_who", "package_id"]).groupBy("_who").agg(
+        F.min(again).alias("_last")).join(stuck.withColumn("_stuck", F.lit(True)), "_who", "left"))
+    return asked.join(ends, "_who").filter(
+        F.col("_stuck").isNull() & (F.col("_last").isNull() | (F.col("request_id") <= F.col("_last")))
+    ).select("request_id", F.lit(True).alias("_done"))
+
+
+def _now_pending(rows: DataFrame, done: DataFrame, cut: Cut) -> DataFrame:
+    """Requests with `_has`, whether the package asked for is the user's pending one when they are
+    made: that of the last success before them, or one of the table before any success."""
+    served = cut(rows.select("request_id", "user_id", "package_id").join(done, "request_id").select(
+        "user_id", F.struct("request_id", "package_id").alias("_win")).groupBy("user_id").agg(
+        F.sort_array(F.collect_list("_win")).alias("_wins")))
+    earlier = F.filter("_wins", lambda w: w["request_id"] < F.col("request_id"))
+    last = F.element_at(earlier, -1)["package_id"]
+    has = F.when(F.coalesce(F.size(earlier), F.lit(0)) > 0, last == F.col("package_id")).otherwise(
+        F.col("_pending").isNotNull())
+    return rows.join(served, "user_id", "left").withColumn("_has", has).drop("_wins")
+
+
 def _judge_creation(subscriptions: DataFrame, packages: DataFrame, providers: DataFrame,
-                    requests: DataFrame, as_of: datetime, cut: Cut) -> DataFrame:
+                    requests: DataFrame, as_of: datetime, cut: Cut, unique: bool) -> DataFrame:
     terms = packages.select(
         F.col("id").alias("package_id"), F.col("name").alias("package_name"),
         F.col("price").alias("amount"), P.package_open().alias("_open"),
@@ -431,12 +527,17 @@ def _judge_creation(subscriptions: DataFrame, packages: DataFrame, providers: Da
     asked = cut(signed.join(terms, "package_id", "left").join(
         pending, ["user_id", "package_id"], "left"))
     done = _creations(asked.filter("package_name IS NOT NULL AND _open"), cut)
+    refused = F.lit(V.ALREADY_PENDING)
+    if unique:
+        done = cut(_unique_creations(asked, cut(done), subscriptions, as_of, cut))
+        asked = _now_pending(asked, done, cut)
+        refused = F.when(F.col("_has"), refused).otherwise(F.lit(V.DUPLICATE_STATUS))
     rows = asked.join(users, "user_id", "left").join(done, "request_id", "left")
 
     error = (
         F.when(F.col("package_name").isNull(), F.lit(V.PACKAGE_MISSING))
         .when(~F.col("_open"), F.lit(V.PACKAGE_INACTIVE))
-        .when(F.col("_done").isNull(), F.lit(V.ALREADY_PENDING))
+        .when(F.col("_done").isNull(), refused)
     )
     used = F.coalesce("active_places", F.lit(0))
     excess = F.greatest(used - F.col("_max"), F.lit(0))
@@ -493,19 +594,28 @@ def create_payments(payments: DataFrame, packages: DataFrame, profiles: DataFram
 # --- cancel, expire, link -------------------------------------------------------------
 
 def cancel(subscriptions: DataFrame, payments: DataFrame, profiles: DataFrame,
-           requests: DataFrame, as_of: datetime, cut: Cut = as_is) -> Change:
+           requests: DataFrame, as_of: datetime, cut: Cut = as_is, unique: bool = False) -> Change:
     """Admins cancel pending or active subscriptions and the payment tied to them.
 
-    `requests`: request_id, actor_id, subscription_id, reason. The expiry stays.
+    `requests`: request_id, actor_id, subscription_id, reason. The expiry stays. `unique`: a
+    user has one row per package and status, and a call that would make a second one is refused.
     """
     acted = with_actor(requests, profiles, P.is_admin())
     asked = acted.filter(F.col("_allowed") & F.col("subscription_id").isNotNull()).select(
         "request_id", "subscription_id", "reason")
-    targets = subscriptions.select(F.col("id").alias("subscription_id"), "status", "payment_id")
-    turns = _by_turn(_look_up(asked, targets, "subscription_id"), "subscription_id",
-                     F.col("status").isin("pending", "active"), "cancelled", cut)
-    error = F.when(F.col("status").isNull(), F.lit(V.SUBSCRIPTION_MISSING)).when(
+    targets = subscriptions.select(F.col("id").alias("subscription_id"), "status", "payment_id",
+                                   "package_id", _who(F.col("user_id"), F.col("id")).alias("_who"))
+    found = _look_up(asked, targets, "subscription_id")
+    refused = F.when(F.col("status").isNull(), F.lit(V.SUBSCRIPTION_MISSING))
+    if unique:
+        turns = _unique_cancels(cut(found), subscriptions, as_of, cut)
+    else:
+        turns = _by_turn(found, "subscription_id", F.col("status").isin("pending", "active"),
+                         "cancelled", cut)
+    error = refused.when(
         ~F.col("_now").isin("pending", "active"), F.concat(F.lit(V.CANNOT_CANCEL), F.col("_now")))
+    if unique:
+        error = error.when(~F.col("_served"), F.lit(V.DUPLICATE_STATUS))
     judged = cut(turns.select(
         "request_id", "subscription_id", "payment_id", "reason", error.alias("error"),
         F.lit(V.CANCELLED).alias("message")))
@@ -519,6 +629,23 @@ def cancel(subscriptions: DataFrame, payments: DataFrame, profiles: DataFrame,
     return Change(state, _verdicts(acted, denials, judged, ["message", "subscription_id", "reason"]))
 
 
+def _unique_cancels(found: DataFrame, subscriptions: DataFrame, as_of: datetime,
+                    cut: Cut) -> DataFrame:
+    """Requests with `_served`, whether they succeed where a user may have one row per package and
+    status, and `_now`, the status they find. Only the first request for an open row of a user
+    and package can take the place among the cancelled rows, if it is free."""
+    key = ["_who", "package_id"]
+    taken = _occupied(subscriptions, as_of).filter("_cancelled > 0").select(*key)
+    first = cut(found.filter(F.col("status").isin("pending", "active")).groupBy(*key).agg(
+        F.min_by(F.struct("request_id", "subscription_id"), "request_id").alias("_win")).join(
+        taken, key, "left_anti"))
+    own = F.col("_win.subscription_id") == F.col("subscription_id")
+    gone = own & (F.col("_win.request_id") < F.col("request_id"))
+    return found.join(first, key, "left").withColumns({
+        "_served": F.coalesce(F.col("_win.request_id") == F.col("request_id"), F.lit(False)),
+        "_now": F.when(gone, F.lit("cancelled")).otherwise(F.col("status"))})
+
+
 def _cancelled_subscriptions(subscriptions: DataFrame, applied: DataFrame,
                              as_of: datetime) -> DataFrame:
     why = F.coalesce(F.concat(F.lit(V.NOTE_CANCEL_REASON), F.col("reason")),
@@ -545,6 +672,30 @@ def expire(subscriptions: DataFrame, as_of: datetime) -> DataFrame:
         F.col("status"))}, gone, subscriptions.columns, as_of)
 
 
+def expire_unique(subscriptions: DataFrame, as_of: datetime, cut: Cut = as_is) -> Change:
+    """The sweep as one call where a user may have one row per package and status.
+
+    It is one statement over all rows: if any of them would be the second expired row of its
+    user and package, the call is refused and no row changes. The result is a row with ok,
+    error, the number of rows expired, and how many users' packages stand in the way.
+    """
+    gone = P.expired(moment(as_of, subscriptions, "expires_at"))
+    groups = subscriptions.groupBy(
+        _who(F.col("user_id"), F.col("id")).alias("_who"), "package_id").agg(
+        F.count_if(gone).alias("_gone"), F.count_if(P.equals("status", "expired")).alias("_held"))
+    clash = (F.col("_gone") > 0) & (F.col("_gone") + F.col("_held") > 1)
+    found = cut(groups.agg(F.coalesce(F.sum("_gone"), F.lit(0)).alias("_rows"),
+                           F.count_if(clash).alias("blocking")))
+    ok = F.col("blocking") == 0
+    results = found.select(
+        ok.alias("ok"), F.when(~ok, F.lit(V.DUPLICATE_STATUS)).alias("error"),
+        F.when(ok, F.col("_rows")).otherwise(F.lit(0)).alias("expired"), "blocking")
+    free = found.select(ok).scalar()
+    return Change(State(subscriptions=lambda: _changed(
+        subscriptions, {"status": F.when(gone & free, F.lit("expired")).otherwise(F.col("status"))},
+        gone & free, subscriptions.columns, as_of)), results)
+
+
 def expired_count(subscriptions: DataFrame, as_of: datetime) -> DataFrame:
     """How many rows `expire` changes."""
     gone = P.expired(moment(as_of, subscriptions, "expires_at"))

@@ -1,5 +1,6 @@
 """The lifecycle rules one call at a time, on plain dictionaries: the tests' oracle."""
 
+from copy import deepcopy
 from datetime import timedelta
 
 from stallbook.functions import fixed_values as V
@@ -12,8 +13,9 @@ class Refused(Exception):
 
 
 class Model:
-    def __init__(self, now, packages, subscriptions, payments, providers, profiles):
+    def __init__(self, now, packages, subscriptions, payments, providers, profiles, unique=False):
         self.now = now
+        self.unique = unique  # one row per user, package and status
         self.packages = {p["id"]: p for p in packages}
         self.subs = {s["id"]: dict(s) for s in subscriptions}
         self.pays = {p["id"]: dict(p) for p in payments}
@@ -28,10 +30,27 @@ class Model:
     def live(self, s):
         return s["status"] == "active" and (s["expires_at"] is None or s["expires_at"] > self.now)
 
+    def call(self, name, *args):
+        """A call as one transaction: one that is refused leaves nothing behind."""
+        before = deepcopy((self.subs, self.pays, self.places, self.roles))
+        try:
+            return getattr(self, name)(*args)
+        except Refused:
+            self.subs, self.pays, self.places, self.roles = before
+            raise
+
+    def free(self, row):
+        if self.unique and any(
+                o is not row and all(o[c] == row[c] for c in ("user_id", "package_id", "status"))
+                for o in self.subs.values()):
+            raise Refused(V.DUPLICATE_STATUS)
+
     def change(self, s, note=None, **fields):
         if note is not None:
             s["notes"] = (s["notes"] + "\n" if s["notes"] is not None else "") + note
         s.update(fields, updated_at=self.now)
+        if "status" in fields:
+            self.free(s)
 
     # -- calls
     def activate(self, actor, sub_id, pay_id, new_pay):
@@ -94,6 +113,7 @@ class Model:
             "id": new_id, "user_id": actor, "package_id": package_id, "status": "pending",
             "started_at": None, "expires_at": None, "payment_id": None, "amount": package["price"],
             "auto_renew": False, "notes": None, "created_at": self.now, "updated_at": self.now}
+        self.free(self.subs[new_id])
         return {"subscription_id": new_id, "has_active_subscription": live,
                 "excess": max(0, active - limit)}
 
@@ -110,6 +130,13 @@ class Model:
             self.pays[s["payment_id"]]["status"] = "cancelled"
         return {}
 
+    def expire(self):
+        gone = [s for s in self.subs.values() if s["status"] == "active"
+                and s["expires_at"] is not None and s["expires_at"] < self.now]
+        for s in gone:
+            self.change(s, status="expired")
+        return {"expired": len(gone)}
+
     def link(self, sub_id, pay_id):
         s, p = self.subs.get(sub_id), self.pays.get(pay_id)
         if s is None:

@@ -1,0 +1,99 @@
+"""The lifecycle where a user may have one row per package and status, against calls one by one."""
+
+import pytest
+from market_rows import NOW, dicts
+from test_lifecycle import DAY, PAY, PLACE, SUB, Setup, replay, same
+
+from stallbook.config import as_is, settle
+from stallbook.functions import fixed_values as V
+from stallbook.operators.changes import lifecycle as C
+from stallbook.operators.quality import duplicate_subscriptions
+
+
+def setup(tables, seed, clean):
+    """A random market; `clean`: no two rows of one user, package and status before the batch.
+    Cancelled and expired rows are thinned out, so that calls succeed as well as fail."""
+    s = Setup(tables, seed)
+    seen, kept = set(), []
+    for r in s.subs:
+        key = (r["user_id"], r["package_id"], r["status"])
+        if (clean and key in seen) or (r["status"] in ("cancelled", "expired") and s.rnd.random() < .6):
+            continue
+        seen.add(key)
+        kept.append(r)
+    s.subs, s.model.unique = kept, True
+    s.model.subs = {r["id"]: dict(r) for r in kept}
+    s.subscriptions_df = tables("subscriptions", kept)
+    return s
+
+
+def checked(change, clean):
+    if clean:
+        assert dicts(duplicate_subscriptions(change.state["subscriptions"])) == []
+    errors = [r["error"] for r in dicts(change.results)]
+    return {"ok": errors.count(None), "refused": errors.count(V.DUPLICATE_STATUS)}
+
+
+@pytest.mark.parametrize("seed,clean", [(0, True), (1, True), (2, False), (3, False), (4, True)])
+def test_activate(tables, seed, clean):
+    s = setup(tables, seed, clean)
+    reqs = [(100 + i, s.rnd.choice(["root", "root", "root", *s.users]),
+             s.rnd.choice([None, *range(1, 44)]), s.rnd.choice([None, None, *range(1, 13), 990]))
+            for i in range(150)]
+    df = tables.rows("request_id long, actor_id string, subscription_id long, payment_id long", reqs)
+    change = C.activate(s.subscriptions_df, s.payments_df, s.packages_df, s.providers_df,
+                        s.user_profiles_df, df, NOW, cut=settle if seed % 2 else as_is, unique=True)
+    top = max(r["id"] for r in s.pays)
+    replay(dicts(change.results), {r[0]: (lambda r=r: s.model.call(
+        "activate", r[1], r[2], r[3], top + r[0] - 100 + 1)) for r in reqs})
+    same(change.state["subscriptions"], s.model.subs, SUB)
+    same(change.state["payments"], s.model.pays, PAY)
+    same(change.state["providers"], s.model.places, PLACE)
+    assert min(checked(change, clean).values()) > 0
+
+
+@pytest.mark.parametrize("seed,clean", [(0, True), (1, False), (2, True)])
+def test_create(tables, seed, clean, monkeypatch):
+    monkeypatch.setattr(C, "TURN_BLOCK", [100_000, 7, 1][seed])
+    s = setup(tables, seed, clean)
+    reqs = [(7 + i, s.rnd.choice([None, "new1", "new2", *s.users]), s.rnd.choice([None, 1, 2, 3, 4, 9]))
+            for i in range(100)]
+    reqs += [(200 + i, "new1", s.rnd.choice([1, 2, 3, 4])) for i in range(40)]
+    df = tables.rows("request_id long, actor_id string, package_id long", reqs)
+    change = C.create(s.subscriptions_df, s.packages_df, s.providers_df, s.user_profiles_df, df, NOW,
+                      cut=settle if seed else as_is, unique=True)
+    top = max(r["id"] for r in s.subs)
+    replay(dicts(change.results), {r[0]: (lambda r=r: s.model.call(
+        "create", r[1], r[2], top + r[0] - 7 + 1)) for r in reqs})
+    same(change.state["subscriptions"], s.model.subs, SUB)
+    assert min(checked(change, clean).values()) > 0
+
+
+@pytest.mark.parametrize("seed,clean", [(0, True), (1, False)])
+def test_cancel(tables, seed, clean):
+    s = setup(tables, seed, clean)
+    reqs = [(i, s.rnd.choice(["root", "root", *s.users]), s.rnd.choice([None, *range(1, 44)]),
+             s.rnd.choice([None, "why"])) for i in range(1, 121)]
+    df = tables.rows("request_id long, actor_id string, subscription_id long, reason string", reqs)
+    change = C.cancel(s.subscriptions_df, s.payments_df, s.user_profiles_df, df, NOW, unique=True)
+    replay(dicts(change.results), {r[0]: (lambda r=r: s.model.call("cancel", *r[1:])) for r in reqs})
+    same(change.state["subscriptions"], s.model.subs, SUB)
+    same(change.state["payments"], s.model.pays, PAY)
+    assert min(checked(change, clean).values()) > 0
+
+
+@pytest.mark.parametrize("second", [False, True])
+def test_the_sweep_is_one_call(tables, second):
+    rows = [{"id": 1, "user_id": "u", "package_id": 1, "status": "active", "expires_at": NOW - DAY},
+            {"id": 2, "user_id": "u", "package_id": 2, "status": "active", "expires_at": NOW - DAY},
+            {"id": 3, "user_id": "v", "package_id": 1, "status": "expired"},
+            {"id": 4, "user_id": "v", "package_id": 1, "status": "active", "expires_at": NOW + DAY}]
+    if second:
+        rows.append({"id": 5, "user_id": "u", "package_id": 2, "status": "expired"})
+    change = C.expire_unique(tables("subscriptions", rows), NOW)
+    assert dicts(change.results) == [{"ok": not second, "error": V.DUPLICATE_STATUS if second else None,
+                                      "expired": 0 if second else 2, "blocking": int(second)}]
+    got = {r["id"]: r["status"] for r in dicts(change.state["subscriptions"])}
+    assert got[1] == got[2] == ("active" if second else "expired") and got[4] == "active"
+    empty = dicts(C.expire_unique(tables("subscriptions", []), NOW).results)
+    assert empty == [{"ok": True, "error": None, "expired": 0, "blocking": 0}]
