@@ -622,6 +622,70 @@ def cancel_payments(m):
     return cancellation(m).state["payments"]
 
 
+def one_of_each(m: Market) -> DataFrame:
+    """Subscriptions as the uniqueness rule has them: of a user's rows of one package and status, that
+    of the lowest id."""
+    first = m.subscriptions.groupBy("user_id", "package_id", "status").agg(F.min("id").alias("id"))
+    return keep(m.subscriptions.join(first.select("id"), "id", "left_semi").select(
+        *m.subscriptions.columns), "subscriptions")
+
+
+def unique_activation(m: Market) -> B.Change:
+    return C.activate(one_of_each(m), m.payments, m.packages, m.providers, m.user_profiles,
+                      activation_requests(m), AS_OF, cut=keep, unique=True)
+
+
+def unique_creation(m: Market) -> B.Change:
+    return C.create(one_of_each(m), m.packages, m.providers, m.user_profiles, creation_requests(m),
+                    AS_OF, cut=keep, unique=True)
+
+
+def unique_cancellation(m: Market) -> B.Change:
+    requests = m.subscriptions.select(
+        F.col("id").alias("request_id"), F.col("user_id").alias("actor_id"),
+        F.col("id").alias("subscription_id"), F.col("notes").alias("reason"))
+    return C.cancel(one_of_each(m), m.payments, m.user_profiles, requests, AS_OF, cut=keep, unique=True)
+
+
+_VERDICT, _STATUS = ("request_id", "ok", "error"), ("id", "user_id", "package_id", "status")
+
+
+@query
+def unique_activate_results(m):
+    return unique_activation(m).results.select(*_VERDICT)
+
+
+@query
+def unique_activate_subscriptions(m):
+    return unique_activation(m).state["subscriptions"].select(*_STATUS)
+
+
+@query
+def unique_create_results(m):
+    return unique_creation(m).results.select(*_VERDICT)
+
+
+@query
+def unique_create_subscriptions(m):
+    return unique_creation(m).state["subscriptions"].select(*_STATUS)
+
+
+@query
+def unique_cancel_results(m):
+    return unique_cancellation(m).results.select(*_VERDICT)
+
+
+@query
+def unique_cancel_subscriptions(m):
+    return unique_cancellation(m).state["subscriptions"].select(*_STATUS)
+
+
+@query
+def unique_expire(m):
+    """The sweep as one call, over the whole table as it is: rows that share a status refuse it."""
+    return C.expire_unique(m.subscriptions, AS_OF, cut=keep).results
+
+
 def linking(m: Market) -> B.Change:
     requests = m.subscriptions.select(
         F.col("id").alias("request_id"), F.col("id").alias("subscription_id"),
