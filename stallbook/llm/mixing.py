@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallbook.config import keep
+from stallbook.llm.carry import Carried
 
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the order key that the narrowing steps of the seeded order have read, each three
@@ -143,7 +144,8 @@ def mixed(docs: DataFrame, seed: int = 1, epochs: int = 3, cycle: int = 3) -> Da
     A document taken in part has its first words, joined by a space, as text; there is at most
     one per source. Documents without words are in no mix, and so are left out.
     """
-    rows = taken(docs, plan(docs, seed, epochs, cycle), seed)
+    own = Carried(docs, "doc_id", "text", "source")
+    rows = taken(own.rows, plan(docs, seed, epochs, cycle), seed)
     times = F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)
     copies = rows.withColumn("__copy", F.explode(F.expr(
         "CASE WHEN size > 0 AND whole + int(part > 0) > 0 "
@@ -151,5 +153,4 @@ def mixed(docs: DataFrame, seed: int = 1, epochs: int = 3, cycle: int = 3) -> Da
     cut = (F.col("__copy") == times) & (F.col("part") > 0) & (F.col("part") < F.col("size"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     first = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("part")).cast("int")), " ")
-    return copies.withColumn("text", F.when(cut, first).otherwise(F.col("text"))).select(
-        *docs.columns)
+    return own.back(copies.withColumn("text", F.when(cut, first).otherwise(F.col("text"))))

@@ -143,8 +143,7 @@ FROM sizes JOIN (SELECT doc_id, min(reached) AS component_id FROM reach GROUP BY
 
 WARC = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
-                  sha1(coalesce(html, '')) AS payload_digest,
-                  trim(regexp_replace(coalesce(url, ''), '\\s+', ' ', 'g')) AS url FROM pages),
+                  sha1(coalesce(html, '')) AS payload_digest, url FROM pages),
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000
                      THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last FROM p)
 SELECT page_id, payload_bytes, payload_digest,

@@ -78,8 +78,8 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written as a WARC record to the shared folder and read back from there."""
     to = f"{shared_folder(spark).rstrip('/')}/stallbook-{uuid.uuid4().hex}/warc"
     pages = _table(spark, folder, "pages").select("page_id", "url", "html")
-    warc.write_archives(warc.decide(pages), to)
-    return warc.read_archives(spark, to, payloads=False).select(
+    manifest = warc.write_archives(warc.decide(pages), to)
+    return warc.read_archives(manifest, to, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 

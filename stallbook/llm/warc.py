@@ -3,23 +3,27 @@
 Every archive (`.warc.zst`) begins with a skippable frame that holds a dictionary, built from
 a sample of the archive's own records; every record is a frame of its own, compressed with
 that dictionary, so that a reader can start at any record. Records are WARC/1.1: a response
-with the payload, or a revisit that names the response with the same payload.
+with the payload, or a revisit that names the response with the same payload. The pages come
+without HTTP headers, so a response holds the html alone, as its Content-Type says.
 
-Archives are written by the tasks to a folder all executors share, first under a name of the
-attempt, then renamed to the name of their place in the data: a task that runs again, or
-twice, leaves the same files.
+Archives are written by the tasks to a folder all executors share, under names of the attempt.
+What counts is the manifest, a written table that has the files of the attempts that Spark
+accepted: a task that runs again, in whatever order its rows come, leaves files that no manifest
+names, and readers open the files of the manifest only.
 """
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallbook.config import keep
@@ -77,8 +81,14 @@ def _page_id(record_id: str) -> int | None:
     return None if number == 0 else low - (1 << 64) if low >> 63 else low
 
 
-def _one_line(text: str | None) -> str:
-    return " ".join((text or "").split())
+def _target(url: str | None) -> list[str]:
+    """The header lines of a url, none for a null one. A url that a line can't hold as it is, for
+    blanks or control characters, is percent-encoded, and a line of its own says so."""
+    if url is None:
+        return []
+    if not re.search(r"[\s\x00-\x1f\x7f-\x9f]", url):
+        return [f"WARC-Target-URI: {url}"]
+    return [f"WARC-Target-URI: {quote(url, safe='/:?#&=')}", "X-Url-Encoded: 1"]
 
 
 def record(row: dict) -> bytes:
@@ -88,8 +98,7 @@ def record(row: dict) -> bytes:
     head = [
         "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Date: {_DATE}",
         f"WARC-Record-ID: <{_record_id(row['page_id'])}>",
-        f"WARC-Target-URI: {_one_line(row['url'])}",
-        f"WARC-Payload-Digest: sha1:{row['payload_digest']}",
+        *_target(row["url"]), f"WARC-Payload-Digest: sha1:{row['payload_digest']}",
         f"X-Payload-Length: {row['payload_bytes']}"]
     if revisit:
         head += [f"WARC-Refers-To: <{_record_id(row['refers_to'])}>", f"WARC-Profile: {_PROFILE}"]
@@ -108,7 +117,9 @@ def parse(data: bytes) -> dict:
     size = int(fields["X-Payload-Length"])
     if kind == "response" and (hashlib.sha1(body).hexdigest(), len(body)) != (digest, size):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-    return {"page_id": _page_id(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"],
+    url = fields.get("WARC-Target-URI")
+    return {"page_id": _page_id(fields["WARC-Record-ID"]),
+            "url": unquote(url) if "X-Url-Encoded" in fields else url,
             "html": None if kind == "revisit" else body.decode(), "payload_bytes": size,
             "payload_digest": digest, "record_type": kind,
             "refers_to": _page_id(fields["WARC-Refers-To"]) if kind == "revisit" else None}
@@ -159,19 +170,35 @@ def records(data: bytes) -> Iterator[bytes]:
         data[8:8 + size]))
     at, view = 8 + size, memoryview(data)
     while at < len(data):
-        one = opener.decompressobj()
-        out = one.decompress(view[at:])
-        yield out
-        at = len(data) - len(one.unused_data)
+        end = frame_end(data, at)
+        yield opener.decompressobj().decompress(view[at:end])
+        at = end
+
+
+def frame_end(data: bytes, at: int) -> int:
+    """Where the Zstandard frame that begins at `at` ends, from the sizes of its blocks."""
+    if struct.unpack_from("<I", data, at)[0] != FRAME_MAGIC:
+        raise ValueError("no frame where one should begin")
+    flags = data[at + 4]
+    single = flags >> 5 & 1
+    content = (single, 2, 4, 8)[flags >> 6]
+    at += 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + content
+    last = False
+    while not last:
+        block = int.from_bytes(data[at:at + 3], "little")
+        last, kind, size = block & 1, block >> 1 & 3, block >> 3
+        at += 3 + (1 if kind == 1 else size)  # kind 1 repeats a single byte
+    return at + 4 * (flags >> 2 & 1)
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES,
                    level: int = 3) -> DataFrame:
-    """Write `decide`d pages as archives; returns file, records and bytes of each archive.
+    """Write `decide`d pages as archives; returns the manifest: file, records and bytes of each.
 
-    A task holds one archive's records at a time. The rows returned are a written table.
+    A task holds one archive's records at a time. The manifest is a written table.
     """
     ready(pages.sparkSession)
+    run = uuid.uuid4().hex[:12]  # a folder may be written to several times
 
     def write(batches):
         place, root = pafs.FileSystem.from_uri(folder)
@@ -180,11 +207,9 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
         def close():
             data = archive(held, level)
-            name = f"{task.partitionId():06d}-{part:06d}.warc.zst"
-            attempt = f"{root}/_{task.taskAttemptId()}-{name}"
-            with place.open_output_stream(attempt, compression=None) as out:
+            name = f"{run}-{task.partitionId():06d}-{task.taskAttemptId()}-{part:06d}.warc.zst"
+            with place.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(data)
-            place.move(attempt, f"{root}/{name}")
             return pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.array([len(held)]), pa.array([len(data)])],
                 ["file", "records", "bytes"])
@@ -205,19 +230,22 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                 "archives")
 
 
-def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of the archives in a folder; without `payloads` html is null.
+def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """Every record of the manifest's archives in a folder; without `payloads` html is null.
 
-    Archives are bounded in size, so a task holds one at a time.
+    Archives are bounded in size, so a task holds one at a time. Files that the manifest does
+    not name are not opened.
     """
-    ready(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    ready(manifest.sparkSession)
 
     def read(batches):
+        place, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for data in batch.column(0):
+            for name in batch.column(0).to_pylist():
+                with place.open_input_stream(f"{root}/{name}", compression=None) as file:
+                    data = file.read()
                 rows = []
-                for one in records(data.as_py()):
+                for one in records(data):
                     rows.append(parse(one))
                     if not payloads:
                         rows[-1]["html"] = None
@@ -230,6 +258,6 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()),
                         ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         ("record_type", pa.string()), ("refers_to", pa.int64())])
-    return files.select("content").mapInArrow(
+    return manifest.select("file").repartition(F.col("file")).mapInArrow(
         read, "page_id long, url string, html string, payload_bytes long, payload_digest string, "
               "record_type string, refers_to long")

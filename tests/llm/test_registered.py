@@ -67,6 +67,25 @@ def test_pipeline_stages(spark):
     assert made["packing"][1].agg(F.sum("n_words")).first()[0] == words(kept)
 
 
+#: Names that operators use for columns of their own, and one that differs in case alone.
+CLASHING = ("score", "predicted", "target", "part", "whole", "source_size", "removed_lines", "first_ids",
+            "__copy", "__of", "__id", "__hash", "lone", "node", "Size", "__made", "__rest", "a b")
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES if s[0] != "packing"], ids=lambda s: s[0])
+def test_stages_keep_the_callers_columns(spark, stage):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 60")
+    own = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    own = keep(own.unionByName(own.limit(1).withColumn("text", F.lit(None).cast("string"))), "own")
+    plain, got = (stage[1](spark, d, FOLDER) for d in (own.select(*docs.columns), own))
+    assert got.columns == own.columns and got.schema == own.schema
+    rows = got.collect()
+    assert sorted((r.doc_id, r.text or "") for r in rows) == sorted(
+        (r.doc_id, r.text or "") for r in plain.collect()) and rows
+    assert all(r[c] == f"{c} {r.doc_id}" for r in rows for c in CLASHING)
+    assert stage[1](spark, own.limit(0), FOLDER).collect() == []
+
+
 def test_the_library_works_without_this_part(tmp_path):
     for name in ("__spark_entry__.py", "stallbook"):
         from_, to = os.path.join(ROOT, name), tmp_path / name

@@ -15,6 +15,7 @@ def test_pages_come_back_from_their_archives(spark, tmp_path):
              (1008, "http://x", "small"), (None, "http://x", big), (None, "http://x", "lonely " * 300),
              (-5, "http://neg", "n"), (1009, "http://x", "z" * 3_000_000), (1003, None, big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r[1] for r in rows} >= {"", "u v\r\nw"}
     decided = warc.decide(pages.withColumnRenamed("url", "record_type").withColumnRenamed(
         "record_type", "url"))
     done = warc.write_archives(decided, f"file://{tmp_path}/a", archive_bytes=60_000)
@@ -23,19 +24,50 @@ def test_pages_come_back_from_their_archives(spark, tmp_path):
     on_disk = {f: os.path.getsize(tmp_path / "a" / f) for f in os.listdir(tmp_path / "a")
                if f.endswith(".zst")}
     assert on_disk == {f: b for f, (_, b) in files.items()}
-    got = warc.read_archives(spark, f"file://{tmp_path}/a").collect()
+    got = warc.read_archives(done, f"file://{tmp_path}/a").collect()
     last = {big: 1003}
     want = []
     for i, url, html in rows:
         data = (html or "").encode()
         to = last.get(html) if i != last.get(html) else None
-        want.append((i, " ".join((url or "").split()), None if to else html or "", len(data),
+        want.append((i, url, None if to else html or "", len(data),
                      hashlib.sha1(data).hexdigest(), "revisit" if to else "response", to))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    short = warc.read_archives(spark, f"file://{tmp_path}/a", payloads=False)
+    short = warc.read_archives(done, f"file://{tmp_path}/a", payloads=False)
     assert short.where("html IS NOT NULL").count() == 0 and short.count() == len(rows)
 
 
+def test_a_second_writing_leaves_no_surplus_rows(spark, tmp_path):
+    """As a task that runs again with its rows in another order does."""
+    rows = [(i, f"http://h/{i}", f"{i} " * (i * 7 % 90)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/a"
+    both = [warc.write_archives(warc.decide(pages.orderBy(order).coalesce(1)), folder, archive_bytes=size)
+            for order, size in (("page_id", 4000), ("html", 9000))]
+    assert len(os.listdir(tmp_path / "a")) >= sum(m.count() for m in both)
+    for manifest in both:
+        got = sorted(r.page_id for r in warc.read_archives(manifest, folder).collect())
+        assert got == list(range(200))
+
+
+def test_urls_come_back_as_they_were():
+    for url in (None, "", "http://x/a b", " http://x ", "a\r\nb: c", "http://x/%20?q=é#f", "é%\tü", "x: y"):
+        page = {"page_id": 1, "url": url, "html": "p", "payload_bytes": 1, "record_type": "response",
+                "payload_digest": hashlib.sha1(b"p").hexdigest(), "refers_to": None}
+        assert warc.parse(warc.record(page))["url"] == url
+
+
+def test_frames_end_where_the_next_begins():
+    texts = [b"", b"a", b"a" * 500_000, os.urandom(300_000), b"word " * 9]
+    for checksum in (False, True):
+        press = zstandard.ZstdCompressor(write_checksum=checksum)
+        frames = [press.compress(t) for t in texts]
+        data, at = b"".join(frames), 0
+        for frame in frames:
+            assert warc.frame_end(data, at) == at + len(frame)
+            at += len(frame)
+
+
 def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.write_archives(warc.decide(pages), f"file://{tmp_path}/e").collect() == []
