@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences, in five stages.
 
 Every stage takes (spark, docs, folder of the tables) and returns a DataFrame; `run` writes each
-result as Parquet and reads it again for the next. All but the last return the columns of docs.
+result as Parquet and reads it again for the next. All but the last return the columns of docs:
+doc_id, text, lang, source and any others. Others come back as they are, whatever their names;
+n_chars is that of the text as it is now.
+
+Null and empty texts pass the first three stages and are in no mix; rows without doc_id, and equal
+rows, go through each stage as its operator says. An empty table gives an empty one.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,30 +14,34 @@ from pyspark.sql import functions as F
 
 from stallbook.config import keep
 from stallbook.llm import line_dedup, mixing, near_dedup, packing, toxicity
+from stallbook.llm.carry import Carried
 from stallbook.llm.sampling import fold
 
 
 def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of `docs`, n_chars that of the text as it is now."""
     return rows.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c)
-                         if c == "n_chars" else F.col(c) for c in docs.columns])
+                         if c == "n_chars" else rows[c] for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier, trained on the labels outside the test fold, lets pass."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     model = toxicity.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    own = Carried(docs, "doc_id", "text")
+    return own.back(toxicity.score(own.rows, model).where("predicted = 0"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, without the runs of lines that an earlier one has."""
-    return _as_documents(line_dedup.dedup_lines(docs), docs)
+    own = Carried(docs, "doc_id", "text")
+    return _as_documents(own.back(line_dedup.dedup_lines(own.rows)), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return near_dedup.dedup(docs).select(*docs.columns)
+    own = Carried(docs, "doc_id", "text")
+    return own.back(near_dedup.dedup(own.rows))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -42,7 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """A row for each piece of a document: its sequence, and its span in both."""
-    return packing.pack(docs, mixing.word_count(F.col("text")))
+    own = docs.select("doc_id", "text")
+    return packing.pack(own, mixing.word_count(F.col("text")))
 
 
 STAGES = [
