@@ -6,6 +6,7 @@ from the tables too, one per row, so the work grows with the data.
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from ..operators.changes import quota as K
 from ..sources import buckets as BU
 from ..sources import tables as T
 from ..sources.adapters import AS_OF, AS_OF_VISITS, Market
+from ..streaming import calendar as SC
 from ..streaming import expiry as SE
 from ..streaming import visits as SV
 
@@ -342,6 +344,28 @@ def expiry_stream(m):
     return SE.latest_versions(expired)
 
 
+@query
+def expiry_calendar(m):
+    """Two triggers over a stream of versions, the clock moving between them: first all
+    subscriptions, then renewals of some beside older versions that come late. Of each
+    trigger's rows only those due are opened."""
+    run = f"{shared_folder(m.spark)}/calendar-{uuid.uuid4().hex}"
+    whole = m.subscriptions.withColumn("updated_at", F.col("created_at"))
+    renewed = whole.filter("id % 5 = 0").withColumns({
+        "expires_at": F.expr("expires_at + interval 400 days"),
+        "updated_at": F.expr("updated_at + interval 1 day")})
+    stale = whole.filter("id % 7 = 0").withColumns({
+        "status": F.lit("active"), "expires_at": F.expr("created_at - interval 10 days"),
+        "updated_at": F.expr("updated_at - interval 1 day")})
+    start = AS_OF - timedelta(days=200)
+    for rows, now, since in ((whole, start, start), (renewed.unionByName(stale), AS_OF, start)):
+        rows.write.mode("append").parquet(f"{run}/in")
+        source = m.spark.readStream.schema(rows.schema).parquet(f"{run}/in")
+        SC.stream(source, f"{run}/tables", f"{run}/days", lambda now=now: now, lambda since=since: since,
+                  lambda ids, batch_id: None, f"{run}/progress").awaitTermination()
+    return SC.current(m.spark, f"{run}/tables").select("id", "user_id", "status", "expires_at")
+
+
 # --- reports ----------------------------------------------------------------------------
 
 @both

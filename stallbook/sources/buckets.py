@@ -130,15 +130,15 @@ def change_rows(spark: SparkSession, root: str, name: str, requests: DataFrame,
 
     `change(rows, requests)` is any of the operators on rows by id (patch, delete, upsert, set a
     field); `state` names the frame of its new rows. It gets the buckets that the requests
-    name and the bucket of the highest id, from which new ids are counted. Only the buckets of
-    requested rows are written again; rows with new ids are added beside their buckets.
+    name and the bucket of the highest id, from which new ids are counted. Only the buckets that
+    requests name are written again; rows with ids above the highest are added beside theirs.
     A batch that runs again under the same version overwrites what it had not entered.
     """
     _unused(spark, root, version)
     table = stored(spark, root, name)
     named = requests.where(F.col("id").isNotNull()).select(
         bucket_of(F.col("id"), table.buckets).alias("bucket")).distinct()
-    touched = {r.bucket for r in named.collect()} & {f.bucket for f in table.folders}
+    touched = {r.bucket for r in named.collect()}
     highest = table.highest
     top = {f.bucket for f in table.folders if highest is not None and f.highest == highest}
     done = change(table.rows(touched | top), requests)
