@@ -38,7 +38,7 @@ LONGEST = 5
 WORDS, SHARD = 1 << 20, 1 << 18
 #: Pairs that a task adds up at a time, pairs that it holds before it sends them on, and bytes of
 #: text worked on at a time.
-MERGED, HELD, TEXT = 1 << 18, 1 << 20, 1 << 19
+MERGED, HELD, TEXT = 1 << 18, 1 << 19, 1 << 19
 #: Runs of codes (of a slice of text each) that go to Python at a time.
 BATCH = 8
 
@@ -211,11 +211,11 @@ def _total(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray,
 def _seen(batches: Iterator[pa.RecordBatch], keys_of: Callable, enough: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, n, ended): how often each key occurs in what `keys_of` finds in a task's rows.
 
-    What a task holds at its end it names only if it has it `enough` times, with ended = 1. If it
-    has to send keys on before, it sends all it holds, with ended = 0. A row with key -1 says that
-    the task came to its end.
+    A task that can hold all its keys names those that it has `enough` times, with ended = 1, and a
+    row with key -1 counts it. One that has to send keys on before its end sends all, with
+    ended = 0: it keeps nothing to itself.
     """
-    keys, times, held = [], [], 0
+    keys, times, held, sent = [], [], 0, False
 
     def rows(found, ended):
         return pa.RecordBatch.from_arrays(
@@ -233,24 +233,25 @@ def _seen(batches: Iterator[pa.RecordBatch], keys_of: Callable, enough: int) ->
                 keys, times, held = [found[0]], [found[1]], 0
                 if len(found[0]) > HELD:
                     yield rows(found, 0)
-                    keys, times = [], []
+                    keys, times, sent = [], [], True
     if keys:
         found = _total(keys, times)
-        often = found[1] >= enough
-        yield rows((found[0][often], found[1][often]), 1)
-    yield rows((np.array([-1]), np.array([0])), 1)
+        often = found[1] >= (1 if sent else enough)
+        yield rows((found[0][often], found[1][often]), 0 if sent else 1)
+    yield rows((np.array([-1]), np.array([0])), 0 if sent else 1)
 
 
 def _numbers(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
     return np.frombuffer(batch.column(column)[row].as_buffer(), dtype=np.int64)
 
 
-def _supported(rows: DataFrame, column: str, factor: int, least: int) -> DataFrame:
+def _supported(rows: DataFrame, column: str, factor: int, least: int, whole: bool) -> DataFrame:
     """Neighbours a, b > 0 in the numbers of `column` that may occur `least` times, as a * factor + b.
 
     Of T tasks at least one has such a pair least / T times, so a task names only those it has that
-    often. How often a pair can occur in all is then bounded by what tasks named and by what
-    the others may have kept to themselves; a pair is left out when even that is too little.
+    often; if `whole`, all it has, for pairs of words, of which no task can hold all anyway. How
+    often a pair can occur in all is then bounded by what tasks named and by what the others may
+    have kept to themselves; a pair is left out when even that is too little.
     """
     def keys(batch, row):
         codes = _numbers(batch, column, row)
@@ -259,7 +260,7 @@ def _supported(rows: DataFrame, column: str, factor: int, least: int) -> DataFra
         return a[both] * factor + b[both]
 
     rows = rows.select(column)
-    enough = -(-least // max(1, rows.rdd.getNumPartitions()))
+    enough = 1 if whole else -(-least // max(1, rows.rdd.getNumPartitions()))
     with rows_per_batch(rows.sparkSession, BATCH):
         named = keep(rows.mapInArrow(lambda batches: _seen(batches, keys, enough),
                                      "key long, n long, ended long").groupBy("key").agg(
@@ -371,7 +372,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST,
             coded = encoded(texts, vocabulary, total)
         else:
             coded = _marked(coded, frequent, total)
-        seen = _supported(coded, "codes" if words == 2 else "marks", factor, least)
+        seen = _supported(coded, "codes" if words == 2 else "marks", factor, least, words == 2)
         ends = F.expr(f"key div {factor}").alias("a"), (F.col("key") % factor).alias("b")
         first = frequent.select(F.col("id").alias("a"), F.col("codes").alias("head"), "lang", "phrase")
         second = frequent.select(F.col("id").alias("b"), F.element_at("codes", -1).alias("tail"), "last")
