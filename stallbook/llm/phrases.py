@@ -36,6 +36,8 @@ from stallbook.operators.skew import first_per_key
 LONGEST = 5
 #: Words of a broadcast table of codes, and phrases of a broadcast trie.
 WORDS, SHARD = 1 << 20, 1 << 18
+#: Candidates whose counts make one row; a part of a shard.
+BLOCK = 1 << 10
 #: Pairs that a task adds up at a time, pairs that it holds before it sends them on, and bytes of
 #: text worked on at a time.
 MERGED, HELD, TEXT = 1 << 18, 1 << 19, 1 << 19
@@ -323,29 +325,52 @@ def _shrunk(codes: np.ndarray, marks: np.ndarray, words: int) -> tuple[np.ndarra
     return np.concatenate(out_codes).astype(np.int64), np.concatenate(out_marks)
 
 
-def _counted(coded: DataFrame, candidates: DataFrame, total: int) -> DataFrame:
-    """id and n of the candidates found in `coded`: bincounts of tries, summed over tasks."""
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """id and n of the candidates of at least `least`, from rows of `block` and `counts`, sorted by
+    block; holds one block's sum at a time."""
+    block, total = None, None
+
+    def rows():
+        often = np.flatnonzero(total >= least)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block * BLOCK + often + 1), pa.array(total[often])], ["id", "n"])
+
+    for batch in batches:
+        for i, own in enumerate(batch.column("block").to_pylist()):
+            if own != block:
+                if block is not None:
+                    yield rows()
+                block, total = own, np.zeros(BLOCK, dtype=np.int64)
+            total += _numbers(batch, "counts", i)
+    if block is not None:
+        yield rows()
+
+
+def _counted(coded: DataFrame, candidates: DataFrame, total: int, least: int) -> DataFrame:
+    """id and n of the candidates found at least `least` times in `coded`.
+
+    A task's bincount of a trie's accepting states goes on in blocks of `BLOCK` numbers, those
+    without any left out, and Spark brings the tasks' blocks together to be summed.
+    """
     found = None
     for trie, low in _tries(candidates, total):
         def run(batches, trie=trie, low=low):
-            times = None
+            times = np.zeros(-(-min(SHARD, total - low) // BLOCK) * BLOCK, dtype=np.int64)
             for batch in batches:
                 for i in range(batch.num_rows):
                     own = trie.value.find(_numbers(batch, "codes", i))
-                    if times is None:
-                        times = np.zeros(len(trie.value.entry), dtype=np.int64)
-                    own = own[own >= 0]
-                    if len(own):
-                        counts = np.bincount(own)
-                        times[:len(counts)] += counts
-            if times is not None:
-                ids = np.flatnonzero(times)
+                    counts = np.bincount(own[own >= 0], minlength=1)
+                    times[:len(counts)] += counts
+            blocks = times.reshape(-1, BLOCK)
+            for i in np.flatnonzero(blocks.any(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids + low + 1), pa.array(times[ids])], ["id", "n"])
+                    [pa.array([low // BLOCK + int(i)]), pa.array([blocks[i].tobytes()], pa.binary())],
+                    ["block", "counts"])
 
         with rows_per_batch(coded.sparkSession, BATCH):
-            part = keep(coded.select("codes").mapInArrow(run, "id long, n long").groupBy("id").agg(
-                F.sum("n").alias("n")), "counts")
+            part = keep(coded.select("codes").mapInArrow(run, "block long, counts binary").repartition(
+                "block").sortWithinPartitions("block").mapInArrow(
+                lambda batches: _summed(batches, least), "id long, n long"), "counts")
         trie.destroy()
         found = part if found is None else found.unionByName(part)
     return found
@@ -381,7 +406,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST,
             F.concat_ws(" ", "phrase", "last").alias("phrase"), "last")
         candidates, total = numbered(windows, f"windows{words}")
         if total:
-            times = _counted(coded, candidates, total).where(F.col("n") >= least)
+            times = _counted(coded, candidates, total, least)
             frequent, total = numbered(candidates.join(times, "id").drop("id"), f"phrases{words}")
         if total:
             levels.append(frequent.select(*found.columns))

@@ -66,7 +66,7 @@ KIND = "doc_id long, text string, lang string"
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in (("WORDS", 3), ("SHARD", 4), ("MERGED", 8), ("HELD", 16), ("TEXT", 64)):
+    for name, value in (("WORDS", 3), ("SHARD", 8), ("BLOCK", 4), ("MERGED", 8), ("HELD", 16), ("TEXT", 64)):
         monkeypatch.setattr(p, name, value)
 
 
