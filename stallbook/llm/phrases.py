@@ -325,7 +325,7 @@ def _shrunk(codes: np.ndarray, marks: np.ndarray, words: int) -> tuple[np.ndarra
     return np.concatenate(out_codes).astype(np.int64), np.concatenate(out_marks)
 
 
-def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
     """id and n of the candidates of at least `least`, from rows of `block` and `counts`, sorted by
     block; holds one block's sum at a time."""
     block, total = None, None
@@ -333,14 +333,14 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     def rows():
         often = np.flatnonzero(total >= least)
         return pa.RecordBatch.from_arrays(
-            [pa.array(block * BLOCK + often + 1), pa.array(total[often])], ["id", "n"])
+            [pa.array(block * size + often + 1), pa.array(total[often])], ["id", "n"])
 
     for batch in batches:
         for i, own in enumerate(batch.column("block").to_pylist()):
             if own != block:
                 if block is not None:
                     yield rows()
-                block, total = own, np.zeros(BLOCK, dtype=np.int64)
+                block, total = own, np.zeros(size, dtype=np.int64)
             total += _numbers(batch, "counts", i)
     if block is not None:
         yield rows()
@@ -352,25 +352,25 @@ def _counted(coded: DataFrame, candidates: DataFrame, total: int, least: int) ->
     A task's bincount of a trie's accepting states goes on in blocks of `BLOCK` numbers, those
     without any left out, and Spark brings the tasks' blocks together to be summed.
     """
-    found = None
+    found, size = None, BLOCK
     for trie, low in _tries(candidates, total):
         def run(batches, trie=trie, low=low):
-            times = np.zeros(-(-min(SHARD, total - low) // BLOCK) * BLOCK, dtype=np.int64)
+            times = np.zeros(-(-min(SHARD, total - low) // size) * size, dtype=np.int64)
             for batch in batches:
                 for i in range(batch.num_rows):
                     own = trie.value.find(_numbers(batch, "codes", i))
                     counts = np.bincount(own[own >= 0], minlength=1)
                     times[:len(counts)] += counts
-            blocks = times.reshape(-1, BLOCK)
+            blocks = times.reshape(-1, size)
             for i in np.flatnonzero(blocks.any(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([low // BLOCK + int(i)]), pa.array([blocks[i].tobytes()], pa.binary())],
+                    [pa.array([low // size + int(i)]), pa.array([blocks[i].tobytes()], pa.binary())],
                     ["block", "counts"])
 
         with rows_per_batch(coded.sparkSession, BATCH):
             part = keep(coded.select("codes").mapInArrow(run, "block long, counts binary").repartition(
                 "block").sortWithinPartitions("block").mapInArrow(
-                lambda batches: _summed(batches, least), "id long, n long"), "counts")
+                lambda batches: _summed(batches, least, size), "id long, n long"), "counts")
         trie.destroy()
         found = part if found is None else found.unionByName(part)
     return found
