@@ -1,7 +1,8 @@
 """Visit statistics: total and today's visits for the site and per page.
 
 Counts are combined before the shuffle, so a page with most of the traffic
-costs one row per input partition.
+costs one row per input partition. Every function takes the visits themselves or their counts
+per page and day (`streaming.rollup`: page, day, visits), which add up to the same.
 """
 
 from datetime import datetime
@@ -13,7 +14,11 @@ from ..functions import predicates as P
 from ..functions.clock import on_day
 
 
-def _counts(as_of: datetime) -> list[Column]:
+def _counts(visits: DataFrame, as_of: datetime) -> list[Column]:
+    if visits.columns == ["page", "day", "visits"]:
+        today = F.when(F.col("day") == F.lit(as_of.date()), F.col("visits"))
+        return [F.coalesce(F.sum(c), F.lit(0)).alias(name)
+                for c, name in ((F.col("visits"), "total_visits"), (today, "today_visits"))]
     return [
         F.count("*").alias("total_visits"),
         F.count_if(on_day(F.col("created_at"), as_of)).alias("today_visits"),
@@ -21,16 +26,16 @@ def _counts(as_of: datetime) -> list[Column]:
 
 
 def site_visits(visits: DataFrame, as_of: datetime) -> DataFrame:
-    return visits.agg(*_counts(as_of))
+    return visits.agg(*_counts(visits, as_of))
 
 
 def page_visits(visits: DataFrame, page: str, as_of: datetime) -> DataFrame:
     """Counts of one page; zeros when it was never visited."""
-    return visits.filter(P.equals("page", page)).agg(*_counts(as_of))
+    return visits.filter(P.equals("page", page)).agg(*_counts(visits, as_of))
 
 
 def visits_per_page(visits: DataFrame, as_of: datetime) -> DataFrame:
-    return visits.filter(F.col("page").isNotNull()).groupBy("page").agg(*_counts(as_of))
+    return visits.filter(F.col("page").isNotNull()).groupBy("page").agg(*_counts(visits, as_of))
 
 
 def pages_visits(pages: DataFrame, visits: DataFrame, as_of: datetime,

@@ -13,6 +13,7 @@ number of buckets so that one is some hundred MB; it is fixed when the table is
 """
 
 import json
+from collections import Counter
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -160,6 +161,22 @@ def add_rows(rows: DataFrame, root: str, name: str, version: int) -> None:
     _enter(spark, root, version, _manifest(table, set(), written), [name])
 
 
+def merge_rows(rows: DataFrame, root: str, name: str, version: int,
+               combine: Callable[[DataFrame], DataFrame], most: int = 8) -> None:
+    """Add rows whose ids may be there already, to a table whose readers combine the rows of an id.
+
+    Each bucket gets a folder more; those that have `most` are written anew as `combine` of all
+    their rows, so a row is written again once in `most` calls, not at each.
+    """
+    spark = rows.sparkSession
+    _unused(spark, root, version)
+    table = stored(spark, root, name)
+    held = Counter(f.bucket for f in table.folders)
+    full = {b for b, n in held.items() if n >= most}
+    written = _write(combine(table.rows(full).unionByName(rows)), root, name, version, table.buckets)
+    _enter(spark, root, version, _manifest(table, full, written), [name])
+
+
 def compact(spark: SparkSession, root: str, name: str, version: int, most: int = 8) -> int:
     """Write buckets of more than `most` folders into one each; how many there were."""
     _unused(spark, root, version)
