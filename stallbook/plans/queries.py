@@ -331,16 +331,16 @@ def visits_stream_totals(m):
 
 
 def rolled_visits(m: Market) -> str:
-    """Visits in four deliveries, every fourth one again in the delivery after; each covers all days,
-    so those after the first bring late ones. Three deliveries are merged, the last is beyond the mark."""
+    """Visits in three deliveries, every fourth one again in the delivery after; each covers all days,
+    so those after the first bring late ones. Two deliveries are merged, the last is beyond the mark."""
     run = f"{shared_folder(m.spark)}/rollup-{uuid.uuid4().hex}"
-    first = m.visits.select("id", "page", "created_at", (F.col("id") % 3).alias("delivery"))
+    first = m.visits.select("id", "page", "created_at", (F.col("id") % 2).alias("delivery"))
     again = first.where("id % 4 = 0").withColumn("delivery", F.col("delivery") + 1)
-    for n in range(4):
+    for n in range(3):
         rows = first.unionByName(again).where(F.col("delivery") == n).drop("delivery")
         rows.write.mode("append").parquet(f"{run}/in")
         arriving = m.spark.readStream.schema(rows.schema).parquet(f"{run}/in")
-        SR.stream(arriving, f"{run}/rollup", f"{run}/progress", every=3, buckets=8).awaitTermination()
+        SR.stream(arriving, f"{run}/rollup", f"{run}/progress", every=2, buckets=8).awaitTermination()
     return f"{run}/rollup"
 
 

@@ -48,8 +48,8 @@ def fresh_visits(batch: DataFrame, batch_id: int, root: str) -> DataFrame:
     """The visits of a micro-batch that were not counted before, each once, with their `day`.
 
     Rows without id are never taken for one another. Of the known ids only those that the batch
-    has too are kept, and they find the batch's rows: the known side is never shuffled whole if
-    the batch is small enough to broadcast.
+    has too go on to find the batch's rows, so the known side is not shuffled where Spark
+    finds the batch, a written table, small enough to broadcast.
     """
     spark, key = batch.sparkSession, ["id", "created_at"]
     rows = batch.select("id", "page", "created_at", F.to_date("created_at").alias("day"))
@@ -60,7 +60,7 @@ def fresh_visits(batch: DataFrame, batch_id: int, root: str) -> DataFrame:
         return rows
     ours, theirs = rows.select(*key).alias("a"), counted(spark, root, days, rows, batch_id).alias("b")
     same = (F.col("a.id") == F.col("b.id")) & F.col("a.created_at").eqNullSafe(F.col("b.created_at"))
-    known = keep(theirs.join(ours, same, "left_semi"), "known").alias("b")
+    known = theirs.join(ours, same, "left_semi")
     return rows.alias("a").join(known, same, "left_anti")
 
 
