@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stallbook.llm import vector_search as v
 
@@ -55,3 +56,36 @@ def test_cells_bound_every_score():
     low, high = block.bounds(queries)
     true = queries @ block.exact.T
     assert (low <= true).all() and (true <= high).all() and (high - low).max() > 0
+
+
+def test_large_components_are_exact_and_too_large_ones_fail(spark):
+    draw = np.random.default_rng(2)
+    rows = [(i, [math.ldexp(float(x), -8) for x in draw.integers(-2**20, 2**20, 8)]) for i in range(200)]
+    # whole numbers far beyond 2**53 whose products nearly cancel
+    rows += [(300 + i, [2.0**33, -2.0**33, float(i)] + [0.0] * 5) for i in range(20)]
+    ask = [*rows[:200:40], (500, [2.0**10, 2.0**10, 1.0] + [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = v.top_k(df, spark.createDataFrame(ask, df.schema), k=5)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute(rows, ask, 5)
+    for x, told in ((2.0**40, "64 bits"), (2.0**60, "too large")):
+        big = spark.createDataFrame([(1, [x]), (2, [x])], df.schema)
+        with pytest.raises(Exception, match=told):
+            v.top_k(big, big, k=1).collect()
+
+
+def test_one_vector_may_be_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(v, "GROUP", 50)
+    rows = [(i, [float(i % 7), 1.0]) for i in range(100)] + [(5, [9.0, 9.0])] * 60
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = v.top_k(df, df.where("vec_id % 20 = 0"), k=5)
+    found = [tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()]
+    assert set(found) == brute(rows, [r for r in rows if r[0] % 20 == 0], 5) and len(found) == 25
+
+
+def test_exact_vectors_are_read_for_few_pairs_only(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    made = lambda df: df.select("vec_id", v.integers(F.col("embedding")).alias("v"))
+    asked = vectors.where("vec_id % 50 = 0")
+    files, sets = v._file(made(vectors), 2000, "vectors"), v._file(made(asked), 500, "queries")
+    near = v.candidates(files, sets, 5).count()
+    assert 5 * asked.count() <= near < 0.2 * asked.count() * vectors.count()
