@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule measures whole texts and rejects those outside its limits. On a sample of the
-rows each rule's cost (seconds a byte) and selectivity (share it rejects) are measured; the
-rules then run in the order of rejection per cost, each only on what those before it let
-through. The order changes the time and which rule a text is rejected by, never the verdict:
-a text is kept if no rule rejects it.
+Every rule measures whole texts and rejects those outside its limits. On a sample of the texts that
+pass the base measures, each rule's cost (seconds a byte) and which texts it rejects are
+measured. The first rule is that with the most rejections per cost; the next one that with the most
+per cost among what the first lets through, and so on, and each runs on that only. What the
+base has measured is not measured again. The order changes the time and which rule a text is
+rejected by, never the verdict: a text is kept if no rule rejects it.
 """
 
 import time
@@ -102,8 +103,8 @@ class Rule:
     high: int | None = None
     scale: int = 100
 
-    def rejects(self, part: Slice) -> np.ndarray:
-        value, base = self.scale * self.value(part), self.base(part)
+    def outside(self, value: np.ndarray, base: np.ndarray) -> np.ndarray:
+        value = self.scale * value
         out = value < self.low * base
         return out if self.high is None else out | (value > self.high * base)
 
@@ -119,64 +120,120 @@ RULES = (
 )
 
 
-def _apply(rule: Rule, column: pa.Array) -> np.ndarray:
-    out = np.zeros(len(column), dtype=bool)
-    for part in slices(column):
-        out[part.first:part.first + part.size] = rule.rejects(part)
+#: What every text is measured by.
+BASE = {"n_words": Slice.counts, "word_chars": word_chars, "n_symbols": symbols,
+        "n_dup_lines": duplicate_lines, "n_repeat_words": repeated_words}
+
+
+def _measured(measures: Sequence[Measure], column: pa.Array) -> list[np.ndarray]:
+    out = [np.zeros(len(column), dtype=np.int64) for _ in measures]
+    for part in slices(column) if measures else ():
+        for values, measure in zip(out, measures, strict=True):
+            values[part.first:part.first + part.size] = measure(part)
     return out
 
 
 def base_measures(column: pa.Array) -> dict[str, np.ndarray]:
     """The measures that every text gets, and whether it fails on them."""
-    names = {"n_words": Slice.counts, "word_chars": word_chars, "n_symbols": symbols,
-             "n_dup_lines": duplicate_lines, "n_repeat_words": repeated_words}
-    out = {name: np.zeros(len(column), dtype=np.int64) for name in names}
-    for part in slices(column):
-        for name, measure in names.items():
-            out[name][part.first:part.first + part.size] = measure(part)
+    out = dict(zip(BASE, _measured(list(BASE.values()), column), strict=True))
     out["base_failed"] = (out["n_words"] < 50) | (
         100 * out["n_repeat_words"] > 50 * out["n_words"])
     return out
 
 
-def costs(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES,
-          sample_rows: int = 2000) -> list[dict]:
-    """Each rule's seconds a byte and share rejected, on about `sample_rows` rows.
+class _Passed:
+    """The texts of a column that are not rejected yet, and what is known of them."""
+
+    def __init__(self, column: pa.Array, base: dict[str, np.ndarray]):
+        self.rows = np.flatnonzero(~base["base_failed"])
+        self.texts = column.take(pa.array(self.rows))
+        self.known = {measure: base[name][self.rows] for name, measure in BASE.items()}
+
+    def rejected(self, rule: Rule) -> np.ndarray:
+        """Which of the texts the rule rejects. Base measures are looked up."""
+        new = [m for m in dict.fromkeys((rule.value, rule.base)) if m not in self.known]
+        values = self.known | dict(zip(new, _measured(new, self.texts), strict=True))
+        return rule.outside(values[rule.value], values[rule.base])
+
+    def drop(self, bad: np.ndarray) -> None:
+        if bad.any():
+            self.rows, self.texts = self.rows[~bad], self.texts.filter(pa.array(~bad))
+            self.known = {measure: values[~bad] for measure, values in self.known.items()}
+
+
+#: Hashes of texts are spread over this many values.
+_SPACE = 1 << 40
 
-    The sample is the rows whose text hash falls in the needed share of all hashes, so it is
-    the same at every run; one row per task and rule comes back for it. Empty input: no rows.
+
+def costs(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES,
+          sample_rows: int = 2000) -> tuple[list[dict], dict[str, int]]:
+    """Each rule's seconds a byte and share rejected, and how many rows each set of rules rejects
+    (one character a rule, 1 if it does), on about `sample_rows` rows or fewer, of which those
+    that fail the base are left out.
+
+    The sample is the texts whose hash falls in the needed share of all hashes, the same at every run
+    and about as many at any size of the table. Equal texts are one, with their count. One row per
+    rule and set, at most as many as sampled texts, comes back. No text that passes the base: nothing.
     """
     ready(docs.sparkSession)
     total = docs.count()
     if not total:
-        return []
-    share = min(1000, -(-1000 * sample_rows // total))
-    sample = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(1000)) < share).select(text)
+        return [], {}
+    share = min(_SPACE, -(-_SPACE * sample_rows // total))
+    sample = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(_SPACE)) < share).groupBy(
+        F.col(text).alias("text")).agg(F.count("*").alias("copies"))
 
     def measure(batches):
         for batch in batches:
             column, rows = batch.column(0), []
-            size = max(1, column.nbytes)
-            for i, rule in enumerate(rules):
+            passed = _Passed(column, base_measures(column))
+            copies = batch.column(1).to_numpy()[passed.rows]
+            marks = np.zeros((len(copies), len(rules)), dtype=bool)
+            for i, rule in enumerate(rules if len(copies) else ()):
                 began = time.perf_counter()
-                out = _apply(rule, column)
-                rows.append((i, time.perf_counter() - began, size, len(column), int(out.sum())))
+                marks[:, i] = passed.rejected(rule)
+                rows.append((i, None, time.perf_counter() - began, passed.texts.nbytes, 0))
+            rows += [(None, "".join("01"[x] for x in m), 0.0, 0, c)
+                     for m, c in zip(marks.astype(int).tolist(), copies.tolist(), strict=True)]
+            kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in zip(*rows, strict=True)],
-                ["rule", "seconds", "bytes", "rows", "rejected"])
-
-    got = (sample.mapInArrow(measure, "rule long, seconds double, bytes long, rows long, "
-                                      "rejected long")
-           .groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("seconds", "bytes", "rows",
-                                                              "rejected")]).collect())
-    return [{"rule": r.rule, "cost": r.seconds / r.bytes, "rejects": r.rejected / max(1, r.rows)}
-            for r in got]
-
-
-def ordered(rules: Sequence[Rule], measured: list[dict]) -> list[Rule]:
-    """The rules by rejection per cost, the best first; those not measured keep their order."""
-    worth = {m["rule"]: m["rejects"] / max(m["cost"], 1e-15) for m in measured}
-    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-worth.get(i, 0.0), i))]
+                [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)],
+                ["rule", "marks", "seconds", "bytes", "rows"])
+
+    got = (sample.mapInArrow(measure, "rule long, marks string, seconds double, bytes long, rows long")
+           .groupBy("rule", "marks").agg(*[F.sum(c).alias(c) for c in ("seconds", "bytes", "rows")])
+           .collect())
+    together = {r.marks: r.rows for r in got if r.marks is not None}
+    every = max(1, sum(together.values()))
+    return sorted(({"rule": r.rule, "cost": r.seconds / max(1, r.bytes),
+                    "rejects": sum(n for m, n in together.items() if m[r.rule] == "1") / every}
+                   for r in got if r.rule is not None), key=lambda m: m["rule"]), together
+
+
+def ordered(rules: Sequence[Rule], measured: list[dict],
+            together: dict[str, int] | None = None) -> list[Rule]:
+    """The rules, each the best of those left by rejection per cost; equal ones in the given order.
+
+    With `together`, the rejections that count are those among rows that the rules before let
+    through; without it each rule rejects the same share of whatever is left. Rules that are not
+    measured come last.
+    """
+    known = {m["rule"]: m for m in measured}
+    left, alive, out = list(range(len(rules))), dict(together or {}), []
+    while left:
+        def worth(i: int) -> float:
+            if i not in known:
+                return -1.0
+            share = known[i]["rejects"] if together is None else sum(
+                n for m, n in alive.items() if m[i] == "1")
+            return share / max(known[i]["cost"], 1e-15)
+
+        best = max(left, key=lambda i: (worth(i), -i))
+        left.remove(best)
+        out.append(rules[best])
+        alive = {m: n for m, n in alive.items() if m[best] == "0"}
+    return out
 
 
 def cascade(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES,
@@ -188,19 +245,19 @@ def cascade(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES,
     not. A null text counts as an empty one: no words, base failed. Columns that have the
     name of a new one are replaced; all others, and every row, stay as they are.
     """
-    order = ordered(rules, costs(docs, text, rules, sample_rows))
+    order = ordered(rules, *costs(docs, text, rules, sample_rows))
 
     def make():
         def run(column: pa.Array) -> dict[str, object]:
             out = base_measures(column)
             by = np.where(out["base_failed"], "base", "").astype(object)
-            alive = np.flatnonzero(~out["base_failed"])
+            passed = _Passed(column, out)
             for rule in order:
-                if not len(alive):
+                if not len(passed.rows):
                     break
-                bad = _apply(rule, column.take(pa.array(alive)))
-                by[alive[bad]] = rule.name
-                alive = alive[~bad]
+                bad = passed.rejected(rule)
+                by[passed.rows[bad]] = rule.name
+                passed.drop(bad)
             out["kept"] = by == ""
             out["rejected_by"] = pa.array([b or None for b in by], type=pa.string())
             return out

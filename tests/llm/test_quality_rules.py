@@ -67,3 +67,44 @@ def test_rules_run_by_rejection_per_cost_and_the_order_changes_no_verdict(spark)
     one = {r.doc_id: r.kept for r in q.cascade(docs).collect()}
     other = {r.doc_id: r.kept for r in q.cascade(docs, rules=q.RULES[::-1]).collect()}
     assert one == other == {i: i % 3 == 0 for i in range(12)}
+
+
+def test_rules_are_chosen_by_what_the_rules_before_let_through():
+    measured = [{"rule": i, "cost": c, "rejects": r} for i, c, r in ((0, 1.0, 0.5), (1, 1.0, 0.4), (2, 1.0, 0.2))]
+    # the second rule rejects only what the first does
+    together = {"110": 40, "100": 10, "001": 20, "000": 30}
+    names = [r.name for r in q.RULES[:3]]
+    assert [r.name for r in q.ordered(q.RULES[:3], measured)] == names
+    assert [r.name for r in q.ordered(q.RULES[:3], measured, together)] == [names[0], names[2], names[1]]
+
+
+def test_selectivity_is_that_of_texts_that_pass_the_base(spark):
+    rows = [(clean(60, i) + (" ##" * 30 if i % 4 == 0 else ""),) for i in range(12)]
+    rows += [("same three words " * 40 + "## " * 90,)] * 50 + [("SHORT",)] * 50 + [(rows[0][0],)] * 20 + [(None,)]
+    docs = spark.createDataFrame(rows, "text string")
+    measured, together = q.costs(docs, rules=q.RULES)
+    assert [m["rule"] for m in measured] == list(range(len(q.RULES)))
+    symbols = [r.name for r in q.RULES].index("symbols")
+    # 12 and 20 copies pass the base; every fourth of the 12, and the copies of the first, are rejected
+    assert sum(together.values()) == 32 and measured[symbols]["rejects"] == 23 / 32
+    assert q.costs(docs.where("text = 'SHORT'")) == ([], {})
+    assert q.costs(docs.limit(0)) == ([], {})
+
+
+def test_the_sample_does_not_grow_with_the_table(spark):
+    docs = spark.range(40_000).selectExpr(
+        "concat_ws(' ', transform(sequence(1, 60), x -> concat('w', x * 7919 + id * 31))) AS text")
+    _, together = q.costs(docs, rules=q.RULES, sample_rows=20)
+    assert 2 <= sum(together.values()) <= 60
+
+
+def test_base_measures_are_looked_up_not_measured_again():
+    column = pa.array([clean(80), clean(60) + " ##" * 30])
+    passed = q._Passed(column, q.base_measures(column))
+    plain_measured, asked = q._measured, []
+    try:
+        q._measured = lambda measures, texts: asked.append(list(measures)) or plain_measured(measures, texts)
+        got = [passed.rejected(r).tolist() for r in q.RULES[:3]]
+    finally:
+        q._measured = plain_measured
+    assert got == [[False, False], [False, True], [False, False]] and asked == [[], [], [q.lines]]
