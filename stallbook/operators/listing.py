@@ -48,6 +48,13 @@ SMALL_PAGE = 10_000  # rows of a cut page that may be broadcast
 
 # --- places ---------------------------------------------------------------------
 
+def owner_weights(basis: Basis, source: DataFrame, packages: DataFrame,
+                  as_of: datetime) -> DataFrame:
+    """The weight of each user's package; on the payments basis whether or not it has expired."""
+    return active_package(basis, source, packages, as_of).select(
+        "user_id", F.coalesce(F.col("priority_weight"), F.lit(0)).cast("bigint").alias("_weight"))
+
+
 def with_priority(providers: DataFrame, basis: Basis, source: DataFrame, packages: DataFrame,
                   as_of: datetime) -> DataFrame:
     """Add `priority`: weight of the owner's package plus a bonus for new places.
@@ -55,9 +62,7 @@ def with_priority(providers: DataFrame, basis: Basis, source: DataFrame, package
     A place without an owner has priority 0, however new. On the payments basis
     the weight ignores expiry.
     """
-    weights = active_package(basis, source, packages, as_of).select(
-        "user_id", F.coalesce(F.col("priority_weight"), F.lit(0)).cast("bigint").alias("_weight")
-    )
+    weights = owner_weights(basis, source, packages, as_of)
     bonus = recency(F.col("created_at"), moment(as_of, providers, "created_at"))
     priority = F.when(F.col("user_id").isNull(), F.lit(0).cast("bigint")).otherwise(
         F.coalesce(F.col("_weight"), F.lit(0).cast("bigint")) + bonus

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import keep, shared_folder
 from ..functions import predicates as P
 from ..functions import scalars as S
+from ..operators import bounded as N
 from ..operators import entitlement as E
 from ..operators import listing as L
 from ..operators import quality as Q
@@ -114,6 +115,17 @@ def providers_page(m):
                               status="pending", limit=20, offset=40)
 
 
+@both
+def ranked_by_bounds(m, basis):
+    return N.ranked_providers(m.providers, basis, source(m, basis), m.packages, AS_OF)
+
+
+@query
+def providers_page_by_bounds(m):
+    return N.ranked_providers(m.providers, "subscriptions", m.subscriptions, m.packages, AS_OF,
+                              status="pending", limit=20, offset=40)
+
+
 @query
 def latest_providers(m):
     return L.latest_providers(m.providers)
