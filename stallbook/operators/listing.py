@@ -19,6 +19,7 @@ from ..functions.ordering import ascending, newest, top
 from ..functions.scalars import (
     blank_to_null, normalize_url, place_fields, place_page, recency, service_page,
 )
+from ..sources.ranks import RANGES, RankIndex, build
 from .entitlement import Basis, active_package
 from .skew import join_unique
 from .visits import visits_per_page
@@ -104,6 +105,31 @@ def ranked_providers(providers: DataFrame, basis: Basis, source: DataFrame, pack
     return top(cards, order, RANKED_CARD, rows)
 
 
+def ranked_index(providers: DataFrame, basis: Basis, source: DataFrame, packages: DataFrame,
+                 as_of: datetime, path: str, status: str | None = "active",
+                 ranges: int = RANGES) -> RankIndex:
+    """The order of `ranked_providers` as a rank index, for pages at any depth.
+
+    Priorities are those of `as_of`: build a new one for each day.
+    """
+    status_of = F.coalesce(F.col("status"), F.lit("pending"))
+    shown = providers.filter(P.equals_if_given(status_of, status)).select(
+        "id", "user_id", "created_at")
+    ranked = with_priority(shown, basis, source, packages, as_of)
+    return build(ranked.select("id", "priority", "created_at"), path,
+                 ["-priority", "-created_at"], ranges)
+
+
+def ranked_at(index: RankIndex, providers: DataFrame, limit: int | None = V.LISTING_LIMIT,
+              offset: int | None = 0) -> DataFrame:
+    """A page of `ranked_providers` read from its index: only the ranges it lies in."""
+    rows = max(1, limit or 0)
+    page = index.page(rows, offset)
+    cards = providers.select(*CARD, "status").join(
+        F.broadcast(page) if rows <= SMALL_PAGE else page, "id")
+    return top(cards, newest("priority", "created_at"), RANKED_CARD, rows)
+
+
 def provider_search(providers: DataFrame, status: str | None = None, text: str | None = None,
                     limit: int = V.SEARCH_LIMIT) -> DataFrame:
     """Newest places with optional status and name search; the limit applies after both."""

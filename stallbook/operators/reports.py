@@ -10,6 +10,7 @@ from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions.clock import plus_days
 from ..functions.ordering import ascending, newest
+from ..sources.ranks import RANGES, RankIndex, build
 from .entitlement import Basis, active_package, latest_entitlement
 
 SMALL_PAGE = 10_000
@@ -131,6 +132,14 @@ def _known_as(name: str = "full_name") -> Column:
     return F.coalesce(F.col(name), F.lit(V.UNKNOWN_USER)).alias("user_name")
 
 
+SUBSCRIPTION_OWN = {
+    "subscriptions": ["id", "user_id", "package_id", "amount", "status", "started_at",
+                      "expires_at", "created_at", "payment_id", "auto_renew", "notes"],
+    "payments": ["id", "user_id", "package_id", "amount", "status", "created_at",
+                 "completed_at"],
+}
+
+
 def all_subscriptions(basis: Basis, source: DataFrame, profiles: DataFrame, packages: DataFrame,
                       status: str | None = None, limit: int | None = V.SUBSCRIPTIONS_LIMIT,
                       offset: int | None = 0, cut: Cut = as_is) -> DataFrame:
@@ -140,14 +149,29 @@ def all_subscriptions(basis: Basis, source: DataFrame, profiles: DataFrame, pack
     completion and the package's duration are known. A page is needed once per
     lookup; `cut=config.settle` sorts it out once.
     """
-    own = {
-        "subscriptions": ["id", "user_id", "package_id", "amount", "status", "started_at",
-                          "expires_at", "created_at", "payment_id", "auto_renew", "notes"],
-        "payments": ["id", "user_id", "package_id", "amount", "status", "created_at",
-                     "completed_at"],
-    }[basis]
-    page, small = _page(source, own, status, limit, offset)
-    page = cut(page) if small else page
+    page, small = _page(source, SUBSCRIPTION_OWN[basis], status, limit, offset)
+    return _named(basis, cut(page) if small else page, profiles, packages, small)
+
+
+def subscriptions_index(basis: Basis, source: DataFrame, path: str, status: str | None = None,
+                        ranges: int = RANGES) -> RankIndex:
+    """The order of `all_subscriptions` as a rank index, for pages at any depth."""
+    rows = source.filter(P.equals_if_given("status", status)).select(*SUBSCRIPTION_OWN[basis])
+    return build(rows, path, ["-created_at"], ranges)
+
+
+def subscriptions_at(index: RankIndex, basis: Basis, profiles: DataFrame, packages: DataFrame,
+                     limit: int | None = V.SUBSCRIPTIONS_LIMIT, offset: int | None = 0,
+                     cut: Cut = as_is) -> DataFrame:
+    """A page of `all_subscriptions` read from its index: only the ranges it lies in."""
+    page, small = index.page(limit, offset), limit is not None and limit <= SMALL_PAGE
+    return _named(basis, cut(page) if small else page, profiles, packages, small)
+
+
+def _named(basis: Basis, page: DataFrame, profiles: DataFrame, packages: DataFrame,
+           small: bool) -> DataFrame:
+    """Subscriptions or payments beside user and package, newest first."""
+    own = SUBSCRIPTION_OWN[basis]
     joined = _lookup(page, profiles, "user_id", [F.col("full_name"), F.col("email")], small)
     joined = _lookup(joined, packages, "package_id",
                      [F.col("name").alias("package_name"), F.col("duration_days")], small)

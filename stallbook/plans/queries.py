@@ -126,6 +126,13 @@ def providers_page_by_bounds(m):
                               status="pending", limit=20, offset=40)
 
 
+@query
+def providers_deep_page(m):
+    index = L.ranked_index(m.providers, "subscriptions", m.subscriptions, m.packages, AS_OF,
+                           f"{shared_folder(m.spark)}/ranks-{uuid.uuid4().hex}", ranges=64)
+    return L.ranked_at(index, m.providers, offset=index.rows // 2)
+
+
 @query
 def latest_providers(m):
     return L.latest_providers(m.providers)
@@ -446,6 +453,13 @@ def all_subscriptions(m, basis):
     return R.all_subscriptions(basis, source(m, basis), m.user_profiles, m.packages, cut=keep)
 
 
+@both
+def subscriptions_deep_page(m, basis):
+    index = R.subscriptions_index(basis, source(m, basis),
+                                  f"{shared_folder(m.spark)}/ranks-{uuid.uuid4().hex}", ranges=64)
+    return R.subscriptions_at(index, basis, m.user_profiles, m.packages, offset=index.rows // 2, cut=keep)
+
+
 @query
 def all_subscriptions_unlimited(m):
     return R.all_subscriptions("subscriptions", m.subscriptions, m.user_profiles, m.packages,

@@ -1,0 +1,78 @@
+"""Pages of a rank index against sorting the table, and which folders a page reads."""
+
+import random
+
+import pytest
+from market_rows import NOW, dicts
+
+from stallbook.operators import listing as L
+from stallbook.operators import reports as R
+from stallbook.sources import ranks as K
+
+
+def rows_of(n, seed=0):
+    rnd = random.Random(seed)
+    return [(rnd.choice([None, 1, 1, 1, 1, 2, 3]), rnd.choice([None, "a", "b", "é"]), i) for i in range(n)]
+
+
+def plain(rows):
+    """Newest first with NULL first; ties by score, name (NULL last), id."""
+    return sorted(rows, key=lambda r: (r[0] is not None, -(r[0] or 0), r[1] is None,
+                                       (r[1] or "").encode(), r[2]))
+
+
+def test_every_page_is_that_of_the_sorted_table(spark, tables, tmp_path):
+    rows = rows_of(500)
+    df = tables.rows("score int, name string, id bigint", rows)
+    index = K.build(df, str(tmp_path / "i"), ["-score"], ranges=16)
+    want = plain(rows)
+    assert index.rows == 500 and len(index.ends) > 8
+    assert max(b - a for a, b in zip([0, *index.ends], index.ends, strict=False)) < 120  # ties are dealt out
+    again = K.opened(spark, str(tmp_path / "i"), df.schema)
+    edge = index.ends[2]
+    for limit, offset in ((7, 0), (10, 250), (1, 499), (50, 490), (3, edge - 1), (3, edge), (90, 100),
+                          (None, 480), (None, None), (5, -4), (0, 3), (5, 500), (5, 9999), (-1, 0)):
+        start = max(0, offset or 0)
+        stop = 500 if limit is None else start + max(0, limit)
+        assert [tuple(r) for r in again.page(limit, offset).collect()] == want[start:stop], (limit, offset)
+
+
+def test_a_page_reads_only_the_ranges_it_lies_in(tables, tmp_path):
+    df = tables.rows("score int, name string, id bigint", rows_of(500, 3))
+    index = K.build(df, str(tmp_path / "i"), ["-score"], ranges=16)
+    inside = index.ends[5]
+    files = index.page(3, inside).inputFiles()
+    assert len(files) > 8  # the table as a whole, before partitions are pruned
+    text = index.page(3, inside)._jdf.queryExecution().executedPlan().toString()
+    number = index.numbers[6]
+    assert "(_range#" in text and f">= {number})" in text and f"<= {number})" in text
+    assert "GreaterThanOrEqual(_at," in text and "Exchange hash" not in text
+
+
+def test_equal_rows_an_empty_table_and_clashing_names(tables, tmp_path):
+    same = tables.rows("score int, name string, id bigint", [(1, "a", 5)] * 40)
+    index = K.build(same, str(tmp_path / "same"), ["score"], ranges=8)
+    assert index.rows == 40 and index.page(7, 36).count() == 4
+    none = K.build(same.limit(0), str(tmp_path / "none"), ["score"], ranges=8)
+    assert none.rows == 0 and none.page(5).collect() == [] and none.page(5).columns == same.columns
+    with pytest.raises(ValueError):
+        K.build(same.withColumnRenamed("id", "_AT"), str(tmp_path / "x"), ["score"])
+
+
+def test_deep_pages_are_those_of_the_reports(tables, tmp_path):
+    rnd = random.Random(2)
+    users = tables("user_profiles", [{"id": f"u{i}", "full_name": f"n{i}"} for i in range(5)])
+    packages = tables("packages", [{"id": 1, "name": "k", "priority_weight": 3}])
+    subscriptions = tables("subscriptions", [
+        {"id": i, "user_id": f"u{rnd.randrange(9)}", "package_id": rnd.randrange(3), "status": "active",
+         "created_at": NOW, "updated_at": NOW} for i in range(60)])
+    index = R.subscriptions_index("subscriptions", subscriptions, str(tmp_path / "s"), ranges=8)
+    assert dicts(R.subscriptions_at(index, "subscriptions", users, packages, 9, 31)) == dicts(
+        R.all_subscriptions("subscriptions", subscriptions, users, packages, limit=9, offset=31))
+    places = tables("providers", [{"id": i, "name": f"p{i % 3}", "status": "active",
+                                   "user_id": rnd.choice([None, "u1", "u2"]), "created_at": NOW} for i in range(50)])
+    args = (places, "subscriptions", subscriptions, packages, NOW)
+    ranked = L.ranked_index(*args, str(tmp_path / "p"), ranges=8)
+    for offset in (0, 23, 48):
+        assert dicts(L.ranked_at(ranked, places, 6, offset)) == dicts(
+            L.ranked_providers(*args, limit=6, offset=offset))
