@@ -19,6 +19,7 @@ from ..functions.ordering import ascending, newest, top
 from ..functions.scalars import (
     blank_to_null, normalize_url, place_fields, place_page, recency, service_page,
 )
+from ..sources import trigrams
 from ..sources.ranks import RANGES, RankIndex, build
 from .entitlement import Basis, active_package
 from .skew import join_unique
@@ -42,6 +43,7 @@ PLACE_CARD = ["id", "name", "category", "city", "address", "phone", "website", "
               "map_url", "description", "image_url"]
 PACKAGE_CARD = ["id", "name", "price", "duration_days", "ads_limit", "image_limit", "video_limit",
                 "is_active", "created_at", "description"]
+SEARCH_CARD = ["id", "name", "city", "category", "status", "created_at"]
 REVIEW_CARD = ["id", "provider_id", "service_id", "user_id", "rating", "comment", "created_at"]
 
 SMALL_PAGE = 10_000  # rows of a cut page that may be broadcast
@@ -133,9 +135,16 @@ def ranked_at(index: RankIndex, providers: DataFrame, limit: int | None = V.LIST
 def provider_search(providers: DataFrame, status: str | None = None, text: str | None = None,
                     limit: int = V.SEARCH_LIMIT) -> DataFrame:
     """Newest places with optional status and name search; the limit applies after both."""
-    columns = ["id", "name", "city", "category", "status", "created_at"]
     found = providers.filter(P.equals_if_given("status", status) & P.name_like(text))
-    return top(found, newest("created_at"), columns, limit)
+    return top(found, newest("created_at"), SEARCH_CARD, limit)
+
+
+def provider_search_indexed(providers: DataFrame, index: str, status: str | None = None,
+                            text: str | None = None, limit: int = V.SEARCH_LIMIT) -> DataFrame:
+    """`provider_search` through the trigrams of the names, stored in the folder `index`."""
+    found = trigrams.like(providers.select(*SEARCH_CARD), index, text)
+    return top(found.filter(P.equals_if_given("status", status)), newest("created_at"),
+               SEARCH_CARD, limit)
 
 
 def details(table: DataFrame, ids: DataFrame, columns: list[str], key: str = "id") -> DataFrame:

@@ -26,6 +26,7 @@ from ..operators.changes import lifecycle as C
 from ..operators.changes import quota as K
 from ..sources import buckets as BU
 from ..sources import tables as T
+from ..sources import trigrams as TG
 from ..sources.adapters import AS_OF, AS_OF_VISITS, Market
 from ..streaming import calendar as SC
 from ..streaming import expiry as SE
@@ -160,6 +161,13 @@ def provider_search(m):
     return L.provider_search(m.providers, status="active", text=" A%e ")
 
 
+@query
+def provider_search_indexed(m):
+    index = f"{shared_folder(m.spark)}/names-{uuid.uuid4().hex}"
+    TG.add(m.providers, index)
+    return L.provider_search_indexed(m.providers, index, status="active", text=" BL_E bo%T ")
+
+
 @query
 def provider_details(m):
     return L.details(m.providers.withColumns({
@@ -438,6 +446,13 @@ def people_search(m):
     return R.people_search(m.user_profiles, " R#0000 ")
 
 
+@query
+def people_search_indexed(m):
+    index = f"{shared_folder(m.spark)}/people-{uuid.uuid4().hex}"
+    TG.add(m.user_profiles, index, name="full_name")
+    return TG.containing(m.user_profiles, index, " R#000000012 ")
+
+
 @query
 def provider_status_counts(m):
     return R.provider_status_counts(m.providers)
