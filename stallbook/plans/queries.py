@@ -17,11 +17,13 @@ from ..functions import scalars as S
 from ..operators import bounded as N
 from ..operators import entitlement as E
 from ..operators import listing as L
+from ..operators import owners as O
 from ..operators import quality as Q
 from ..operators import reports as R
 from ..operators import security as X
 from ..operators import visits as W
 from ..operators.changes import base as B
+from ..operators.changes import dense as D
 from ..operators.changes import lifecycle as C
 from ..operators.changes import quota as K
 from ..sources import buckets as BU
@@ -33,6 +35,9 @@ from ..streaming import expiry as SE
 from ..streaming import rollup as SR
 from ..streaming import visits as SV
 
+DENSE_STANDALONE = {"providers": [("services", "provider_id"), ("results", "provider_id")],
+                    "services": [("results", "service_id")]}
+
 Query = Callable[[Market], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -1018,6 +1023,48 @@ def append_providers(m):
         "id", "name", "user_id", "status", "created_at")
 
 
+def spaced_requests(m):
+    """A request per favourite, their numbers rising with gaps."""
+    return m.favorites.select(F.expr("id * 7 + user_id % 5").alias("request_id"), "user_id",
+                              F.expr("'service ' || cast(id as string)").alias("name"))
+
+
+@query
+def dense_standalone(m):
+    change = B.append_standalone_services(m.providers, m.services, spaced_requests(m), AS_OF)
+    return D.dense(change, {"providers": m.providers, "services": m.services}, DENSE_STANDALONE,
+                   f"{shared_folder(m.spark)}/dense-{uuid.uuid4().hex}", 16).results
+
+
+@query
+def dense_services(m):
+    change = B.append_standalone_services(m.providers, m.services, spaced_requests(m), AS_OF)
+    return D.dense(change, {"providers": m.providers, "services": m.services}, DENSE_STANDALONE,
+                   f"{shared_folder(m.spark)}/dense-{uuid.uuid4().hex}", 16).state["services"].select(
+        "id", "provider_id", "name")
+
+
+def owner_parts(m):
+    """The owners' bitmaps, made in two deliveries, as a table of days."""
+    run = f"{shared_folder(m.spark)}/owners-{uuid.uuid4().hex}"
+    early = F.coalesce(F.col("created_at") < F.lit(AS_OF - timedelta(days=20)), F.lit(False))
+    known = keep(O.number_owners(m.providers.filter(early), f"{run}/1", ranges=16))
+    numbers = keep(O.number_owners(m.providers, f"{run}/2", known, ranges=16))
+    parts = [keep(O.owner_days(m.providers.filter(early), known)),
+             keep(O.owner_days(m.providers.filter(~early), numbers))]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def total_owners(m):
+    return O.owners(owner_parts(m))
+
+
+@query
+def owners_per_status(m):
+    return O.owners(owner_parts(m), ["status"], until=(AS_OF - timedelta(days=7)).date())
+
+
 @query
 def append_services(m):
     requests = m.favorites.select(
