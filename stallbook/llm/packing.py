@@ -1,17 +1,24 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Several sequence lengths are permitted, each at a cost. Pieces come in order of size,
-the largest first. A piece goes into the open bin that it fills best; if none has room, the
-bin size of the least cost per word it can be expected to hold is opened. At the end every
-bin is downsized to the least-cost length that holds its contents.
-
-Pieces are dealt into shards by a hash; every shard is packed by itself in one pass, with a
-heap of open bins that is bounded by the shard. A shard leaves a few bins part empty, out of
-thousands.
+the largest first. A piece goes into the open bin that it fills best; if none has room, a new
+bin is opened. At the end every bin is downsized to the least-cost length that holds its contents.
+
+Which length a new bin has is decided for all lengths together. A mix says for each class of
+pieces, those that need the first length, the second and so on, which length they open. What a
+mix costs is found by packing the shard with it and adding up the downsized bins. The search
+starts from each length as the preferred one (classes that do not fit it open the shortest they
+fit), then changes one class at a time as long as the shard gets cheaper. One more packing opens
+the length of the least cost per word of what is left, which can be better at a shard's end. The
+cheapest of all packs the shard: no single preferred length is cheaper, nor a change of one class.
+
+Pieces are dealt into shards by a hash; every shard is packed by itself, with a sorted list of open
+bins that is bounded by the shard. A shard leaves a few bins part empty, out of thousands.
 """
 
 from bisect import bisect_left, insort
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,41 +35,78 @@ LENGTHS = {c: 128 + c + c * c / 8192 for c in (512, 1024, 2048, 4096)}
 SHARD = 4000
 
 
+class Packed(NamedTuple):
+    """A packed shard: bin and start of each piece, words of each bin, and the cost of all."""
+
+    bins: list[int]
+    starts: list[int]
+    used: list[int]
+    cost: float
+
+
 class Packer:
-    """Packs one shard's pieces, given by size in descending order."""
+    """Packs a shard's pieces, given by size in descending order, none of them 0."""
+
+    def __init__(self, sizes: Sequence[int], costs: Mapping[int, float]):
+        self.sizes, self.costs, self.lengths = sizes, costs, sorted(costs)
+        self.kind = [bisect_left(self.lengths, s) for s in sizes]
+        # The least-cost length that holds as many words as each length does.
+        self.least = [min(self.lengths[i:], key=lambda c: (costs[c], c))
+                      for i in range(len(self.lengths))]
+        self.price = [costs[c] for c in self.least]
+
+    def capacity(self, used: int) -> int:
+        """The least-cost permitted length that holds `used` words."""
+        return self.least[bisect_left(self.lengths, used)]
 
-    def __init__(self, costs: Mapping[int, float], left: int):
-        self.costs, self.left = dict(sorted(costs.items())), left
-        self.open: list[tuple[int, int]] = []  # room and bin, ascending
-        self.room: list[int] = []
-        self.size: list[int] = []
+    def _cheapest(self, size: int, left: int) -> int:
+        """The length of the least cost per word that can still come into it."""
+        return min((c for c in self.lengths if c >= size),
+                   key=lambda c: (self.costs[c] / min(c, left), c))
 
-    def _new(self, size: int) -> int:
-        """Open the bin size with the least cost per word that will be put into it.
+    def pack(self, mix: Sequence[int] | None = None) -> Packed:
+        """Best fit; a piece of class k without a bin opens one of `mix[k]` words.
 
-        No more than what is left of the shard, this piece included, can be put in.
+        Without a mix every new bin has the length of the least cost per word of what is left.
         """
-        fits = [c for c in self.costs if c >= size]
-        best = min(fits, key=lambda c: (self.costs[c] / min(c, max(size, self.left)), c))
-        self.size.append(best)
-        self.room.append(best)
-        return len(self.size) - 1
-
-    def put(self, size: int) -> tuple[int, int]:
-        """Bin of the next piece, and where in the bin it starts."""
-        at = bisect_left(self.open, (size, -1))
-        number = self.open.pop(at)[1] if at < len(self.open) else self._new(size)
-        start = self.size[number] - self.room[number]
-        self.room[number] -= size
-        self.left -= size
-        if self.room[number]:
-            insort(self.open, (self.room[number], number))
-        return number, start
-
-    def downsized(self, number: int) -> int:
-        """The least-cost permitted length that holds what the bin has."""
-        used = self.size[number] - self.room[number]
-        return min((c for c in self.costs if c >= used), key=lambda c: (self.costs[c], c))
+        room: list[tuple[int, int]] = []  # of open bins, ascending, and their numbers
+        bins, starts, used = [], [], []
+        left = sum(self.sizes)
+        for size, kind in zip(self.sizes, self.kind, strict=True):
+            at = bisect_left(room, (size, -1))
+            if at < len(room):
+                free, number = room.pop(at)
+            else:
+                free = mix[kind] if mix else self._cheapest(size, left)
+                number = len(used)
+                used.append(0)
+            bins.append(number)
+            starts.append(used[number])
+            used[number] += size
+            left -= size
+            if free > size:
+                insort(room, (free - size, number))
+        return Packed(bins, starts, used, sum(
+            self.price[bisect_left(self.lengths, u)] for u in used))
+
+    def best(self) -> Packed:
+        """The cheapest packing: by the mix that the search finds, or by cost per word left."""
+        tried: dict[tuple[int, ...], float] = {}
+
+        def cost(mix: tuple[int, ...]) -> float:
+            if mix not in tried:
+                tried[mix] = self.pack(mix).cost
+            return tried[mix]
+
+        present = sorted(set(self.kind))  # a class without pieces opens nothing
+        mix = min((tuple(max(c, p) for c in self.lengths) for p in self.lengths),
+                  key=lambda m: (cost(m), m))
+        while True:
+            near = [(*mix[:k], c, *mix[k + 1:]) for k in present for c in self.lengths[k:]]
+            step = min(near, key=lambda m: (cost(m), m), default=mix)
+            if cost(step) >= cost(mix):
+                return min(self.pack(mix), self.pack(), key=lambda p: p.cost)
+            mix = step
 
 
 def pieces(docs: DataFrame, size: Column, most: int) -> DataFrame:
@@ -117,15 +161,16 @@ def pack(docs: DataFrame, size: Column, costs: Mapping[int, float] = LENGTHS,
     def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         sizes = table.column("n_words").to_pylist()
-        packer = Packer(costs, sum(sizes))
-        got = [packer.put(s) if s else (None, None) for s in sizes]
+        some = len(sizes) - sizes.count(0)  # pieces without words come last
+        packer = Packer(sizes[:some], costs)
+        best = packer.best()
         first = table.column("shard")[0].as_py() << 32
-        capacity = [packer.downsized(i) for i in range(len(packer.size))]
-        used = [s - r for s, r in zip(packer.size, packer.room, strict=True)]
+        none = [None] * (len(sizes) - some)
         pick = lambda values: pa.array(
-            [None if n is None else values[n] for n, _ in got], pa.int64())
-        columns = [pick(range(first, first + len(packer.size))), pick(capacity), pick(used),
-                   pa.array([p for _, p in got], pa.int64())]
+            [values[n] for n in best.bins] + none, pa.int64())
+        columns = [pick(range(first, first + len(best.used))),
+                   pick([packer.capacity(u) for u in best.used]), pick(best.used),
+                   pa.array(best.starts + none, pa.int64())]
         names = ["doc_id", "piece", "start", "n_words"]
         return pa.RecordBatch.from_arrays(
             [*columns, *(table.column(c).combine_chunks() for c in names)],

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -7,27 +8,39 @@ from stallbook.llm import packing as p
 COSTS = {8: 10.0, 16: 18.0, 32: 40.0}
 
 
-def plain(sizes, costs):
-    """Best fit by looking at every bin for every piece."""
+def plain(sizes, costs, opens):
+    """Best fit by looking at every bin for every piece; `opens` names a new bin's length by piece and words left."""
     bins, left = [], sum(sizes)
     for s in sizes:
         fits = [b for b in bins if b["cap"] - b["used"] >= s]
         if fits:
             best = min(fits, key=lambda b: (b["cap"] - b["used"], b["no"]))
         else:
-            cap = min((c for c in costs if c >= s),
-                      key=lambda c: (costs[c] / min(c, max(s, left)), c))
-            best = {"no": len(bins), "cap": cap, "used": 0, "in": []}
+            best = {"no": len(bins), "cap": opens(s, left), "used": 0, "in": []}
             bins.append(best)
         best["in"].append((best["used"], s))
         best["used"] += s
         left -= s
     for b in bins:
         b["cap"] = min((c for c in costs if c >= b["used"]), key=lambda c: (costs[c], c))
-    return sorted((b["cap"], sorted(b["in"])) for b in bins)
+    return sum(costs[b["cap"]] for b in bins), sorted((b["cap"], sorted(b["in"])) for b in bins)
 
 
-def test_one_shard_is_packed_like_a_plain_best_fit(spark):
+def opener(costs, mix):
+    return lambda s, left: mix[min(i for i, c in enumerate(sorted(costs)) if c >= s)]
+
+
+def mixes(costs):
+    lengths = sorted(costs)
+    return list(itertools.product(*[lengths[i:] for i in range(len(lengths))]))
+
+
+def per_word(costs):
+    """Opens the length of the least cost per word of what is left."""
+    return lambda s, left: min((c for c in costs if c >= s), key=lambda c: (costs[c] / min(c, left), c))
+
+
+def test_one_shard_is_a_plain_best_fit_of_the_cheapest_mix(spark):
     draw = random.Random(3)
     for n in (1, 2, 40, 400):
         sizes = sorted((draw.randint(1, 32) for _ in range(n)), reverse=True)
@@ -35,7 +48,30 @@ def test_one_shard_is_packed_like_a_plain_best_fit(spark):
         got = {}
         for r in p.pack(docs, F.col("n"), COSTS, shard=10_000).collect():
             got.setdefault((r.bin_id, r.capacity), []).append((r.position, r.n_words))
-        assert sorted((c, sorted(x)) for (_, c), x in got.items()) == plain(sizes, COSTS)
+        every = [plain(sizes, COSTS, opener(COSTS, m)) for m in mixes(COSTS)]
+        every.append(plain(sizes, COSTS, per_word(COSTS)))
+        mine = sorted((c, sorted(x)) for (_, c), x in got.items())
+        assert mine in [bins for _, bins in every]
+        assert sum(COSTS[c] for c, _ in mine) == min(cost for cost, _ in every)
+
+
+def test_lengths_are_chosen_together():
+    """Cheaper than one preferred length, and than the least cost per word for each piece."""
+    draw, gains = random.Random(9), []
+    costs = {8: 11.0, 16: 19.0, 32: 37.0, 64: 80.0}
+    for trial in range(30):
+        kinds = draw.choice([[5], [20, 11], [9, 7, 3], [33, 30, 1], [12, 5, 40]])
+        sizes = sorted((max(1, draw.choice(kinds) + draw.randint(-2, 2)) for _ in range(150)), reverse=True)
+        packer = p.Packer(sizes, costs)
+        best = packer.best()
+        every = {m: plain(sizes, costs, opener(costs, m)) for m in mixes(costs)}
+        assert all(packer.pack(m).cost == cost for m, (cost, _) in every.items())
+        assert best.cost <= min(every[tuple(max(c, q) for c in sorted(costs))][0] for q in costs)
+        assert best.cost <= 1.01 * min(cost for cost, _ in every.values())
+        greedy = plain(sizes, costs, per_word(costs))[0]
+        assert packer.pack().cost == greedy >= best.cost
+        gains.append(greedy - best.cost)
+    assert sum(g > 0 for g in gains) >= 5
 
 
 def test_every_word_is_in_one_sequence(spark):
