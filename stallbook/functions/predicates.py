@@ -62,11 +62,19 @@ def name_like(text: str | None, column: str = "name") -> Column:
     return F.col(column).ilike(f"%{wanted}%") if wanted else F.lit(True)
 
 
-def name_contains(text: str | None, column: str = "full_name") -> Column:
-    """Case-blind plain substring, NULL names count as empty, blank text matches all."""
+def name_contains(text: str | None, column: str = "full_name",
+                  collation: str | None = None) -> Column:
+    """Case-blind plain substring, NULL names count as empty, blank text matches all.
+
+    With a collation its own rules say which letters are the same: `UNICODE_CI` is case-blind,
+    `UNICODE_CI_AI` blind to accents too.
+    """
     wanted = (text or "").strip().lower()
     if not wanted:
         return F.lit(True)
+    if collation is not None:
+        name = F.coalesce(F.col(column), F.lit(""))
+        return F.contains(F.collate(name, collation), F.collate(F.lit(wanted), collation))
     return F.contains(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(wanted))
 
 

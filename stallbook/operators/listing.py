@@ -15,7 +15,7 @@ from ..config import Cut, as_is
 from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions.clock import moment
-from ..functions.ordering import ascending, newest, top
+from ..functions.ordering import ascending, by_name, newest, top
 from ..functions.scalars import (
     blank_to_null, normalize_url, place_fields, place_page, recency, service_page,
 )
@@ -171,9 +171,16 @@ def active_ads(ads: DataFrame, limit: int | None = V.LISTING_LIMIT) -> DataFrame
     return top(ads.filter(P.equals("status", "active")), newest("created_at"), AD_CARD, limit)
 
 
-def categories(activities: DataFrame) -> DataFrame:
+def categories(activities: DataFrame, collation: str | None = None) -> DataFrame:
+    """All categories by name: by bytes, or in the order of a collation."""
     columns = ["id", "name", "description", "created_at"]
-    return top(activities, ascending("name"), columns)
+    return top(activities, by_name("name", collation), columns)
+
+
+def providers_by_name(providers: DataFrame, collation: str | None = None,
+                      limit: int | None = V.LISTING_LIMIT, offset: int = 0) -> DataFrame:
+    """A page of all places by name: by bytes, or in the order of a collation."""
+    return top(providers, by_name("name", collation), SEARCH_CARD, limit, offset)
 
 
 def images_of(ads: DataFrame, images: DataFrame, cut: Cut = as_is) -> DataFrame:

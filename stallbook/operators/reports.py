@@ -54,8 +54,8 @@ def users_with_stats(profiles: DataFrame, providers: DataFrame, services: DataFr
         F.coalesce("services_count", F.lit(0)).alias("services_count"))
 
 
-def people_search(users: DataFrame, text: str | None) -> DataFrame:
-    return users.filter(P.name_contains(text))
+def people_search(users: DataFrame, text: str | None, collation: str | None = None) -> DataFrame:
+    return users.filter(P.name_contains(text, collation=collation))
 
 
 # --- counts -----------------------------------------------------------------------

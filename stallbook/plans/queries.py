@@ -173,6 +173,18 @@ def provider_search_indexed(m):
     return L.provider_search_indexed(m.providers, index, status="active", text=" BL_E bo%T ")
 
 
+@query
+def providers_by_name(m):
+    accented = F.expr("translate(initcap(name), 'aeiB', 'áéíb')").alias("name")
+    places = m.providers.select("id", accented, "city", "category", "status", "created_at")
+    return L.providers_by_name(places, "UNICODE", offset=100)
+
+
+@query
+def people_search_collated(m):
+    return R.people_search(m.user_profiles, " CÚSTOMÊR#00000001 ", "UNICODE_CI_AI")
+
+
 @query
 def provider_details(m):
     return L.details(m.providers.withColumns({
@@ -1213,6 +1225,26 @@ def profile_seen_by_owner(m):
         "id", "full_name")
 
 
+@query
+def payment_instructions_default(m):
+    wallets = m.payment_settings.filter("mobile_wallet is not null")
+    defaults = {"bank_name": "House bank", "bank_account": "0001", "instructions": "ask at the desk"}
+    return R.payment_instructions(m.packages, wallets, defaults).select(
+        "package_id", "package_name", "amount", "status", "message", "payment_info.*")
+
+
+@query
+def service_forms(m):
+    forms = m.services.select(
+        F.col("id").alias("request_id"), F.col("provider_id").cast("string").alias("provider_id"), "name",
+        F.expr("case when description = 'N' then '' else description end").alias("description"),
+        F.expr("case when id % 5 = 0 then '' when id % 5 = 1 then '0' when id % 5 = 2 then 'free' "
+               "else cast(price as string) end").alias("price"),
+        F.lit("").alias("image_url"))
+    return B.append_services(m.services, B.service_requests(forms), AS_OF).state["services"].select(
+        "id", "provider_id", "name", "description", "price", "image_url")
+
+
 @query
 def payment_instructions_json(m):
     return R.payment_instructions(m.packages, m.payment_settings).select("package_id", "item")

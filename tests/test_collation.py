@@ -1,0 +1,56 @@
+"""Names in the order of a collation, against a second engine's, and comparison blind to accents."""
+
+import random
+
+import duckdb
+import pytest
+from market_rows import dicts
+
+from stallbook.operators import listing as L
+from stallbook.operators import reports as R
+
+NAMES = ["Zoë", "zebra", "Äpfel", "apple", "Apple", "éclair", "Eclair", "eclair", "مطعم البيت", "بيت", "مقهى",
+         "straße", "strasse", "ab", "Ab", "aB", "AB", "abc", "côte", "coté", "cote", "côté", None, "", "日本"]
+
+
+def collated(column_rows, order):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id bigint, name varchar)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", column_rows)
+    return [r[0] for r in con.execute(f"SELECT id FROM t ORDER BY {order}").fetchall()]
+
+
+def test_order_of_names(tables):
+    rows = [(i, n) for i, n in enumerate(NAMES + NAMES[:6])]
+    random.Random(2).shuffle(rows)
+    places = tables("providers", [{"id": i, "name": n} for i, n in rows if n is not None])
+    kinds = tables("activities", [{"id": i, "name": n} for i, n in rows if n is not None])
+    named = [r for r in rows if r[1] is not None]
+    want = collated(named, "name COLLATE en, name, id")
+    assert [r["id"] for r in dicts(L.categories(kinds, "UNICODE"))] == want
+    assert [r["id"] for r in dicts(L.providers_by_name(places, "UNICODE", None))] == want
+    assert [r["id"] for r in dicts(L.providers_by_name(places, "UNICODE", 5, 7))] == want[7:12]
+    assert [r["id"] for r in dicts(L.categories(kinds))] == collated(named, "name, id")
+    blind = [r["name"] for r in dicts(L.categories(kinds, "UNICODE_CI"))]
+    at = blind.index("AB")
+    assert blind[at:at + 4] == ["AB", "Ab", "aB", "ab"]  # equal to the collation, told apart by bytes
+
+
+def test_null_names_come_last(spark, tables):
+    rows = spark.createDataFrame([(1, None), (2, "é"), (3, "a")], "id bigint, name string").selectExpr(
+        "*", "'' city", "'' category", "'' status", "null created_at")
+    assert [r["id"] for r in dicts(L.providers_by_name(rows, "UNICODE"))] == [3, 2, 1]
+
+
+@pytest.mark.parametrize("text, plain, blind", [
+    ("ECL", {"Eclair", "eclair"}, {"éclair", "Eclair", "eclair"}), ("cote", {"cote"}, {"côte", "coté", "cote", "côté"}),
+    ("بيت", {"بيت", "مطعم البيت"}, {"بيت", "مطعم البيت"}), ("%", set(), set())])
+def test_search_blind_to_accents(tables, text, plain, blind):
+    people = tables("user_profiles", [{"id": str(i), "full_name": n} for i, n in enumerate(NAMES)])
+    assert {r["full_name"] for r in dicts(R.people_search(people, text))} == plain
+    assert {r["full_name"] for r in dicts(R.people_search(people, text, "UNICODE_CI_AI"))} == blind
+
+
+def test_blank_search_keeps_all(tables):
+    people = tables("user_profiles", [{"id": str(i), "full_name": n} for i, n in enumerate(NAMES)])
+    assert R.people_search(people, " ", "UNICODE_CI").count() == len(NAMES)
