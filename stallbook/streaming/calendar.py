@@ -1,10 +1,11 @@
 """Expiry from a calendar of due days: a trigger costs what is due, not what there is.
 
 Subscriptions are kept in a bucketed table (`sources.buckets`), their newest version each. Every
-version that can run out also has an entry in the calendar, a folder per day on which it does.
+version that can run out also has an entry in the calendar, a folder per day on which it does,
+unless that day had passed before it came: then it is due at once and needs no reminder.
 A trigger takes the changed rows of its micro-batch into both, then opens the days that have
-passed since the trigger before, and the days in the past that the batch itself has entered, and
-rewrites the buckets of the subscriptions named there. An entry is only a reminder: whether the
+passed since the trigger before and rewrites the buckets of the subscriptions named there and
+of those that were due when they came. An entry is only a reminder: whether the
 subscription still runs out then is read from its row, so renewals and cancellations need not
 be looked for in the calendar; the renewed row has an entry of its own on its new day.
 
@@ -41,23 +42,28 @@ def entries(rows: DataFrame) -> DataFrame:
 
 
 def enter(rows: DataFrame, calendar: str, batch_id: int) -> None:
-    """Write the entries of a batch; a batch that runs again overwrites its own."""
-    entries(rows).withColumn("batch", F.lit(batch_id)).repartition("day").write.mode(
+    """Write entries of a batch; a batch that runs again overwrites its own. Opening a file for
+    each day takes longer than its rows, so the days are dealt to a given number of tasks, which
+    Spark does not join to fewer for being small."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows.withColumn("batch", F.lit(batch_id)).repartition(parts, "day").write.mode(
         "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(calendar)
 
 
 def due(spark: SparkSession, calendar: str, days: set[date], rows: DataFrame) -> DataFrame | None:
     """The entries of these days, whose folders alone are read; None if there are none. `rows` has the
-    types of id and expires_at."""
-    found = None
-    for day in sorted(days):
-        try:
-            part = spark.read.schema(rows.select("id", "expires_at").schema).parquet(f"{calendar}/day={day}")
-        except AnalysisException:
-            continue  # nothing runs out on that day
-        part = part.select("id", "expires_at")
-        found = part if found is None else found.unionByName(part)
-    return found
+    types of id and expires_at. One pattern names all days, so there is one listing and one scan
+    however many they are, and days without entries are left out by it."""
+    if not days:
+        return None
+    named = ",".join(str(day) for day in sorted(days))
+    entry = rows.select("id", "expires_at").schema
+    try:
+        return spark.read.schema(entry).option("basePath", calendar).parquet(
+            f"{calendar}/day={{{named}}}").select("id", "expires_at")
+    except AnalysisException:
+        return None  # nothing runs out on these days
 
 
 def _newest(rows: DataFrame, changes: DataFrame) -> Change:
@@ -85,7 +91,8 @@ def trigger(batch: DataFrame, batch_id: int, root: str, calendar: str, now: date
     changes = keep(latest_versions(batch).withColumn("version_at", F.col("updated_at")), "changes")
     if _done(spark, root) == 0:
         BU.create(changes.limit(0), root, TABLE, buckets, version=first - 1 if batch_id else 0)
-    enter(changes, calendar, batch_id)
+    dated, passed = entries(changes), F.col("day") < F.lit(since.date())
+    enter(dated.filter(~passed), calendar, batch_id)
     if _done(spark, root) < first:
         BU.change_rows(spark, root, TABLE, changes, _newest, version=first)
     day, days = since.date(), set()
@@ -93,11 +100,11 @@ def trigger(batch: DataFrame, batch_id: int, root: str, calendar: str, now: date
         days.add(day)
         day += timedelta(days=1)
     # versions that came after their day had passed are due at once
-    late = entries(changes).filter(F.col("day") < F.lit(since.date())).select("day").distinct()
-    days |= {r.day for r in late.collect()}
+    late = dated.filter(passed).select("id", "expires_at")
     found = due(spark, calendar, days, changes)
-    if found is None or _done(spark, root) >= first + 1:
+    if (found is None and late.isEmpty()) or _done(spark, root) >= first + 1:
         return None
+    found = late if found is None else found.unionByName(late)
     asked = keep(found.filter(F.col("expires_at") < moment(now, found, "expires_at")).select(
         "id").distinct(), "due")
 

@@ -109,3 +109,16 @@ def test_over_a_stream_with_a_moving_clock(spark, tables, tmp_path):
     assert saved[1] == {1, 3, 4}
     got = statuses(K.current(spark, str(tmp_path / "t")))
     assert {i for i, (s, _) in got.items() if s == "expired"} == {1, 3, 4} and got[2][0] == "active"
+
+
+def test_versions_that_ran_out_long_ago_need_no_days(spark, tables, tmp_path):
+    root, days = str(tmp_path / "t"), str(tmp_path / "days")
+    rows = [version(i, NOW, expires=NOW + (i - 300) * DAY) for i in range(330)]
+    ids = K.trigger(tables("subscriptions", rows), 0, root, days, NOW, NOW, buckets=4)
+    assert {r["id"] for r in dicts(ids)} == set(range(300))
+    assert len([d for d in os.listdir(days) if d.startswith("day=")]) == 30
+    window = {(NOW + k * DAY).date() for k in range(-100, 100)}
+    found = K.due(spark, days, window, tables("subscriptions", rows[:1]))
+    assert {r["id"] for r in dicts(found, "id")} == set(range(300, 330))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert K.due(spark, days, {(NOW - 100 * DAY).date()}, tables("subscriptions", rows[:1])) is None
