@@ -14,6 +14,8 @@ from ..sources.ranks import RANGES, RankIndex, build
 from .entitlement import Basis, active_package, latest_entitlement
 
 SMALL_PAGE = 10_000
+#: Groups that rows without a key are dealt to in a join.
+NULL_SALTS = 1024
 
 
 # --- users ------------------------------------------------------------------------
@@ -102,13 +104,19 @@ def _lookup(rows: DataFrame, dim: DataFrame, key: str, columns: list[Column],
     """Left join to a table with one row per `id`.
 
     When `rows` is a cut page, the table is first reduced to the page's keys, so
-    neither side is shuffled however big the table is.
+    neither side is shuffled however big the table is. Else rows without a key, which may be
+    all of them, are spread by a salt that no row of the table has, not sent to one task.
     """
     dim = dim.select(F.col("id").alias(key), *columns)
     if small:
         keys = rows.select(key).filter(F.col(key).isNotNull()).distinct()
         dim = F.broadcast(dim.join(F.broadcast(keys), key, "left_semi"))
-    return rows.join(dim, key, "left")
+        return rows.join(dim, key, "left")
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(NULL_SALTS)).cast("int") + F.lit(1)
+    salted = rows.withColumn("_salt", F.when(F.col(key).isNull(), spread).otherwise(F.lit(0)))
+    # not a plain literal: Spark would take it out of the join's keys
+    dim = dim.withColumn("_salt", F.explode(F.array(F.lit(0))))
+    return salted.join(dim, [key, "_salt"], "left").drop("_salt")
 
 
 def _page(rows: DataFrame, columns: list[str], status: str | None, limit: int | None,

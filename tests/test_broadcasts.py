@@ -1,8 +1,10 @@
-"""Written tables whose files are much smaller than their rows."""
+"""Joins by size: written tables whose files are much smaller than their rows, rows without a key."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from stallbook import config
+from stallbook.operators import reports as R
 from stallbook.plans.queries import QUERIES
 from stallbook.sources.adapters import Market
 
@@ -31,3 +33,22 @@ def test_verdicts_are_not_broadcast(spark, monkeypatch, name):
     found = plan(QUERIES[name](Market(spark, "/root/testdata/sf0.001")))
     verdicts = [line for line in found.splitlines() if "Join" in line and "request_id" in line]
     assert verdicts and all("SortMergeJoin" in line for line in verdicts)
+
+
+def test_rows_without_a_key_are_spread_over_tasks(spark):
+    rows = spark.range(2000).selectExpr("id", "case when id % 10 = 0 then id end as payment_id")
+    bills = spark.range(0, 3000, 20).selectExpr("id", "concat('r', id) as receipt")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = R._lookup(rows, bills, "payment_id", [F.col("receipt")], False)
+        got = [tuple(r) for r in found.select("id", "payment_id", "receipt", F.spark_partition_id()).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found.columns == ["payment_id", "id", "receipt"]
+    assert sorted(r[0] for r in got) == list(range(2000))
+    assert all(r[2] == (f"r{r[0]}" if r[0] % 20 == 0 else None) for r in got)
+    assert len({r[3] for r in got if r[1] is None}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
