@@ -14,19 +14,22 @@
 
 Tries and word tables are dealt in shards of at most `SHARD` phrases or `WORDS` words, so what a
 broadcast holds does not grow with the corpus; more candidates mean more shards, each a pass over
-the shrunken texts. Counting is exact: words are counted as strings, and codes are given by 128
-bits of hash.
+the shrunken texts. A row of a table between passes has about `ROW` numbers of four bytes and is cut
+after a 0 only: Parquet makes a page of 100 rows at least, and Spark reads and sends whole rows, so
+what an executor holds goes by the size of a row. Each table goes when the next one is written.
+Counting is exact: words are counted as strings, and codes are given by 128 bits of hash.
 """
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stallbook.config import keep
+from stallbook.config import discard, keep
 from stallbook.llm.arrow import ready, rows_per_batch
 from stallbook.llm.numbering import numbered
 from stallbook.llm.tries import Trie
@@ -41,8 +44,8 @@ BLOCK = 1 << 10
 #: Pairs that a task adds up at a time, pairs that it holds before it sends them on, and bytes of
 #: text worked on at a time.
 MERGED, HELD, TEXT = 1 << 18, 1 << 19, 1 << 19
-#: Runs of codes (of a slice of text each) that go to Python at a time.
-BATCH = 8
+#: Codes of a row, more only where a run is longer, and rows that are read and go to Python at a time.
+ROW, BATCH = 1 << 14, 32
 
 #: Bytes that end a piece (fixed values): . , ; : ! ? and 0x0A to 0x0D.
 _ENDS = np.zeros(256, dtype=bool)
@@ -129,6 +132,42 @@ def _compact(codes: np.ndarray, marked: np.ndarray, least: int) -> np.ndarray:
     return spread[chosen]
 
 
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run inside reads and sends to Python `BATCH` rows at a time."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    given = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        with rows_per_batch(spark, BATCH):
+            yield
+    finally:
+        spark.conf.set(key, given)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 as bytes, four for each where that is enough for all, with a byte that says so."""
+    width = 4 if int(numbers.max(initial=0)) < 1 << 31 else 8
+    return bytes([width]) + numbers.astype(f"<i{width}").tobytes()
+
+
+def _unpacked(blob: pa.Buffer | bytes) -> np.ndarray:
+    width = memoryview(blob)[0]
+    return np.frombuffer(blob, dtype=f"<i{width}", offset=1).astype(np.int64)
+
+
+def _numbers(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
+    return _unpacked(batch.column(column)[row].as_buffer())
+
+
+def _cut(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """`codes`, which end with a 0, in rows of about `size`, each up to a 0."""
+    zeros = np.flatnonzero(codes == 0)
+    wanted = np.arange(size, len(codes) + 1, size) - 1
+    ends = np.unique(np.append(zeros[np.searchsorted(zeros, wanted)] + 1, len(codes)))
+    yield from (row for row in np.split(codes, ends[:-1]) if len(row))
+
+
 def _coder(spark, vocabulary: DataFrame, low: int):
     """A broadcast of sorted hashes and codes of the words numbered low + 1 to low + WORDS."""
     def run(batches):
@@ -159,7 +198,7 @@ def _code(table, one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def encoded(texts: DataFrame, vocabulary: DataFrame, total: int) -> DataFrame:
-    """The texts as runs of codes: a written table of `codes`, 64-bit numbers as bytes.
+    """The texts as runs of codes: a written table of `codes`, `_packed`.
 
     Only runs of two coded words or more are left, each followed by a 0. With several word tables
     the texts pass them one by one and carry the codes that they have.
@@ -183,22 +222,24 @@ def encoded(texts: DataFrame, vocabulary: DataFrame, total: int) -> DataFrame:
                     codes[places] = found
                     pieces = np.bincount(part.text[new], minlength=part.size)
                     bounds = np.concatenate([[0], np.cumsum(part.counts() + pieces)])
-                    held = [x for x in batch.column("codes").slice(part.first, part.size).to_pylist()
-                            if x is not None]
+                    held = [_unpacked(x) for x in
+                            batch.column("codes").slice(part.first, part.size).to_pylist() if x is not None]
                     if held:
-                        codes[:-1] += np.frombuffer(b"".join(held), dtype=np.int64)
+                        codes[:-1] += np.concatenate(held)
                     if last:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([_compact(codes, codes > 0, 2).tobytes()], pa.binary())], ["codes"])
+                        for row in _cut(_compact(codes, codes > 0, 2), ROW):
+                            yield pa.RecordBatch.from_arrays([pa.array([_packed(row)], pa.binary())], ["codes"])
                     else:
                         rest = [batch.column(c).slice(part.first, part.size) for c in ("own", "text")]
-                        blobs = [codes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                        blobs = [_packed(codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                         yield pa.RecordBatch.from_arrays([*rest, pa.array(blobs, pa.binary())],
                                                          ["own", "text", "codes"])
 
         kind = "codes binary" if last else "own long, text string, codes binary"
-        rows = keep(rows.mapInArrow(run, kind), "codes")
+        before, rows = rows, keep(rows.mapInArrow(run, kind), "codes")
         table.destroy()
+        if low:
+            discard(before)
     return rows
 
 
@@ -243,10 +284,6 @@ def _seen(batches: Iterator[pa.RecordBatch], keys_of: Callable, enough: int) ->
     yield rows((np.array([-1]), np.array([0])), 0 if sent else 1)
 
 
-def _numbers(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
-    return np.frombuffer(batch.column(column)[row].as_buffer(), dtype=np.int64)
-
-
 def _supported(rows: DataFrame, column: str, factor: int, least: int, whole: bool) -> DataFrame:
     """Neighbours a, b > 0 in the numbers of `column` that may occur `least` times, as a * factor + b.
 
@@ -263,7 +300,7 @@ def _supported(rows: DataFrame, column: str, factor: int, least: int, whole: boo
 
     rows = rows.select(column)
     enough = 1 if whole else -(-least // max(1, rows.rdd.getNumPartitions()))
-    with rows_per_batch(rows.sparkSession, BATCH):
+    with _few_rows(rows.sparkSession):
         named = keep(rows.mapInArrow(lambda batches: _seen(batches, keys, enough),
                                      "key long, n long, ended long").groupBy("key").agg(
             F.sum("n").alias("n"), F.sum("ended").alias("ended")), "supported")
@@ -286,8 +323,9 @@ def _tries(phrases: DataFrame, total: int) -> Iterator[tuple]:
 
 def _marked(coded: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
     """The runs of `coded` in which two frequent phrases begin one after the other: a written
-    table of `codes` and `marks`, the number of the phrase that begins at each place, or 0."""
-    rows = coded.select("codes", F.lit(None).cast("binary").alias("marks"))
+    table of `codes` and `marks`, the number of the phrase that begins at each place, or 0.
+    `coded` is discarded."""
+    rows, written = coded.select("codes", F.lit(None).cast("binary").alias("marks")), coded
     for trie, low in _tries(frequent, total):
         last = low + SHARD >= total
 
@@ -301,13 +339,15 @@ def _marked(coded: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
                         marks = marks + _numbers(batch, "marks", i)
                     if last:
                         codes, marks = _shrunk(codes, marks, trie.value.words)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([codes.tobytes()], pa.binary()), pa.array([marks.tobytes()], pa.binary())],
-                        ["codes", "marks"])
+                    if len(codes):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([_packed(x)], pa.binary()) for x in (codes, marks)], ["codes", "marks"])
 
-        with rows_per_batch(rows.sparkSession, BATCH):
+        with _few_rows(rows.sparkSession):
             rows = keep(rows.mapInArrow(run, "codes binary, marks binary"), "marked")
         trie.destroy()
+        discard(written)
+        written = rows
     return rows
 
 
@@ -364,10 +404,10 @@ def _counted(coded: DataFrame, candidates: DataFrame, total: int, least: int) ->
             blocks = times.reshape(-1, size)
             for i in np.flatnonzero(blocks.any(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([low // size + int(i)]), pa.array([blocks[i].tobytes()], pa.binary())],
+                    [pa.array([low // size + int(i)]), pa.array([_packed(blocks[i])], pa.binary())],
                     ["block", "counts"])
 
-        with rows_per_batch(coded.sparkSession, BATCH):
+        with _few_rows(coded.sparkSession):
             part = keep(coded.select("codes").mapInArrow(run, "block long, counts binary").repartition(
                 "block").sortWithinPartitions("block").mapInArrow(
                 lambda batches: _summed(batches, least, size), "id long, n long"), "counts")

@@ -44,15 +44,18 @@ class Trie:
     def _place(self, parents: np.ndarray, labels: np.ndarray, count: int) -> None:
         """Give every node a base, so that no two children share a place.
 
-        Nodes with many children go one after the other behind each other; all others draw places
-        at random, in rounds, the larger ones first, while the array is sparse.
+        Nodes with many children go one after the other behind each other; those with a few draw
+        places at random, in rounds, the larger ones first, while the array is sparse. Only children,
+        which most are, then take the places that are free, so the array is little longer than their
+        number: every Python worker holds a copy.
         """
         draw = np.random.default_rng(0)
         firsts = np.concatenate([[0], np.flatnonzero(np.diff(parents)) + 1])
         owners, ends = parents[firsts], np.append(firsts[1:], len(parents))
         sizes = ends - firsts
         large = np.flatnonzero(sizes > 16)
-        room = 4 * count + 256 * (len(large) + 2)
+        few = (sizes > 1) & (sizes <= 16)
+        room = 4 * int(sizes[few].sum()) + 256 * (len(large) + 2)
         base = np.zeros(count, dtype=np.int64)
         at = np.zeros(count, dtype=np.int64)  # place of each node; child i is node i + 1
         used = np.zeros(room, dtype=bool)
@@ -64,7 +67,7 @@ class Trie:
             at[1 + firsts[i]:1 + ends[i]] = places = low + own - own[0]
             used[places] = True
             low = int(places[-1]) + 1
-        for upper, lower in ((16, 5), (4, 3), (2, 2), (1, 1)):
+        for upper, lower in ((16, 5), (4, 3), (2, 2)):
             left = np.flatnonzero((sizes <= upper) & (sizes >= lower))
             while len(left):
                 tried = draw.integers(1, room - 256, len(left))
@@ -90,6 +93,11 @@ class Trie:
                 at[1 + child[good]] = places[good]
                 used[places[good]] = True
                 left = left[bad]
+        only = np.flatnonzero(sizes == 1)
+        free = np.flatnonzero(~used[1:])[:len(only)] + 1
+        places = np.append(free, np.arange(room, room + len(only) - len(free)))
+        base[owners[only]] = places - labels[firsts[only]]
+        at[1 + firsts[only]] = places
         length = int(at.max(initial=0)) + 257
         self.base = np.zeros(length, dtype=np.int32)
         self.check = np.full(length, -1, dtype=np.int32)

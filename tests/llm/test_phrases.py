@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 from fractions import Fraction
@@ -6,8 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stallbook.llm import phrases as p
+from stallbook.llm.numbering import numbered
 from stallbook.llm.tries import Trie
 
 
@@ -124,3 +127,61 @@ def test_tries_find_what_a_dictionary_finds(words, vocabulary, rows, seed):
 def test_a_trie_with_crowded_nodes():
     codes = np.stack(np.meshgrid(np.arange(1, 300), np.arange(1, 40)), -1).reshape(-1, 2)
     assert (Trie(codes).find(codes.ravel())[::2] == np.arange(len(codes))).all()
+
+
+def coded(df, least):
+    texts = p._texts(df, "text", "lang")
+    return p.encoded(texts, *numbered(p.word_counts(texts).where(F.col("n") >= least), "vocabulary"))
+
+
+def test_rows_between_passes_stay_small(spark):
+    """A slice of text, which was a row, has some 100,000 words; Parquet takes 100 rows for a page."""
+    rows = [(i, "an old stall, a new book. one more page " * 50, "en") for i in range(800)]
+    sizes = [len(r.codes) for r in coded(spark.createDataFrame(rows, KIND).coalesce(1), 2).collect()]
+    assert len(sizes) > 10 and max(sizes) < 80_000
+
+
+def test_rows_cut_anywhere_give_the_same(spark, monkeypatch):
+    rows = texts(6, 200) + ODD
+    monkeypatch.setattr(p, "ROW", 7)
+    monkeypatch.setattr(p, "BATCH", 3)
+    assert found(p.collocations(spark.createDataFrame(rows, KIND), least=5)) == brute(rows, 5)
+
+
+@given(st.lists(st.integers(0, 3)), st.integers(1, 9))
+def test_rows_end_with_a_zero_and_hold_all(codes, size):
+    codes = np.array([*codes, 0])
+    got = list(p._cut(codes, size))
+    assert np.concatenate(got).tolist() == codes.tolist()
+    assert all(r[-1] == 0 and not (r[size - 1:-1] == 0).any() for r in got)
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [1, 2 ** 31 - 1], [0, 2 ** 31], [7, 2 ** 62]])
+def test_packed_numbers_come_back(numbers):
+    assert p._unpacked(p._packed(np.array(numbers, dtype=np.int64))).tolist() == numbers
+
+
+def test_the_texts_of_earlier_passes_are_removed(spark, small, monkeypatch):
+    written = []
+
+    def keep(df, name):
+        kept = p_keep(df, name)
+        written.append((name, kept.inputFiles()))
+        return kept
+
+    p_keep = p.keep
+    monkeypatch.setattr(p, "keep", keep)
+    rows = texts(2, 60)
+    assert found(p.collocations(spark.createDataFrame(rows, KIND), least=5)) == brute(rows, 5)
+    left = [name for name, files in written if files and os.path.exists(files[0].removeprefix("file://"))]
+    assert [name for name, _ in written].count("codes") > 1 < [name for name, _ in written].count("marked")
+    assert left.count("codes") + left.count("marked") == 1 and "words" in left and "phrases" in left
+
+
+def test_a_trie_is_little_longer_than_its_nodes():
+    draw = np.random.default_rng(1)
+    codes = np.unique(draw.integers(1, 60_000, (20_000, 5)), axis=0)
+    trie = Trie(codes)
+    nodes = 1 + int((trie.check >= 0).sum())
+    assert len(trie.check) < 1.3 * nodes + 1000
+    assert (trie.find(codes.ravel())[::5] == np.arange(len(codes))).all()
