@@ -164,7 +164,11 @@ def _projected(space: Space, x: np.ndarray, components: int) -> np.ndarray:
     offset = np.array([(s - space.n * c) / space.n
                        for s, c in zip(space.sums, space.centre, strict=True)])
     centred = (x - np.array(space.centre, dtype=np.int64)).astype(np.float64) - offset
-    return centred @ space.vectors[:, :components] * space.scales(components)
+    vectors = space.vectors[:, :components]
+    out = np.zeros((len(x), vectors.shape[1]), dtype=np.result_type(centred, vectors))
+    for values, weights in zip(centred.T, vectors, strict=True):  # BLAS rounds by the number of rows
+        out += values[:, None] * weights
+    return out * space.scales(components)
 
 
 def _deviations(space: Space, x: np.ndarray) -> list[int]:
